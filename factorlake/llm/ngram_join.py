@@ -111,13 +111,21 @@ def prefixes(docs: DataFrame, width: int, percent: int, levels: np.ndarray) -> D
 def possible(x: str, y: str, percent: int) -> Column:
     """Length and positional filters for a shingle at place pos in the order of both sets.
 
-    The overlap is at most the shingles up to here plus the fewer of those that follow.
+    They hold for the first shingle that two sets have in common: the overlap is then this one
+    and, at most, the fewer of those that follow. Linked sets meet in the group of that first
+    one, so a pair that fails in the group of a later one isn't lost.
     """
     nx, ny, px, py = (F.col(f"{s}.{c}") for c in ("n", "pos") for s in (x, y))
-    most = F.least(px, py) + 1 + F.least(nx - px - 1, ny - py - 1)
+    most = 1 + F.least(nx - px - 1, ny - py - 1)
     return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & ((100 + percent) * most >= percent * (nx + ny))
 
 
+def hopeful(y: str, least: str, percent: int) -> Column:
+    """Whether a member can pass the positional filter with the shortest partner that it may have in its group."""
+    n, pos = F.col(f"{y}.n"), F.col(f"{y}.pos")
+    return (100 + percent) * (n - pos) >= percent * (n + F.greatest(F.col(least), F.ceil(percent * n / 100)))
+
+
 def suffix_filter(pairs: DataFrame, prefix: DataFrame, percent: int) -> DataFrame:
     """Pairs a, b whose part sizes leave room for the overlap they need."""
     left, right = (prefix.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("parts").alias(f"p{k}")) for k in "ab")
@@ -214,14 +222,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     length = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9)
     spread = postings.join(live, "token").withColumn("k", F.explode(F.array(length, length + 1)))
     member = kept(spread.select("token", "k", F.struct("node", "n", "pos", "central").alias("y")), "members")
-    pivots = member.groupBy("token", "k").agg(F.count("*").alias("m"), F.max_by("y", F.struct("y.central", -F.col("y.node"))).alias("x")).where("m > 1")
-    near = member.join(pivots, ["token", "k"]).where((F.col("x.node") != F.col("y.node")) & possible("x", "y", percent))
+    pivots = member.groupBy("token", "k").agg(F.count("*").alias("m"), F.min("y.n").alias("least"), F.max_by("y", F.struct("y.central", -F.col("y.node"))).alias("x")).where("m > 1")
+    near = member.join(pivots, ["token", "k"]).where(hopeful("y", "least", percent) & (F.col("x.node") != F.col("y.node")) & possible("x", "y", percent))
     first = kept(near.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "pairs")
     links = kept(verified(suffix_filter(first, prefix, percent), docs, width, percent), "links")
     found = components(links)
 
     # what the pivots left open: members of different components, neither of them the pivot
-    placed = member.join(pivots.where("m > 2").select("token", "k", F.col("x.node").alias("pivot")), ["token", "k"]).where("y.node != pivot")
+    rivals = pivots.where("m > 2").select("token", "k", "least", F.col("x.node").alias("pivot"))
+    placed = member.join(rivals, ["token", "k"]).where((F.col("y.node") != F.col("pivot")) & hopeful("y", "least", percent))
     placed = placed.join(found.withColumnRenamed("node", "__n"), F.col("y.node") == F.col("__n"), "left").select("token", "k", "y", F.coalesce("component", "y.node").alias("c"))
     open_groups = placed.groupBy("token", "k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token", "k")
     rest = kept(placed.join(open_groups, ["token", "k"], "left_semi"), "open")

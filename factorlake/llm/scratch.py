@@ -51,6 +51,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
+def bounded_batches(spark: SparkSession, size: str = "4m") -> None:
     """Arrow batches to Python hold about `size` bytes, however long the texts are."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Words that one Python worker remembers the hashes of, at most.
-REMEMBERED = 1_000_000
+REMEMBERED = 150_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
