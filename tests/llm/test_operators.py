@@ -1,0 +1,391 @@
+"""Every operator against brute force or an exact round trip, and on awkward tables."""
+
+import collections
+import functools
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from factorlake.llm import binary_records, decontaminate, line_dedup, ngram_join, packing, pieces, quality, secret_scan, sharding, token_counts, topk_search, words
+from factorlake.llm.components import components
+from factorlake.llm.slots import numbered
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+RNG = np.random.default_rng(1)
+VOCABULARY = ["".join(RNG.choice(list("abcdefghijklmnop"), 6)) for _ in range(400)]
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, n bigint, score double, pos int"
+
+
+def sentence(n):
+    return " ".join(RNG.choice(VOCABULARY, n))
+
+
+LONG = sentence(30_000)
+LINE = "This line is long enough to be counted as one."
+BASE = sentence(120)
+
+
+def edited(text, at):
+    w = text.split()
+    w[at % len(w)] = f"Edit{at}"
+    return " ".join(w)
+
+
+@functools.lru_cache
+def texts():
+    out = {1: BASE, 2: edited(BASE, 3), 3: edited(BASE, 50), 4: edited(edited(edited(BASE, 1), 40), 80), 5: BASE.upper(), 6: sentence(120), 7: "one two", 8: "One  two", 9: "", 10: None, 11: "Été İ x " + LINE, 12: LONG, 13: LONG + " tail"}
+    for k in range(20, 27):
+        out[k] = f"{sentence(30)}\n  {LINE if k % 2 else LINE.upper()}\t\n{sentence(5)}"
+    out[30] = 'password = "abcDEF123456789" then AKIA' + "Z" * 16 + " and " + "0a" * 12 + " token:short"
+    out[31] = "café 日本 secret:" + "x" * 15 + "\nAPI_KEY=abcdefabcdef0123456789; xoxb-" + "1a" * 9
+    return out
+
+
+def rows(extra=()):
+    base = [(i, t, "en", "s", len(t or ""), 1, 0.5, 2) for i, t in [*texts().items(), *extra]]
+    return [*base, (None, BASE, None, None, None, None, None, None), (None, None, None, None, None, None, None, None), base[0], (7, "one two", None, None, None, None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(rows(), SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def lower(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text)
+
+
+def shingles(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", lower(text or ""))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+# 1 ------------------------------------------------------------------------------------------
+@pytest.mark.parametrize("spread", [1.0, 0.05, 1e5])
+def test_topk_is_exact(spark, spread):
+    v = (RNG.normal(size=(300, 24)) * spread).round(3)
+    v[40:80] = v[40]  # ties
+    table = [(i, [float(x) for x in v[i]], "x") for i in range(300)] + [(500, None, ""), (501, [1.0, None], ""), (502, [float("nan")] * 24, ""), (None, [1.0] * 24, ""), (7, [float(x) for x in v[7]], "again"), (503, [], "")]
+    got = topk_search.top_k(spark.createDataFrame(table, "vec_id bigint, embedding array<double>, score string"), k=20, query_every=20).collect()
+    codes = np.floor(64 * v).astype(np.int64)
+    scores = codes @ codes.T
+    want = {(q, r + 1, x, int(scores[q, x])) for q in range(0, 300, 20) for r, x in enumerate(sorted((x for x in range(300) if x != q), key=lambda x: (-scores[q, x], x))[:20])}
+    assert {tuple(r) for r in got} == want
+
+
+def test_topk_small_tables(spark):
+    schema = "vec_id bigint, embedding array<float>"
+    assert topk_search.top_k(spark.createDataFrame([], schema)).count() == 0
+    assert [tuple(r) for r in topk_search.top_k(spark.createDataFrame([(0, [1.0]), (1, [0.5])], schema)).collect()] == [(0, 1, 1, 64 * 32)]
+
+
+def test_bounds_hold():
+    q, x = RNG.integers(-64, 64, (50, 30)).astype(float), RNG.integers(-64, 64, (60, 30)).astype(float)
+    for level in topk_search.LEVELS:
+        assert (topk_search.statistics(q, level) @ topk_search.statistics(x, level).T + 1e-6 >= q @ x.T).all()
+
+
+# 2 ------------------------------------------------------------------------------------------
+def brute_components(table):
+    """Rows of one id are one document; ids link by any of their texts."""
+    sets = [(i, shingles(t)) for i, t in table if i is not None]
+    parent = {i: i for i, _ in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, (i, x) in enumerate(sets):
+        for j, y in sets[:a]:
+            if x and y and 100 * len(x & y) >= 80 * len(x | y):
+                u, v = find(i), find(j)
+                parent[max(u, v)] = min(u, v)
+    return {i: find(i) for i in parent}
+
+
+def test_near_duplicates(spark, docs):
+    got = ngram_join.near_duplicates(docs).collect()
+    want = brute_components([(r[0], r[1]) for r in rows()])
+    assert len(got) == len(rows())
+    assert all(r.component_id == want[r.doc_id] for r in got if r.doc_id is not None)
+    assert all(r.component_id is None for r in got if r.doc_id is None)
+    by_id = texts()
+    assert all(r.n_shingles == len(shingles(by_id[r.doc_id])) for r in got if r.doc_id is not None)
+
+
+def test_near_duplicate_family_that_pivots_leave_open(spark):
+    """Chains of edits: far ends link only through the middle, and several families share rare passages."""
+    table, at = [], 0
+    passage = sentence(25)
+    for family in range(6):
+        text = sentence(60) + " " + passage + " " + sentence(60)
+        for step in range(14):
+            at += 1
+            table.append((at * 7 % 101 + 200 * family, text))
+            text = edited(text, 9 * step + family)
+    got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(spark.createDataFrame(table, "doc_id bigint, text string")).collect()}
+    assert got == brute_components(table)
+    assert len(set(got.values())) < len(got)
+
+
+def test_near_duplicates_of_nothing(spark, empty):
+    assert ngram_join.near_duplicates(empty).count() == 0
+    alone = spark.createDataFrame([(3, ""), (1, None), (2, "x")], "doc_id bigint, text string")
+    assert {tuple(r) for r in ngram_join.near_duplicates(alone).collect()} == {(3, 0, 3), (1, 0, 1), (2, 1, 2)}
+
+
+def test_components_of_a_chain(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a bigint, b bigint")
+    assert {r.component for r in components(links).where("node < 100").collect()} == {0}
+
+
+# 3 ------------------------------------------------------------------------------------------
+def brute_spans(text):
+    out = []
+    for k, rule in enumerate(secret_scan.RULES):
+        out += [(m.start(), k, m.end()) for m in re.finditer(rule["find"], text) if len(m[rule["of"]]) >= rule["least"]]
+    return sorted(out)
+
+
+def test_scan_equals_regexes(docs):
+    kinds = [r["kind"] for r in secret_scan.RULES]
+    for r in docs.select("doc_id", "text").join(secret_scan.scan(docs).dropDuplicates(["doc_id"]), "doc_id").collect():
+        assert [(s.start, kinds.index(s.kind), s.end) for s in r.spans] == brute_spans(r.text or "")
+    spans = {r.doc_id: [s.kind for s in r.spans] for r in secret_scan.scan(docs).collect()}
+    assert spans[30] == ["assign", "access", "hex"] and spans[31] == ["assign", "assign", "hex", "slack", "hex"] and spans[10] == []
+
+
+def test_scan_of_random_text():
+    alphabet = list("AKIAghp_0123abcdef=:'\" token\nsecreté-.") + ["AKIA", "password", "api_key", "ghp_", "eyJ", "-----BEGIN RSA PRIVATE KEY-----", "xoxb-"]
+    cases = ["".join(RNG.choice(alphabet, 400)) for _ in range(200)]
+    assert secret_scan.spans_of(cases, secret_scan.RULES) == [brute_spans(t) for t in cases]
+
+
+def test_scan_nothing(empty):
+    assert secret_scan.scan(empty).count() == 0
+
+
+# 4 and 9 ------------------------------------------------------------------------------------
+AWKWARD = ["a<|endoftext|>.b c", "x  y\n\n z", "\x1cfoo \x1c bar  .", "don't, we'll. ' s", "  ", "", "\n", "a\n\nb \n c", "é,ü! (x)\t\ty", "日本語 テ、 12.5%", "A​B   x", "foo...  bar|*** baz", "a" * 5000, " <| <|endoftext|> x", "Ġ Ġa"]
+
+
+def test_pieces_give_the_library_s_tokens():
+    t = pieces.tokenizer(TOKENIZER)
+    cases = AWKWARD + [v or "" for v in texts().values()] + ["".join(RNG.choice(list(" \n\tab,.'é |<>"), 60)) for _ in range(300)]
+    want = [e.ids for e in t.encode_batch(cases, add_special_tokens=False)]
+    assert [sum(x) for x in pieces.encoder(TOKENIZER, "count")(cases)] == [len(w) for w in want]
+    assert [np.frombuffer(b"".join(x), "<u4").tolist() for x in pieces.encoder(TOKENIZER, "bytes")(cases)] == want
+
+
+def test_long_texts_are_split_safely():
+    for text in (LONG, "x" * 3000, " ".join(["a  b"] * 500), "\n\n".join(["word"] * 800)):
+        parts = pieces.split_safely(text, 500)
+        assert "".join(parts) == text
+        t = pieces.tokenizer(TOKENIZER)
+        assert [i for p in parts for i in t.encode(p, add_special_tokens=False).ids] == t.encode(text, add_special_tokens=False).ids
+
+
+def test_token_counts(docs, empty):
+    t = pieces.tokenizer(TOKENIZER)
+    got = token_counts.count_tokens(docs, TOKENIZER, limit=100).collect()
+    assert len(got) == len(rows())
+    for r in got:
+        if r.doc_id is not None:
+            text = texts()[r.doc_id] or ""
+            assert (r.n_bytes, r.n_tokens) == (len(text.encode()), len(t.encode(text, add_special_tokens=False).ids)) and r.over_limit == (r.n_tokens > 100)
+    assert token_counts.count_tokens(empty, TOKENIZER).count() == 0
+
+
+def test_records_round_trip(spark, docs, empty, tmp_path):
+    path = f"file://{tmp_path}/records"
+    index = binary_records.write_records(docs, path, TOKENIZER)
+    t = pieces.tokenizer(TOKENIZER)
+    read = binary_records.read_records(index, path).orderBy("start").collect()
+    ids = [r.doc_id for r in read]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i)) and len(read) == len(rows())
+    at = 0
+    for r in read:
+        assert r.start == at and r.n_tokens == len(r.ids)
+        at += len(r.ids)
+        if r.doc_id is not None:
+            assert r.ids == [*t.encode(texts()[r.doc_id] or "", add_special_tokens=False).ids, 2]
+    digests = {(r.start, r.ids_crc32) for r in binary_records.record_digests(index, path).collect()}
+    assert digests == {(r.start, zlib.crc32(np.array(r.ids, "<u4").tobytes())) for r in read}
+    assert binary_records.write_records(empty, f"{path}-empty", TOKENIZER).count() == 0
+
+
+def test_frames():
+    for ids in ([], [1, 2, 65535], [1, 65536]):
+        assert binary_records.from_payload(binary_records.unframe(binary_records.frame(binary_records.to_payload(np.array(ids, "<u4"))))).tolist() == ids
+    good = binary_records.frame(b"\x02abcd")
+    for bad in (good[:-1], good[:14] + b"X" + good[15:], b"\x01" + good[1:]):
+        with pytest.raises(ValueError):
+            binary_records.unframe(bad)
+
+
+# 5 ------------------------------------------------------------------------------------------
+def test_shards(spark, docs, empty):
+    got = sharding.shuffle_to_shards(docs.withColumn("shard", F.lit(9)), ["doc_id", "text"], 5, part_rows=7).collect()
+    assert len(got) == len(rows())
+    sizes = collections.Counter(r.shard for r in got)
+    assert max(sizes.values()) - min(sizes.values()) <= 1 and set(sizes) == set(range(5))
+    for s, n in sizes.items():
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(n))
+    assert sharding.shuffle_to_shards(empty, ["doc_id"], 5).count() == 0
+
+
+def test_shuffle_is_uniform(spark):
+    df = spark.range(4000).withColumnRenamed("id", "doc_id")
+    got = sharding.shuffle_to_shards(df, ["doc_id"], 4, part_rows=500).collect()
+    table = np.zeros((4, 4))
+    for r in got:
+        table[r.doc_id // 1000, r.shard] += 1
+    assert (((table - 250) ** 2) / 250).sum() < 27.9  # chi-square, 9 degrees, 0.1 %
+    order = np.corrcoef([r.doc_id for r in got], [r.slot for r in got])[0, 1]
+    assert abs(order) < 0.06
+    again = sharding.shuffle_to_shards(df.repartition(7), ["doc_id"], 4, part_rows=500).collect()
+    assert {tuple(r) for r in got} == {tuple(r) for r in again}
+
+
+def test_matrix_has_exact_margins():
+    m = sharding.communication_matrix([5, 0, 12], [6, 6, 5], 3)
+    assert m.sum(axis=1).tolist() == [5, 0, 12] and m.sum(axis=0).tolist() == [6, 6, 5]
+    big = sharding._large_draw(np.random.default_rng(1), np.array([2 * 10**9, 10**9, 5]), 10**9)
+    assert big.sum() == 10**9 and (big >= 0).all() and big[2] <= 5
+
+
+def test_numbering_by_blocks(spark):
+    df = spark.range(1000).withColumn("g", F.col("id") % 2)
+    got = numbered(df, "g", F.xxhash64("id"), "k", 500, block_rows=30).collect()
+    assert all(sorted(r.k for r in got if r.g == g) == list(range(500)) for g in (0, 1))
+
+
+# 6 ------------------------------------------------------------------------------------------
+def padding(tops, counts, edges):
+    return sum(n * (min(e for e in edges if e >= t) - t) for t, n in zip(tops, counts, strict=True))
+
+
+def test_boundaries_are_optimal():
+    import itertools
+
+    for seed in range(20):
+        rng = np.random.default_rng(seed)
+        tops = np.sort(rng.choice(60, 9, replace=False)) + 1
+        counts = rng.integers(1, 50, 9)
+        for k in (1, 2, 3, 4, 12):
+            best = min(padding(tops, counts, [*c, tops[-1]]) for c in itertools.combinations(tops[:-1].tolist(), min(k, 9) - 1))
+            assert padding(tops, counts, packing.optimal_boundaries(tops, counts, k)) == best
+
+
+def test_packing(docs, empty):
+    got = packing.pack(docs, ["doc_id"], packing.word_count(F.col("text")), n_buckets=4, budget=500).collect()
+    assert len(got) == len(rows())
+    batches = collections.defaultdict(list)
+    for r in got:
+        assert r.length <= r.padded_length
+        if r.doc_id is not None:
+            assert r.length == len(re.findall(r"[^\x20\x09-\x0D]+", texts()[r.doc_id] or ""))
+        batches[r.bucket, r.batch].append(r)
+    for group in batches.values():
+        assert len(group) == 1 or sum(r.padded_length for r in group) <= 500
+        assert sorted(r.slot for r in group) == list(range(len(group)))
+    assert packing.pack(empty, ["doc_id"], packing.word_count(F.col("text"))).count() == 0
+
+
+# 7 ------------------------------------------------------------------------------------------
+def brute_lines(table, min_docs=5):
+    key = lambda line: lower(line.strip(" \t\n\x0b\f\r"))
+    where = collections.defaultdict(set)
+    for i, t in table:
+        for line in (t or "").split("\n"):
+            if i is not None and len(key(line)) >= 40:
+                where[key(line)].add(i)
+    drop = {k: max(v) for k, v in where.items() if len(v) >= min_docs}
+    return collections.Counter((i, "\n".join(x for x in (t or "").split("\n") if i is None or drop.get(key(x), i) == i)) for i, t in table)
+
+
+def test_line_dedup(docs, empty):
+    got = line_dedup.dedup_lines(docs).collect()
+    assert collections.Counter((r.doc_id, r.text) for r in got) == brute_lines([(r[0], r[1]) for r in rows()])
+    assert {r.n_dropped for r in got if r.doc_id in (20, 21, 22)} == {1}
+    assert line_dedup.dedup_lines(empty).count() == 0
+
+
+def test_line_keys_keep_other_letters(spark):
+    lines = ["É" + "a" * 45, "é" + "A" * 45, "K" + "k" * 45, "K" * 46]
+    df = spark.createDataFrame([(x,) for x in lines], "x string")
+    assert [r.k for r in df.select(line_dedup.line_key(F.col("x")).alias("k")).collect()] == [lower(x) for x in lines]
+
+
+# 8 ------------------------------------------------------------------------------------------
+ITEMS = [(i, sentence(30)) for i in range(8)]
+
+
+def brute_score(item, text):
+    a, b = (re.sub("[" + re.escape(words.MARKS.decode()) + "]", "", x.lower()).split() for x in (item, text))
+    best, before = 0, [0] * (len(b) + 1)
+    for x in a:
+        now = [0]
+        for j, y in enumerate(b):
+            now.append(max(0, before[j] + (2 if x == y else -1), before[j + 1] - 1, now[j] - 1))
+        best, before = max(best, *now), now
+    return best / (2 * len(a))
+
+
+def test_decontamination(spark, empty):
+    table = [(1, f"{sentence(40)} {ITEMS[0][1]} {sentence(40)}"), (2, f"{sentence(9)} {edited(edited(ITEMS[1][1], 7), 19).upper()}."), (3, sentence(200)), (4, " ".join(ITEMS[2][1].split()[:18])), (5, None), (6, ""), (None, ITEMS[3][1]), (1, ITEMS[4][1]), (7, LONG + " " + ITEMS[0][1])]
+    table += [(100 + k, f"{sentence(5)} {ITEMS[5][1]} {sentence(5)}") for k in range(60)]  # a passage that many hold
+    items = spark.createDataFrame([*ITEMS, (50, None), (51, ""), (None, "x y z")], "item_id bigint, text string")
+    docs = spark.createDataFrame(table, "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(docs, items).collect()}
+    want = collections.defaultdict(float)
+    for i, t in table:
+        for k, x in ITEMS:
+            if i is not None and t and len(t) < 10_000:
+                want[i, k] = max(want[i, k], brute_score(x, t))
+    want = {k: v for k, v in want.items() if v >= 0.4} | {(7, 0): 1.0}
+    assert got == pytest.approx(want)
+    assert decontaminate.contaminated(empty, items).count() == 0
+    assert decontaminate.contaminated(docs, items.limit(0)).count() == 0
+
+
+def test_alignment():
+    pairs = [(RNG.integers(0, 9, RNG.integers(1, 12)), RNG.integers(0, 9, RNG.integers(1, 20))) for _ in range(60)]
+    got, _ = decontaminate.smith_waterman(*zip(*pairs, strict=True))
+    assert [g / (2 * len(a)) for g, (a, _) in zip(got, pairs, strict=True)] == pytest.approx([brute_score(" ".join(map(str, a)), " ".join(map(str, b))) for a, b in pairs])
+
+
+# 10 -----------------------------------------------------------------------------------------
+def test_quality_on_held_out_rows(spark):
+    good = [(i, sentence(60), 1) for i in range(200)]
+    bad = [(1000 + i, " ".join(w + "###" for w in sentence(60).split()), 0) for i in range(100)]
+    both = [*good, *bad]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in both] + [(5000, None), (5001, ""), (None, "x")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in both if i % 4] + [(3, None), (None, 1)], "doc_id bigint, quality int")
+    scored = {r.doc_id: r.score for r in quality.with_score(docs, quality.train(docs, labels)).collect()}
+    held = [(scored[i] >= 0.7) == bool(y) for i, _, y in both if i % 4 == 0]
+    assert np.mean(held) > 0.97 and len(scored) == 303 and all(0 <= s <= 1 for s in scored.values())
+    assert scored[5000] == scored[5001]
+
+
+def test_quality_without_labels(spark, empty):
+    docs = spark.createDataFrame([(1, "x")], "doc_id bigint, text string")
+    for labels in ([], [(1, 1)]):
+        model = quality.train(docs, spark.createDataFrame(labels, "doc_id bigint, quality int"))
+        assert 0 <= quality.with_score(docs, model).first().score <= 1
+    assert quality.with_score(empty, quality.CompressionModel(b" ", b" ", np.zeros(3))).count() == 0
+
+
+def test_sha_of_nothing():
+    assert secret_scan.sha256_hex("") == hashlib.sha256(b"").hexdigest()
