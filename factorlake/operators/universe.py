@@ -53,7 +53,7 @@ def listed(events: DataFrame, days: DataFrame) -> DataFrame:
 
     `days` are the days that a query asks for.
     """
-    pairs = listings(events).join(days, (F.col("ipo").isNull() | (F.col("ipo") <= F.col("date"))) & (F.col("delist").isNull() | (F.col("delist") > F.col("date"))))
+    pairs = listings(events).join(F.broadcast(days), (F.col("ipo").isNull() | (F.col("ipo") <= F.col("date"))) & (F.col("delist").isNull() | (F.col("delist") > F.col("date"))))
     return not_halted(pairs.select("instrument_id", "date"), events)
 
 

@@ -205,7 +205,7 @@ def queries_and_sql() -> tuple[dict, dict]:
     rounded = lambda df, *keys: df.select(*keys, *(r6(c) if t == "double" else F.col(c) for c, t in df.dtypes if c not in keys))
     q["e9_batch"] = lambda s, d: rounded(batch(s, d), "spec", "window_id")
     q["e10_walk_forward"] = lambda s, d: rounded(evaluate.walk_forward(batch(s, d)), "spec")
-    q["e11_accepted"] = lambda s, d: rounded(evaluate.accepted(evaluate.walk_forward(batch(s, d)), min_sharpe=-10.0, max_drawdown=1.0), "spec")
+    q["e11_accepted"] = lambda s, d: rounded(evaluate.accepted(evaluate.walk_forward(batch(s, d)), min_sharpe=-10.0, max_drawdown=2.0, worst=-2.0), "spec")
     q["e12_period_returns"] = lambda s, d: evaluate.period_returns(held(s, d), b.bars(s, d), 0.001).select("ordinal", "date", r6("gross_ret"), r6("turnover"), r6("net_ret"))
     o["e12_period_returns"] = b.sql("SELECT ordinal, date, round(gross_ret,6) AS gross_ret, round(turnover,6) AS turnover, round(net_ret,6) AS net_ret FROM periods", **SCORED, **CHOSEN, **PERIODS)
 
@@ -238,7 +238,7 @@ def queries_and_sql() -> tuple[dict, dict]:
     own, columns = batch_ctes()
     o["e9_batch"] = b.sql("SELECT spec, window_id, round(total_return,6) AS total_return, round(sharpe,6) AS sharpe, round(max_drawdown,6) AS max_drawdown, n_periods FROM res", **own)
     o["e10_walk_forward"] = b.sql(f"SELECT spec, {columns} FROM wf", **own)
-    o["e11_accepted"] = b.sql(f"SELECT spec, {columns} FROM wf WHERE mean_sharpe >= -10 AND max_drawdown <= 1 AND worst_window > 0 ORDER BY mean_sharpe DESC, spec LIMIT 10", **own)
+    o["e11_accepted"] = b.sql(f"SELECT spec, {columns} FROM wf WHERE mean_sharpe >= -10 AND max_drawdown <= 2 AND worst_window > -2 ORDER BY mean_sharpe DESC, spec LIMIT 10", **own)
     grid_parts = []
     grid_own: dict[str, str] = {}
     for p in (10, 20, 50):

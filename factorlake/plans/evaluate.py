@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -85,8 +86,8 @@ def grid(spark: SparkSession, params: dict[str, list], limit: int | None = None,
     return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "candidate_id"))).limit(limit)
 
 
-def period_returns(held: DataFrame, bars: DataFrame, cost_rate: float = 0.0) -> DataFrame:
-    """ordinal, date, gross_ret, turnover, net_ret of equal-weight holdings between rebalances.
+def period_returns(held: DataFrame, bars: DataFrame, cost_rate: float = 0.0, keys: tuple[str, ...] = ()) -> DataFrame:
+    """ordinal, date, gross_ret, turnover, net_ret of equal-weight holdings between rebalances, per keys.
 
     A holding's return runs from its rebalance date to the next one's close (its last close
     before, if it doesn't trade then). The last rebalance has no next and gives no row. turnover
@@ -94,40 +95,64 @@ def period_returns(held: DataFrame, bars: DataFrame, cost_rate: float = 0.0) ->
     """
     from factorlake.operators.asof import asof
 
-    days = held.select("ordinal", "date").distinct()
-    ahead = days.select((F.col("ordinal") - 1).alias("ordinal"), F.col("date").alias("until"))
-    span = held.join(ahead, "ordinal")
+    at = [*keys, "ordinal"]
+    ahead = held.select(*keys, (F.col("ordinal") - 1).alias("ordinal"), F.col("date").alias("until")).distinct()
+    span = held.join(ahead, at)
     prices = bars.select("instrument_id", "date", "close")
-    entry = asof(span.select("instrument_id", "date", "ordinal", "until", "weight"), prices.withColumnRenamed("close", "entry"), ["entry"])
-    leave = entry.select("instrument_id", F.col("until").alias("date"), "ordinal", F.col("date").alias("since"), "weight", "entry")
+    entry = asof(span.select("instrument_id", "date", *at, "until", "weight"), prices.withColumnRenamed("close", "entry"), ["entry"])
+    leave = entry.select("instrument_id", F.col("until").alias("date"), *at, F.col("date").alias("since"), "weight", "entry")
     both = asof(leave, prices.withColumnRenamed("close", "leave"), ["leave"])
-    gross = both.groupBy("ordinal", F.col("since").alias("date")).agg(F.sum(F.col("weight") * (ratio("leave", "entry") - 1)).alias("gross_ret"))
-    now = held.select("ordinal", "instrument_id", "weight")
-    before = now.select((F.col("ordinal") + 1).alias("ordinal"), "instrument_id", F.col("weight").alias("w0"))
-    moved = now.join(before, ["ordinal", "instrument_id"], "full").groupBy("ordinal").agg((F.sum(F.abs(F.coalesce("weight", F.lit(0.0)) - F.coalesce("w0", F.lit(0.0)))) / 2).alias("turnover"))
-    out = gross.join(moved, "ordinal")
-    return out.select("ordinal", "date", "gross_ret", "turnover", (F.col("gross_ret") - F.col("turnover") * cost_rate).alias("net_ret"))
+    gross = both.groupBy(*at, F.col("since").alias("date")).agg(F.sum(F.col("weight") * (ratio("leave", "entry") - 1)).alias("gross_ret"))
+    now = held.select(*at, "instrument_id", "weight")
+    before = now.select(*keys, (F.col("ordinal") + 1).alias("ordinal"), "instrument_id", F.col("weight").alias("w0"))
+    moved = now.join(before, [*at, "instrument_id"], "full").groupBy(*at).agg((F.sum(F.abs(F.coalesce("weight", F.lit(0.0)) - F.coalesce("w0", F.lit(0.0)))) / 2).alias("turnover"))
+    out = gross.join(moved, at)
+    return out.select(*at, "date", "gross_ret", "turnover", (F.col("gross_ret") - F.col("turnover") * cost_rate).alias("net_ret"))
+
+
+def _in_windows(df: DataFrame, n: int) -> DataFrame:
+    """A slowly changing table once for each window, its instruments named after the window."""
+    each = df.withColumn("__w", F.explode(F.array(*(F.lit(w) for w in range(n)))))
+    return each.withColumn("instrument_id", F.concat_ws("|", "__w", "instrument_id")).drop("__w")
 
 
 def evaluate_specs(panel: DataFrame, specs: dict[str, combo.Spec], n_windows: int = 4, cost_rate: float = 0.001, sectors: DataFrame | None = None) -> DataFrame:
     """spec, window_id, total_return, sharpe, max_drawdown, n_periods of every spec in every window.
 
-    Factors start anew in each window: instruments are keyed by window too. Specs of equal
-    scoring share one scoring plan; results are stacked and grouped by (spec, window).
+    Factors start anew in each window: instruments are named after their window, so that all
+    windows are scored in one pass. Specs that score alike share that pass, and the panel is read
+    once for each different scoring, not for each spec or window; their cuts and rebalance dates
+    are joined on, as a table of the specs (the query's text), and all are reduced together.
     """
+    spark = panel.sparkSession
     parts = windows(panel, n_windows)
-    n = parts.agg(F.max("window_id")).first()[0]
-    keyed = panel.join(parts, "date")
-    scored_by: dict[tuple, DataFrame] = {}
-    out = None
-    for w in range((n or 0) + 1):
-        rows = keyed.where(F.col("window_id") == w).drop("window_id")
-        for name, spec in specs.items():
-            key = (w, repr((spec.factors, spec.filters, spec.group_by, spec.overrides, spec.winsorize_pct)))
-            scored_by.setdefault(key, combo.scores(rows, spec, sectors))
-            held = combo.targets(combo.selected(scored_by[key], spec, sectors=sectors), combo.rebalance_dates(rows, spec.rebalance))
-            one = period_returns(held, rows, cost_rate).withColumns({"spec": F.lit(name), "window_id": F.lit(w), "rebalance": F.lit(spec.rebalance)})
-            out = one if out is None else out.unionByName(one)
+    name = F.concat_ws("|", "window_id", "instrument_id")
+    keyed = panel.join(parts, "date").withColumn("instrument_id", name).drop("window_id")
+    sectors = _in_windows(sectors, n_windows) if sectors is not None else None
+    ranked, scorings = None, {}
+    for s in specs.values():
+        key = repr((s.factors, s.filters, s.group_by, s.overrides, s.winsorize_pct, s.sector_filter))
+        if key in scorings:
+            continue
+        scorings[key] = len(scorings)
+        own = {f"{w}|{i}": g for i, g in (s.overrides or {}).items() for w in range(n_windows)}
+        every = combo.selected(combo.scores(keyed, replace(s, overrides=own), sectors), replace(s, top_k=None, top_pct=1.0), sectors=sectors)
+        size = F.count("*").over(Window.partitionBy("date", "_group"))
+        one = every.select("instrument_id", "date", "rank", size.alias("__n"), F.lit(scorings[key]).alias("scoring"))
+        ranked = one if ranked is None else ranked.unionByName(one)
+    rows = [(n, scorings[repr((s.factors, s.filters, s.group_by, s.overrides, s.winsorize_pct, s.sector_filter))], s.top_k, s.top_pct, s.rebalance) for n, s in specs.items()]
+    table = spark.createDataFrame(rows, "spec string, scoring int, top_k int, top_pct double, rebalance int")
+    cut = F.coalesce("top_k", F.greatest(F.lit(1), F.bround(F.col("__n") * F.col("top_pct"), 0).cast("int")))
+    chosen = ranked.join(F.broadcast(table), "scoring").where(F.col("rank") <= cut)
+    place = F.row_number().over(Window.partitionBy("window_id").orderBy("date")) - 1  # one row a date
+    paces = F.array(*(F.lit(r) for r in sorted({x.rebalance for x in specs.values()})))
+    days = parts.withColumn("__p", place).withColumn("rebalance", F.explode(paces)).where(F.col("__p") % F.col("rebalance") == 0)
+    days = days.select("date", "window_id", "rebalance", (F.col("__p") / F.col("rebalance")).cast("int").alias("ordinal"))
+    plain = F.expr("substring(instrument_id, instr(instrument_id, '|') + 1)")
+    weight = 1.0 / F.count("*").over(Window.partitionBy("spec", "date"))
+    held = chosen.join(days, ["date", "rebalance"]).select("spec", "window_id", "rebalance", "ordinal", "date", plain.alias("instrument_id"), weight.alias("weight"))
+    keys = ("spec", "window_id", "rebalance")
+    out = period_returns(held, panel, cost_rate, keys)
     by = Window.partitionBy("spec", "window_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     nav = out.withColumn("nav", F.exp(F.sum(F.log1p("net_ret")).over(by)))
     nav = nav.withColumn("dd", 1 - F.col("nav") / F.greatest(F.max("nav").over(by), F.lit(1.0)))
@@ -142,7 +167,7 @@ def walk_forward(results: DataFrame) -> DataFrame:
     return results.groupBy("spec").agg(F.avg("sharpe").alias("mean_sharpe"), F.min("sharpe").alias("min_sharpe"), F.max("max_drawdown").alias("max_drawdown"), F.sum("total_return").alias("total_return"), F.min("total_return").alias("worst_window"))
 
 
-def accepted(summary: DataFrame, min_sharpe: float = 1.0, max_drawdown: float = 0.20, top: int = 10) -> DataFrame:
-    """The best by mean Sharpe of the specs within the thresholds and without a losing window."""
-    ok = (F.col("mean_sharpe") >= min_sharpe) & (F.col("max_drawdown") <= max_drawdown) & (F.col("worst_window") > 0)
+def accepted(summary: DataFrame, min_sharpe: float = 1.0, max_drawdown: float = 0.20, worst: float = 0.0, top: int = 10) -> DataFrame:
+    """The best by mean Sharpe of the specs within the thresholds; by default none with a losing window."""
+    ok = (F.col("mean_sharpe") >= min_sharpe) & (F.col("max_drawdown") <= max_drawdown) & (F.col("worst_window") > worst)
     return summary.where(ok).orderBy(F.desc("mean_sharpe"), "spec").limit(top)

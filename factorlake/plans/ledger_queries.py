@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factorlake.plans import bindings as b
 from factorlake.plans import performance as p
@@ -182,6 +183,29 @@ def queries_and_sql() -> tuple[dict, dict]:
     add("s25_cn_fundamentals", lambda s, d: rounded(ingest.cn_fundamentals(cn(s, d).drop("roe"), cn(s, d).drop("total_revenue")).select("instrument_id", "date", "end_date", "roe"), "instrument_id", "date"), "SELECT 'SZ'||substr(instrument_id,2)||'.SZ' AS instrument_id, date, end_date, round(roe,6) AS roe FROM fundamentals WHERE instrument_id<>'S000001'")
     add("s27_item_list", lambda s, d: ingest.item_list(payloads(s, d).drop("flat"), "raw", {"value": 1, "absent": 2, "user": 3}), "SELECT event_id, value, CAST(NULL AS DOUBLE) AS absent, CAST(user_id AS DOUBLE) AS user FROM events".replace(" AS user", ' AS "user"'))
     add("s28_flat_payload", lambda s, d: ingest.flat_payload(payloads(s, d).drop("raw"), "flat", {"k": "k", "z": "z"}), "SELECT event_id, TRY_CAST(json_extract_string(props,'$.k') AS DOUBLE) AS k, CAST(NULL AS DOUBLE) AS z FROM events")
+    stored = T.StructType([T.StructField("o_orderkey", T.LongType()), T.StructField("o_totalprice", T.DoubleType())])
+    add("s1_scan", lambda s, d: ingest.scan(s, f"{d}/orders.parquet", stored).unionByName(ingest.scan(s, f"{d}/no_such_table", stored)), "SELECT o_orderkey, o_totalprice FROM orders")
+    add("s4_bars_for_instrument", lambda s, d: ingest.load_bars(b.bars(s, d), ids=["S000002"], columns=["close", "volume"]).select("instrument_id", "date", "close", "volume"), "SELECT instrument_id, date, close, volume FROM bars WHERE instrument_id='S000002'")
+    add("s10_read_partition", lambda s, d: ingest.select_rows(b.bars(s, d), "1998-01-01", "1998-12-31", ["S000004"]).select("instrument_id", "date", "close"), "SELECT instrument_id, date, close FROM bars WHERE instrument_id='S000004' AND year(date)=1998")
+    add("s14_dates_from_text", lambda s, d: ingest.dates_from_text(b.bars(s, d).select("instrument_id", F.when(F.col("volume") % 9 == 0, "n/a").otherwise(F.date_format("date", "yyyy-MM-dd")).alias("date"), "close")), "SELECT instrument_id, CASE WHEN volume%9<>0 THEN date END AS date, close FROM bars")
+    source = lambda s, d: b.bars(s, d).select("instrument_id", F.date_format("date", "yyyy-MM-dd").alias("trade_date"), "ticker", F.col("open").alias("open_price"), F.col("high").alias("high_price"), F.col("low").alias("low_price"), F.col("close").alias("close_price"), "volume", "adj_factor")
+    add("s23_mapped_ingest", lambda s, d: ingest.renamed(source(s, d), "CN", "daily").where(F.col("date") > F.lit(ingest.start_after("1999-07-01", False, None)).cast("date")).select("instrument_id", "date", "close", "volume"), "SELECT instrument_id, date, close, volume FROM bars WHERE date > DATE '1999-06-30'")
+    daily_value = lambda s, d: b.valuation(s, d).select(F.concat(F.substring("instrument_id", 2, 6), F.lit(".SZ")).alias("ts_code"), F.col("date").alias("trade_date"), "pe_ttm", "pb")
+    add("s26_cn_valuation", lambda s, d: rounded(ingest.cn_valuation(daily_value(s, d), "1996-01-01", "1997-12-31"), "instrument_id", "date"), "SELECT 'SZ'||substr(instrument_id,2)||'.SZ' AS instrument_id, date, round(pe_ttm,6) AS pe_ttm, round(pb,6) AS pb FROM valuation WHERE date BETWEEN DATE '1996-01-01' AND DATE '1997-12-31'")
+
+    def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Trades through CSV and JSON sinks and back."""
+        base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+        t = b.trades(spark, sf_dir).select("trade_id", "date", "side", "price")
+        out = None
+        for kind in ("csv", "json"):
+            path = f"{base}/{kind}-{uuid.uuid4().hex}"
+            t.write.format(kind).save(path)
+            one = spark.read.format(kind).schema(t.schema).load(path).withColumn("sink", F.lit(kind))
+            out = one if out is None else out.unionByName(one)
+        return out
+
+    add("s30_sinks", round_trip, "SELECT trade_id, date, side, price, sink FROM trades, (SELECT unnest(['csv','json']) AS sink)")
     add("s31_names", lambda s, d: ingest.with_names(b.read(s, d, "supplier").select(b.instrument("s_suppkey").alias("ticker")), b.read(s, d, "supplier").where("s_suppkey % 2 = 0").select(b.instrument("s_suppkey").alias("ticker"), F.col("s_name").alias("company_name"))), "SELECT 'S'||lpad(CAST(s_suppkey AS VARCHAR),6,'0') AS ticker, CASE WHEN s_suppkey%2=0 THEN s_name END AS company_name FROM supplier")
     ticks = lambda s, d: b.read(s, d, "events").select(F.col("event_type").alias("instrument_id"), "ts", F.col("event_id").alias("seq"), F.col("value").alias("price"))
     add("v2_hourly_bars", lambda s, d: streams.hourly_bars(ticks(s, d)), "SELECT instrument_id, date AS datetime, open, high, low, close, volume FROM intraday")

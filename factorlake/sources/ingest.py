@@ -212,6 +212,12 @@ def cn_fundamentals(income: DataFrame, indicators: DataFrame) -> DataFrame:
     return rows.withColumns({"instrument_id": id_from_code("ts_code"), "date": F.col("ann_date")}).where("instrument_id IS NOT NULL").drop("ts_code", "ann_date")
 
 
+def cn_valuation(snapshots: DataFrame, start: str, end: str) -> DataFrame:
+    """Daily ratios of a range under the library's ids; codes that give no id go."""
+    rows = snapshots.where(F.col("trade_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    return rows.select(id_from_code("ts_code").alias("instrument_id"), F.col("trade_date").alias("date"), *(c for c in rows.columns if c not in ("ts_code", "trade_date"))).where("instrument_id IS NOT NULL")
+
+
 def item_list(df: DataFrame, payload: str, fields: dict[str, int]) -> DataFrame:
     """Columns from a JSON {"item_list": [{"field_id": .., "data": ..}]}; items without data don't count."""
     items = F.from_json(payload, "item_list array<struct<field_id int, data double>>")["item_list"]
