@@ -18,7 +18,7 @@ from factorlake.llm.scratch import bounded_batches
 #: The base rules. `find` is searched leftmost, non-overlapping; a match stays if
 #: group `of` has at least `least` characters. In listed order.
 BASE = [
-    {"kind": "assign", "find": r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", "of": 2, "least": 12},
+    {"kind": "assign", "find": r"((?ai:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", "of": 2, "least": 12},
     {"kind": "access", "find": r"AKIA[A-Z0-9]+", "of": 0, "least": 18},
     {"kind": "hex", "find": r"[0-9a-f]+", "of": 0, "least": 16},
 ]
@@ -118,26 +118,31 @@ def compiled(patterns: tuple[str, ...]) -> Automaton:
                 todo += nfa.empty[s]
         return frozenset(seen)
 
+    # bytes that no rule tells apart are one letter of the alphabet
+    wanted_sets = [wanted for moves in nfa.moves for wanted, _ in moves]
+    kinds: dict[tuple, int] = {}
+    letter = np.array([kinds.setdefault(tuple(c in w for w in wanted_sets), len(kinds)) for c in range(256)])
+    examples = [int(np.flatnonzero(letter == k)[0]) for k in range(len(kinds))]
+    letters_of = {w: [k for k, c in enumerate(examples) if c in w] for w in set(wanted_sets)}
+
     start = closed([root])
     number, order, rows = {start: 0}, [start], []
+    follow: dict[frozenset[int], frozenset[int]] = {}
     for here in order:
-        row: list[set[int]] = [set() for _ in range(256)]
+        row: list[set[int]] = [set() for _ in examples]
         for s in here:
             for wanted, end in nfa.moves[s]:
-                for c in wanted:
-                    if c < 256:
-                        row[c].add(end)
-        memo: dict[frozenset[int], int] = {}
+                for k in letters_of[wanted]:
+                    row[k].add(end)
         line = []
-        for targets in row:
-            raw = frozenset(targets)
-            if raw not in memo:
-                there = closed(raw) | start  # a match can begin at every byte
-                if there not in number:
-                    number[there] = len(order)
-                    order.append(there)
-                memo[raw] = number[there]
-            line.append(memo[raw])
+        for targets in map(frozenset, row):
+            if targets not in follow:
+                follow[targets] = closed(targets) | start  # a match can begin at every byte
+            there = follow[targets]
+            if there not in number:
+                number[there] = len(order)
+                order.append(there)
+            line.append(number[there])
         rows.append(line)
     table = np.array(rows, dtype=np.int64)
     accepts = np.array([sum(bit for s, bit in ends.items() if s in here) for here in order], dtype=np.int64)
@@ -149,7 +154,7 @@ def compiled(patterns: tuple[str, ...]) -> Automaton:
             break
         kind = finer
     firsts = np.array([int(np.flatnonzero(kind == k)[0]) for k in range(kind.max() + 1)])
-    return Automaton(kind[table[firsts]].reshape(-1).astype(np.int32), accepts[firsts], int(kind[0]))
+    return Automaton(kind[table[firsts]][:, letter].reshape(-1).astype(np.int32), accepts[firsts], int(kind[0]))
 
 
 def trigger(rule: dict) -> str:
