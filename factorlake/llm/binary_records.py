@@ -114,42 +114,48 @@ def write_records(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     return index.join(firsts, F.col("part") == F.col("p")).select(id_col, "part", "offset", "length", "n_tokens", (F.col("first") + F.col("before")).alias("start"))
 
 
-def read_records(index: DataFrame, path: str, id_col: str = "doc_id", span: int = 4 << 20) -> DataFrame:
+def _read(part: np.ndarray, offset: np.ndarray, length: np.ndarray, path: str, span: int) -> Iterator[np.ndarray]:
+    """The ids of records, neighbours in one read of about `span` bytes; lengths and checksums are verified."""
+    files, root = fs.FileSystem.from_uri(path)
+    s = 0
+    while s < len(part):
+        e = s + 1
+        while e < len(part) and part[e] == part[s] and offset[e] == offset[e - 1] + length[e - 1] and offset[e] + length[e] - offset[s] <= span:
+            e += 1
+        with files.open_input_file(f"{root}/part-{part[s]:05d}.rec") as f:
+            data = f.read_at(int(offset[e - 1] + length[e - 1] - offset[s]), int(offset[s]))
+        for o, n in zip((offset[s:e] - offset[s]).tolist(), length[s:e].tolist(), strict=True):
+            yield from_payload(unframe(data[o : o + n]))
+        s = e
+
+
+def read_records(index: DataFrame, path: str, span: int = 4 << 20) -> DataFrame:
     """The index's columns and ids (array of int) of its records, in any order the index has.
 
-    Records are read by offset, neighbours in one read of about `span` bytes; lengths and
-    checksums are verified and a record that fails them fails the task.
+    A record whose length or checksum doesn't hold fails the task.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, root = fs.FileSystem.from_uri(path)
         for b in batches:
-            part, offset, length = (b.column(c).to_numpy() for c in ("part", "offset", "length"))
-            s = 0
-            while s < b.num_rows:
-                e = s + 1
-                while e < b.num_rows and part[e] == part[s] and offset[e] == offset[e - 1] + length[e - 1] and offset[e] + length[e] - offset[s] <= span:
-                    e += 1
-                with files.open_input_file(f"{root}/part-{part[s]:05d}.rec") as f:
-                    data = f.read_at(int(offset[e - 1] + length[e - 1] - offset[s]), int(offset[s]))
-                ids = [from_payload(unframe(data[o - offset[s] : o - offset[s] + n])).astype(np.int32) for o, n in zip(offset[s:e].tolist(), length[s:e].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*b.slice(s, e - s).columns, pa.array(ids, pa.list_(pa.int32()))], names=[*b.schema.names, "ids"])
-                s = e
+            for s in range(0, b.num_rows, 500):
+                c = b.slice(s, 500)
+                ids = [x.astype(np.int32) for x in _read(*(c.column(k).to_numpy() for k in ("part", "offset", "length")), path, span)]
+                yield pa.RecordBatch.from_arrays([*c.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*b.schema.names, "ids"])
 
     return index.mapInArrow(run, T.StructType([*index.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
-def record_digests(index: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
+def record_digests(index: DataFrame, path: str, id_col: str = "doc_id", span: int = 4 << 20) -> DataFrame:
     """id, start, n_tokens and ids_crc32 (of the ids as little-endian unsigned 32-bit integers), from the files."""
     kind = index.schema[id_col].dataType.simpleString()
-    read = read_records(index.repartition("part").sortWithinPartitions("part", "offset"), path, id_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column("ids")
-            flat, ends = ids.flatten().to_numpy(), ids.offsets.to_numpy()
-            ends = ends - ends[0]
-            crcs = [zlib.crc32(flat[s:e].astype("<u4").tobytes()) for s, e in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(id_col), b.column("start"), pa.array(np.diff(ends), pa.int64()), pa.array(crcs, pa.int64())], names=[id_col, "start", "n_tokens", "ids_crc32"])
-
-    return read.mapInArrow(run, f"`{id_col}` {kind}, start bigint, n_tokens bigint, ids_crc32 bigint")
+            counts, crcs = [], []
+            for ids in _read(*(b.column(k).to_numpy() for k in ("part", "offset", "length")), path, span):
+                counts.append(len(ids))
+                crcs.append(zlib.crc32(ids.astype("<u4").tobytes()))
+            yield pa.RecordBatch.from_arrays([b.column(id_col), b.column("start"), pa.array(counts, pa.int64()), pa.array(crcs, pa.int64())], names=[id_col, "start", "n_tokens", "ids_crc32"])
+
+    by_file = index.repartition("part").sortWithinPartitions("part", "offset")
+    return by_file.mapInArrow(run, f"`{id_col}` {kind}, start bigint, n_tokens bigint, ids_crc32 bigint")

@@ -7,6 +7,7 @@ import re
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 
 #: The white space of the Unicode property White_Space.
@@ -16,9 +17,13 @@ P = ".,!?:;#$%&*|"
 #: Safe boundaries of the byte-level pre-tokenizer: before the one space that leads a word, round
 #: runs of white space, and between a Latin word and the plain marks that end it. No merge
 #: crosses them, so a text's tokens are its pieces' tokens. All else stays whole in its piece.
-PIECES = re.compile(f" ?[{L}]+(?=[{P}]*(?:[{WS}]|\\Z))| ?[^{WS}]+|[{WS}]+(?![^{WS}])|[{WS}]")
+PIECES = re.compile(f" ?[{L}]+(?=[{P}]*+(?:[{WS}]|\\Z))| ?[^{WS}]++|[{WS}]+(?![^{WS}])|[{WS}]")
 #: Pieces that one Python worker remembers, at most; longer pieces than LONG are encoded each time.
-REMEMBERED, LONG = 1_000_000, 64
+REMEMBERED, LONG = 800_000, 64
+#: Pieces that are encoded in one run.
+RUN = 4000
+#: What WS holds.
+SPACES = frozenset("\t\n\v\f\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B))))
 
 
 @lru_cache(maxsize=4)
@@ -32,11 +37,53 @@ def tokenizer(path: str):
     return t
 
 
+@lru_cache(maxsize=4)
+def space_led(path: str) -> np.ndarray:
+    """Which ids stand for tokens that begin with a space (written as its byte's letter in the vocabulary)."""
+    vocabulary = tokenizer(path).get_vocab(with_added_tokens=False)
+    led = np.zeros(max(vocabulary.values()) + 1024, dtype=bool)
+    led[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
+    return led
+
+
+def encode_pieces(path: str, pieces: list[str]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+    """Runs of pieces, their ids (unsigned 32-bit) one after another, and where each piece's ids end.
+
+    Pieces led by a space are encoded in runs, since a space begins a token there and nowhere
+    else: the ids of a run are cut at the tokens that begin with one. All others, and runs that
+    don't give a cut for each piece, are encoded one by one.
+    """
+    led = space_led(path)
+    words, alone = [], []
+    for p in pieces:
+        (words if p[0] == " " and len(p) > 1 and p[1] not in SPACES and "<|" not in p else alone).append(p)
+    runs = [words[s : s + RUN] for s in range(0, len(words), RUN)]
+    for run, e in zip(runs, tokenizer(path).encode_batch_fast(["".join(r) for r in runs], add_special_tokens=False), strict=True):
+        ids = np.array(e.ids, dtype="<u4")
+        cuts = np.flatnonzero(led[ids])
+        if len(cuts) == len(run):
+            yield run, ids, np.append(cuts[1:], len(ids))
+        else:
+            alone += run
+    if alone:
+        each = [e.ids for e in tokenizer(path).encode_batch_fast(alone, add_special_tokens=False)]
+        yield alone, np.array([i for ids in each for i in ids], dtype="<u4"), np.cumsum([len(ids) for ids in each])
+
+
+def counts(ids: np.ndarray, ends: np.ndarray) -> list[int]:
+    return np.diff(ends, prepend=0).tolist()
+
+
+def raw_ids(ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    raw, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
+    return [raw[s:e] for s, e in zip(cuts, cuts[1:], strict=False)]
+
+
 class PieceEncoder:
-    """Encodes texts by their pieces; `value` turns a piece's ids into what is kept of it."""
+    """Encodes texts by their pieces; `values` turns the ids of pieces into what is kept of each."""
 
-    def __init__(self, path: str, value: Callable[[list[int]], object]) -> None:
-        self.path, self.value, self.memory = path, value, {}
+    def __init__(self, path: str, values: Callable[[np.ndarray, np.ndarray], list]) -> None:
+        self.path, self.values, self.memory = path, values, {}
 
     def __call__(self, texts: list[str]) -> list[list]:
         """Per text the values of its pieces, in order."""
@@ -44,13 +91,10 @@ class PieceEncoder:
         if len(self.memory) > REMEMBERED:
             self.memory.clear()
         missing = list(set().union(*cut) - self.memory.keys())
-        fresh = {}
-        if missing:
-            encoded = tokenizer(self.path).encode_batch_fast(missing, add_special_tokens=False)
-            fresh = {p: self.value(e.ids) for p, e in zip(missing, encoded, strict=True)}
-            self.memory.update(fresh)
+        for pieces, ids, ends in encode_pieces(self.path, missing):
+            self.memory.update(zip(pieces, self.values(ids, ends), strict=True))
         found = [list(map(self.memory.__getitem__, c)) for c in cut]
-        for p in fresh:
+        for p in missing:
             if len(p) > LONG:
                 del self.memory[p]
         return found
@@ -63,8 +107,7 @@ _encoders: dict[tuple[str, str], PieceEncoder] = {}
 def encoder(path: str, kind: str) -> PieceEncoder:
     """kind: `count` for numbers of tokens, `bytes` for ids as little-endian unsigned 32-bit integers."""
     if (path, kind) not in _encoders:
-        value = len if kind == "count" else (lambda ids: b"".join(i.to_bytes(4, "little") for i in ids))
-        _encoders[path, kind] = PieceEncoder(path, value)
+        _encoders[path, kind] = PieceEncoder(path, {"count": counts, "bytes": raw_ids}[kind])
     return _encoders[path, kind]
 
 
