@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factorlake.functions.registry import INDICATORS
-from factorlake.functions.series import average_rank, change, col, count_in, lag, last_rows, own, ratio, rolling, so_far, span_alpha, with_ema
+from factorlake.functions.series import average_rank, change, col, count_in, lag, own, ratio, rolling, so_far, span_alpha, with_ema
 
 #: Trading days of a year.
 YEAR = 252
@@ -169,36 +169,40 @@ def adv(df: DataFrame, period: int = 20) -> DataFrame:
     return df.withColumn(f"ADV_{period}", rolling(F.avg, F.col("close") * F.col("volume"), period))
 
 
-def clenow_columns(period: int) -> tuple[Column, Column, Column]:
-    """Slope, R2 and score of the regression of ln(close), held in __ln, on the row number __k.
+def _with_regression(df: DataFrame, period: int) -> DataFrame:
+    """Add __slope, __r2 and __score of the regression of ln(close) on the row number over the last rows.
 
-    Covariance and variance over the window are Spark's aggregates; those of the row number are
-    known. Null with fewer rows, a close of 0 or less in the window, or no variance.
+    Window sums are differences of running sums, so a row costs the same for any period; prices
+    count from the instrument's first, which keeps the sums small. Null with fewer rows, a close
+    of 0 or less in the window, or no change in it.
     """
-    w = last_rows(period)
+    df = df.withColumns({"__ln": F.when(F.col("close") > 0, F.ln("close")), "__k": F.row_number().over(own()).cast("double")})
+    df = df.withColumn("__y", F.col("__ln") - F.first("__ln", ignorenulls=True).over(so_far()))
+    df = df.withColumn("__moved", F.coalesce((F.col("__y") != lag("__y")).cast("int"), F.lit(0)))
+    y = F.coalesce("__y", F.lit(0.0))
+    sums = {"__n": F.count("__y"), "__sy": F.sum(y), "__syy": F.sum(y * y), "__sky": F.sum(F.col("__k") * y), "__sm": F.sum("__moved")}
+    df = df.withColumns({c: f.over(so_far()) for c, f in sums.items()})
+    back = lambda c, n: F.col(c) - F.coalesce(lag(c, n), F.lit(0))
+    full = (back("__n", period) == period) & (back("__sm", period - 1) > 0)
+    mean_y, mean_k = back("__sy", period) / period, F.col("__k") - (period - 1) / 2.0
+    df = df.withColumns({"__cov": F.when(full, back("__sky", period) / period - mean_k * mean_y), "__vy": F.when(full, back("__syy", period) / period - mean_y * mean_y)})
     var_k = (period * period - 1) / 12.0
-    cov, var_y = F.covar_pop("__ln", "__k").over(w), F.var_pop("__ln").over(w)
-    full = (F.count("__ln").over(w) == period) & (var_y > 0)
-    slope = F.when(full, cov / var_k)
-    r2 = F.when(full, F.try_divide(cov * cov, F.lit(var_k) * var_y))
-    return slope, r2, (F.exp(slope * YEAR) - 1) * 100 * r2
-
-
-def _with_log(df: DataFrame) -> DataFrame:
-    return df.withColumns({"__ln": F.when(F.col("close") > 0, F.ln("close")), "__k": F.row_number().over(own()).cast("double")})
+    df = df.withColumns({"__slope": F.col("__cov") / var_k, "__r2": F.try_divide(F.col("__cov") * F.col("__cov"), F.lit(var_k) * F.col("__vy"))})
+    df = df.withColumn("__score", (F.exp(F.col("__slope") * YEAR) - 1) * 100 * F.col("__r2"))
+    return df.drop("__ln", "__k", "__y", "__moved", *sums, "__cov", "__vy")
 
 
 @INDICATORS("CLENOW_SCORE")
 def clenow_score(df: DataFrame, period: int = 90) -> DataFrame:
     """A year's exponential slope of the log price, in percent, times its R2."""
-    slope, r2, score = clenow_columns(period)
-    return _with_log(df).withColumns({"CLENOW_SLOPE": slope, "CLENOW_R2": r2, "CLENOW_SCORE": score}).drop("__ln", "__k")
+    names = {"__slope": "CLENOW_SLOPE", "__r2": "CLENOW_R2", "__score": "CLENOW_SCORE"}
+    return _with_regression(df, period).withColumnsRenamed(names)
 
 
 @INDICATORS("CLENOW_R2")
 def clenow_r2(df: DataFrame, period: int = 90) -> DataFrame:
     """R2 of the regression of the log price on time."""
-    return _with_log(df).withColumn("CLENOW_R2", clenow_columns(period)[1]).drop("__ln", "__k")
+    return _with_regression(df, period).drop("__slope", "__score").withColumnRenamed("__r2", "CLENOW_R2")
 
 
 @INDICATORS("RS_RATING")

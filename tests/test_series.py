@@ -107,3 +107,16 @@ def test_shuffled_rows_give_the_same(spark):
     one = factors.clenow_momentum(df, 10).orderBy("instrument_id", "date").toPandas()
     two = factors.clenow_momentum(df.repartition(7, "volume"), 10).orderBy("instrument_id", "date").toPandas()
     pd.testing.assert_frame_equal(one, two)
+
+
+def test_regression_against_least_squares(spark):
+    import numpy as np
+
+    x = [100 * math.exp(0.01 * i + 0.1 * math.sin(i)) for i in range(60)] + [50.0] * 30 + [-1.0] + [60.0 + i for i in range(30)]
+    got = column(indicators.clenow_score(panel(spark, {"a": x}), 20), "CLENOW_SLOPE")
+    for t in range(len(x)):
+        w = x[max(0, t - 19) : t + 1]
+        if len(w) < 20 or min(w) <= 0 or len(set(w)) == 1:
+            assert got[t] is None
+        else:
+            assert got[t] == pytest.approx(np.polyfit(range(20), np.log(w), 1)[0], abs=1e-10)
