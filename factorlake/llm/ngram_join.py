@@ -15,7 +15,7 @@ from factorlake.llm.scratch import bounded_batches, kept
 from factorlake.llm.words import exact_words, ngrams
 
 #: Counters of the frequency sketch, and of one of its chunks: a table of fixed size for any input.
-SKETCH, CHUNK = 1 << 21, 1 << 12
+SKETCH, CHUNK = 1 << 21, 1 << 10
 #: Members that one copy of a pivot's set is compared with.
 FAN = 1000
 
@@ -64,7 +64,7 @@ def frequency_levels(known: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(levels, pa.binary())], names=["chunk", "levels"])
 
     levels = np.zeros(SKETCH, dtype=np.uint8)
-    chunks = known.where("chunk is not null").select("chunk", "counts").repartition(16, "chunk")
+    chunks = known.where("chunk is not null").select("chunk", "counts").repartition("chunk")
     for r in chunks.mapInArrow(total, "chunk int, levels binary").collect():
         levels[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["levels"], dtype=np.uint8)
     return levels
