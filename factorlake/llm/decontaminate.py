@@ -1,34 +1,61 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment."""
+"""Benchmark decontamination: seeds that no passage above the threshold can lack, then Smith-Waterman alignment."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factorlake.llm.scratch import bounded_batches, kept
-from factorlake.llm.words import ngrams, plain_words
+from factorlake.llm.words import MIX, plain_words
 
-#: Item n-grams that one pass over the documents looks up, at most: 8 bytes each on every machine.
+#: Item seeds that one pass over the documents looks up, about: 24 bytes each on every machine.
 SEED_BLOCK = 2_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: Seeds are k words in order with at most s words between them; the first kind that fits an item's size is taken.
+KINDS = ((3, 2), (2, 1), (1, 0))
+#: Pairs of a seed in a document and one in an item that are handled at once; a document's are not parted.
+HITS = 2_000_000
 
 
-def item_grams(items: DataFrame, n: int) -> DataFrame:
-    """item_id, pos, gram of every n-gram of the items, and their words (long hashes)."""
+def least_score(size: int, threshold: float) -> int:
+    """The least alignment score that reaches the threshold for an item of so many words."""
+    return max(1, math.ceil(threshold * MATCH * size - 1e-9))
+
+
+def least_seeds(size: int, threshold: float, k: int, s: int) -> int:
+    """How many seeds of the kind every alignment that reaches the threshold holds at least.
+
+    With m matches and score t an alignment has e <= 2 m - t errors, each 1 off. Of its m - k + 1
+    runs of k matches, those with over s errors inside are no seeds; every error is inside of
+    k - 1 runs at most, so these are (k - 1) e / (s + 1) at most.
+    """
+    t = least_score(size, threshold)
+    m = np.arange(-(-t // MATCH), max(size, -(-t // MATCH)) + 1)
+    return int((m - k + 1 - (k - 1) * np.maximum(MATCH * m - t, 0) // (s + 1)).min())
+
+
+def seed_kind(size: int, threshold: float) -> tuple[int, int]:
+    return next((x for x in KINDS if least_seeds(size, threshold, *x) > 0), KINDS[-1])
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = plain_words(text or "")
-                g = ngrams(words, n)
-                if len(g):
-                    yield pa.RecordBatch.from_arrays([pa.array([item] * len(g), pa.int64()), pa.array(range(len(g)), pa.int32()), pa.array(g.astype(np.int64)), pa.array([len(words)] * len(g), pa.int32())], names=["item_id", "pos", "gram", "size"])
 
-    return items.mapInArrow(run, "item_id bigint, pos int, gram bigint, size int")
+def seed_hashes(words: np.ndarray, k: int, s: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For every way to leave out at most s words between k: the last word's distance, and the hashes by first word."""
+    found = [(0, 0, _mixed(np.full(len(words), np.uint64(k)), words))]
+    for _ in range(k - 1):
+        found = [(last + 1 + g, used + g, _mixed(h[: max(0, len(words) - last - 1 - g)], words[last + 1 + g :])) for last, used, h in found for g in range(s - used + 1)]
+    for last, _, h in found:
+        yield last, h
+
+
+def _mixed(h: np.ndarray, words: np.ndarray) -> np.ndarray:
+    out = (h ^ words) * MIX
+    out ^= out >> np.uint64(29)
+    return out
 
 
 def _lookup(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -48,61 +75,127 @@ def _places(g: np.ndarray, keys: np.ndarray, seen: np.ndarray) -> tuple[np.ndarr
     return maybe[real], at[real]
 
 
-def document_frequencies(docs: DataFrame, grams: np.ndarray, n: int) -> DataFrame:
-    """gram, df: in how many documents each of the grams is found."""
-    keys, seen = _lookup(grams)
-    shared = docs.sparkSession.sparkContext.broadcast((keys, seen))
+class _Block:
+    """Items and their seeds, as every machine holds them for one pass over the documents."""
+
+    def __init__(self, ids: list[int], words: list[np.ndarray], threshold: float) -> None:
+        self.ids, self.words = np.array(ids, dtype=np.int64), words
+        sizes = [len(w) for w in words]
+        kind = [seed_kind(m, threshold) for m in sizes]
+        self.kinds = sorted(set(kind))
+        self.size = np.array(sizes, dtype=np.int64)
+        self.need = np.array([max(1, least_seeds(m, threshold, *x)) for m, x in zip(sizes, kind, strict=True)], dtype=np.int64)
+        # how many words an alignment that reaches the threshold changes, adds or leaves out, at most
+        self.room = np.array([max(0, MATCH * m - least_score(m, threshold)) for m in sizes], dtype=np.int64)
+        grams, item, pos = [], [], []
+        for i, (w, x) in enumerate(zip(words, kind, strict=True)):
+            for _, h in seed_hashes(w, *x):
+                grams.append(h)
+                item.append(np.full(len(h), i, dtype=np.int64))
+                pos.append(np.arange(len(h), dtype=np.int64))
+        gram, item, pos = (np.concatenate(x) for x in (grams, item, pos))
+        self.keys, self.seen = _lookup(gram)
+        number = np.searchsorted(self.keys, gram)
+        order = np.argsort(number, kind="stable")
+        self.item, self.pos, self.first = item[order], pos[order], np.searchsorted(number[order], np.arange(len(self.keys) + 1))
+
+    def hits(self, words: np.ndarray, doc_of: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """Document, place there, item and place there of like seeds, in groups of whole documents."""
+        at, which = [], []
+        for k, s in self.kinds:
+            for last, h in seed_hashes(words, k, s):
+                a, w = _places(h, self.keys, self.seen)
+                own = doc_of[a] == doc_of[a + last]
+                at.append(a[own])
+                which.append(w[own])
+        at, which = np.concatenate(at), np.concatenate(which)
+        order = np.argsort(at, kind="stable")
+        at, which = at[order], which[order]
+        times = self.first[which + 1] - self.first[which]
+        total, doc = np.cumsum(times), doc_of[at]
+        starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else []
+        s = 0
+        for e in [*starts[1:], len(doc)]:
+            if e > s and (e == len(doc) or total[e - 1] - total[s] + times[s] > HITS):
+                t, first = times[s:e], self.first[which[s:e]]
+                entry = np.repeat(first - np.cumsum(t) + t, t) + np.arange(t.sum())
+                yield np.repeat(doc[s:e], t), np.repeat(at[s:e], t), self.item[entry], self.pos[entry]
+                s = e
+
+    def windows(self, words: np.ndarray, ends: np.ndarray, doc_of: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """Document, item, seeds, and from where to where (in all words) an alignment that reaches the threshold may lie."""
+        for doc, at, item, pos in self.hits(words, doc_of):
+            pair, diagonal = doc * len(self.ids) + item, at - pos
+            order = np.lexsort((pos, diagonal, pair))
+            pair, diagonal, pos = pair[order], diagonal[order], pos[order]
+            new = np.concatenate([[True], (np.diff(pair) != 0) | (np.diff(diagonal) != 0) | (np.diff(pos) != 0)])
+            pair, diagonal = pair[new], diagonal[new]
+            item = pair % len(self.ids)
+            # its seeds are of one document and lie on diagonals that its errors can reach
+            other = np.minimum(np.arange(len(pair)) + self.need[item] - 1, len(pair) - 1)
+            enough = (other - np.arange(len(pair)) == self.need[item] - 1) & (pair[other] == pair) & (diagonal[other] - diagonal <= self.room[item])
+            here = np.flatnonzero(enough)
+            if not len(here):
+                continue
+            item, room = item[here], self.room[item[here]]
+            starts = np.flatnonzero(np.concatenate([[True], (np.diff(pair[here]) != 0) | (np.diff(diagonal[here]) > room[1:])]))
+            for s, e in zip(starts, np.append(starts[1:], len(here)) - 1, strict=True):
+                i, r = int(item[s]), int(room[s])
+                d = int(pair[here[s]] // len(self.ids))
+                left, right = int(ends[d - 1]) if d else 0, int(ends[d])
+                lo, hi = max(left, int(diagonal[here[s]]) - r), min(right, int(diagonal[here[e]]) + int(self.size[i]) + r)
+                # seeds that drift over a long stretch still give windows of bounded size, of which one holds the alignment
+                reach = int(self.size[i]) + 2 * r
+                for w in range(lo, max(lo + 1, hi - reach), reach) if hi - lo > 2 * reach else [lo]:
+                    yield d, i, int(other[here[e]] - here[s] + 1), w, min(hi, w + 2 * reach)
+
+
+def _aligned(docs: DataFrame, block: _Block, threshold: float) -> DataFrame:
+    """doc_id, item_id, score, word_end, n_seeds of the windows that reach the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(block)
+    names = ["doc_id", "item_id", "score", "word_end", "n_seeds"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, seen = shared.value
-        counts = np.zeros(len(keys), dtype=np.int64)
+        own = shared.value
         for b in batches:
-            for text in b.column(0).to_pylist():
-                counts[np.unique(_places(ngrams(plain_words(text or ""), n), keys, seen)[1])] += 1
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(counts[some])], names=["gram", "df"])
-
-    return docs.select("text").mapInArrow(run, "gram bigint, df bigint").groupBy("gram").agg(F.sum("df").alias("df"))
-
-
-def passages(docs: DataFrame, seeds: list, n: int, slack: float) -> DataFrame:
-    """doc_id, item_id, at, words: the stretches of documents round seeds that lie on like diagonals."""
-    item, pos, gram, size = (np.array([r[c] for r in seeds], dtype=np.int64) for c in ("item_id", "pos", "gram", "size"))
-    keys, seen = _lookup(gram)
-    order = np.argsort(np.searchsorted(keys, gram.view(np.uint64)), kind="stable")
-    first = np.searchsorted(np.searchsorted(keys, gram.view(np.uint64))[order], np.arange(len(keys) + 1))
-    shared = docs.sparkSession.sparkContext.broadcast((keys, seen, item[order], pos[order], size[order], first))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, seen, item, pos, size, first = shared.value
-        for b in batches:
-            rows: list[tuple] = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = plain_words(text or "")
-                here, which = _places(ngrams(words, n), keys, seen)
-                if not len(here):
-                    continue
-                times = first[which + 1] - first[which]
-                entry = np.repeat(first[which] - np.cumsum(times) + times, times) + np.arange(times.sum())
-                at, own = np.repeat(here, times), item[entry]
-                diagonal, length = at - pos[entry], size[entry]
-                o = np.lexsort((diagonal, own))
-                own, diagonal, length = own[o], diagonal[o], length[o]
-                room = np.ceil(slack * length).astype(np.int64)
-                starts = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (np.diff(diagonal) > room[1:])]))
-                ends = np.append(starts[1:], len(own)) - 1
-                for s, e in zip(starts, ends, strict=True):
-                    lo, hi = max(0, int(diagonal[s] - room[s])), int(diagonal[e] + length[e] + room[e])
-                    # hits that drift over a long stretch still give windows of bounded size
-                    reach = int(length[s] + 2 * room[s])
-                    for w in range(lo, max(lo + 1, hi - reach // 2), max(1, reach // 2)) if hi - lo > 2 * reach else [lo]:
-                        end = min(hi, w + 2 * reach)
-                        rows.append((doc, int(own[s]), w, int(e - s + 1), words[w:end].astype(np.int64)))
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "at", "hits", "words"])
-
-    return docs.mapInArrow(run, "doc_id bigint, item_id bigint, at int, hits int, words array<bigint>")
+            if not b.num_rows:
+                continue
+            each = [plain_words(t or "") for t in b.column(1).to_pylist()]
+            ends = np.cumsum([len(w) for w in each])
+            words, doc_of = np.concatenate(each), np.repeat(np.arange(len(each)), [len(w) for w in each])
+            for group in _alike(own.windows(words, ends, doc_of), own.size):
+                doc, item, seeds, lo, hi = (np.array(c, dtype=np.int64) for c in zip(*group, strict=True))
+                score, end = smith_waterman([own.words[i].view(np.int64) >> 2 for i in item], [words[s:e].view(np.int64) >> 2 for s, e in zip(lo, hi, strict=True)])
+                share = score / (MATCH * own.size[item])
+                good = np.flatnonzero(score >= np.array([least_score(m, threshold) for m in own.size[item]]))
+                place = end + lo - np.where(doc > 0, ends[doc - 1], 0)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc[good])), pa.array(own.ids[item][good]), pa.array(share[good]), pa.array(place[good]), pa.array(seeds[good], pa.int32())], names=names)
+
+    return docs.mapInArrow(run, "doc_id bigint, item_id bigint, score double, word_end bigint, n_seeds int")
+
+
+def _alike(windows: Iterable[tuple[int, ...]], size: np.ndarray, at_once: int = 20_000, cells: int = 1 << 20) -> Iterator[list[tuple[int, ...]]]:
+    """Groups of windows of like size, of at most `cells` words of items and windows together, or one."""
+
+    def groups(some: list[tuple[int, ...]]) -> Iterator[list[tuple[int, ...]]]:
+        some.sort(key=lambda w: (size[w[1]], w[4] - w[3]))
+        group, longest = [], 0
+        for w in some:
+            longest = max(longest, int(size[w[1]]) + w[4] - w[3])
+            if group and (len(group) >= 500 or (len(group) + 1) * longest > cells):
+                yield group
+                group, longest = [], int(size[w[1]]) + w[4] - w[3]
+            group.append(w)
+        if group:
+            yield group
+
+    some: list[tuple[int, ...]] = []
+    for w in windows:
+        some.append(w)
+        if len(some) == at_once:
+            yield from groups(some)
+            some = []
+    yield from groups(some)
 
 
 def smith_waterman(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -134,70 +227,42 @@ def smith_waterman(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[
     return best, end
 
 
-def _aligned(found: DataFrame, item_words: DataFrame) -> DataFrame:
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for s in range(0, b.num_rows, 500):
-                part = b.slice(s, 500)
-                items, windows = ([np.array(w, dtype=np.int64) >> 2 for w in part.column(c).to_pylist()] for c in ("item_words", "words"))
-                score, end = smith_waterman(items, windows)
-                share = score / np.array([MATCH * len(w) for w in items])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("item_id"), part.column("hits"), pa.array(share), pa.array(end.astype(np.int64) + part.column("at").to_numpy())], names=["doc_id", "item_id", "hits", "score", "word_end"])
-
-    joined = found.join(item_words, "item_id").select("doc_id", "item_id", "at", "hits", "words", "item_words")
-    return joined.mapInArrow(run, "doc_id bigint, item_id bigint, hits int, score double, word_end bigint")
-
-
-def contaminated(docs: DataFrame, items: DataFrame, n: int = 3, rare_share: float = 0.5, slack: float = 0.25, threshold: float = 0.4) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.4) -> DataFrame:
     """Pairs of a document and a test item that it holds, whole, in part or edited.
 
     docs: doc_id, text; items: item_id, text. Returns doc_id, item_id, score (double: alignment
     score over that of the whole item, 1 for an exact copy), word_end (long: the document's word
-    after the passage) and n_seeds (int), for pairs with score >= threshold; one row a pair, its best passage.
-    Words are compared in lower case without punctuation. Null and empty texts and null ids take
-    no part; rows of one id are one document, rows of one item_id one item with the least text.
+    after the passage) and n_seeds (int), for all pairs with score >= threshold (over 0); one row a pair, its
+    best passage. Words are compared in lower case without punctuation. Null and empty texts and null ids
+    take no part; rows of one id are one document, rows of one item_id one item with the least text.
     Empty tables give an empty table; other columns are not carried.
 
-    Seeds are each item's `rare_share` of n-grams found in the fewest documents, counted over all
-    of them; so also an item that very many documents hold keeps its seeds. Grams are looked up
-    in blocks of SEED_BLOCK, in one pass over the documents each, so what every machine holds is
-    bounded. Passages join items by item_id, as Spark's size check says, and are then aligned.
+    No pair is lost: seeds are all runs of words of an item, with gaps, of the first kind of KINDS that an
+    alignment at the threshold can't lack; a pair is aligned where as many seeds as it must hold
+    lie on diagonals that its errors can reach, in windows as wide as these. Items are looked up
+    in blocks of about SEED_BLOCK seeds, in one pass over the documents each, so what every
+    machine holds is bounded (a longer item is alone in its block, or with few others).
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     items = items.where("item_id is not null and text is not null").groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.min("text").alias("text"))
-    grams = kept(item_grams(items, n), "grams")
-    total = grams.count()
-    schema = "doc_id bigint, item_id bigint, score double, word_end bigint, n_seeds int"
-    if not total:
-        return spark.createDataFrame([], schema)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([plain_words(t).view(np.int64) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], names=["item_id", "words"])
+
+    item_words = kept(items.mapInArrow(run, "item_id bigint, words array<bigint>").where(F.size("words") > 0), "items")
+    total = 6 * (item_words.agg(F.sum(F.size("words"))).first()[0] or 0)
     n_blocks = -(-total // SEED_BLOCK) if total <= SEED_BLOCK else 2 * -(-total // SEED_BLOCK)
-    block = F.pmod(F.xxhash64("gram"), F.lit(n_blocks))
-    counted = None
-    for i in range(n_blocks):
-        part = np.array([r["gram"] for r in grams.where(block == i).select("gram").distinct().collect()], dtype=np.int64)  # about SEED_BLOCK / 2 at most
-        if len(part):
-            df = document_frequencies(docs, part, n)
-            counted = df if counted is None else counted.union(df)
-    by_df = Window.partitionBy("item_id").orderBy("df", "pos")
-    # a gram that no document holds can't seed anything
-    ranked = grams.join(counted, "gram").withColumn("r", F.row_number().over(by_df))
-    seeds = kept(ranked.where(F.col("r") <= F.ceil(rare_share * F.col("size"))).select("item_id", "pos", "gram", "size"), "seeds")
     found = None
     for i in range(n_blocks):
-        part = seeds.where(block == i).collect()
+        part = item_words.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == i).collect()  # about SEED_BLOCK / 12 words
         if part:
-            some = passages(docs, part, n, slack)
+            block = _Block([r.item_id for r in part], [np.array(r.words, dtype=np.int64).view(np.uint64) for r in part], threshold)
+            some = _aligned(docs, block, threshold)
             found = some if found is None else found.union(some)
     if found is None:
-        return spark.createDataFrame([], schema)
-
-    def words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([plain_words(t).astype(np.int64) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], names=["item_id", "item_words"])
-
-    item_words = items.select("item_id", "text").mapInArrow(words, "item_id bigint, item_words array<bigint>")
-    aligned = _aligned(found, item_words).where(F.col("score") >= threshold)
-    best = aligned.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("score", "word_end", "hits"), F.struct("score", "hits", -F.col("word_end"))).alias("b"))
-    return best.select("doc_id", "item_id", "b.score", "b.word_end", F.col("b.hits").alias("n_seeds"))
+        return spark.createDataFrame([], "doc_id bigint, item_id bigint, score double, word_end bigint, n_seeds int")
+    best = found.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("score", "word_end", "n_seeds"), F.struct("score", "n_seeds", -F.col("word_end"))).alias("b"))
+    return best.select("doc_id", "item_id", "b.score", "b.word_end", "b.n_seeds")

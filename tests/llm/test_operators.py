@@ -360,6 +360,20 @@ def test_decontamination(spark, empty):
     assert decontaminate.contaminated(docs, items.limit(0)).count() == 0
 
 
+def test_edited_and_partial_copies_beside_an_exact_one(spark):
+    long, short = sentence(20), {40: "red fox", 41: "lamp", 42: "one tall tree", 43: sentence(7), 44: sentence(11)}
+    w = long.split()
+    few = VOCABULARY[:12]  # so that most words of any two texts are alike
+    items = [(30, long), *short.items(), *((60 + k, " ".join(RNG.choice(few, RNG.integers(1, 30)))) for k in range(12))]
+    table = [(1, f"{sentence(9)} {long} {sentence(9)}"), (2, " ".join("new" if i % 5 == 4 else x for i, x in enumerate(w))), (3, " ".join(w[:12])), (4, " ".join(w[11:]))]
+    table += [(5, " ".join("new" if i % 3 == 2 else x for i, x in enumerate(w))), (6, " new ".join(w)), (7, f"{' '.join(w[:10])} {sentence(15)} {' '.join(w[10:])}"), (8, "a red car"), (9, "one very tall tree and a lamp")]
+    table += [(10 + i, " new ".join(t.split())) for i, t in short.items()] + [(100 + k, " ".join(RNG.choice([*few, "x", "y"], RNG.integers(1, 60)))) for k in range(60)]
+    got = decontaminate.contaminated(spark.createDataFrame(table, "doc_id bigint, text string").repartition(2), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    want = {(i, k): score for i, t in table for k, x in items if (score := brute_score(x, t)) >= 0.4}
+    assert {(r.doc_id, r.item_id): r.score for r in got} == pytest.approx(want)
+    assert {(i, 30) for i in range(1, 8)} <= want.keys() and (8, 40) in want
+
+
 def test_alignment():
     pairs = [(RNG.integers(0, 9, RNG.integers(1, 12)), RNG.integers(0, 9, RNG.integers(1, 20))) for _ in range(60)]
     got, _ = decontaminate.smith_waterman(*zip(*pairs, strict=True))
