@@ -16,7 +16,8 @@ L = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff"
 P = ".,!?:;#$%&*|"
 #: Safe boundaries of the byte-level pre-tokenizer: before the one space that leads a word, round
 #: runs of white space, and between a Latin word and the plain marks that end it. No merge
-#: crosses them, so a text's tokens are its pieces' tokens. All else stays whole in its piece.
+#: crosses them, so a section's tokens are its pieces' tokens. All else stays whole in its piece.
+#: Sections are what lies between the tokenizer's added tokens, where the library cuts first.
 PIECES = re.compile(f" ?[{L}]+(?=[{P}]*+(?:[{WS}]|\\Z))| ?[^{WS}]++|[{WS}]+(?![^{WS}])|[{WS}]")
 #: Pieces that one Python worker remembers, at most; longer pieces than LONG are encoded each time.
 REMEMBERED, LONG = 800_000, 64
@@ -46,6 +47,32 @@ def space_led(path: str) -> np.ndarray:
     return led
 
 
+@lru_cache(maxsize=4)
+def added(path: str) -> tuple[re.Pattern | None, bool, bool]:
+    """The added tokens as a pattern, longest first; whether they stand for themselves alone; whether one holds white space."""
+    tokens = tokenizer(path).get_added_tokens_decoder().values()
+    names = sorted((t.content for t in tokens), key=len, reverse=True)
+    # the library finds normalized ones in the normalized text, which is this text where nothing normalizes it
+    plain = not any(t.lstrip or t.rstrip or t.single_word or (t.normalized and tokenizer(path).normalizer) for t in tokens)
+    return re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None, plain, any(c in SPACES for n in names for c in n)
+
+
+def divisible(path: str) -> bool:
+    """Whether texts may be cut, and pieces joined, where a space leads a word: no added token reaches over it."""
+    _, plain, spaced = added(path)
+    return plain and not spaced
+
+
+def cut(path: str, text: str) -> list[str]:
+    """The pieces of a text; added tokens are pieces of their own."""
+    found, plain, _ = added(path)
+    if not found or not found.search(text):
+        return PIECES.findall(text)
+    if not plain:
+        return [text]
+    return [p for i, section in enumerate(found.split(text)) for p in ([section] if i % 2 else PIECES.findall(section))]
+
+
 def encode_pieces(path: str, pieces: list[str]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
     """Runs of pieces, their ids (unsigned 32-bit) one after another, and where each piece's ids end.
 
@@ -54,9 +81,10 @@ def encode_pieces(path: str, pieces: list[str]) -> Iterator[tuple[list[str], np.
     don't give a cut for each piece, are encoded one by one.
     """
     led = space_led(path)
+    by_runs = divisible(path)
     words, alone = [], []
     for p in pieces:
-        (words if p[0] == " " and len(p) > 1 and p[1] not in SPACES and "<|" not in p else alone).append(p)
+        (words if by_runs and p[0] == " " and len(p) > 1 and p[1] not in SPACES and "<|" not in p else alone).append(p)
     runs = [words[s : s + RUN] for s in range(0, len(words), RUN)]
     for run, e in zip(runs, tokenizer(path).encode_batch_fast(["".join(r) for r in runs], add_special_tokens=False), strict=True):
         ids = np.array(e.ids, dtype="<u4")
@@ -87,13 +115,13 @@ class PieceEncoder:
 
     def __call__(self, texts: list[str]) -> list[list]:
         """Per text the values of its pieces, in order."""
-        cut = [PIECES.findall(t) for t in texts]
+        each = [cut(self.path, t) for t in texts]
         if len(self.memory) > REMEMBERED:
             self.memory.clear()
-        missing = list(set().union(*cut) - self.memory.keys())
+        missing = list(set().union(*each) - self.memory.keys())
         for pieces, ids, ends in encode_pieces(self.path, missing):
             self.memory.update(zip(pieces, self.values(ids, ends), strict=True))
-        found = [list(map(self.memory.__getitem__, c)) for c in cut]
+        found = [list(map(self.memory.__getitem__, c)) for c in each]
         for p in missing:
             if len(p) > LONG:
                 del self.memory[p]

@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorlake.llm.pieces import balanced, encoder, split_safely, strings
+from factorlake.llm.pieces import balanced, divisible, encoder, split_safely, strings
 from factorlake.llm.scratch import bounded_batches
 
 #: Characters of a part that a long text is split into.
@@ -31,12 +31,12 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = encoder(tokenizer_path, "count")
+        count, parted = encoder(tokenizer_path, "count"), divisible(tokenizer_path)
         for b in batches:
             texts = strings(b.column(1))
             parts, owner = [], []
             for i, t in enumerate(texts):
-                for p in split_safely(t, PART):
+                for p in split_safely(t, PART) if parted else [t]:
                     parts.append(p)
                     owner.append(i)
             totals, at = [0] * len(texts), 0

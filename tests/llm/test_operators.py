@@ -188,6 +188,18 @@ def test_pieces_give_the_library_s_tokens():
     assert [np.frombuffer(b"".join(x), "<u4").tolist() for x in pieces.encoder(TOKENIZER, "bytes")(cases)] == want
 
 
+def test_white_space_before_added_tokens():
+    t, end = pieces.tokenizer(TOKENIZER), "<|endoftext|>"
+    cases = [f"a{w}{end}{v}b" for w in ("\n\n", "\n", "  ", "   ", " ", ".\n\n", " \n ", "\t\t") for v in ("", "\n\n", "  ", end, f"\n\n{end}  {end}")] + [f"\n\n{end}", f"{end}\n\n"]
+    cases += ["".join(RNG.choice([end, "<|", " ", "\n", "a", ".", "word"], 40)) for _ in range(300)]
+    want = [e.ids for e in t.encode_batch(cases, add_special_tokens=False)]
+    assert want[0] == [64, 628, 50256, 65]
+    assert [sum(x) for x in pieces.encoder(TOKENIZER, "count")(cases)] == [len(w) for w in want]
+    assert [np.frombuffer(b"".join(x), "<u4").tolist() for x in pieces.encoder(TOKENIZER, "bytes")(cases)] == want
+    text = f"a  b c\n\n{end} d" * 300
+    assert [i for p in pieces.split_safely(text, 50) for i in t.encode(p, add_special_tokens=False).ids] == t.encode(text, add_special_tokens=False).ids
+
+
 def test_long_texts_are_split_safely():
     for text in (LONG, "x" * 3000, " ".join(["a  b"] * 500), "\n\n".join(["word"] * 800)):
         parts = pieces.split_safely(text, 500)
