@@ -23,7 +23,7 @@ def communication_matrix(part_rows: list[int], shard_rows: list[int], seed: int)
     room = np.array(shard_rows, dtype=np.int64)
     matrix = np.zeros((len(part_rows), len(room)), dtype=np.int64)
     for i, n in enumerate(part_rows):
-        # numpy's marginal method allows urns of under 10^9; larger ones are drawn shard by shard
+        # numpy's marginal method allows urns of under 10^9; larger ones are drawn shard by shard, by the same law
         if room.sum() < 10**9:
             matrix[i] = rng.multivariate_hypergeometric(room, n, method="marginals")
         else:
@@ -33,14 +33,34 @@ def communication_matrix(part_rows: list[int], shard_rows: list[int], seed: int)
 
 
 def _large_draw(rng: np.random.Generator, room: np.ndarray, n: int) -> np.ndarray:
-    """A draw from over 10^9 rows: binomials shard by shard, then cut to the room and the total."""
+    """A draw from over 10^9 rows: hypergeometric shard by shard, each given those before."""
     left, rows, out = int(room.sum()), int(n), np.zeros_like(room)
-    for j, r in enumerate(room):
-        out[j] = min(int(r), rows) if left == r else min(int(r), rows, max(rows - (left - int(r)), rng.binomial(rows, r / left)))
-        rows, left = rows - int(out[j]), left - int(r)
+    for j, r in enumerate(room.tolist()):
+        out[j] = _hypergeometric(rng, r, left - r, rows)
+        rows, left = rows - int(out[j]), left - r
     return out
 
 
+def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of n rows drawn from good + bad are good, by inversion.
+
+    Weights are running products of the law's ratios from its mode outwards, over 12 deviations
+    and 100 to either side: what lies beyond is less than a double's uniform draw can tell.
+    """
+    lo, hi, total = max(0, n - bad), min(n, good), good + bad
+    if lo == hi:
+        return lo
+    mode = min(max((n + 1) * (good + 1) // (total + 2), lo), hi)
+    width = 100 + int(12 * (n * (good / total) * (bad / total) * ((total - n) / max(1, total - 1))) ** 0.5)
+    k = np.arange(max(lo, mode - width), min(hi, mode + width) + 1, dtype=np.float64)
+    # the weight at k + 1 over that at k
+    steps = np.log(good - k[:-1]) + np.log(n - k[:-1]) - np.log(k[:-1] + 1) - np.log(bad - n + k[:-1] + 1)
+    at = mode - int(k[0])
+    logs = np.concatenate([-np.cumsum(steps[:at][::-1])[::-1], [0.0], np.cumsum(steps[at:])])
+    below = np.cumsum(np.exp(logs))
+    return int(k[0]) + int(np.searchsorted(below, rng.random() * below[-1], side="right"))
+
+
 def random_key(seed: int, *columns: str) -> Column:
     return F.xxhash64(F.lit(seed), *columns)
 

@@ -3,6 +3,7 @@
 import collections
 import functools
 import hashlib
+import math
 import re
 import zlib
 
@@ -277,6 +278,20 @@ def test_matrix_has_exact_margins():
     assert big.sum() == 10**9 and (big >= 0).all() and big[2] <= 5
 
 
+def test_large_draws_are_hypergeometric():
+    rng = np.random.default_rng(5)
+    room, n = np.array([8 * 10**8, 7 * 10**8, 5 * 10**8]), 10**9  # half of all rows: half a binomial's variance
+    drawn = np.array([sharding._large_draw(rng, room, n) for _ in range(400)])
+    assert (drawn.sum(axis=1) == n).all() and (drawn <= room).all()
+    p = room / room.sum()
+    assert drawn.var(axis=0) / (n * p * (1 - p) / 2) == pytest.approx(1, abs=0.35)
+    assert np.abs(drawn.mean(axis=0) - n * p).max() < 5 * (n / 8 / 400) ** 0.5
+    small = [tuple(sharding._large_draw(rng, np.array([3, 2, 2]), 3).tolist()) for _ in range(7000)]
+    for x, found in collections.Counter(small).items():  # of C(7, 3) = 35 draws
+        want = 7000 * math.comb(3, x[0]) * math.comb(2, x[1]) * math.comb(2, x[2]) / 35
+        assert abs(found - want) < 5 * want**0.5
+
+
 def test_numbering_by_blocks(spark):
     df = spark.range(1000).withColumn("g", F.col("id") % 2)
     got = numbered(df, "g", F.xxhash64("id"), "k", 500, block_rows=30).collect()
