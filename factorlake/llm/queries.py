@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -12,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorlake.llm import binary_records, decontaminate, line_dedup, ngram_join, packing, quality, secret_scan, sharding, token_counts, topk_search
-from factorlake.llm.scratch import bounded_batches, shared_dir, table
+from factorlake.llm.scratch import shared_dir, table
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -26,24 +25,11 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bounded_batches(spark)
+    found = secret_scan.scan(table(spark, sf_dir, "documents", "doc_id", "text"))  # spans by start, then kind as listed
     base = [r["kind"] for r in secret_scan.BASE]
-    kinds = [r["kind"] for r in secret_scan.RULES]
-    found = secret_scan.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
-
-    def digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for spans in b.column(1).to_pylist():
-                order = sorted(((s["start"], kinds.index(s["kind"]), s["end"]) for s in spans or []))
-                named = [(kinds[k], f"{kinds[k]}:{s}:{e}") for s, k, e in order]
-                own = ",".join(t for k, t in named if k in base)
-                rows.append((*(sum(k == x for k, _ in named) for x in base), hashlib.sha256(own.encode()).hexdigest(), ",".join(t for _, t in named)))
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds_ = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds_, strict=True))], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
-
-    return found.mapInArrow(digest, "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    of = lambda *kinds: F.filter("spans", lambda x: x["kind"].isin(*kinds))
+    return found.select("doc_id", *(F.size(of(k)).cast("long").alias(f"n_{k}") for k in base), F.sha2(joined(of(*base)), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from re import _constants as C
 from re import _parser
 
@@ -96,18 +95,67 @@ class Automaton:
         states = moves.reshape(-1, 256)
         #: Bytes after which the automaton is at its start, wherever it was: no match holds one.
         self.resets = np.array([bool((states[:, b] == start).all()) for b in range(256)])
+        #: Whether a state accepts, a byte each.
+        self.some = (accepts != 0).astype(np.uint8).tobytes()
+
+    def run(self, data: bytes, state: int) -> int:
+        """The bits of all rules that match somewhere in `data`, read from `state` on."""
+        moves, some, bits = memoryview(self.moves), self.some, 0
+        for c in data:
+            state = moves[state * 256 + c]
+            if some[state]:
+                bits |= int(self.accepts[state])
+        return bits
+
+    def ends(self, data: bytes, at: int = 0) -> list[int]:
+        """The places after `at` where a match ends, in ascending order; reading stops in a state that nothing leaves."""
+        moves, some, state, dead, out = memoryview(self.moves), self.some, self.start, self.dead, []
+        for place in range(at, len(data)):
+            state = moves[state * 256 + data[place]]
+            if some[state]:
+                out.append(place + 1)
+            elif state == dead:
+                break
+        return out
+
+    @cached_property
+    def dead(self) -> int:
+        """The state that no byte leaves and that accepts nothing, or -1."""
+        own = (self.moves.reshape(-1, 256) == np.arange(len(self.accepts))[:, None]).all(axis=1) & (self.accepts == 0)
+        return int(np.flatnonzero(own)[0]) if own.any() else -1
+
+
+Tree = list  # of (operation, argument), as Python's parser of regular expressions gives it
+
+
+def backwards(tree: Iterable) -> Tree:
+    """The tree of the same words read from their ends."""
+
+    def turned(op, arg):  # noqa: ANN001, ANN202
+        if op is C.SUBPATTERN:
+            return op, (*arg[:3], backwards(arg[3]))
+        if op is C.BRANCH:
+            return op, (arg[0], [backwards(b) for b in arg[1]])
+        return (op, (*arg[:2], backwards(arg[2]))) if op is C.MAX_REPEAT else (op, arg)
+
+    return [turned(*x) for x in reversed(list(tree))]
 
 
 @lru_cache(maxsize=4)
 def compiled(patterns: tuple[str, ...]) -> Automaton:
-    """One minimal automaton that finds an occurrence of any of the patterns anywhere, by subset construction."""
+    """One minimal automaton that finds an occurrence of any of the patterns anywhere."""
+    return determinised([list(_parser.parse(p)) for p in patterns], anywhere=True)
+
+
+def determinised(trees: list[Tree], anywhere: bool) -> Automaton:
+    """A minimal automaton by subset construction; a match begins at any byte, or at the first one only."""
     nfa = _Nfa()
     root = nfa.state()
     ends = {}
-    for bit, pattern in enumerate(patterns):
+    for bit, tree in enumerate(trees):
         first = nfa.state()
         nfa.empty[root].append(first)
-        ends[nfa.add(first, _parser.parse(pattern))] = 1 << bit
+        ends[nfa.add(first, tree)] = 1 << bit
 
     def closed(states: Iterable[int]) -> frozenset[int]:
         seen, todo = set(), list(states)
@@ -137,7 +185,7 @@ def compiled(patterns: tuple[str, ...]) -> Automaton:
         line = []
         for targets in map(frozenset, row):
             if targets not in follow:
-                follow[targets] = closed(targets) | start  # a match can begin at every byte
+                follow[targets] = closed(targets) | start if anywhere else closed(targets)
             there = follow[targets]
             if there not in number:
                 number[there] = len(order)
@@ -168,11 +216,16 @@ def trigger(rule: dict) -> str:
     return rule["find"]
 
 
+#: Segments that advance together at least; when fewer are left, each is read to its end by itself.
+TOGETHER = 64
+
+
 def hot_segments(buffer: np.ndarray, automaton: Automaton) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and rule bits of the segments between reset bytes in which some rule matches.
 
     All segments advance together, longest first: step t feeds byte t of every segment that has
-    one through the transition array. Each byte is read once, whatever the number of rules.
+    one through the transition array. Each byte is read once, whatever the number of rules. The
+    few segments that are far longer than the others go on alone, in time linear in their bytes.
     """
     cuts = np.flatnonzero(automaton.resets[buffer])
     starts = np.concatenate([[0], cuts + 1])
@@ -184,34 +237,74 @@ def hot_segments(buffer: np.ndarray, automaton: Automaton) -> tuple[np.ndarray,
     lengths = ends - starts
     state = np.full(len(starts), automaton.start, dtype=np.int32)
     bits = np.zeros(len(starts), dtype=np.int64)
+    together = int(lengths[TOGETHER - 1]) if len(lengths) >= TOGETHER else 0
     active = len(starts)
-    for t in range(int(lengths[0]) if len(lengths) else 0):
+    for t in range(together):
         active = int(np.searchsorted(-lengths[:active], -t, side="left"))
         state[:active] = automaton.moves[state[:active] * 256 + buffer[starts[:active] + t]]
         found = automaton.accepts[state[:active]]
         if found.any():
             bits[:active] |= found
+    for i in np.flatnonzero(lengths > together):
+        bits[i] |= automaton.run(buffer[starts[i] + together : ends[i]].tobytes(), int(state[i]))
     hit = bits > 0
     return starts[hit], ends[hit], bits[hit]
 
 
-def spans_of(texts: list[str], rules: list[dict], automaton: Automaton | None = None) -> list[list[tuple[int, int, int]]]:
+class Finder:
+    """Spans of one rule, from automata alone: where matches start, how far each goes, where its group starts.
+
+    A match is the longest from the leftmost start on, which is also what the rules' greedy
+    expressions find. The group whose length counts is the rule's last part, or the whole.
+    """
+
+    def __init__(self, rule: dict) -> None:
+        tree = list(_parser.parse(rule["find"]))
+        self.least = rule["least"]
+        self.whole = determinised([tree], anywhere=False)
+        self.starts = determinised([backwards(tree)], anywhere=True)
+        self.before = None
+        if rule["of"]:
+            if tree[-1][0] is not C.SUBPATTERN or tree[-1][1][0] != rule["of"]:
+                raise ValueError(f"group {rule['of']} has to end the rule")
+            self.before = determinised([tree[:-1]], anywhere=False)
+
+    def spans(self, data: bytes) -> Iterator[tuple[int, int]]:
+        at = 0
+        for e in reversed(self.starts.ends(data[::-1])):
+            s = len(data) - e
+            if s < at:
+                continue
+            at = self.whole.ends(data, s)[-1]
+            first = s
+            if self.before:
+                first = max(e for e in self.before.ends(data[:at], s) if e < at)
+            if at - first >= self.least:
+                yield s, at
+
+
+class Scanner:
+    """The automaton of all rules, and those of each."""
+
+    def __init__(self, rules: list[dict]) -> None:
+        self.automaton = compiled(tuple(trigger(r) for r in rules))
+        self.finders = [Finder(r) for r in rules]
+
+
+def spans_of(texts: list[str], scanner: Scanner) -> list[list[tuple[int, int, int]]]:
     """Per text (start, rule number, end) in code points, sorted."""
-    automaton = automaton or compiled(tuple(trigger(r) for r in rules))
-    finders = [re.compile(r["find"]) for r in rules]
     raw = [t.encode() for t in texts]
     joined = np.frombuffer(b"\n".join(raw), dtype=np.uint8)
+    # code points before each byte of all texts
+    points = np.cumsum((joined & 0xC0) != 0x80, dtype=np.int64) - 1
     firsts = np.cumsum([0] + [len(r) + 1 for r in raw])
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    starts, ends, bits = hot_segments(joined, automaton)
-    for s, e, b in sorted(zip(starts.tolist(), ends.tolist(), bits.tolist(), strict=True)):
-        i = int(np.searchsorted(firsts, s, side="right")) - 1
-        before = raw[i][: s - firsts[i]]
-        shift = len(before) - int(np.count_nonzero((np.frombuffer(before, dtype=np.uint8) & 0xC0) == 0x80))
-        piece = raw[i][s - firsts[i] : e - firsts[i]].decode()
-        for k, (rule, finder) in enumerate(zip(rules, finders, strict=True)):
-            if b >> k & 1:
-                out[i] += [(shift + m.start(), k, shift + m.end()) for m in finder.finditer(piece) if len(m[rule["of"]]) >= rule["least"]]
+    starts, ends, bits = hot_segments(joined, scanner.automaton)
+    owners = np.searchsorted(firsts, starts, side="right") - 1
+    shifts = points[starts] - points[firsts[owners]]
+    for s, e, b, i, shift in zip(starts.tolist(), ends.tolist(), bits.tolist(), owners.tolist(), shifts.tolist(), strict=True):
+        piece = joined[s:e].tobytes()  # ASCII only: every other byte is a reset
+        out[i] += [(shift + f, k, shift + t) for k, finder in enumerate(scanner.finders) if b >> k & 1 for f, t in finder.spans(piece)]
     return [sorted(x) for x in out]
 
 
@@ -227,22 +320,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
     bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     names = [r["kind"] for r in rules]
-    # compiled once, here; a table of 256 numbers a state, which the rules fix
-    shared = docs.sparkSession.sparkContext.broadcast(compiled(tuple(trigger(r) for r in rules)))
+    # compiled once, here; tables of 256 numbers a state, which the rules fix
+    shared = docs.sparkSession.sparkContext.broadcast(Scanner(rules))
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = spans_of([t or "" for t in b.column(1).to_pylist()], rules, shared.value)
+            found = spans_of([t or "" for t in b.column(1).to_pylist()], shared.value)
             spans = [[{"kind": names[k], "start": s, "end": e} for s, k, e in x] for x in found]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, pa.list_(span))], names=[id_col, "spans"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, spans array<struct<kind string, start bigint, end bigint>>")
-
-
-def joined_spans(spans: list[tuple[int, int, int]], rules: list[dict]) -> str:
-    return ",".join(f"{rules[k]['kind']}:{s}:{e}" for s, k, e in spans)
-
-
-def sha256_hex(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
