@@ -72,16 +72,50 @@ def shingles(text):
 
 
 # 1 ------------------------------------------------------------------------------------------
+def whole_codes(v):
+    return [math.floor(64 * x) for x in v]
+
+
+def brute_topk(table, k=20, every=20):
+    rows = [(i, whole_codes(v)) for i, v, *_ in table if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    out = collections.Counter()
+    for n, (i, q) in enumerate(rows):
+        if i % every == 0:
+            scores = sorted((-sum(a * b for a, b in zip(q, x, strict=True)), j) for m, (j, x) in enumerate(rows) if m != n and len(x) == len(q))
+            out.update((i, r + 1, j, -s) for r, (s, j) in enumerate(scores[:k]))
+    return out
+
+
 @pytest.mark.parametrize("spread", [1.0, 0.05, 1e5])
-def test_topk_is_exact(spark, spread):
+def test_topk_is_exact(spark, spread, monkeypatch):
+    monkeypatch.setattr(topk_search, "QUERY_BLOCK", 9)
+    monkeypatch.setattr(topk_search, "CANDIDATE_BLOCK", 120)
     v = (RNG.normal(size=(300, 24)) * spread).round(3)
+    v[100:] += RNG.normal(size=(8, 24))[np.arange(200) % 8] * spread * 9  # groups, so that bounds prune
     v[40:80] = v[40]  # ties
-    table = [(i, [float(x) for x in v[i]], "x") for i in range(300)] + [(500, None, ""), (501, [1.0, None], ""), (502, [float("nan")] * 24, ""), (None, [1.0] * 24, ""), (7, [float(x) for x in v[7]], "again"), (503, [], "")]
-    got = topk_search.top_k(spark.createDataFrame(table, "vec_id bigint, embedding array<double>, score string"), k=20, query_every=20).collect()
-    codes = np.floor(64 * v).astype(np.int64)
-    scores = codes @ codes.T
-    want = {(q, r + 1, x, int(scores[q, x])) for q in range(0, 300, 20) for r, x in enumerate(sorted((x for x in range(300) if x != q), key=lambda x: (-scores[q, x], x))[:20])}
-    assert {tuple(r) for r in got} == want
+    table = [(i, [float(x) for x in v[i]], "x") for i in range(300)] + [(500, None, ""), (501, [1.0, None], ""), (502, [float("nan")] * 24, ""), (None, [1.0] * 24, ""), (503, [], ""), (504, [float("inf")] * 24, "")]
+    table += [(7, [float(x) for x in v[7]], "again"), (7, [float(x) for x in v[8]], "other"), (20, [float(x) for x in v[9]], "a query of the same id"), (20, [float(x) for x in v[20]], "")]
+    table += [(505, [2e8] + [0.0] * 23, "far out"), (520, [float(x) for x in v[3] * 50], ""), (540, [1e9, 1.0], "short"), (541, [3.0, 7.0], ""), (542, [-3.0, 1.0], "")]
+    got = topk_search.top_k(spark.createDataFrame(table, "vec_id bigint, embedding array<double>, score string").repartition(3), k=20, query_every=20).collect()
+    assert collections.Counter(map(tuple, got)) == brute_topk(table)
+
+
+def test_topk_prunes_what_bounds_rule_out():
+    centre = np.repeat(RNG.normal(size=(4, 4)) * 5, 16, axis=1)
+    x = np.floor(64 * (centre[np.arange(400) % 4] + RNG.normal(size=(400, 64)) * 0.1))
+    low, high = topk_search.bounds(topk_search.statistics(x, 4), topk_search.statistics(x, 4))
+    exact = x @ x.T
+    assert (low <= exact).all() and (exact <= high).all()
+    floor = np.sort(low, axis=1)[:, -20]
+    assert (high >= floor[:, None]).mean() < 0.3
+
+
+def test_topk_scores_beyond_64_bits_fail(spark):
+    huge = spark.createDataFrame([(0, [1e300]), (1, [1e300])], "vec_id bigint, embedding array<double>")
+    with pytest.raises(Exception, match="too large"):
+        topk_search.top_k(huge).collect()
+    fits = spark.createDataFrame([(0, [1e300, 1.0]), (1, [0.0, 2.0])], "vec_id bigint, embedding array<double>")
+    assert [tuple(r) for r in topk_search.top_k(fits).collect()] == [(0, 1, 1, 64 * 128)]
 
 
 def test_topk_small_tables(spark):
@@ -92,8 +126,9 @@ def test_topk_small_tables(spark):
 
 def test_bounds_hold():
     q, x = RNG.integers(-64, 64, (50, 30)).astype(float), RNG.integers(-64, 64, (60, 30)).astype(float)
-    for level in topk_search.LEVELS:
-        assert (topk_search.statistics(q, level) @ topk_search.statistics(x, level).T + 1e-6 >= q @ x.T).all()
+    for level in (1, topk_search.COARSE, topk_search.FINE, 30):
+        low, high = topk_search.bounds(topk_search.statistics(q, level), topk_search.statistics(x, level))
+        assert (low <= q @ x.T).all() and (q @ x.T <= high).all()
 
 
 # 2 ------------------------------------------------------------------------------------------
