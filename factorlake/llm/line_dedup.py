@@ -35,6 +35,18 @@ def line_hash(key: Column) -> list[Column]:
     return [F.xxhash64(key).alias("__a"), F.xxhash64(F.lit(7), F.reverse(key)).alias("__b")]
 
 
+def without(lines: Column, gone: Column) -> Column:
+    """The lines whose positions are not among `gone`, which ascends: one pass over both.
+
+    Each lost position writes a mark after as many blanks as lines stay before it; the marks,
+    one a character, go beside the lines.
+    """
+    before = F.concat(F.array(F.lit(-1)), F.slice(gone, F.lit(1), F.greatest(F.size(gone) - 1, F.lit(0))))
+    marks = F.array_join(F.zip_with(gone, before, lambda g, b: F.concat(F.repeat(F.lit(" "), g - b - 1), F.lit("x"))), "")
+    beside = F.zip_with(lines, F.split(marks, ""), lambda line, m: F.struct(line.alias("line"), m.alias("m")))
+    return F.transform(F.filter(beside, lambda s: s["line"].isNotNull() & (F.coalesce(s["m"], F.lit(" ")) != "x")), lambda s: s["line"])
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """Drop lines whose key is found in at least `min_docs` documents, but in the largest id holding it.
 
@@ -64,22 +76,25 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     each = each.select("__id", "__print", F.col("__l.pos").alias("__pos"), line_key(F.col("__l.line")).alias("__k"))
     each = kept(each.select("__id", "__print", "__pos", *line_hash(F.col("__k"))), "lines")
-    spread = (
+    # tables of their own, so that both joins are between plain scans, whose hot keys Spark can split
+    spread = kept(
         each.groupBy("__a", "__b", "__id").agg(F.lit(1).alias("__one"))
         .groupBy("__a", "__b").agg(F.count("*").alias("__docs"), F.max("__id").alias("__keeper"))
         .where(F.col("__docs") >= min_docs)
-        .select("__a", "__b", "__keeper")
+        .select("__a", "__b", "__keeper"),
+        "shared",
     )
-    lost = (
+    lost = kept(
         each.join(spread, ["__a", "__b"])
         .where(F.col("__id") != F.col("__keeper"))
         .groupBy("__id", "__print")
-        .agg(F.collect_set("__pos").alias("__lost"))
+        .agg(F.sort_array(F.collect_set("__pos")).alias("__lost")),
+        "lost",
     )
     marked = docs.withColumn("__print", print_of).join(lost.withColumnRenamed("__print", "__p"), (F.col(id_col) == F.col("__id")) & (F.col("__print") == F.col("__p")), "left")
     gone = F.coalesce(F.col("__lost"), F.array().cast("array<int>"))
     n_lost = F.size(gone)
-    stay = F.filter(lines, lambda x, i: ~F.array_contains(gone, i))
+    stay = without(lines, gone)
     text = F.when(n_lost == 0, F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(stay, "\n"))
     return marked.select(
         *(text.alias(c) if c == text_col else F.col(c) for c in others),

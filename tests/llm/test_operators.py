@@ -434,6 +434,15 @@ def test_decontamination(spark, empty):
         for k, x in ITEMS:
             if i is not None and t and len(t) < 10_000:
                 want[i, k] = max(want[i, k], brute_score(x, t))
+def test_line_dedup_of_texts_with_very_many_lines(spark):
+    shared = [f"{k} is a line long enough to be counted {k} times" for k in range(40_000)]
+    table = [(i, "\n".join([f"own {i}", *shared, "", f"end {i}"])) for i in range(5)]
+    start = time.time()
+    got = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in line_dedup.dedup_lines(spark.createDataFrame(table, "doc_id bigint, text string")).collect()}
+    assert time.time() - start < 60
+    assert got == {i: (f"own {i}\n\nend {i}", 40_003, 40_000) for i in range(4)} | {4: (table[4][1], 40_003, 0)}
+
+
     want = {k: v for k, v in want.items() if v >= 0.4} | {(7, 0): 1.0}
     assert got == pytest.approx(want)
     assert decontaminate.contaminated(empty, items).count() == 0
