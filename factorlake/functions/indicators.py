@@ -187,7 +187,7 @@ def _with_regression(df: DataFrame, period: int) -> DataFrame:
     mean_y, mean_k = back("__sy", period) / period, F.col("__k") - (period - 1) / 2.0
     df = df.withColumns({"__cov": F.when(full, back("__sky", period) / period - mean_k * mean_y), "__vy": F.when(full, back("__syy", period) / period - mean_y * mean_y)})
     var_k = (period * period - 1) / 12.0
-    df = df.withColumns({"__slope": F.col("__cov") / var_k, "__r2": F.try_divide(F.col("__cov") * F.col("__cov"), F.lit(var_k) * F.col("__vy"))})
+    df = df.withColumns({"__slope": F.col("__cov") / var_k, "__r2": F.when(F.col("__vy") > 0, F.least(F.lit(1.0), F.try_divide(F.col("__cov") * F.col("__cov"), F.lit(var_k) * F.col("__vy"))))})
     df = df.withColumn("__score", (F.exp(F.col("__slope") * YEAR) - 1) * 100 * F.col("__r2"))
     return df.drop("__ln", "__k", "__y", "__moved", *sums, "__cov", "__vy")
 

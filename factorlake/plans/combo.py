@@ -11,6 +11,7 @@ from factorlake.functions import factors
 from factorlake.functions.registry import FACTORS
 from factorlake.functions.series import clipped, standardised
 from factorlake.operators.sectors import grouped, with_sector
+from factorlake.sources.shared import kept
 
 OPERATORS = {">": Column.__gt__, ">=": Column.__ge__, "<": Column.__lt__, "<=": Column.__le__}
 
@@ -88,6 +89,11 @@ def scores(panel: DataFrame, spec: Spec, sectors: DataFrame | None = None) -> Da
     Factors are computed on the filtered rows, as columns of one panel, so instruments are
     shuffled once and dates once. Rows with any factor or z-score undefined go.
     """
+    return score_rows(factor_rows(panel, spec, sectors), spec)
+
+
+def factor_rows(panel: DataFrame, spec: Spec, sectors: DataFrame | None = None) -> DataFrame:
+    """instrument_id, date, _group and the spec's factors, __f0 and so on: all that goes by instrument."""
     df = filtered(panel, spec.filters)
     for i, t in enumerate(spec.factors):
         before = df.columns
@@ -97,8 +103,12 @@ def scores(panel: DataFrame, spec: Spec, sectors: DataFrame | None = None) -> Da
         df = grouped(with_sector(df, sectors), spec.group_by, spec.overrides)
     else:
         df = grouped(df, None)
+    return df.select("instrument_id", "date", "_group", *(f"__f{i}" for i in range(len(spec.factors))))
+
+
+def score_rows(df: DataFrame, spec: Spec, *others: str) -> DataFrame:
+    """The score of rows with their factors, by date and group; columns named in `others` stay."""
     keys = ["date", "_group"]
-    df = df.select("instrument_id", *keys, *(f"__f{i}" for i in range(len(spec.factors))))
     for i in range(len(spec.factors)):
         df = clipped(df, f"__f{i}", spec.winsorize_pct, keys, f"__w{i}")
     signs = [1.0 if t.direction == "high" else -1.0 for t in spec.factors]
@@ -108,7 +118,23 @@ def scores(panel: DataFrame, spec: Spec, sectors: DataFrame | None = None) -> Da
     for i, t in enumerate(spec.factors):
         known = known & F.col(f"__f{i}").isNotNull() & F.col(f"__z{i}").isNotNull()
         total = total + F.col(f"__z{i}") * t.weight
-    return df.where(known).select("instrument_id", "date", "_group", total.alias("combo_score"))
+    return df.where(known).select("instrument_id", "date", "_group", total.alias("combo_score"), *others)
+
+
+def latest_scores(panel: DataFrame, spec: Spec, sectors: DataFrame | None = None) -> DataFrame:
+    """The scores of the last date that has any.
+
+    Only that date goes through the cross-section: the factors are written as a table, and dates
+    with complete rows are tried from the last one back, which nearly always ends at the first.
+    """
+    rows = kept(factor_rows(panel, spec, sectors), "factors")
+    whole = rows.dropna(subset=[c for c in rows.columns if c.startswith("__f")])
+    while True:
+        last = whole.agg(F.max("date").alias("d")).first()["d"]
+        at = score_rows(rows.where(F.col("date") == F.lit(last)), spec)
+        if last is None or not at.isEmpty():
+            return at
+        whole = whole.where(F.col("date") < F.lit(last))
 
 
 def rebalance_dates(panel: DataFrame, every: int) -> DataFrame:
@@ -135,6 +161,16 @@ def selected(scored: DataFrame, spec: Spec, universe: DataFrame | None = None, s
     return ranked.withColumn("__size", size).where(F.col("rank") <= F.col("__size")).drop("__size")
 
 
+def screen(panel: DataFrame, spec: Spec, universe: DataFrame | None = None, at: str | None = None, sectors: DataFrame | None = None) -> DataFrame:
+    """BUY rows of a combination at one day: the best of the universe with rank and score; only that day is scored."""
+    if at is None:
+        scored = latest_scores(panel, spec, sectors)
+    else:
+        rows = factor_rows(panel, spec, sectors)
+        scored = score_rows(rows.where(F.col("date") == F.lit(at).cast("date")), spec)
+    return selected(scored, spec, universe, sectors).withColumn("direction", F.lit("BUY"))
+
+
 def targets(chosen: DataFrame, dates: DataFrame) -> DataFrame:
     """instrument_id, date, ordinal, weight: equal weights of what is chosen on rebalance dates."""
     held = chosen.join(dates, "date")

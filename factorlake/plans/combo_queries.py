@@ -16,6 +16,7 @@ REGIONS = {"north": ["EUROPE", "AMERICA"], "south": ["AFRICA", "ASIA", "MIDDLE E
 MOMENTUM = combo.Spec((combo.Term("momentum", params={"period": 20}), combo.Term("volatility", "low", 0.5)), top_k=3, rebalance=20, winsorize_pct=0.05)
 GROUPED = combo.Spec((combo.Term("momentum", params={"period": 20}),), top_pct=0.2, rebalance=5, winsorize_pct=0.05, group_by=REGIONS, overrides={"S000001": "own"})
 FILTERED = combo.Spec((combo.Term("momentum"),), top_k=5, filters=(combo.Filter("volume_ratio", ">", 0.5), combo.Filter("price_range", "<=", 0.9)))
+PERIODS_, HORIZONS_ = [10, 20, 50], [5, 10, 20]
 RANKING = combo.Spec((combo.Term("momentum", params={"period": 20}), combo.Term("fund_roe"), combo.Term("fund_pe_ttm", "low")), top_k=10, winsorize_pct=0.05)
 
 
@@ -94,9 +95,7 @@ def held(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str, top: int = 20) -> DataFrame:
     """Momentum, return on equity and low price-earnings at the latest scored date: the top of the ranking."""
-    s = combo.scores(panel(spark, sf_dir), RANKING)
-    last = s.agg(F.max("date").alias("d"))
-    latest = s.join(F.broadcast(last), F.col("date") == F.col("d")).drop("d")
+    latest = combo.latest_scores(panel(spark, sf_dir), RANKING)
     return combo.selected(latest, combo.Spec(RANKING.factors, top_k=top)).select("instrument_id", "date", F.round("combo_score", 6).alias("combo_score"), "rank")
 
 
@@ -185,14 +184,11 @@ def queries_and_sql() -> tuple[dict, dict]:
     o["e7_windows"] = b.sql("SELECT date, window_id FROM win", **win)
 
     def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-        """Mean RankIC of every candidate of a grid of momentum periods and horizons."""
-        out = None
-        bars = b.bars(spark, sf_dir)
-        for row in evaluate.grid(spark, {"period": [10, 20, 50], "horizon": [5, 20]}).collect():  # the grid is the query's text
-            s = combo.scores(bars, combo.Spec((combo.Term("momentum", params={"period": row["period"]}),), top_k=1))
-            one = evaluate.ic_summary(evaluate.rank_ic(s, bars, row["horizon"])).select(F.lit(row["candidate_id"]).alias("candidate_id"), r6("mean"), "n_dates")
-            out = one if out is None else out.union(one)
-        return out
+        """Mean RankIC of six drawn candidates of a grid of momentum periods and horizons."""
+        drawn = evaluate.grid(spark, {"period": PERIODS_, "horizon": HORIZONS_}, limit=6).select("candidate_id")
+        ics = evaluate.candidate_ics(b.bars(spark, sf_dir), "momentum", "period", PERIODS_, HORIZONS_)
+        means = ics.groupBy(F.col("candidate").alias("candidate_id")).agg(F.round(F.avg("ic"), 6).alias("mean"), F.count("*").alias("n_dates"))
+        return drawn.join(means, "candidate_id")
 
     q["e8_grid"] = candidates
 
@@ -229,7 +225,7 @@ def queries_and_sql() -> tuple[dict, dict]:
         own["gb"] = "SELECT spec, window_id, r, ordinal, sum(weight*(leave/nullif(entry,0)-1)) AS g FROM lb GROUP BY ALL"
         own["mb"] = "SELECT coalesce(a.spec,p.spec) AS spec, coalesce(a.window_id,p.window_id) AS window_id, coalesce(a.ordinal,p.ordinal) AS ordinal, sum(abs(coalesce(a.weight,0)-coalesce(p.weight,0)))/2 AS t FROM hb a FULL JOIN (SELECT spec, window_id, ordinal+1 AS ordinal, instrument_id, weight FROM hb) p ON a.spec=p.spec AND a.window_id=p.window_id AND a.ordinal=p.ordinal AND a.instrument_id=p.instrument_id GROUP BY 1,2,3"
         own["pb"] = "SELECT g.*, g-t*0.001 AS net FROM gb g JOIN mb m USING (spec, window_id, ordinal)"
-        own["nb"] = "SELECT *, exp(sum(ln(1+net)) OVER (PARTITION BY spec, window_id ORDER BY ordinal ROWS UNBOUNDED PRECEDING)) AS nav FROM pb"
+        own["nb"] = "SELECT *, CASE WHEN min(net) OVER w<=-1 THEN 0 ELSE exp(sum(CASE WHEN net>-1 THEN ln(1+net) END) OVER w) END AS nav FROM pb WINDOW w AS (PARTITION BY spec, window_id ORDER BY ordinal ROWS UNBOUNDED PRECEDING)"
         own["ddb"] = "SELECT *, 1-nav/greatest(max(nav) OVER (PARTITION BY spec, window_id ORDER BY ordinal ROWS UNBOUNDED PRECEDING),1) AS dd FROM nb"
         own["res"] = "SELECT spec, window_id, last(nav ORDER BY ordinal)-1 AS total_return, avg(net)/nullif(stddev_samp(net),0)*sqrt(252.0::DOUBLE/max(r)) AS sharpe, max(dd) AS max_drawdown, count(*) AS n_periods FROM ddb GROUP BY spec, window_id"
         own["wf"] = "SELECT spec, avg(sharpe) AS mean_sharpe, min(sharpe) AS min_sharpe, max(max_drawdown) AS max_drawdown, sum(total_return) AS total_return, min(total_return) AS worst_window FROM res GROUP BY spec"
@@ -241,13 +237,18 @@ def queries_and_sql() -> tuple[dict, dict]:
     o["e11_accepted"] = b.sql(f"SELECT spec, {columns} FROM wf WHERE mean_sharpe >= -10 AND max_drawdown <= 2 AND worst_window > -2 ORDER BY mean_sharpe DESC, spec LIMIT 10", **own)
     grid_parts = []
     grid_own: dict[str, str] = {}
-    for p in (10, 20, 50):
+    for p in PERIODS_:
         grid_own |= {f"a{p}": f"SELECT instrument_id, date, '_all' AS _group, (close/nullif({lagged('close', p)},0)-1)*100 AS f0 FROM bars"}
         grid_own |= _clip("f0", 0.01, f"a{p}", f"w{p}")
         grid_own[f"y{p}"] = f"SELECT instrument_id, date, {_z('f0')} AS combo_score FROM w{p}"
-        for h in (5, 20):
+        for h in HORIZONS_:
             grid_own[f"v{p}_{h}"] = f"SELECT s.date, s.combo_score, f.fwd_ret FROM y{p} s JOIN ({FWD['fwd'].format(h=h)}) f ON s.instrument_id=f.instrument_id AND s.date=f.date WHERE combo_score IS NOT NULL AND fwd_ret IS NOT NULL"
             grid_own[f"u{p}_{h}"] = f"SELECT date, {rank('combo_score', 'date')} AS a, {rank('fwd_ret', 'date')} AS b FROM v{p}_{h}"
             grid_parts.append(f"SELECT '{p}|{h}' AS candidate_id, round(avg(ic),6) AS mean, count(*) AS n_dates FROM (SELECT date, round(covar_pop(a,b)/nullif(sqrt(var_pop(a)*var_pop(b)),0),12) AS ic FROM u{p}_{h} GROUP BY date) WHERE ic IS NOT NULL")
-    o["e8_grid"] = b.sql(" UNION ALL ".join(grid_parts), **grid_own)
+    names = ", ".join(f"'{p}|{h}'" for p in PERIODS_ for h in HORIZONS_)
+    grid_own["gr"] = " UNION ALL ".join(grid_parts)
+    o["e8_grid"] = b.sql(f"SELECT * FROM gr WHERE candidate_id IN (SELECT id FROM (SELECT unnest([{names}]) AS id) ORDER BY md5('0:'||id) LIMIT 6)", **grid_own)
+    m10 = combo.Spec(MOMENTUM.factors, top_k=3, winsorize_pct=MOMENTUM.winsorize_pct)
+    q["m10_combo_screen"] = lambda s, d: combo.screen(b.bars(s, d), m10, u.universe(b.bars(s, d), b.components(s, d)), at="1999-06-30").select("instrument_id", "date", "rank", r6("combo_score"))
+    o["m10_combo_screen"] = b.sql("SELECT instrument_id, date, CAST(rank AS INTEGER) AS rank, round(combo_score,6) AS combo_score FROM chosen WHERE date=DATE '1999-06-30'", **SCORED, **CHOSEN)
     return q, o

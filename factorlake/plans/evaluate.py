@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from factorlake.functions.series import average_rank, lead, ratio
 from factorlake.plans import combo
+from factorlake.sources.shared import kept
 
 
 def forward_returns(bars: DataFrame, horizon: int) -> DataFrame:
@@ -86,16 +87,41 @@ def grid(spark: SparkSession, params: dict[str, list], limit: int | None = None,
     return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "candidate_id"))).limit(limit)
 
 
+def candidate_ics(bars: DataFrame, factor: str, param: str, values: list, horizons: list[int], pct: float = 0.01) -> DataFrame:
+    """date, candidate (value|horizon), ic of a factor at every value of its parameter, over every horizon.
+
+    The panel is read once and shuffled once by instrument for all factors and forward returns;
+    each value is a group of the one scoring, so that all candidates share its shuffle by date.
+    """
+    df = bars
+    for v in values:
+        before = df.columns
+        df, name = combo.factors.compute(df, factor, **{param: v})
+        df = df.select(*before, F.col(name).cast("double").alias(f"__v{v}"))
+    df = df.withColumns({f"__h{h}": ratio(lead("close", h), "close") - 1 for h in horizons})
+    ahead = F.array(*(F.struct(F.lit(h).alias("h"), F.col(f"__h{h}").alias("fwd_ret")) for h in horizons))
+    each = F.explode(F.array(*(F.struct(F.lit(str(v)).alias("v"), F.col(f"__v{v}").alias("f")) for v in values)))
+    long = df.select("instrument_id", "date", ahead.alias("__ahead"), each.alias("x")).select("instrument_id", "date", "__ahead", F.col("x.v").alias("_group"), F.col("x.f").alias("__f0"))
+    scored = combo.score_rows(long, combo.Spec((combo.Term(factor, params={param: values[0]}),), top_k=1, winsorize_pct=pct), "__ahead")
+    both = scored.select("date", "_group", "combo_score", F.explode("__ahead").alias("a")).select("date", F.concat_ws("|", "_group", "a.h").alias("candidate"), "combo_score", "a.fwd_ret").where("fwd_ret IS NOT NULL")
+    keys = ("candidate", "date")
+    ranks = both.select(*keys, average_rank("combo_score", *keys).alias("a"), average_rank("fwd_ret", *keys).alias("b"))
+    parts = ranks.groupBy(*keys).agg(F.covar_pop("a", "b").alias("c"), F.var_pop("a").alias("va"), F.var_pop("b").alias("vb"))
+    return parts.select(*keys, F.round(F.try_divide("c", F.sqrt(F.col("va") * F.col("vb"))), 12).alias("ic")).where("ic IS NOT NULL")
+
+
 def period_returns(held: DataFrame, bars: DataFrame, cost_rate: float = 0.0, keys: tuple[str, ...] = ()) -> DataFrame:
     """ordinal, date, gross_ret, turnover, net_ret of equal-weight holdings between rebalances, per keys.
 
     A holding's return runs from its rebalance date to the next one's close (its last close
     before, if it doesn't trade then). The last rebalance has no next and gives no row. turnover
     is the share of weight that changes hands; net_ret is gross_ret less turnover * cost_rate.
+    The holdings are written as a table in the shared folder, so that they are worked out once.
     """
     from factorlake.operators.asof import asof
 
     at = [*keys, "ordinal"]
+    held = kept(held.select(*at, "date", "instrument_id", "weight"), "held")  # read four times
     ahead = held.select(*keys, (F.col("ordinal") - 1).alias("ordinal"), F.col("date").alias("until")).distinct()
     span = held.join(ahead, at)
     prices = bars.select("instrument_id", "date", "close")
@@ -154,7 +180,8 @@ def evaluate_specs(panel: DataFrame, specs: dict[str, combo.Spec], n_windows: in
     keys = ("spec", "window_id", "rebalance")
     out = period_returns(held, panel, cost_rate, keys)
     by = Window.partitionBy("spec", "window_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    nav = out.withColumn("nav", F.exp(F.sum(F.log1p("net_ret")).over(by)))
+    # a portfolio that has lost everything stays at 0
+    nav = out.withColumn("nav", F.when(F.min("net_ret").over(by) <= -1, 0.0).otherwise(F.exp(F.sum(F.when(F.col("net_ret") > -1, F.log1p("net_ret"))).over(by))))
     nav = nav.withColumn("dd", 1 - F.col("nav") / F.greatest(F.max("nav").over(by), F.lit(1.0)))
     last = nav.groupBy("spec", "window_id").agg(
         (F.max_by("nav", "ordinal") - 1).alias("total_return"), F.avg("net_ret").alias("m"), F.stddev_samp("net_ret").alias("s"), F.max("dd").alias("max_drawdown"), F.count("*").alias("n_periods"), F.max("rebalance").alias("r")

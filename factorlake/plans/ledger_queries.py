@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import functools
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +12,8 @@ from factorlake.plans import bindings as b
 from factorlake.plans import performance as p
 from factorlake.plans import risk
 from factorlake.plans.study_queries import rounded
-from factorlake.sources import ingest
+from factorlake.sources import ingest, sinks
+from factorlake.sources.shared import new_path
 from factorlake.streaming import bars as streams
 
 INITIAL = 1_000_000.0
@@ -43,11 +44,11 @@ def _cost_sql(market: str) -> dict[str, str]:
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Days of instruments as orders: every seventh bar's close is a limit."""
-    return b.bars(spark, sf_dir).where("volume % 7 = 0").select("instrument_id", "date", F.when(F.col("volume") % 2 == 0, "BUY").otherwise("SELL").alias("side"), F.col("close").alias("limit_price"))
+    """Every bar as an order of its instrument, with its close as the limit."""
+    return b.bars(spark, sf_dir).select("instrument_id", "date", F.when(F.col("volume") % 2 == 0, "BUY").otherwise("SELL").alias("side"), F.col("close").alias("limit_price"))
 
 
-ORDERS = "SELECT instrument_id, date, CASE WHEN volume%2=0 THEN 'BUY' ELSE 'SELL' END AS side, close AS limit_price FROM bars WHERE volume%7=0"
+ORDERS = "SELECT instrument_id, date, CASE WHEN volume%2=0 THEN 'BUY' ELSE 'SELL' END AS side, close AS limit_price FROM bars"
 
 
 def gated_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,14 +148,30 @@ def queries_and_sql() -> tuple[dict, dict]:
 
     def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
         """Bars up to a day, then all from half a year before it with doubled volume, through the stored table."""
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-        path = f"{base}/bars-{uuid.uuid4().hex}"
+        path = new_path(spark, "bars")
         bars = b.bars(spark, sf_dir)
         ingest.upsert(spark, bars.where("date <= DATE'1998-12-31'"), path)
         ingest.upsert(spark, bars.where("date >= DATE'1998-07-01'").withColumn("volume", F.col("volume") * 2), path)
         return spark.read.parquet(path).select("instrument_id", "date", "close", "volume")
 
     add("s9_upsert", upserted, "SELECT instrument_id, date, close, CASE WHEN date>=DATE '1998-07-01' THEN volume*2 ELSE volume END AS volume FROM bars")
+
+    def stored_bars(spark: SparkSession, sf_dir: str) -> str:
+        """The bars as a stored table; its path."""
+        path = new_path(spark, "bars")
+        ingest.upsert(spark, b.bars(spark, sf_dir), path, replace=True)
+        return path
+
+    add(
+        "s2_scan_instrument",
+        lambda s, d: ingest.read_partition(s, stored_bars(s, d), ingest.BARS, "S000003").select("instrument_id", "date", "close", "volume", "year"),
+        "SELECT instrument_id, date, close, volume, CAST(year(date) AS INTEGER) AS year FROM bars WHERE instrument_id='S000003'",
+    )
+    add(
+        "s10_read_partition",
+        lambda s, d: ingest.read_partition(s, stored_bars(s, d), ingest.BARS, "S000004", 1998).select("instrument_id", "date", "close"),
+        "SELECT instrument_id, date, close FROM bars WHERE instrument_id='S000004' AND year(date)=1998",
+    )
     half = lambda df: df.where("date <= DATE'1999-06-30' AND instrument_id <> 'S000003'")
     add("s11_newer", lambda s, d: ingest.newer(b.bars(s, d), ingest.high_water(half(b.bars(s, d)))).select("instrument_id", "date"), "SELECT b.instrument_id, b.date FROM bars b LEFT JOIN (SELECT instrument_id, max(date) AS h FROM bars WHERE date<=DATE '1999-06-30' AND instrument_id<>'S000003' GROUP BY 1) m ON b.instrument_id=m.instrument_id WHERE h IS NULL OR b.date>h")
     add("s12_dataset_state", lambda s, d: ingest.dataset_state(b.bars(s, d)), "SELECT count(*) AS n_rows, min(date) AS first_date, max(date) AS last_date, count(DISTINCT instrument_id) AS n_instruments FROM bars")
@@ -168,8 +185,21 @@ def queries_and_sql() -> tuple[dict, dict]:
     add("s16_us_bars", lambda s, d: ingest.us_bars(prices(s, d), members(s, d)).select("instrument_id", "date", "close", "adj_factor"), "SELECT instrument_id, date, close, 1.0::DOUBLE AS adj_factor FROM bars WHERE CAST(substr(instrument_id,2) AS INTEGER)%6=0")
     stocks = lambda s, d: codes(s, d).withColumn("ticker", b.instrument("s_suppkey"))
     add("s17_cn_bars", lambda s, d: ingest.cn_bars(b.bars(s, d), stocks(s, d)).select("instrument_id", "date", "close"), "SELECT CASE CAST(substr(instrument_id,2) AS INTEGER)%3 WHEN 0 THEN 'SH' ELSE 'SZ' END||instrument_id AS instrument_id, date, close FROM bars WHERE CAST(substr(instrument_id,2) AS INTEGER)%3<>2")
-    hours = lambda s, d: b.intraday(s, d).select(F.col("instrument_id").alias("ticker"), F.lit("1h").alias("interval"), F.col("date").alias("datetime"), "open", "high", "low", "close", "volume")
-    add("s18_intraday", lambda s, d: ingest.intraday_bars(hours(s, d).unionByName(hours(s, d).withColumn("interval", F.lit("5m")))).select("instrument_id", "datetime", "date", "close"), "SELECT upper(instrument_id) AS instrument_id, date AS datetime, CAST(date AS DATE) AS date, close FROM intraday")
+
+    def hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Hourly bars, those of clicks in a second batch with higher closes as well, and the same as 5-minute bars."""
+        one = b.intraday(spark, sf_dir).select(
+            F.col("instrument_id").alias("ticker"), F.lit("1h").alias("interval"), F.col("date").alias("datetime"), "open", "high", "low", "close", "volume", F.lit(1).alias("batch")
+        )
+        again = one.where("ticker = 'click'").withColumns({"close": F.col("close") + 1, "batch": F.lit(2)})
+        return one.unionByName(again).unionByName(one.withColumns({"interval": F.lit("5m"), "batch": F.lit(3)}))
+
+    add(
+        "s18_intraday",
+        lambda s, d: ingest.intraday_bars(hours(s, d)).select("instrument_id", "datetime", "date", "close"),
+        """SELECT upper(instrument_id) AS instrument_id, date AS datetime, CAST(date AS DATE) AS date,
+        CASE WHEN instrument_id='click' THEN close+1 ELSE close END AS close FROM intraday""",
+    )
     add("s19_index_closes", lambda s, d: ingest.index_closes(b.benchmark_px(s, d).withColumn("index_id", F.lit("ALL"))).select("instrument_id", "date", F.col("close").cast("float").alias("close")), "SELECT 'ALL' AS instrument_id, date, CAST(close AS FLOAT) AS close FROM benchmark_px")
     changes = lambda s, d: b.components(s, d).where("event IN ('SP500_ADD', 'DELIST')").select(F.col("instrument_id").alias("ticker"), F.col("date").alias("change_date"), F.when(F.col("event") == "DELIST", "REMOVED").otherwise("ADDED").alias("change_type"))
     add("s20_listing_events", lambda s, d: ingest.listing_events(changes(s, d), b.bars(s, d)).select("instrument_id", "date", "event"), "SELECT instrument_id, date, CASE event WHEN 'DELIST' THEN 'DELIST' ELSE 'IPO' END AS event FROM components WHERE event IN ('SP500_ADD','DELIST') UNION ALL SELECT instrument_id, min(date), 'IPO' FROM bars WHERE instrument_id NOT IN (SELECT instrument_id FROM components WHERE event='SP500_ADD') GROUP BY instrument_id")
@@ -186,27 +216,96 @@ def queries_and_sql() -> tuple[dict, dict]:
     stored = T.StructType([T.StructField("o_orderkey", T.LongType()), T.StructField("o_totalprice", T.DoubleType())])
     add("s1_scan", lambda s, d: ingest.scan(s, f"{d}/orders.parquet", stored).unionByName(ingest.scan(s, f"{d}/no_such_table", stored)), "SELECT o_orderkey, o_totalprice FROM orders")
     add("s4_bars_for_instrument", lambda s, d: ingest.load_bars(b.bars(s, d), ids=["S000002"], columns=["close", "volume"]).select("instrument_id", "date", "close", "volume"), "SELECT instrument_id, date, close, volume FROM bars WHERE instrument_id='S000002'")
-    add("s10_read_partition", lambda s, d: ingest.select_rows(b.bars(s, d), "1998-01-01", "1998-12-31", ["S000004"]).select("instrument_id", "date", "close"), "SELECT instrument_id, date, close FROM bars WHERE instrument_id='S000004' AND year(date)=1998")
     add("s14_dates_from_text", lambda s, d: ingest.dates_from_text(b.bars(s, d).select("instrument_id", F.when(F.col("volume") % 9 == 0, "n/a").otherwise(F.date_format("date", "yyyy-MM-dd")).alias("date"), "close")), "SELECT instrument_id, CASE WHEN volume%9<>0 THEN date END AS date, close FROM bars")
     source = lambda s, d: b.bars(s, d).select("instrument_id", F.date_format("date", "yyyy-MM-dd").alias("trade_date"), "ticker", F.col("open").alias("open_price"), F.col("high").alias("high_price"), F.col("low").alias("low_price"), F.col("close").alias("close_price"), "volume", "adj_factor")
-    add("s23_mapped_ingest", lambda s, d: ingest.renamed(source(s, d), "CN", "daily").where(F.col("date") > F.lit(ingest.start_after("1999-07-01", False, None)).cast("date")).select("instrument_id", "date", "close", "volume"), "SELECT instrument_id, date, close, volume FROM bars WHERE date > DATE '1999-06-30'")
+
+    def ingested(dataset: str, source, columns: list[str]):  # noqa: ANN001, ANN202
+        """A first run up to a day, then one after the stored table's last day, of the instruments that bars or listing events name."""
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            path, rows = new_path(spark, dataset), source(spark, sf_dir)
+            day = F.col({"daily": "trade_date", "components": "event_date", "sectors": "assign_date"}[dataset])
+            known = ingest.all_instruments(b.bars(spark, sf_dir).where("instrument_id <> 'S000007'"), b.components(spark, sf_dir).where("event = 'SP500_ADD'"))
+            ingest.mapped_ingest(spark, rows.where(day <= "1997-06-30"), "CN", dataset, path, known)
+            ingest.mapped_ingest(spark, rows, "CN", dataset, path, known)
+            return spark.read.parquet(path).select(*columns)
+
+        return run
+
+    known = "instrument_id IN (SELECT instrument_id FROM bars WHERE instrument_id<>'S000007' UNION SELECT instrument_id FROM components WHERE event='SP500_ADD')"
+    assigned = lambda s, d: b.sectors(s, d).select("instrument_id", F.date_format("date", "yyyy-MM-dd").alias("assign_date"), F.col("sector").alias("sector_code"), "sector_name")
+    add("s23_mapped_ingest", ingested("daily", source, ["instrument_id", "date", "close", "volume"]), f"SELECT instrument_id, date, close, volume FROM bars WHERE {known}")
+    add("s23_components", ingested("components", raw, ["instrument_id", "date", "event"]), f"SELECT instrument_id, date, event FROM components WHERE {known}")
+    add("s23_sectors", ingested("sectors", assigned, ["instrument_id", "date", "sector"]), f"SELECT instrument_id, date, sector FROM sectors WHERE {known}")
+    add(
+        "s23_since",
+        lambda s, d: ingest.renamed(source(s, d), "CN", "daily").where(F.col("date") > F.lit(ingest.start_after("1999-07-01", False, None)).cast("date")).select("instrument_id", "date", "close"),
+        "SELECT instrument_id, date, close FROM bars WHERE date > DATE '1999-06-30'",
+    )
+
+    def unlike(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Bars without a factor, with text for volumes and longs for dates."""
+        text = F.when(F.col("volume") % 5 == 0, "n/a").otherwise(F.col("volume").cast("string"))
+        return b.bars(spark, sf_dir).drop("adj_factor").withColumns({"volume": text, "open": F.col("open").cast("float"), "date": F.date_format("date", "yyyy-MM-dd")})
+
+    add(
+        "s29_schema_problems",
+        lambda s, d: ingest.bad_values(unlike(s, d)),
+        """SELECT 'missing column adj_factor' AS problem, count(*) AS n_bad FROM bars UNION ALL SELECT 'column date is string, not date', 0
+        UNION ALL SELECT 'column volume is string, not bigint', count(*) FILTER (volume%5=0) FROM bars""",
+    )
     daily_value = lambda s, d: b.valuation(s, d).select(F.concat(F.substring("instrument_id", 2, 6), F.lit(".SZ")).alias("ts_code"), F.col("date").alias("trade_date"), "pe_ttm", "pb")
     add("s26_cn_valuation", lambda s, d: rounded(ingest.cn_valuation(daily_value(s, d), "1996-01-01", "1997-12-31"), "instrument_id", "date"), "SELECT 'SZ'||substr(instrument_id,2)||'.SZ' AS instrument_id, date, round(pe_ttm,6) AS pe_ttm, round(pb,6) AS pb FROM valuation WHERE date BETWEEN DATE '1996-01-01' AND DATE '1997-12-31'")
 
+    def results(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+        """Trades, signals, a curve and a comparison, each with a key and a value."""
+        key = lambda *c: F.concat_ws("|", *(F.col(x).cast("string") for x in c)).alias("key")
+        curve = b.nav(spark, sf_dir)
+        return {
+            "trades": b.trades(spark, sf_dir).select(key("trade_id", "date", "side"), F.round("price", 4).alias("value")),
+            "signals": gated_signals(spark, sf_dir).select(key("instrument_id", "date", "direction"), F.round("price", 4).alias("value")),
+            "curve": curve.select(key("book", "date"), F.round("nav", 6).alias("value")),
+            "comparison": p.compare(p.total_return(curve, K, INITIAL)).select(key("book"), F.col("place").cast("double").alias("value")),
+        }
+
     def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-        """Trades through CSV and JSON sinks and back."""
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-        t = b.trades(spark, sf_dir).select("trade_id", "date", "side", "price")
-        out = None
-        for kind in ("csv", "json"):
-            path = f"{base}/{kind}-{uuid.uuid4().hex}"
-            t.write.format(kind).save(path)
-            one = spark.read.format(kind).schema(t.schema).load(path).withColumn("sink", F.lit(kind))
-            out = one if out is None else out.unionByName(one)
-        return out
-
-    add("s30_sinks", round_trip, "SELECT trade_id, date, side, price, sink FROM trades, (SELECT unnest(['csv','json']) AS sink)")
+        """All results through CSV, JSON and Markdown files and back."""
+        out = []
+        for name, df in results(spark, sf_dir).items():
+            for kind in ("csv", "json", "markdown"):
+                path = new_path(spark, name)
+                sinks.write(df, path, kind)
+                if kind == "markdown":
+                    cells = F.split(F.col("value"), r" \| ")
+                    lines = spark.read.text(path).where("value LIKE '| %' AND value <> '| key | value |' AND value NOT LIKE '| ---%'")
+                    one = lines.select(F.substr(cells[0], F.lit(3)).alias("key"), F.rtrim(F.replace(cells[1], F.lit("|"))).cast("double").alias("value"))
+                else:
+                    reader = spark.read.option("header", True) if kind == "csv" else spark.read
+                    one = reader.format(kind).schema(df.schema).load(path)
+                out.append(one.withColumns({"result": F.lit(name), "sink": F.lit(kind)}))
+        return functools.reduce(DataFrame.unionByName, out)
+
+    add(
+        "s30_sinks",
+        round_trip,
+        "SELECT key, value, result, sink FROM res, (SELECT unnest(['csv','json','markdown']) AS sink)",
+        **GATE,
+        res="""SELECT trade_id||'|'||date||'|'||side AS key, round(price,4) AS value, 'trades' AS result FROM trades
+        UNION ALL SELECT instrument_id||'|'||date||'|'||direction, round(price,4), 'signals' FROM sg UNION ALL SELECT book||'|'||date, round(nav,6), 'curve' FROM nav
+        UNION ALL SELECT CAST(book AS VARCHAR), CAST(row_number() OVER (ORDER BY last(nav ORDER BY date) DESC NULLS LAST, book) AS DOUBLE), 'comparison' FROM nav GROUP BY book""",
+    )
     add("s31_names", lambda s, d: ingest.with_names(b.read(s, d, "supplier").select(b.instrument("s_suppkey").alias("ticker")), b.read(s, d, "supplier").where("s_suppkey % 2 = 0").select(b.instrument("s_suppkey").alias("ticker"), F.col("s_name").alias("company_name"))), "SELECT 'S'||lpad(CAST(s_suppkey AS VARCHAR),6,'0') AS ticker, CASE WHEN s_suppkey%2=0 THEN s_name END AS company_name FROM supplier")
+
+    def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Bars that land in two lots, the second with late rows of the first's years, through the upserting stream."""
+        landing, path, marks = (new_path(spark, x) for x in ("landing", "bars", "marks"))
+        bars = b.bars(spark, sf_dir)
+        for lot in (bars.where("date <= DATE'1998-12-31'"), bars.where("date >= DATE'1998-10-01'").withColumn("volume", F.col("volume") + 1)):
+            lot.write.mode("append").parquet(landing)
+            streams.upsert_stream(spark, landing, path, marks).awaitTermination()
+        return spark.read.parquet(path).select("instrument_id", "date", "close", "volume")
+
+    add("v1_upsert_stream", streamed, "SELECT instrument_id, date, close, CASE WHEN date>=DATE '1998-10-01' THEN volume+1 ELSE volume END AS volume FROM bars")
     ticks = lambda s, d: b.read(s, d, "events").select(F.col("event_type").alias("instrument_id"), "ts", F.col("event_id").alias("seq"), F.col("value").alias("price"))
     add("v2_hourly_bars", lambda s, d: streams.hourly_bars(ticks(s, d)), "SELECT instrument_id, date AS datetime, open, high, low, close, volume FROM intraday")
     return q, o

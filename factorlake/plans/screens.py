@@ -39,6 +39,16 @@ def regression_momentum(panel: DataFrame, universe: DataFrame | None = None, sec
     return df.withColumn("alerts", F.array_join(F.filter(notes, lambda x: x.isNotNull()), ","))
 
 
+def regime_days(benchmark: DataFrame, regime: int | None) -> DataFrame:
+    """date, bench, regime_ok: whether the benchmark is above its own mean of `regime` rows, or that mean is unknown or not asked for."""
+    bench = benchmark.select("date", F.col("close").alias("bench"))
+    if not regime:
+        return bench.withColumn("regime_ok", F.lit(True))
+    w = Window.orderBy("date").rowsBetween(1 - regime, 0)  # one row a date
+    mean = F.when(F.count("bench").over(w) == regime, F.avg("bench").over(w))
+    return bench.withColumn("regime_ok", F.coalesce(F.col("bench") > mean, F.lit(True)))
+
+
 @SCREENS("relative_strength")
 def relative_strength(panel: DataFrame, benchmark: DataFrame, fast: int = 60, slow: int = 120, min_adv: float = 0.0, top: int = 10, regime: int | None = 200) -> DataFrame:
     """Rising ratio to a benchmark (date, close): fast over slow average of the ratio, the best by their distance.
@@ -46,14 +56,7 @@ def relative_strength(panel: DataFrame, benchmark: DataFrame, fast: int = 60, sl
     Days without the benchmark drop out. With `regime`, a day counts only where the benchmark is
     above its own mean of so many rows, or that mean is unknown.
     """
-    bench = benchmark.select("date", F.col("close").alias("bench"))
-    if regime:
-        w = Window.orderBy("date").rowsBetween(1 - regime, 0)  # one row a date
-        mean = F.when(F.count("bench").over(w) == regime, F.avg("bench").over(w))
-        bench = bench.withColumn("regime_ok", F.coalesce(F.col("bench") > mean, F.lit(True)))
-    else:
-        bench = bench.withColumn("regime_ok", F.lit(True))
-    df = panel.join(bench, "date").withColumn("rs", ratio("close", "bench")).where("rs IS NOT NULL")
+    df = panel.join(regime_days(benchmark, regime), "date").withColumn("rs", ratio("close", "bench")).where("rs IS NOT NULL")
     df = with_ema(df, {"rs_fast": ("rs", span_alpha(fast)), "rs_slow": ("rs", span_alpha(slow))})
     df = ind.adv(df, 20).withColumn("__n", F.row_number().over(own()))
     keep = (F.col("__n") > slow) & (F.col("rs_fast") > F.col("rs_slow")) & (F.col("ADV_20") >= min_adv) & F.col("regime_ok")
@@ -68,13 +71,17 @@ def weekly_asof(panel: DataFrame, weekly: DataFrame, period: int = 20, back: int
 
 
 @SCREENS("cluster_pullback")
-def cluster_pullback(panel: DataFrame, weekly: DataFrame, benchmark: DataFrame | None = None, cluster: float = 0.04, near: float = 0.025, back: int = 20, min_adv: float = 0.0, confirm: int = 1) -> DataFrame:
-    """Averages of 20, 60 and 120 rows close together and rising, the close near the weekly average, `confirm` rows long."""
+def cluster_pullback(panel: DataFrame, weekly: DataFrame, benchmark: DataFrame | None = None, cluster: float = 0.04, near: float = 0.025, back: int = 20, min_adv: float = 0.0, confirm: int = 1, regime: int | None = None) -> DataFrame:
+    """Averages of 20, 60 and 120 rows close together and rising, the close near the weekly average, `confirm` rows long.
+
+    With a benchmark, days without its close drop out; with `regime`, so do days on which it is
+    not above its mean of so many rows.
+    """
     df = with_ema(panel, {f"ema_{p}": ("close", span_alpha(p)) for p in (20, 60, 120)})
     df = ind.adv(df, 20).withColumn("ema_120_before", lag("ema_120", back))
     df = weekly_asof(df, weekly)
     if benchmark is not None:
-        df = df.join(benchmark.select("date").distinct(), "date", "left_semi")
+        df = df.join(regime_days(benchmark, regime).where("regime_ok").select("date"), "date", "left_semi")
     low, high = F.least("ema_20", "ema_60", "ema_120"), F.greatest("ema_20", "ema_60", "ema_120")
     ok = (
         (ratio(high - low, low) < cluster) & (F.abs(ratio(F.col("close") - F.col("week_ema"), "week_ema")) < near)

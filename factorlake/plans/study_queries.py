@@ -9,6 +9,7 @@ from factorlake.operators import adjust, asof, calendar, sectors, universe
 from factorlake.plans import bindings as b
 from factorlake.plans import history, screens, winrate
 from factorlake.plans.factor_queries import S, ema, lagged, roll
+from factorlake.sources.shared import new_path
 
 _BACK = "(PARTITION BY instrument_id ORDER BY date ROWS {} PRECEDING)"
 
@@ -89,7 +90,8 @@ PULL = {
     "c0": f"SELECT *, {ema('close', 2 / 21)} AS a, {ema('close', 2 / 61)} AS bb, {ema('close', 2 / 121)} AS c, {roll('avg', '(close*volume)', 20)} AS adv FROM bars",
     "c1_": f"SELECT *, {lagged('c', 20)} AS cb FROM c0",
     "c2": "SELECT p.*, w1.we, w1.wb FROM c1_ p ASOF LEFT JOIN w1 ON p.instrument_id=w1.instrument_id AND p.date>=w1.date",
-    "c3": "SELECT *, (greatest(a,bb,c)-least(a,bb,c))/nullif(least(a,bb,c),0)<0.3 AND abs((close-we)/nullif(we,0))<0.2 AND c>cb AND we>wb AND adv>=1000 AS ok FROM c2",
+    "rg": "SELECT date, coalesce(close>CASE WHEN count(close) OVER w=200 THEN avg(close) OVER w END,true) AS calm FROM benchmark_px WINDOW w AS (ORDER BY date ROWS 199 PRECEDING)",
+    "c3": "SELECT c2.*, calm AND (greatest(a,bb,c)-least(a,bb,c))/nullif(least(a,bb,c),0)<0.3 AND abs((close-we)/nullif(we,0))<0.2 AND c>cb AND we>wb AND adv>=1000 AS ok FROM c2 JOIN rg ON c2.date=rg.date",
 }
 CLENOW = {
     "q0": f"SELECT *, {roll('avg', 'close', 100)} AS ma, {roll('min', 'ret', 90)} AS mdr, CASE WHEN close>0 THEN ln(close) END AS y, CAST(rn AS DOUBLE) AS k, greatest(high-low, abs(high-c1), abs(low-c1)) AS trng, {roll('max', 'close', 63)} AS hh, {roll('avg', 'volume', 20)} AS vma FROM r",
@@ -108,7 +110,7 @@ def clenow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pullbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return screens.cluster_pullback(b.bars(spark, sf_dir), b.weekly(spark, sf_dir), cluster=0.3, near=0.2, min_adv=1000.0)
+    return screens.cluster_pullback(b.bars(spark, sf_dir), b.weekly(spark, sf_dir), b.benchmark_px(spark, sf_dir), cluster=0.3, near=0.2, min_adv=1000.0, regime=200)
 
 
 RS = {
@@ -164,7 +166,20 @@ def queries_and_sql() -> tuple[dict, dict]:
     mean = lambda c: f"round(CASE WHEN z.n IS NULL THEN a.{c} WHEN a.n IS NULL THEN z.{c} ELSE (a.n*coalesce(a.{c},0)+z.n*coalesce(z.{c},0))/(a.n+z.n) END,6) AS {c}"
     add("h5_merge", lambda s, d: rounded(merged(s, d), "instrument_id"), "SELECT coalesce(a.instrument_id,z.instrument_id) AS instrument_id, coalesce(a.n,0)+coalesce(z.n,0) AS n, greatest(a.last_signal,z.last_signal) AS last_signal, " + ", ".join(map(mean, _MEANS)) + " FROM ha a FULL JOIN hz z ON a.instrument_id=z.instrument_id",
         **HIST, r0="SELECT * FROM hr WHERE date<=DATE '1998-06-30'", r1="SELECT * FROM hr WHERE date>DATE '1998-06-30'", ha=_history_sql("r0"), hz=_history_sql("r1"))
-    add("h6_status", lambda s, d: history.status(history.aggregate(history.with_returns(signals(s, d), b.bars(s, d))).withColumns({"strategy": F.lit("rumi"), "market": F.lit("US")})), "SELECT 'rumi' AS strategy, 'US' AS market, count(*) AS n_rows, min(last_signal) AS first_signal, max(last_signal) AS last_signal FROM hh", **HIST, hh=_history_sql("hr"))
+
+    def replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Two strategies' histories stored, one of them replaced by that of a part of its signals; the stored table's state."""
+        path = new_path(spark, "history")
+        returns = history.with_returns(signals(spark, sf_dir), b.bars(spark, sf_dir))
+        whole = history.aggregate(returns)
+        for strategy, market in (("rumi", "US"), ("rumi", "CN"), ("other", "US")):
+            history.save(whole, path, strategy, market)
+        history.save(history.aggregate(returns.where("date <= DATE'1998-06-30'")), path, "rumi", "US")
+        return history.status(spark.read.parquet(path))
+
+    state = "SELECT '{}' AS strategy, '{}' AS market, count(*) AS n_rows, min(last_signal) AS first_signal, max(last_signal) AS last_signal FROM {}"
+    add("h6_status", replaced, " UNION ALL ".join(state.format(*x) for x in (("rumi", "US", "ha"), ("rumi", "CN", "hh"), ("other", "US", "hh"))),
+        **HIST, r0="SELECT * FROM hr WHERE date<=DATE '1998-06-30'", ha=_history_sql("r0"), hh=_history_sql("hr"))
 
     # screens
     m1 = ["CLENOW_SCORE", "deviation_pct", "drawdown_pct", "volume_multiple"]

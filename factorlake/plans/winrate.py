@@ -89,10 +89,13 @@ def recent_golden(cross: DataFrame, stats: DataFrame, adv: DataFrame, max_bars_s
 def bootstrap(trades: DataFrame, spark: SparkSession, sims: int, seed: int = 7, capital: float = 1000.0) -> DataFrame:
     """sim, ret, pnl: trades drawn with replacement, by the md5 of (seed, sim) modulo their number.
 
-    Trades are numbered in one task: they are a summary of the panel, a few per instrument.
+    Trades are numbered inside their instrument, after those of the instruments before it; only
+    the counts, one row an instrument, pass through one task.
     """
-    order = Window.orderBy("instrument_id", "entry_date")
-    numbered = trades.select((F.row_number().over(order) - 1).cast("bigint").alias("k"), "ret")
+    counts = trades.groupBy("instrument_id").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("instrument_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy("instrument_id").orderBy("entry_date")) - 1
+    numbered = trades.withColumn("__i", inside).join(counts.select("instrument_id", before.alias("__before")), "instrument_id").select((F.col("__before") + F.col("__i")).cast("bigint").alias("k"), "ret")
     n = trades.count()
     draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"))), 1, 8), 16, 10).cast("bigint") % max(n, 1)
     return spark.range(sims).select(F.col("id").alias("sim"), draw.alias("k")).join(numbered, "k").select("sim", "ret", (F.col("ret") * capital).alias("pnl"))

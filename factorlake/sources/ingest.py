@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factorlake.operators.adjust import adjusted
+from factorlake.sources.shared import discard, kept
 
 BARS = T.StructType([T.StructField("instrument_id", T.StringType()), T.StructField("date", T.DateType()), T.StructField("ticker", T.StringType()), *(T.StructField(c, T.DoubleType()) for c in ("open", "high", "low", "close")), T.StructField("volume", T.LongType()), T.StructField("adj_factor", T.DoubleType())])
+#: Rows of one file of a stored table, at most.
+FILE_ROWS = 5_000_000
 #: Types that may stand for each other.
 ALIKE = ({"int", "bigint"}, {"float", "double"}, {"string"}, {"date"})
 
@@ -64,7 +67,9 @@ def merged(old: DataFrame, new: DataFrame, keys: list[str] | None = None) -> Dat
 def upsert(spark: SparkSession, new: DataFrame, path: str, keys: list[str] | None = None, replace: bool = False, time: str = "date") -> None:
     """Write rows by year; only the years at hand are rewritten, merged with what they hold unless `replace`.
 
-    Within a file rows are sorted by instrument, so that readers skip row groups.
+    Rows are dealt by ranges of year and instrument, so a year is many files where it is large,
+    of at most FILE_ROWS rows, and within a file rows are sorted by instrument: readers of one
+    instrument skip files and row groups by their statistics.
     """
     new = new.withColumn("year", F.year(time))
     if not replace:
@@ -72,13 +77,17 @@ def upsert(spark: SparkSession, new: DataFrame, path: str, keys: list[str] | Non
         years = [r[0] for r in new.select("year").distinct().collect()]  # a few years
         new = merged(old.where(F.col("year").isin(years)), new, keys)
         # old files are read and replaced: the rows have to be elsewhere before
-        from uuid import uuid4
+        new = kept(new, "staged")
+    out = new.repartitionByRange("year", "instrument_id").sortWithinPartitions("year", "instrument_id", time)
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", FILE_ROWS).partitionBy("year").parquet(path)
+    discard(new)
 
-        staged = f"{path.rstrip('/')}_staged_{uuid4().hex}"
-        new.write.parquet(staged)
-        new = spark.read.schema(new.schema).parquet(staged)
-    out = new.repartition("year").sortWithinPartitions("year", "instrument_id", time)
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path)
+
+def read_partition(spark: SparkSession, path: str, schema: T.StructType, instrument_id: str, year: int | None = None, time: str = "date") -> DataFrame:
+    """One instrument's rows of a table that upsert() wrote, of one year or all: years are pruned as folders, instruments by statistics."""
+    stored = scan(spark, path, T.StructType([*(f for f in schema if f.name != "year"), T.StructField("year", T.IntegerType())]))
+    rows = stored.where(F.col("instrument_id") == instrument_id)
+    return (rows.where(F.col("year") == year) if year is not None else rows).orderBy(time)
 
 
 def high_water(stored: DataFrame, time: str = "date") -> DataFrame:
@@ -122,6 +131,28 @@ def renamed(df: DataFrame, market: str, dataset: str) -> DataFrame:
     return dates_from_text(df.select(*(F.col(s).alias(d) for s, d in COLUMN_MAPS[market, dataset].items())))
 
 
+#: What tells the rows of a mapped table apart.
+MAPPED_KEYS = {"daily": ["instrument_id", "date"], "components": ["instrument_id", "date", "event"], "sectors": ["instrument_id", "date"]}
+
+
+def all_instruments(*tables: DataFrame) -> DataFrame:
+    """The instruments of any of the tables, each once."""
+    every = tables[0].select("instrument_id")
+    for t in tables[1:]:
+        every = every.union(t.select("instrument_id"))
+    return every.distinct()
+
+
+def mapped_ingest(spark: SparkSession, source: DataFrame, market: str, dataset: str, path: str, instruments: DataFrame | None = None, since: str | None = None, full: bool = False) -> None:
+    """Merge a source table into the stored one: names mapped, some instruments, days after the table's last."""
+    rows = renamed(source, market, dataset)
+    if instruments is not None:
+        rows = rows.join(instruments, "instrument_id", "left_semi")
+    end = None if since or full else date_range(scan(spark, path, T.StructType([*rows.schema, T.StructField("year", T.IntegerType())]))).first()["last_date"]
+    rows = rows.where(F.col("date") > F.lit(start_after(since, full, str(end) if end else None)).cast("date"))
+    upsert(spark, rows, path, MAPPED_KEYS[dataset])
+
+
 def dates_from_text(df: DataFrame, columns: tuple[str, ...] = ("date", "end_date", "period_end", "ann_date")) -> DataFrame:
     """Known date columns of type string as dates; text that is no date is null."""
     for c in columns:
@@ -161,11 +192,13 @@ def cn_bars(prices: DataFrame, stocks: DataFrame, marks: DataFrame | None = None
     return newer(rows, marks) if marks is not None else rows
 
 
-def intraday_bars(prices: DataFrame, marks: DataFrame | None = None, interval: str = "1h") -> DataFrame:
-    """Bars of an interval after their mark, one per instrument and time."""
-    rows = prices.where(F.col("interval") == interval).select(id_us("ticker").alias("instrument_id"), "datetime", F.to_date("datetime").alias("date"), "ticker", "open", "high", "low", "close", "volume")
+def intraday_bars(prices: DataFrame, marks: DataFrame | None = None, interval: str = "1h", batch: str = "batch") -> DataFrame:
+    """Bars of an interval after their mark; of several for one instrument and time the last by `batch` stays."""
+    values = ["open", "high", "low", "close", "volume"]
+    rows = prices.where(F.col("interval") == interval).select(id_us("ticker").alias("instrument_id"), "datetime", F.to_date("datetime").alias("date"), "ticker", *values, F.col(batch).alias("__batch"))
     rows = newer(rows, marks, "datetime") if marks is not None else rows
-    return rows.dropDuplicates(["instrument_id", "datetime"])
+    last = Window.partitionBy("instrument_id", "datetime").orderBy(F.desc("__batch"), *(F.desc_nulls_last(c) for c in values))
+    return rows.withColumn("__r", F.row_number().over(last)).where("__r = 1").drop("__r", "__batch")
 
 
 def index_closes(prices: DataFrame, index: str | None = None) -> DataFrame:
@@ -231,8 +264,8 @@ def flat_payload(df: DataFrame, payload: str, fields: dict[str, str]) -> DataFra
 
 
 def with_names(df: DataFrame, names: DataFrame) -> DataFrame:
-    """Display names of tickers, where known."""
-    return df.join(names.select("ticker", "company_name").dropDuplicates(["ticker"]), "ticker", "left")
+    """Display names of tickers, where known; of several the first in order of letters."""
+    return df.join(names.groupBy("ticker").agg(F.min("company_name").alias("company_name")), "ticker", "left")
 
 
 def problems(schema: T.StructType, wanted: T.StructType = BARS) -> list[str]:
@@ -246,3 +279,12 @@ def problems(schema: T.StructType, wanted: T.StructType = BARS) -> list[str]:
         elif kinds[f.name] != want and not any({kinds[f.name], want} <= group for group in ALIKE):
             out.append(f"column {f.name} is {kinds[f.name]}, not {want}")
     return out
+
+
+def bad_values(df: DataFrame, wanted: T.StructType = BARS) -> DataFrame:
+    """problem, n_bad of every missing or unlike column: all rows for the one, values that no cast turns for the other."""
+    kinds = {f.name: f.dataType for f in wanted}
+    found = [(p, p.split()[2] if p.startswith("missing") else p.split()[1]) for p in problems(df.schema, wanted)]
+    bad = [F.count("*") if p.startswith("missing") else F.count_if(F.col(c).isNotNull() & F.col(c).try_cast(kinds[c]).isNull()) for p, c in found]
+    rows = F.array(*(F.struct(F.lit(p).alias("problem"), n.alias("n_bad")) for (p, _), n in zip(found, bad, strict=True))) if found else F.array().cast("array<struct<problem: string, n_bad: bigint>>")
+    return df.agg(rows.alias("x")).select(F.explode("x").alias("x")).select("x.*")

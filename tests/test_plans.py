@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from factorlake.functions import indicators
 from factorlake.plans import catalog, combo, evaluate, history, performance, risk, winrate
 
 DAY = dt.date(2020, 1, 1)
@@ -123,3 +124,52 @@ def test_every_query_has_sql():
     assert not set(catalog.oracle_sql()) - set(catalog.queries())
     assert set(catalog.queries()) == set(catalog.oracle_sql())
     assert len(list(itertools.chain(catalog.queries()))) > 150
+
+
+def noisy(spark, n=12, days=40):
+    rng = random.Random(3)
+    rows = [(f"i{k}", DAY + dt.timedelta(days=d), 100.0 * (1 + rng.random())) for k in range(n) for d in range(days)]
+    return spark.createDataFrame(rows, "instrument_id string, date date, close double")
+
+
+def test_candidates_share_one_scoring(spark):
+    bars = noisy(spark)
+    got = {(r.candidate, r.date): r.ic for r in evaluate.candidate_ics(bars, "momentum", "period", [3, 5], [1, 4]).collect()}
+    want = {}
+    for p, h in itertools.product([3, 5], [1, 4]):
+        scored = combo.scores(bars, combo.Spec((combo.Term("momentum", params={"period": p}),), top_k=1))
+        want |= {(f"{p}|{h}", r.date): r.ic for r in evaluate.rank_ic(scored, bars, h).collect()}
+    assert got == pytest.approx(want) and want
+
+
+def test_latest_scores_are_those_of_the_last_date_with_any(spark):
+    bars = noisy(spark).unionByName(panel(spark, {"alone": 0.01}, days=45))  # the last days have one instrument, which has no z-score
+    spec = combo.Spec((combo.Term("momentum", params={"period": 3}),), top_k=4)
+    every = combo.scores(bars, spec)
+    last = every.agg(F.max("date")).first()[0]
+    key = lambda df: {r.instrument_id: r.combo_score for r in df.collect()}
+    assert last == DAY + dt.timedelta(days=39) and key(combo.latest_scores(bars, spec)) == pytest.approx(key(every.where(F.col("date") == last)))
+    assert combo.screen(bars, spec).count() == 4 and combo.screen(bars, spec, at="2020-01-20").count() == 4
+    assert combo.latest_scores(bars.limit(0), spec).count() == 0
+
+
+def test_what_is_lost_stays_lost(spark):
+    closes = {"a": [1.0] * 6, "b": [1.0, 2.0, 4.0, 0.0, 8.0, 9.0]}
+    rows = [(i, DAY + dt.timedelta(days=k), c) for i, x in closes.items() for k, c in enumerate(x)]
+    bars = spark.createDataFrame(rows, "instrument_id string, date date, close double")
+    spec = combo.Spec((combo.Term("momentum", params={"period": 1}),), top_k=1, rebalance=1)
+    (r,) = evaluate.evaluate_specs(bars, {"s": spec}, n_windows=1, cost_rate=0.0).collect()
+    assert r.total_return == -1.0 and r.max_drawdown == 1.0
+
+
+def test_fit_of_nearly_flat_prices_stays_in_range(spark):
+    rng = random.Random(1)
+    rows = [("a", DAY + dt.timedelta(days=k), (100.0 if k > 50 else 1.0) + rng.random() * 1e-9) for k in range(4000)]
+    out = indicators.clenow_r2(spark.createDataFrame(rows, "instrument_id string, date date, close double"), 90).where("CLENOW_R2 IS NOT NULL")
+    assert out.where("CLENOW_R2 < 0 OR CLENOW_R2 > 1 OR isnan(CLENOW_R2)").count() == 0
+
+
+def test_draws_number_trades_over_instruments(spark):
+    trades = spark.createDataFrame([(f"i{k % 7}", DAY + dt.timedelta(days=k), float(k)) for k in range(50)], "instrument_id string, entry_date date, ret double")
+    drawn = winrate.bootstrap(trades, spark, 2000).select("ret").distinct().count()
+    assert drawn == 50 and winrate.bootstrap(trades, spark, 2000).count() == 2000
