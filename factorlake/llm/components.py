@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorlake.llm.scratch import kept
+from factorlake.llm.scratch import discard, kept
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -15,13 +15,17 @@ def components(links: DataFrame) -> DataFrame:
     n links takes about log n rounds. Each round is written, so none is recomputed after a loss.
     """
     both = kept(links.select("a", "b").union(links.select("b", "a")).distinct(), "both")
-    labels = kept(both.groupBy("a").agg(F.min("b").alias("l")).select(F.col("a").alias("node"), F.least("a", "l").alias("label")), "labels")
+    after = kept(both.groupBy("a").agg(F.min("b").alias("l")).select(F.col("a").alias("node"), F.lit(0).cast("long").alias("old"), F.least("a", "l").alias("label")), "labels")
     while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
+        labels = after.select("node", "label")
+        # a table of its own, so that the joins are between plain scans
+        near = kept(both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near")), "near")
         spread = labels.join(near, F.col("node") == F.col("a"), "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
         spread = kept(spread, "spread")
+        discard(near, after)
         jump = spread.select(F.col("node").alias("at"), F.col("label").alias("to"))
         after = kept(spread.join(jump, F.col("label") == F.col("at"), "left").select("node", "old", F.least("label", F.coalesce("to", "label")).alias("label")), "labels")
-        labels = after.select("node", "label")
+        discard(spread)
         if after.where(F.col("old") != F.col("label")).isEmpty():
-            return labels.withColumnRenamed("label", "component")
+            discard(both)
+            return after.select("node", F.col("label").alias("component"))

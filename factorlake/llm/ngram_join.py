@@ -11,13 +11,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factorlake.llm.components import components
-from factorlake.llm.scratch import bounded_batches, kept
+from factorlake.llm.scratch import bounded_batches, discard, kept
 from factorlake.llm.words import exact_words, ngrams
 
 #: Counters of the frequency sketch, and of one of its chunks: a table of fixed size for any input.
 SKETCH, CHUNK = 1 << 21, 1 << 10
 #: Members that one copy of a pivot's set is compared with.
-FAN = 1000
+FAN = 200
+#: Members of one block of an open group, about.
+GROUP_BLOCK = 1000
+#: Tables that grow with the corpus are joined by shuffle and sort whatever their size at hand.
+GROWING = "merge"
+#: The suffix filter's parts are told apart by this many leading bits of a shingle's hash, at most.
+PART_BITS = 8
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -71,17 +77,31 @@ def frequency_levels(known: DataFrame) -> np.ndarray:
 
 
 def partition_sizes(s: np.ndarray) -> bytes:
-    """The suffix filter's view of a set: sizes of its parts in equal ranges of the hash.
-
-    About 8 shingles fall into a part; a count over 255 is cut, which only weakens the filter.
-    Of two sets with the same ranges, the part sizes' differences add up to a lower bound of the
-    symmetric difference.
-    """
-    bits = max(0, int(len(s) // 8).bit_length() - 1)
+    """Sizes of a set's parts in equal ranges of the hash, about 8 shingles each; counts over 255 are cut."""
+    bits = min(PART_BITS, max(0, int(len(s) // 8).bit_length() - 1))
     parts = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) if bits else np.array([len(s)])
     return np.minimum(parts, 255).astype(np.uint8).tobytes()
 
 
+def suffix_sizes(parts: bytes, ahead: bytes, place: int) -> np.ndarray | None:
+    """Part sizes of what follows place `place` in a set's order; None where counts were cut.
+
+    ahead: the leading hash bits of the first shingles in that order.
+    """
+    sizes = np.frombuffer(parts, dtype=np.uint8).astype(np.int64)
+    if sizes.max() == 255:
+        return None
+    gone = np.frombuffer(ahead, dtype=np.uint8)[: place + 1] >> (PART_BITS - (len(sizes).bit_length() - 1))
+    return sizes - np.bincount(gone, minlength=len(sizes))
+
+
+def suffix_overlap(x: np.ndarray, y: np.ndarray) -> int:
+    """The most shingles that two suffixes of these part sizes can have in common."""
+    if len(x) > len(y):
+        x, y = y, x
+    return int(np.minimum(x, y.reshape(len(x), -1).sum(axis=1)).sum())
+
+
 def prefixes(docs: DataFrame, width: int, percent: int, levels: np.ndarray) -> DataFrame:
     """Per document its rarest shingles, as many as a linked document must share one of.
 
@@ -100,12 +120,14 @@ def prefixes(docs: DataFrame, width: int, percent: int, levels: np.ndarray) -> D
                 if n:
                     own = level[(s >> np.uint64(20)).astype(np.int64) & (SKETCH - 1)]
                     order = np.argsort(own, kind="stable")[: n - (percent * n + 99) // 100 + 1]
-                    rows.append((doc_id, n, xxhash.xxh3_128_digest(s.tobytes()), s[order].astype(np.int64), float(own.mean()), partition_sizes(s)))
-            columns = list(zip(*rows, strict=True)) or [[]] * 6
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.float32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["node", "n", "digest", "tokens", "central", "parts"])
+                    first = s[order]
+                    ahead = (first >> np.uint64(64 - PART_BITS)).astype(np.uint8).tobytes()
+                    rows.append((doc_id, n, xxhash.xxh3_128_digest(s.tobytes()), first.astype(np.int64), float(own.mean()), partition_sizes(s), ahead))
+            columns = list(zip(*rows, strict=True)) or [[]] * 7
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.float32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["node", "n", "digest", "tokens", "central", "parts", "ahead"])
 
-    return docs.mapInArrow(run, "node bigint, n bigint, digest binary, tokens array<bigint>, central float, parts binary")
+    return docs.mapInArrow(run, "node bigint, n bigint, digest binary, tokens array<bigint>, central float, parts binary, ahead binary")
 
 
 def possible(x: str, y: str, percent: int) -> Column:
@@ -126,23 +148,54 @@ def hopeful(y: str, least: str, percent: int) -> Column:
     return (100 + percent) * (n - pos) >= percent * (n + F.greatest(F.col(least), F.ceil(percent * n / 100)))
 
 
+def once(met: DataFrame, a: str, b: str) -> DataFrame:
+    """The pairs a, b of members, each once whatever the groups they met in and whichever came first.
+
+    pa, pb: the least places that they met at, which for linked sets are those of the first
+    shingle in common.
+    """
+    an, bn = F.col(f"{a}.node"), F.col(f"{b}.node")
+    turned = an > bn
+    low = F.when(turned, F.struct(bn.alias("node"), F.col(f"{b}.pos").alias("pos"))).otherwise(F.struct(an.alias("node"), F.col(f"{a}.pos").alias("pos")))
+    high = F.when(turned, F.struct(an.alias("node"), F.col(f"{a}.pos").alias("pos"))).otherwise(F.struct(bn.alias("node"), F.col(f"{b}.pos").alias("pos")))
+    flat = met.select(turned.alias("t"), low.alias("l"), high.alias("h")).select("t", F.col("l.node").alias("l"), F.col("h.node").alias("h"), F.col("l.pos").alias("pl"), F.col("h.pos").alias("ph"))
+    one = flat.groupBy("l", "h").agg(F.max("t").alias("t"), F.min("pl").alias("pl"), F.min("ph").alias("ph"))
+    way = lambda x, y: F.when(F.col("t"), F.col(x)).otherwise(F.col(y))
+    return one.select(way("h", "l").alias("a"), way("l", "h").alias("b"), way("ph", "pl").alias("pa"), way("pl", "ph").alias("pb"))
+
+
 def suffix_filter(pairs: DataFrame, prefix: DataFrame, percent: int) -> DataFrame:
-    """Pairs a, b whose part sizes leave room for the overlap they need."""
-    left, right = (prefix.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("parts").alias(f"p{k}")) for k in "ab")
+    """Pairs a, b whose suffixes after the first shingle in common leave room for the overlap they need."""
+    left, right = (prefix.select(F.col("node").alias(k), *(F.col(c).alias(f"{c}{k}") for c in ("n", "parts", "ahead"))) for k in "ab")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
-            for na, pa_, nb, pb in zip(*(b.column(c).to_pylist() for c in ("na", "pa", "nb", "pb")), strict=True):
-                x, y = np.frombuffer(pa_, dtype=np.uint8).astype(np.int64), np.frombuffer(pb, dtype=np.uint8).astype(np.int64)
-                if len(x) > len(y):
-                    x, y = y, x
-                y = y.reshape(len(x), -1).sum(axis=1)
-                apart = int(np.abs(x - y).sum()) if x.max() < 255 and len(x) * 255 > max(na, nb) else 0
-                keep.append((100 + percent) * (na + nb - apart) >= 2 * percent * (na + nb))
+            for na, sa, aa, at_a, nb, sb, ab, at_b in zip(*(b.column(c).to_pylist() for c in ("na", "partsa", "aheada", "pa", "nb", "partsb", "aheadb", "pb")), strict=True):
+                x, y = suffix_sizes(sa, aa, at_a), suffix_sizes(sb, ab, at_b)
+                keep.append(x is None or y is None or (100 + percent) * (1 + suffix_overlap(x, y)) >= percent * (na + nb))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a bigint, b bigint")
+    return pairs.join(left.hint(GROWING), "a").join(right.hint(GROWING), "b").mapInArrow(run, "a bigint, b bigint")
+
+
+def open_pairs(placed: DataFrame, percent: int) -> DataFrame:
+    """Pairs x, y of members of one group (token, k) and of different components c, that pass the filters.
+
+    Members of a group's largest component meet only the others, and all meet in blocks of about
+    GROUP_BLOCK members, so that neither a large component nor a hot shingle is paired with itself in one task.
+    """
+    per = placed.groupBy("token", "k", "c").agg(F.count("*").alias("n"))
+    groups = per.groupBy("token", "k").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("m")).where(F.col("most") < F.col("m"))
+    blocks = lambda n: F.ceil(n / GROUP_BLOCK).cast("int")
+    groups = groups.select("token", "k", "main", blocks(F.col("m") - F.col("most")).alias("few"), blocks(F.col("m")).alias("all"))
+    rest = kept(placed.join(kept(groups, "groups").hint(GROWING), ["token", "k"]), "open")
+    own = lambda n: F.pmod(F.xxhash64(F.lit(11), "y.node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    few = rest.where(F.col("c") != F.col("main")).withColumn("i", own("few")).withColumn("j", every("all")).select("token", "k", "i", "j", F.col("y").alias("x"), F.col("c").alias("d"))
+    many = rest.withColumn("j", own("all")).withColumn("i", every("few")).select("token", "k", "i", "j", "y", "c", "main")
+    one_way = (F.col("c") == F.col("main")) | (F.col("x.node") < F.col("y.node"))
+    return few.join(many.hint(GROWING), ["token", "k", "i", "j"]).where((F.col("c") != F.col("d")) & one_way & possible("x", "y", percent))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -151,11 +204,11 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     Every member's set goes to its pivots, a; a pivot's set goes out once per FAN members, so
     that no task holds more than two sets, and no pivot's members have to be in one task.
     """
-    fans = pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).cast("int").alias("fans"))
-    salted = pairs.join(fans, "a").select(F.col("b").alias("doc"), F.col("a").alias("pivot"), F.pmod(F.xxhash64("b"), F.col("fans")).cast("int").alias("salt"), F.lit(1).alias("role"))
+    fans = kept(pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).cast("int").alias("fans")), "fans")
+    salted = pairs.join(fans.hint(GROWING), "a").select(F.col("b").alias("doc"), F.col("a").alias("pivot"), F.pmod(F.xxhash64("b"), F.col("fans")).cast("int").alias("salt"), F.lit(1).alias("role"))
     own = fans.select(F.col("a").alias("doc"), F.col("a").alias("pivot"), F.explode(F.sequence(F.lit(0), F.col("fans") - 1)).alias("salt"), F.lit(0).alias("role"))
     roles = salted.unionByName(own).groupBy("doc").agg(F.collect_list(F.struct("pivot", "salt", "role")).alias("roles"))
-    texts = docs.join(roles, F.col("doc_id") == F.col("doc")).select("doc", "text", "roles")
+    texts = docs.join(roles.hint(GROWING), F.col("doc_id") == F.col("doc")).select("doc", "text", "roles")
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -177,7 +230,8 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
                 if (pivot, salt) != at:
                     at, held = (pivot, salt), []
                 if role == 0:
-                    held.append(s)
+                    if not any(np.array_equal(s, p) for p in held):  # repeated rows of the pivot
+                        held.append(s)
                     continue
                 for p in held:
                     small, large = (s, p) if len(s) < len(p) else (p, s)
@@ -208,43 +262,52 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     all texts) and are of like length. In a group the most central member is compared with every
     other one, after length, positional and suffix filters; pairs of different components that
     are left in a group are then compared as well, so that no link between components is missed.
+    Joins on keys that may be hot are between written tables, so that Spark can split them.
     """
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     known = kept(facts(docs, width), "facts")
     sized = known.where("chunk is null")
-    classes = sized.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"))
+    own = sized.where("n > 0 and doc_id is not null")
+    classes = kept(own.groupBy("digest").agg(F.min("doc_id").alias("node")), "classes")
     levels = frequency_levels(known)
-    prefix = kept(prefixes(docs, width, percent, levels).join(classes, ["node", "digest"], "left_semi").drop("digest"), "prefix")
+    prefix = kept(prefixes(docs, width, percent, levels).join(classes.hint(GROWING), ["node", "digest"], "left_semi").drop("digest"), "prefix")
 
     postings = prefix.select("node", "n", "central", F.posexplode("tokens").alias("pos", "token"))
-    live = postings.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
+    live = kept(postings.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token"), "live")
     length = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9)
-    spread = postings.join(live, "token").withColumn("k", F.explode(F.array(length, length + 1)))
+    spread = postings.join(live.hint(GROWING), "token").withColumn("k", F.explode(F.array(length, length + 1)))
     member = kept(spread.select("token", "k", F.struct("node", "n", "pos", "central").alias("y")), "members")
     pivots = member.groupBy("token", "k").agg(F.count("*").alias("m"), F.min("y.n").alias("least"), F.max_by("y", F.struct("y.central", -F.col("y.node"))).alias("x")).where("m > 1")
-    near = member.join(pivots, ["token", "k"]).where(hopeful("y", "least", percent) & (F.col("x.node") != F.col("y.node")) & possible("x", "y", percent))
-    first = kept(near.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "pairs")
-    links = kept(verified(suffix_filter(first, prefix, percent), docs, width, percent), "links")
+    pivots = kept(pivots, "pivots")
+    discard(live)
+    near = member.join(pivots.hint(GROWING), ["token", "k"]).where(hopeful("y", "least", percent) & (F.col("x.node") != F.col("y.node")) & possible("x", "y", percent))
+    tried = kept(suffix_filter(once(near, "x", "y"), prefix, percent), "tried")
+    links = kept(verified(tried, docs, width, percent).union(of_one_id(own, classes)), "links")
     found = components(links)
 
     # what the pivots left open: members of different components, neither of them the pivot
     rivals = pivots.where("m > 2").select("token", "k", "least", F.col("x.node").alias("pivot"))
-    placed = member.join(rivals, ["token", "k"]).where((F.col("y.node") != F.col("pivot")) & hopeful("y", "least", percent))
-    placed = placed.join(found.withColumnRenamed("node", "__n"), F.col("y.node") == F.col("__n"), "left").select("token", "k", "y", F.coalesce("component", "y.node").alias("c"))
-    open_groups = placed.groupBy("token", "k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token", "k")
-    rest = kept(placed.join(open_groups, ["token", "k"], "left_semi"), "open")
-    if not rest.isEmpty():
-        other = rest.select("token", "k", F.col("y").alias("x"), F.col("c").alias("d"))
-        pairs = rest.join(other, ["token", "k"]).where((F.col("c") != F.col("d")) & (F.col("x.node") < F.col("y.node")) & possible("x", "y", percent))
-        again = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-        tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        again = kept(suffix_filter(again.join(tried, ["a", "b"], "left_anti"), prefix, percent), "again")
-        if not again.isEmpty():
-            more = kept(verified(again, docs, width, percent), "links")
-            if not more.isEmpty():
-                found = components(links.union(more))
-
-    named = sized.join(classes, "digest", "left").join(found.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left")
-    component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", F.when(F.col("n") > 0, F.col("node")), "doc_id"))
-    return named.select(F.col("doc_id"), F.col("n").alias("n_shingles"), component.cast("long").alias("component_id"))
+    placed = member.join(rivals.hint(GROWING), ["token", "k"]).where((F.col("y.node") != F.col("pivot")) & hopeful("y", "least", percent))
+    placed = placed.join(found.withColumnRenamed("node", "__n").hint(GROWING), F.col("y.node") == F.col("__n"), "left").select("token", "k", "y", F.coalesce("component", "y.node").alias("c"))
+    again = once(open_pairs(kept(placed, "placed"), percent), "x", "y")
+    done = tried.select(F.least("a", "b").alias("l"), F.greatest("a", "b").alias("h"))
+    again = again.join(done.hint(GROWING), (F.least("a", "b") == F.col("l")) & (F.greatest("a", "b") == F.col("h")), "left_anti")
+    again = kept(suffix_filter(again, prefix, percent), "again")
+    discard(member, pivots, prefix)
+    if not again.isEmpty():
+        more = kept(verified(again, docs, width, percent), "links")
+        if not more.isEmpty():
+            found = components(links.union(more))
+
+    named = kept(classes.join(found.withColumnRenamed("node", "__n").hint(GROWING), F.col("node") == F.col("__n"), "left").select("digest", F.coalesce("component", "node").alias("component_id")), "named")
+    linked = own.join(named.hint(GROWING), "digest").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    alone = sized.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return linked.unionByName(alone)
+
+
+def of_one_id(own: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links a, b between the classes of the ids that are given with different sets."""
+    nodes = own.join(classes.hint(GROWING), "digest").select("doc_id", "node")
+    several = nodes.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where(F.col("a") < F.col("z")).select("doc_id", "a")
+    return nodes.join(several.hint(GROWING), "doc_id").where(F.col("a") != F.col("node")).select("a", F.col("node").alias("b")).distinct()

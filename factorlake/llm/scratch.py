@@ -1,48 +1,12 @@
-"""Tables kept between the steps of an operator, in the folder that all machines share."""
+"""What the operators share: tables kept between steps, and bounded batches."""
 
 from __future__ import annotations
 
-import contextlib
-import tempfile
-import uuid
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests), a new local one."""
-    conf = spark.sparkContext.getConf()
-    where = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
-
-
-@contextlib.contextmanager
-def shuffle_cleanup(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of the jobs run inside go when each has written its table."""
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(CLEANUP, before)
-
-
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as a table in the shared folder and read it back: lineage ends there.
+from factorlake.sources.shared import discard, kept, shared_dir, shuffle_cleanup
 
-    A lost executor then costs only the tasks of the step at hand.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    with shuffle_cleanup(spark):
-        df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["bounded_batches", "discard", "kept", "shared_dir", "shuffle_cleanup", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -52,5 +16,5 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def bounded_batches(spark: SparkSession, size: str = "4m") -> None:
-    """Arrow batches to Python hold about `size` bytes, however long the texts are."""
+    """Arrow batches to Python hold about `size` bytes, however long the texts are; holds for the session, since plans run later."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

@@ -175,6 +175,38 @@ def test_near_duplicate_family_that_pivots_leave_open(spark):
     assert len(set(got.values())) < len(got)
 
 
+def test_open_groups_in_blocks(spark, monkeypatch):
+    """Every pair of different components in a group meets once, whatever the blocks, and no pair of one component."""
+    monkeypatch.setattr(ngram_join, "GROUP_BLOCK", 3)
+    placed = [(1, 1, (n, 100, 0, 0.0), 7 if n < 12 else n) for n in range(20)] + [(2, 1, (n, 100, 0, 0.0), 7) for n in range(9)] + [(3, 1, (n, 100, 0, 0.0), n % 2) for n in range(8)]
+    df = spark.createDataFrame(placed, "token bigint, k bigint, y struct<node: bigint, n: bigint, pos: int, central: float>, c bigint")
+    got = [(r.token, *sorted((r.x.node, r.y.node))) for r in ngram_join.open_pairs(df, 80).collect()]
+    want = {(t, a[0], b[0]) for t, _, a, c in placed for u, _, b, d in placed if t == u and c != d and a[0] < b[0]}
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_suffix_bounds_hold():
+    for _ in range(300):
+        pool = RNG.integers(0, 2**63, 60).astype(np.uint64)
+        x, y = (RNG.permutation(np.unique(RNG.choice(pool, RNG.integers(1, 60)))) for _ in "xy")
+        order = {int(t): i for i, t in enumerate(RNG.permutation(pool))}
+        x, y = (np.array(sorted(s, key=lambda t: order[int(t)]), dtype=np.uint64) for s in (x, y))
+        common = [t for t in x if t in y]
+        if not common:
+            continue
+        at_x, at_y = list(x).index(common[0]), list(y).index(common[0])
+        parts, ahead = ([f(s) for s in (x, y)] for f in (lambda s: ngram_join.partition_sizes(np.sort(s)), lambda s: (s >> np.uint64(56)).astype(np.uint8).tobytes()))
+        overlap = ngram_join.suffix_overlap(ngram_join.suffix_sizes(parts[0], ahead[0], at_x), ngram_join.suffix_sizes(parts[1], ahead[1], at_y))
+        assert overlap >= len(common) - 1
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    """Rows of one id are one document, also where their texts differ."""
+    table = [(5, BASE), (5, "another text of its own kind here"), (3, "another text of its own kind here"), (9, edited(BASE, 7)), (9, edited(BASE, 7)), (11, "quite alone it is")]
+    got = {(r.doc_id, r.component_id) for r in ngram_join.near_duplicates(spark.createDataFrame(table, "doc_id bigint, text string")).collect()}
+    assert got == {(5, 3), (3, 3), (9, 3), (11, 11)}
+
+
 def test_near_duplicates_of_nothing(spark, empty):
     assert ngram_join.near_duplicates(empty).count() == 0
     alone = spark.createDataFrame([(3, ""), (1, None), (2, "x")], "doc_id bigint, text string")
