@@ -263,7 +263,7 @@ def queries_and_sql() -> tuple[dict, dict]:
         curve = b.nav(spark, sf_dir)
         return {
             "trades": b.trades(spark, sf_dir).select(key("trade_id", "date", "side"), F.round("price", 4).alias("value")),
-            "signals": gated_signals(spark, sf_dir).select(key("instrument_id", "date", "direction"), F.round("price", 4).alias("value")),
+            "signals": gated_signals(spark, sf_dir).select(key("instrument_id", "date", "direction"), F.col("price").alias("value")),
             "curve": curve.select(key("book", "date"), F.round("nav", 6).alias("value")),
             "comparison": p.compare(p.total_return(curve, K, INITIAL)).select(key("book"), F.col("place").cast("double").alias("value")),
         }
@@ -291,7 +291,7 @@ def queries_and_sql() -> tuple[dict, dict]:
         "SELECT key, value, result, sink FROM res, (SELECT unnest(['csv','json','markdown']) AS sink)",
         **GATE,
         res="""SELECT trade_id||'|'||date||'|'||side AS key, round(price,4) AS value, 'trades' AS result FROM trades
-        UNION ALL SELECT instrument_id||'|'||date||'|'||direction, round(price,4), 'signals' FROM sg UNION ALL SELECT book||'|'||date, round(nav,6), 'curve' FROM nav
+        UNION ALL SELECT instrument_id||'|'||date||'|'||direction, price, 'signals' FROM sg UNION ALL SELECT book||'|'||date, round(nav,6), 'curve' FROM nav
         UNION ALL SELECT CAST(book AS VARCHAR), CAST(row_number() OVER (ORDER BY last(nav ORDER BY date) DESC NULLS LAST, book) AS DOUBLE), 'comparison' FROM nav GROUP BY book""",
     )
     add("s31_names", lambda s, d: ingest.with_names(b.read(s, d, "supplier").select(b.instrument("s_suppkey").alias("ticker")), b.read(s, d, "supplier").where("s_suppkey % 2 = 0").select(b.instrument("s_suppkey").alias("ticker"), F.col("s_name").alias("company_name"))), "SELECT 'S'||lpad(CAST(s_suppkey AS VARCHAR),6,'0') AS ticker, CASE WHEN s_suppkey%2=0 THEN s_name END AS company_name FROM supplier")
