@@ -100,9 +100,57 @@ FROM m GROUP BY doc_id
 """
 
 
+#: All pairs that share a shingle, and all that reach one another: quadratic in groups, for tables of moderate size.
+NGRAM_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+  ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END)) AS sh FROM w),
+c AS (SELECT min(doc_id) AS node, sh FROM s WHERE len(sh) > 0 GROUP BY sh),
+x AS (SELECT node, len(sh) AS n, unnest(sh) AS t FROM c),
+p AS (SELECT a.node AS a, b.node AS b FROM x a JOIN x b ON a.t = b.t AND a.node < b.node GROUP BY a.node, b.node, a.n, b.n
+  HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT node, node AS other FROM c UNION SELECT r.node, l.b FROM r JOIN l ON r.other = l.a),
+m AS (SELECT node, min(other) AS component FROM r GROUP BY node)
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, coalesce(m.component, s.doc_id) AS component_id
+FROM s LEFT JOIN c ON s.sh = c.sh LEFT JOIN m ON c.node = m.node
+"""
+
+#: The rules as DuckDB's expressions. Letters in either case are spelt out, since (?i) folds beyond ASCII there.
+_SECRETS = [
+    ("assign", r"(?:" + "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key")) + r")[\"\x27]?\x20*[:=]\x20*[\"\x27]?([A-Za-z0-9+/_.=-]+)", 12),
+    ("access", "(AKIA[A-Z0-9]+)", 18),
+    ("hex", "([0-9a-f]+)", 16),
+    ("github", "(gh[pousr]_[A-Za-z0-9]+)", 40),
+    ("slack", "(xox[abprs]-[A-Za-z0-9-]+)", 20),
+    ("jwt", r"(eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)", 30),
+    ("pem", "(-----BEGIN [A-Z ]*PRIVATE KEY-----)", 1),
+]
+
+
+def _secrets_sql() -> str:
+    """Spans per kind: a match starts after the pieces between the matches before it, and after these."""
+    kinds = []
+    for k, (kind, find, least) in enumerate(_SECRETS):
+        kinds.append(
+            f"""SELECT doc_id, row, {k} AS k, '{kind}' AS kind, {least} AS least, regexp_extract_all(t, '{find}') AS m, regexp_extract_all(t, '{find}', 1) AS g, string_split_regex(t, '{find}') AS p FROM d"""
+        )
+    return f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS row, coalesce(text, '') AS t FROM documents),
+u AS ({" UNION ALL ".join(kinds)}),
+e AS (SELECT doc_id, row, k, kind, least, m, g, p, unnest(range(1, len(m) + 1)) AS i FROM u WHERE len(m) > 0),
+f AS (SELECT doc_id, row, k, kind, length(g[i]) AS n, least, length(m[i]) AS size,
+  list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS start FROM e),
+s AS (SELECT row, k, kind, CAST(start AS BIGINT) AS start, kind || ':' || CAST(start AS BIGINT) || ':' || CAST(start + size AS BIGINT) AS x FROM f WHERE n >= least)
+SELECT d.doc_id, count(s.k) FILTER (k = 0) AS n_assign, count(s.k) FILTER (k = 1) AS n_access, count(s.k) FILTER (k = 2) AS n_hex,
+  sha256(coalesce(string_agg(x, ',' ORDER BY start, k) FILTER (k < 3), '')) AS base_sha256, coalesce(string_agg(x, ',' ORDER BY start, k), '') AS spans
+FROM d LEFT JOIN s ON d.row = s.row GROUP BY d.doc_id, d.row
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_topk_search, op2_ngram_join, op3_secret_scan, op4_token_counts, op5_sharding, op6_packing, op7_line_dedup, op8_decontaminate, op9_binary_records, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk_search": TOPK_SQL, "op7_line_dedup": LINES_SQL}
+    return {"op1_topk_search": TOPK_SQL, "op2_ngram_join": NGRAM_SQL, "op3_secret_scan": _secrets_sql(), "op7_line_dedup": LINES_SQL}
