@@ -68,7 +68,8 @@ SIMPLE: dict[str, tuple[str, dict, int, dict[str, str]]] = {
     "i11_vol": ("VOL", {}, 6, {"VOL_20": f"({roll('stddev_samp', 'ret', 20)})*sqrt(252)"}),
     "i12_vma": ("VMA", {}, 4, {"VMA_20": roll("avg", "volume", 20)}),
     "i12_sma_volume": ("SMA_VOLUME", {}, 4, {"SMA_VOLUME_50": roll("avg", "volume", 50)}),
-    "i13_obv": ("OBV", {}, 0, {"OBV": "CAST(sum(CASE WHEN close>c1 THEN volume WHEN close<c1 THEN -volume ELSE 0 END) OVER (PARTITION BY instrument_id ORDER BY date ROWS UNBOUNDED PRECEDING) AS BIGINT)"}),
+    "i13_obv": ("OBV", {}, 0, {"OBV": "CAST(sum(CASE WHEN close>c1 THEN volume WHEN close<c1 THEN -volume ELSE 0 END) OVER (PARTITION BY instrument_id "
+        "ORDER BY date ROWS UNBOUNDED PRECEDING) AS BIGINT)"}),
     "i14_max": ("MAX", {}, 0, {"MAX_20": roll("max", "high", 20)}),
     "i14_min": ("MIN", {}, 0, {"MIN_20": roll("min", "low", 20)}),
     "i15_hh": ("HH", {}, 0, {"HH_63": roll("max", "close", 63)}),
@@ -113,7 +114,14 @@ def queries_and_sql() -> tuple[dict[str, Query], dict[str, str]]:
     mom = {"m": f"SELECT *, (close/nullif({lagged('close', 10)},0)-1)*100 AS x FROM bars"}
     add("f14_momentum_rank", "momentum_rank", {"momentum_rank_10": (f"({rank('x', 'date')})/count(*) OVER (PARTITION BY date)", 6)}, "m", mom)
     vol = {"m": f"SELECT *, ({roll('stddev_samp', 'ret', 20)})*sqrt(252) AS x FROM r"}
-    add("f16_volatility_rank", "volatility_rank", {"volatility_rank_20": (f"1-({rank('x', 'date')})/count(*) OVER (PARTITION BY date)", 6)}, "m", vol, {"ascending": True})
+    add(
+        "f16_volatility_rank",
+        "volatility_rank",
+        {"volatility_rank_20": (f"1-({rank('x', 'date')})/count(*) OVER (PARTITION BY date)", 6)},
+        "m",
+        vol,
+        {"ascending": True},
+    )
     align = {"m": f"SELECT *, {ema('close', 2 / 21, True)} AS ef, {ema('close', 2 / 61, True)} AS em, {ema('close', 2 / 121, True)} AS es FROM bars"}
     add("f20_ema_alignment", "ema_alignment", {"ema_alignment_20_60_120": ("least(close/ef-1, ef/em-1, em/es-1)", 6)}, "m", align)
 
@@ -122,16 +130,29 @@ def queries_and_sql() -> tuple[dict[str, Query], dict[str, str]]:
     gains = {"m": f"SELECT *, greatest(coalesce(close-c1,0),0) AS g, greatest(-coalesce(close-c1,0),0) AS l FROM r", "m2": f"SELECT *, {ema('g', 1 / 14)} AS ag, {ema('l', 1 / 14)} AS al FROM m"}
     add("i4_rsi", "RSI", {"RSI_14": ("CASE WHEN al=0 THEN 100.0::DOUBLE ELSE 100-100/(1+ag/al) END", 6)}, "m2", gains)
     mac = {"m": f"SELECT *, {ema('close', 2 / 13)} AS a, {ema('close', 2 / 27)} AS z FROM bars", "m2": "SELECT *, a-z AS line FROM m", "m3": f"SELECT *, {ema('line', 2 / 10)} AS sig FROM m2"}
-    add("i5_macd", "MACD", {"EMA_12": ("a", 4), "EMA_26": ("z", 4), "MACD_line": ("line", 4), "MACD_signal": ("sig", 4), "MACD_hist": ("line-sig", 4)}, "m3", mac)
+    add(
+        "i5_macd",
+        "MACD",
+        {"EMA_12": ("a", 4), "EMA_26": ("z", 4), "MACD_line": ("line", 4), "MACD_signal": ("sig", 4), "MACD_hist": ("line-sig", 4)},
+        "m3",
+        mac,
+    )
     rng = {"m": "SELECT *, greatest(high-low, abs(high-c1), abs(low-c1)) AS tr FROM r"}
     add("i6_atr", "ATR", {"ATR_14": (ema("tr", 1 / 14), 4)}, "m", rng)
     bb = {"m": f"SELECT *, {roll('avg', 'close', 20)} AS mid, {roll('stddev_samp', 'close', 20)} AS sd FROM bars"}
-    add("i7_bb", "BB", {"BB_middle": ("mid", 4), "BB_upper": ("mid+2*sd", 4), "BB_lower": ("mid-2*sd", 4), "BB_width": ("4*sd/nullif(mid,0)", 6), "BB_pct": ("(close-(mid-2*sd))/nullif(4*sd,0)", 6)}, "m", bb)
+    add(
+        "i7_bb",
+        "BB",
+        {"BB_middle": ("mid", 4), "BB_upper": ("mid+2*sd", 4), "BB_lower": ("mid-2*sd", 4), "BB_width": ("4*sd/nullif(mid,0)", 6), "BB_pct": ("(close-(mid-2*sd))/nullif(4*sd,0)", 6)},
+        "m",
+        bb,
+    )
     w = "(PARTITION BY instrument_id ORDER BY date ROWS 89 PRECEDING)"
     reg = {
         "m": "SELECT *, CASE WHEN close>0 THEN ln(close) END AS y, CAST(rn AS DOUBLE) AS k FROM r",
         "m2": f"SELECT *, count(y) OVER {w} AS n, covar_pop(y,k) OVER {w} AS cov, var_pop(y) OVER {w} AS vy FROM m",
-        "m3": "SELECT *, CASE WHEN n=90 AND vy>0 THEN cov/(8099/12.0::DOUBLE) END AS slope, CASE WHEN n=90 AND vy>0 THEN cov*cov/(8099/12.0::DOUBLE*vy) END AS r2 FROM m2",
+        "m3": "SELECT *, CASE WHEN n=90 AND vy>0 THEN cov/(8099/12.0::DOUBLE) END AS slope, CASE WHEN n=90 AND vy>0 THEN cov*cov/(8099/12.0::DOUBLE*vy) END AS r2 "
+            "FROM m2",
     }
     score = "(exp(slope*252)-1)*100*r2"
     add("f17_clenow_momentum", "clenow_momentum", {"clenow_momentum_90": (score, 4)}, "m3", reg)
@@ -164,7 +185,8 @@ def queries_and_sql() -> tuple[dict[str, Query], dict[str, str]]:
         return df.select("instrument_id", F.round("momentum", 6).alias("value"), F.row_number().over(Window.partitionBy("date").orderBy(F.desc("momentum"), "instrument_id")).alias("rank"))
 
     q["x5_cross_section"] = cross_section
-    o["x5_cross_section"] = b.sql("SELECT instrument_id, round(x,6) AS value, CAST(row_number() OVER (ORDER BY x DESC, instrument_id) AS INTEGER) AS rank FROM m WHERE date = DATE '2000-03-01' AND x IS NOT NULL", **mom)
+    o["x5_cross_section"] = b.sql("SELECT instrument_id, round(x,6) AS value, CAST(row_number() OVER (ORDER BY x DESC, instrument_id) AS INTEGER) AS rank FROM m "
+        "WHERE date = DATE '2000-03-01' AND x IS NOT NULL", **mom)
 
     def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         return enrich(b.bars(spark, sf_dir), b.fundamentals(spark, sf_dir), b.valuation(spark, sf_dir))
@@ -206,8 +228,10 @@ def queries_and_sql() -> tuple[dict[str, Query], dict[str, str]]:
             "diff": "c-p",
         }
         return new | {
-            "q1": f"SELECT instrument_id, date, {at(source, anchor)} AS c, {at(source, anchor + n)} AS p, {at('end_date', anchor)} AS ce, {at('end_date', anchor + n)} AS pe FROM qs",
-            "q2": f"SELECT instrument_id, date, CASE WHEN (year(ce)-year(pe))*12+month(ce)-month(pe) BETWEEN {months[0]} AND {months[1]} THEN {values[mode]} END AS x FROM q1",
+            "q1": f"SELECT instrument_id, date, {at(source, anchor)} AS c, {at(source, anchor + n)} AS p, {at('end_date', anchor)} AS ce, {at('end_date', anchor + n)} AS pe "
+                f"FROM qs",
+            "q2": f"SELECT instrument_id, date, CASE WHEN (year(ce)-year(pe))*12+month(ce)-month(pe) BETWEEN {months[0]} AND {months[1]} THEN {values[mode]} END AS x "
+                f"FROM q1",
             "q3": "SELECT b.instrument_id, b.date, q2.x FROM bars b ASOF LEFT JOIN q2 ON b.instrument_id=q2.instrument_id AND b.date>=q2.date",
         }
 

@@ -29,8 +29,10 @@ CURVE = {
     "u0": f"SELECT *, drawdown>0 AS u, lead(date) OVER {_O} AS nx FROM dd",
     "u1": f"SELECT *, CASE WHEN u<>coalesce(lag(u) OVER {_O},false) THEN 1 ELSE 0 END AS e FROM u0",
     "u2": f"SELECT *, sum(e) OVER {_W} AS island FROM u1",
-    "l0": f"SELECT *, max(drawdown) OVER {_W} AS worst, coalesce(max(drawdown) OVER {_PREV},0) AS wb, sum(CASE WHEN nav>=peak THEN 1 ELSE 0 END) OVER {_W} AS peaks FROM dd",
-    "l1": "SELECT *, last(CASE WHEN worst>wb THEN date END IGNORE NULLS) OVER (PARTITION BY book, peaks ORDER BY date ROWS UNBOUNDED PRECEDING) AS since FROM l0",
+    "l0": f"SELECT *, max(drawdown) OVER {_W} AS worst, coalesce(max(drawdown) OVER {_PREV},0) AS wb, "
+        f"sum(CASE WHEN nav>=peak THEN 1 ELSE 0 END) OVER {_W} AS peaks FROM dd",
+    "l1": "SELECT *, last(CASE WHEN worst>wb THEN date END IGNORE NULLS) OVER (PARTITION BY book, peaks "
+        "ORDER BY date ROWS UNBOUNDED PRECEDING) AS since FROM l0",
 }
 
 
@@ -38,7 +40,8 @@ def _cost_sql(market: str) -> dict[str, str]:
     rate, least, stamp, transfer = p.RATES[market]
     return {
         "cv": "SELECT *, price*shares AS value FROM trades",
-        "cc": f"SELECT *, CASE WHEN value>0 THEN greatest(value*{rate!r},{least!r}) ELSE 0 END AS commission, CASE WHEN value>0 AND side='SELL' THEN value*{stamp!r} ELSE 0 END AS stamp, CASE WHEN value>0 THEN value*{transfer!r} ELSE 0 END AS transfer FROM cv",
+        "cc": f"SELECT *, CASE WHEN value>0 THEN greatest(value*{rate!r},{least!r}) ELSE 0 END AS commission, CASE WHEN value>0 AND side='SELL' THEN value*{stamp!r} ELSE 0 END AS stamp, CASE WHEN value>0 THEN value*{transfer!r} ELSE 0 END AS transfer "
+            f"FROM cv",
         "ct": "SELECT *, commission+stamp+transfer AS cost FROM cc",
     }
 
@@ -62,7 +65,9 @@ def gated_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 GATE = {
-    "mk": "SELECT *, lag(close) OVER (PARTITION BY instrument_id ORDER BY date) AS prev_close, CASE WHEN count(volume) OVER w=20 THEN avg(volume) OVER w END AS adv_volume FROM bars WINDOW w AS (PARTITION BY instrument_id ORDER BY date ROWS 19 PRECEDING)",
+    "mk": "SELECT *, lag(close) OVER (PARTITION BY instrument_id "
+        "ORDER BY date) AS prev_close, CASE WHEN count(volume) OVER w=20 THEN avg(volume) OVER w END AS adv_volume "
+        "FROM bars WINDOW w AS (PARTITION BY instrument_id ORDER BY date ROWS 19 PRECEDING)",
     "sg": """SELECT instrument_id, date, close AS price, prev_close, adv_volume, volume, CASE WHEN volume%3=0 THEN 'SELL' ELSE 'BUY' END AS direction, volume AS shares, volume%5<>0 AS in_universe,
   CASE WHEN volume%11=0 THEN 5e4 ELSE 0 END AS held_value, 1e6 AS equity, 2e5 AS cash, volume%30 AS n_positions, volume%40/100.0::DOUBLE AS sector_weight, 0.1::DOUBLE AS bench_weight, volume%13=0 AS halted FROM mk""",
 }
@@ -99,52 +104,210 @@ def queries_and_sql() -> tuple[dict, dict]:
 
     nav = lambda s, d: b.nav(s, d)
     ret = lambda s, d: p.daily_returns(b.nav(s, d), K, INITIAL)
-    add("p1_total_return", lambda s, d: rounded(p.total_return(nav(s, d), K, INITIAL), "book"), "SELECT book, round(t,6) AS total_return, round(CASE WHEN t>-1 THEN power(1+t,252.0::DOUBLE/n)-1 END,6) AS annual_return FROM (SELECT book, last(nav ORDER BY date)/1000000-1 AS t, count(*) AS n FROM nav GROUP BY book)")
-    add("p2_daily_returns", lambda s, d: ret(s, d).select("book", "date", F.round("daily_return", 8).alias("daily_return"), F.round("cumulative_return", 8).alias("cumulative_return")), "SELECT book, date, round(daily_return,8) AS daily_return, round(cumulative_return,8) AS cumulative_return FROM dr", **CURVE)
-    add("p3_drawdowns", lambda s, d: p.drawdowns(nav(s, d), K, INITIAL).select("book", "date", F.round("drawdown", 8).alias("drawdown"), "peak_date", "days_since_peak"), "SELECT book, date, round(drawdown,8) AS drawdown, peak_date, CAST(days_since_peak AS INTEGER) AS days_since_peak FROM dd", **CURVE)
-    add("p4_max_drawdown", lambda s, d: rounded(p.max_drawdown(nav(s, d), K, INITIAL), "book", places=8), "SELECT book, round(max(drawdown),8) AS max_drawdown, first(date ORDER BY drawdown DESC, date) AS max_drawdown_date, round(last(drawdown ORDER BY date),8) AS current_drawdown FROM dd GROUP BY book", **CURVE)
-    add("p5_underwater", lambda s, d: rounded(p.underwater(nav(s, d), K, INITIAL), "book", places=8), "SELECT book, min(date) AS start, max(coalesce(nx,date)) AS \"end\", round(max(drawdown),8) AS depth FROM u2 WHERE u GROUP BY book, island", **CURVE)
-    add("p6_sharpe", lambda s, d: rounded(p.sharpe(ret(s, d), K), "book"), "SELECT book, round(CASE WHEN count(daily_return)>10 THEN avg(daily_return)*252/nullif(stddev_samp(daily_return)*sqrt(252),0) END,6) AS sharpe FROM dr GROUP BY book", **CURVE)
-    add("p6_sharpe_excess", lambda s, d: rounded(p.sharpe_excess(ret(s, d), K), "book"), "SELECT book, round(CASE WHEN count(*)>10 THEN avg(daily_return-0.03/252)/nullif(stddev_samp(daily_return-0.03/252),0)*sqrt(252) END,6) AS sharpe_excess FROM dr WHERE daily_return<>0 GROUP BY book", **CURVE)
-    add("p7_longest_deepening", lambda s, d: p.longest_deepening(nav(s, d), K, INITIAL), "SELECT book, CAST(coalesce(max(date-since),0) AS INTEGER) AS max_days FROM l1 GROUP BY book", **CURVE)
-    add("p8_curve_summary", lambda s, d: rounded(p.curve_summary(ret(s, d), K), "book", places=5), "SELECT book, count(*) AS n, min(date) AS first_date, max(date) AS last_date, round(max(nav),5) AS max_nav, round(min(nav),5) AS min_nav, round(avg(daily_return),5) AS avg_return FROM dr GROUP BY book", **CURVE)
-    add("p9_compare", lambda s, d: p.compare(p.total_return(nav(s, d), K, INITIAL)).select("book", "place"), "SELECT book, CAST(row_number() OVER (ORDER BY last(nav ORDER BY date) DESC NULLS LAST, book) AS INTEGER) AS place FROM nav GROUP BY book")
+    add(
+        "p1_total_return",
+        lambda s, d: rounded(p.total_return(nav(s, d), K, INITIAL), "book"),
+        "SELECT book, round(t,6) AS total_return, round(CASE WHEN t>-1 THEN power(1+t,252.0::DOUBLE/n)-1 END,6) AS annual_return "
+        "FROM (SELECT book, last(nav ORDER BY date)/1000000-1 AS t, count(*) AS n FROM nav GROUP BY book)",
+    )
+    add(
+        "p2_daily_returns",
+        lambda s, d: ret(s, d).select("book", "date", F.round("daily_return", 8).alias("daily_return"), F.round("cumulative_return", 8).alias("cumulative_return")),
+        "SELECT book, date, round(daily_return,8) AS daily_return, round(cumulative_return,8) AS cumulative_return FROM dr",
+        **CURVE,
+    )
+    add(
+        "p3_drawdowns",
+        lambda s, d: p.drawdowns(nav(s, d), K, INITIAL).select("book", "date", F.round("drawdown", 8).alias("drawdown"), "peak_date", "days_since_peak"),
+        "SELECT book, date, round(drawdown,8) AS drawdown, peak_date, CAST(days_since_peak AS INTEGER) AS days_since_peak FROM dd",
+        **CURVE,
+    )
+    add(
+        "p4_max_drawdown",
+        lambda s, d: rounded(p.max_drawdown(nav(s, d), K, INITIAL), "book", places=8),
+        "SELECT book, round(max(drawdown),8) AS max_drawdown, first(date ORDER BY drawdown DESC, date) AS max_drawdown_date, "
+        "round(last(drawdown ORDER BY date),8) AS current_drawdown FROM dd GROUP BY book",
+        **CURVE,
+    )
+    add(
+        "p5_underwater",
+        lambda s, d: rounded(p.underwater(nav(s, d), K, INITIAL), "book", places=8),
+        "SELECT book, min(date) AS start, max(coalesce(nx,date)) AS \"end\", round(max(drawdown),8) AS depth FROM u2 WHERE u GROUP BY book, island",
+        **CURVE,
+    )
+    add(
+        "p6_sharpe",
+        lambda s, d: rounded(p.sharpe(ret(s, d), K), "book"),
+        "SELECT book, round(CASE WHEN count(daily_return)>10 THEN avg(daily_return)*252/nullif(stddev_samp(daily_return)*sqrt(252),0) END,6) AS sharpe "
+        "FROM dr GROUP BY book",
+        **CURVE,
+    )
+    add(
+        "p6_sharpe_excess",
+        lambda s, d: rounded(p.sharpe_excess(ret(s, d), K), "book"),
+        "SELECT book, round(CASE WHEN count(*)>10 THEN avg(daily_return-0.03/252)/nullif(stddev_samp(daily_return-0.03/252),0)*sqrt(252) END,6) AS sharpe_excess "
+        "FROM dr WHERE daily_return<>0 GROUP BY book",
+        **CURVE,
+    )
+    add(
+        "p7_longest_deepening",
+        lambda s, d: p.longest_deepening(nav(s, d), K, INITIAL),
+        "SELECT book, CAST(coalesce(max(date-since),0) AS INTEGER) AS max_days FROM l1 GROUP BY book",
+        **CURVE,
+    )
+    add(
+        "p8_curve_summary",
+        lambda s, d: rounded(p.curve_summary(ret(s, d), K), "book", places=5),
+        "SELECT book, count(*) AS n, min(date) AS first_date, max(date) AS last_date, round(max(nav),5) AS max_nav, "
+        "round(min(nav),5) AS min_nav, round(avg(daily_return),5) AS avg_return FROM dr GROUP BY book",
+        **CURVE,
+    )
+    add(
+        "p9_compare",
+        lambda s, d: p.compare(p.total_return(nav(s, d), K, INITIAL)).select("book", "place"),
+        "SELECT book, CAST(row_number() OVER (ORDER BY last(nav ORDER BY date) DESC NULLS LAST, book) AS INTEGER) AS place FROM nav GROUP BY book",
+    )
     us = _cost_sql("US")
     f4 = lambda *c: [F.col(x).cast("float").alias(x) for x in c]
     s4 = lambda *c: ", ".join(f"CAST({x} AS FLOAT) AS {x.split('.')[-1]}" for x in c)
-    add("p10_trade_summary", lambda s, d: p.trade_summary(b.trades(s, d), K).select("book", "n", "n_buy", "n_sell", *f4("sum_value", "avg_value", "max_value", "min_value", "sum_cost")), f"SELECT book, n, n_buy, n_sell, {s4('sum_value', 'avg_value', 'max_value', 'min_value', 'sum_cost')} FROM (SELECT book, count(*) AS n, count(*) FILTER (side='BUY') AS n_buy, count(*) FILTER (side='SELL') AS n_sell, sum(value) AS sum_value, avg(value) AS avg_value, max(value) AS max_value, min(value) AS min_value, sum(cost) AS sum_cost FROM ct GROUP BY book)", **us)
-    add("p11_realised", lambda s, d: p.realised(b.trades(s, d), K).select("book", "instrument_id", "n_sells", "winners", "losers", F.round("pnl", 3).alias("pnl")), "SELECT s.book, s.instrument_id, count(*) AS n_sells, count(*) FILTER (pnl>0) AS winners, count(*) FILTER (pnl<0) AS losers, round(sum(pnl),3) AS pnl FROM (SELECT t.book, t.instrument_id, (t.price-coalesce(c.avg_cost,t.price))*t.shares AS pnl FROM trades t LEFT JOIN buys c ON t.book=c.book AND t.instrument_id=c.instrument_id WHERE t.side='SELL') s GROUP BY 1, 2", buys="SELECT book, instrument_id, sum(price*shares)/sum(shares) AS avg_cost FROM trades WHERE side='BUY' GROUP BY 1, 2")
+    add(
+        "p10_trade_summary",
+        lambda s, d: p.trade_summary(b.trades(s, d), K).select("book", "n", "n_buy", "n_sell", *f4("sum_value", "avg_value", "max_value", "min_value", "sum_cost")),
+        f"SELECT book, n, n_buy, n_sell, {s4('sum_value', 'avg_value', 'max_value', 'min_value', 'sum_cost')} "
+        f"FROM (SELECT book, count(*) AS n, count(*) FILTER (side='BUY') AS n_buy, count(*) FILTER (side='SELL') AS n_sell, "
+        f"sum(value) AS sum_value, avg(value) AS avg_value, max(value) AS max_value, min(value) AS min_value, sum(cost) AS sum_cost FROM ct "
+        f"GROUP BY book)",
+        **us,
+    )
+    add(
+        "p11_realised",
+        lambda s, d: p.realised(b.trades(s, d), K).select("book", "instrument_id", "n_sells", "winners", "losers", F.round("pnl", 3).alias("pnl")),
+        "SELECT s.book, s.instrument_id, count(*) AS n_sells, count(*) FILTER (pnl>0) AS winners, count(*) FILTER (pnl<0) AS losers, "
+        "round(sum(pnl),3) AS pnl FROM (SELECT t.book, t.instrument_id, (t.price-coalesce(c.avg_cost,t.price))*t.shares AS pnl "
+        "FROM trades t LEFT JOIN buys c ON t.book=c.book AND t.instrument_id=c.instrument_id WHERE t.side='SELL') s GROUP BY 1, 2",
+        buys="SELECT book, instrument_id, sum(price*shares)/sum(shares) AS avg_cost FROM trades WHERE side='BUY' GROUP BY 1, 2",
+    )
     slip = lambda s, d: b.trades(s, d).where("side = 'SELL'").withColumn("signal_price", F.col("price") * (1 + (F.col("trade_id") % 7 - 3) / 100.0))
-    add("p12_slippage", lambda s, d: rounded(p.slippage_stats(slip(s, d), K), "book"), "SELECT book, round(avg(CASE WHEN x>0 THEN 1.0::DOUBLE ELSE 0 END),6) AS win_rate, round(avg(x) FILTER (x>0),6) AS avg_profit, round(avg(-x) FILTER (x<0),6) AS avg_loss, round((avg(x) FILTER (x>0))/nullif(avg(-x) FILTER (x<0),0),6) AS profit_ratio FROM (SELECT book, price/(price*(1+(trade_id%7-3)/100.0::DOUBLE))-1 AS x FROM trades WHERE side='SELL') GROUP BY book")
+    add(
+        "p12_slippage",
+        lambda s, d: rounded(p.slippage_stats(slip(s, d), K), "book"),
+        "SELECT book, round(avg(CASE WHEN x>0 THEN 1.0::DOUBLE ELSE 0 END),6) AS win_rate, round(avg(x) FILTER (x>0),6) AS avg_profit, "
+        "round(avg(-x) FILTER (x<0),6) AS avg_loss, round((avg(x) FILTER (x>0))/nullif(avg(-x) FILTER (x<0),0),6) AS profit_ratio "
+        "FROM (SELECT book, price/(price*(1+(trade_id%7-3)/100.0::DOUBLE))-1 AS x FROM trades WHERE side='SELL') GROUP BY book",
+    )
     for m in ("CN", "US", "HK"):
-        add(f"p13_costs_{m.lower()}", lambda s, d, m=m: p.costs(b.trades(s, d), m).select("trade_id", *f4("commission", "stamp", "transfer", "cost")), f"SELECT trade_id, {s4('commission', 'stamp', 'transfer', 'cost')} FROM ct", **_cost_sql(m))
-    add("p14_fills_open", lambda s, d: p.fills(orders(s, d), b.bars(s, d), "open", 5.0).select("instrument_id", "date", "side", "fill_date", F.col("fill_price").cast("float").alias("fill_price"), "status"), "SELECT o.instrument_id, o.date, o.side, n.fd AS fill_date, CAST(n.px*CASE WHEN o.side='BUY' THEN 1.0005 ELSE 0.9995 END AS FLOAT) AS fill_price, CASE WHEN n.fd IS NULL THEN 'rejected' ELSE 'filled' END AS status FROM ord o JOIN nxt n ON o.instrument_id=n.instrument_id AND o.date=n.date", ord=ORDERS, nxt="SELECT instrument_id, date, lead(date) OVER w AS fd, lead(open) OVER w AS px FROM bars WINDOW w AS (PARTITION BY instrument_id ORDER BY date)")
-    add("p14_fills_limit", lambda s, d: p.fills(orders(s, d), b.bars(s, d), "limit").groupBy("side", "status").agg(F.count("*").alias("n")), "SELECT o.side, CASE WHEN n.fd IS NULL THEN 'rejected' WHEN (o.side='BUY' AND n.lo<=o.limit_price) OR (o.side='SELL' AND n.hi>=o.limit_price) THEN 'filled' ELSE 'unfilled' END AS status, count(*) AS n FROM ord o JOIN nxt n ON o.instrument_id=n.instrument_id AND o.date=n.date GROUP BY 1, 2", ord=ORDERS, nxt="SELECT instrument_id, date, lead(date) OVER w AS fd, lead(low) OVER w AS lo, lead(high) OVER w AS hi FROM bars WINDOW w AS (PARTITION BY instrument_id ORDER BY date)")
-    add("p15_positions", lambda s, d: p.positions(b.trades(s, d), K).select("trade_id", "shares_after"), "SELECT trade_id, CAST(sum(CASE WHEN side='BUY' THEN shares ELSE -shares END) OVER (PARTITION BY book, instrument_id ORDER BY date, trade_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS shares_after FROM trades")
-    add("p15_book_value", lambda s, d: p.book_value(b.trades(s, d), b.bars(s, d), K, INITIAL).select("book", "date", F.round("cash", 5).alias("cash"), F.col("position_value").cast("float").alias("position_value")),
+        add(
+            f"p13_costs_{m.lower()}",
+            lambda s, d, m=m: p.costs(b.trades(s, d), m).select("trade_id", *f4("commission", "stamp", "transfer", "cost")),
+            f"SELECT trade_id, {s4('commission', 'stamp', 'transfer', 'cost')} FROM ct",
+            **_cost_sql(m),
+        )
+    add(
+        "p14_fills_open",
+        lambda s, d: p.fills(orders(s, d), b.bars(s, d), "open", 5.0).select("instrument_id", "date", "side", "fill_date", F.col("fill_price").cast("float").alias("fill_price"), "status"),
+        "SELECT o.instrument_id, o.date, o.side, n.fd AS fill_date, CAST(n.px*CASE WHEN o.side='BUY' THEN 1.0005 ELSE 0.9995 END AS FLOAT) AS fill_price, CASE WHEN n.fd IS NULL THEN 'rejected' ELSE 'filled' END AS status "
+        "FROM ord o JOIN nxt n ON o.instrument_id=n.instrument_id AND o.date=n.date",
+        ord=ORDERS,
+        nxt="SELECT instrument_id, date, lead(date) OVER w AS fd, lead(open) OVER w AS px FROM bars WINDOW w AS (PARTITION BY instrument_id ORDER BY date)",
+    )
+    add(
+        "p14_fills_limit",
+        lambda s, d: p.fills(orders(s, d), b.bars(s, d), "limit").groupBy("side", "status").agg(F.count("*").alias("n")),
+        "SELECT o.side, CASE WHEN n.fd IS NULL THEN 'rejected' WHEN (o.side='BUY' AND n.lo<=o.limit_price) OR (o.side='SELL' AND n.hi>=o.limit_price) THEN 'filled' ELSE 'unfilled' END AS status, "
+        "count(*) AS n FROM ord o JOIN nxt n ON o.instrument_id=n.instrument_id AND o.date=n.date GROUP BY 1, 2",
+        ord=ORDERS,
+        nxt="SELECT instrument_id, date, lead(date) OVER w AS fd, lead(low) OVER w AS lo, lead(high) OVER w AS hi "
+        "FROM bars WINDOW w AS (PARTITION BY instrument_id ORDER BY date)",
+    )
+    add(
+        "p15_positions",
+        lambda s, d: p.positions(b.trades(s, d), K).select("trade_id", "shares_after"),
+        "SELECT trade_id, CAST(sum(CASE WHEN side='BUY' THEN shares ELSE -shares END) OVER (PARTITION BY book, instrument_id "
+        "ORDER BY date, trade_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS shares_after FROM trades",
+    )
+    add(
+        "p15_book_value",
+        lambda s, d: p.book_value(b.trades(s, d), b.bars(s, d), K, INITIAL).select("book", "date", F.round("cash", 5).alias("cash"), F.col("position_value").cast("float").alias("position_value")),
         "SELECT c.book, c.date, round(c.cash,5) AS cash, CAST(v.pv AS FLOAT) AS position_value FROM cash c JOIN val v ON c.book=v.book AND c.date=v.date",
-        fl="SELECT book, date, sum(CASE WHEN side='BUY' THEN -shares*price ELSE shares*price END) AS f FROM trades GROUP BY 1, 2", cash=f"SELECT book, date, 1000000+sum(f) OVER {_W} AS cash FROM fl",
+        fl="SELECT book, date, sum(CASE WHEN side='BUY' THEN -shares*price ELSE shares*price END) AS f FROM trades GROUP BY 1, 2",
+        cash=f"SELECT book, date, 1000000+sum(f) OVER {_W} AS cash FROM fl",
         mv="SELECT book, instrument_id, date, sum(CASE WHEN side='BUY' THEN shares ELSE -shares END) AS d FROM trades GROUP BY 1, 2, 3",
-        sh="SELECT h.book, h.instrument_id, c.date, sum(coalesce(m.d,0)) OVER (PARTITION BY h.book, h.instrument_id ORDER BY c.date ROWS UNBOUNDED PRECEDING) AS shares FROM (SELECT DISTINCT book, instrument_id FROM mv) h JOIN fl c ON h.book=c.book LEFT JOIN mv m ON m.book=h.book AND m.instrument_id=h.instrument_id AND m.date=c.date",
-        val="SELECT s.book, s.date, sum(s.shares*coalesce(b.close,0)) AS pv FROM sh s ASOF LEFT JOIN bars b ON s.instrument_id=b.instrument_id AND s.date>=b.date GROUP BY 1, 2")
+        sh="SELECT h.book, h.instrument_id, c.date, sum(coalesce(m.d,0)) OVER (PARTITION BY h.book, h.instrument_id "
+            "ORDER BY c.date ROWS UNBOUNDED PRECEDING) AS shares FROM (SELECT DISTINCT book, instrument_id "
+            "FROM mv) h JOIN fl c ON h.book=c.book LEFT JOIN mv m ON m.book=h.book AND m.instrument_id=h.instrument_id AND m.date=c.date",
+        val="SELECT s.book, s.date, sum(s.shares*coalesce(b.close,0)) AS pv FROM sh s ASOF "
+            "LEFT JOIN bars b ON s.instrument_id=b.instrument_id AND s.date>=b.date GROUP BY 1, 2",
+    )
     hold = lambda s, d: b.bars(s, d).select("instrument_id", "date", (F.col("close") * F.col("volume")).alias("value"))
-    add("p16_sector_weights", lambda s, d: rounded(p.sector_weights(hold(s, d), b.sectors(s, d)), "date", "sector"), "SELECT date, sector, round(v/nullif(sum(v) OVER (PARTITION BY date),0),6) AS weight FROM (SELECT date, coalesce(sector,'Unknown') AS sector, sum(close*volume) AS v FROM sectored GROUP BY 1, 2)")
-    add("p16_largest_position", lambda s, d: rounded(p.largest_position(hold(s, d)), "date"), "SELECT date, round(max(close*volume)/nullif(sum(close*volume),0),6) AS largest_pct FROM bars GROUP BY date")
+    add(
+        "p16_sector_weights",
+        lambda s, d: rounded(p.sector_weights(hold(s, d), b.sectors(s, d)), "date", "sector"),
+        "SELECT date, sector, round(v/nullif(sum(v) OVER (PARTITION BY date),0),6) AS weight "
+        "FROM (SELECT date, coalesce(sector,'Unknown') AS sector, sum(close*volume) AS v FROM sectored GROUP BY 1, 2)",
+    )
+    add(
+        "p16_largest_position",
+        lambda s, d: rounded(p.largest_position(hold(s, d)), "date"),
+        "SELECT date, round(max(close*volume)/nullif(sum(close*volume),0),6) AS largest_pct FROM bars GROUP BY date",
+    )
 
     rules = [(n, params) for n, (params, _) in RULES.items()]
-    add("r1_gate", lambda s, d: risk.gate(gated_signals(s, d), rules).select("instrument_id", "date", "direction", "reject_rule"), f"SELECT instrument_id, date, direction, {_FIRST} AS reject_rule FROM sg", **GATE)
+    add(
+        "r1_gate",
+        lambda s, d: risk.gate(gated_signals(s, d), rules).select("instrument_id", "date", "direction", "reject_rule"),
+        f"SELECT instrument_id, date, direction, {_FIRST} AS reject_rule FROM sg",
+        **GATE,
+    )
     numbers = {"universe": "r2_universe", "duplicate": "r2_duplicate", "position_size": "r3_position_size", "max_positions": "r4_max_positions", "min_capital": "r5_min_capital", "sector_concentration": "r6_sector_concentration", "liquidity": "r7_liquidity", "price_limit": "r8_price_limit", "sector_neutral": "r9_sector_neutral"}
     for rule, name in numbers.items():
-        add(name, lambda s, d, rule=rule: gated_signals(s, d).where(risk.RULES.find(rule)(**RULES[rule][0])).select("instrument_id", "date"), f"SELECT instrument_id, date FROM sg WHERE {RULES[rule][1]}", **GATE)
-    add("r10_drawdown_halt", lambda s, d: risk.halts(p.drawdowns(nav(s, d), K, INITIAL), K, 0.01, 0.005).select("book", "date", "halted"), f"SELECT book, date, coalesce(last(CASE WHEN drawdown>0.01 THEN true WHEN drawdown<=0.005 THEN false END IGNORE NULLS) OVER {_W},false) AS halted FROM dd", **CURVE)
-    add("r11_gate_stats", lambda s, d: rounded(risk.gate_stats(risk.gate(gated_signals(s, d), rules))), "SELECT CAST(sum(n) AS BIGINT) AS total, CAST(coalesce(sum(n) FILTER (r IS NOT NULL),0) AS BIGINT) AS rejected, round(coalesce(sum(n) FILTER (r IS NOT NULL)/CAST(sum(n) AS DOUBLE),0),6) AS rejection_rate, first(r ORDER BY n DESC, r) FILTER (r IS NOT NULL) AS most_common FROM (SELECT r, count(*) AS n FROM g GROUP BY r)", **GATE, g=f"SELECT {_FIRST} AS r FROM sg")
+        add(
+            name,
+            lambda s, d, rule=rule: gated_signals(s, d).where(risk.RULES.find(rule)(**RULES[rule][0])).select("instrument_id", "date"),
+            f"SELECT instrument_id, date FROM sg WHERE {RULES[rule][1]}",
+            **GATE,
+        )
+    add(
+        "r10_drawdown_halt",
+        lambda s, d: risk.halts(p.drawdowns(nav(s, d), K, INITIAL), K, 0.01, 0.005).select("book", "date", "halted"),
+        f"SELECT book, date, coalesce(last(CASE WHEN drawdown>0.01 THEN true WHEN drawdown<=0.005 THEN false END IGNORE NULLS) OVER {_W},false) AS halted "
+        f"FROM dd",
+        **CURVE,
+    )
+    add(
+        "r11_gate_stats",
+        lambda s, d: rounded(risk.gate_stats(risk.gate(gated_signals(s, d), rules))),
+        "SELECT CAST(sum(n) AS BIGINT) AS total, CAST(coalesce(sum(n) FILTER (r IS NOT NULL),0) AS BIGINT) AS rejected, "
+        "round(coalesce(sum(n) FILTER (r IS NOT NULL)/CAST(sum(n) AS DOUBLE),0),6) AS rejection_rate, first(r ORDER BY n DESC, "
+        "r) FILTER (r IS NOT NULL) AS most_common FROM (SELECT r, count(*) AS n FROM g GROUP BY r)",
+        **GATE,
+        g=f"SELECT {_FIRST} AS r FROM sg",
+    )
 
     # ingest and sources
-    add("s3_load_bars", lambda s, d: ingest.load_bars(b.bars(s, d), "1997-06-01", "1998-06-30", ["S000001", "S000002"]).select("instrument_id", "date", F.col("close").cast("float").alias("close"), "adj_factor"), "SELECT instrument_id, date, CAST(close*(adj_factor/last(adj_factor) OVER (PARTITION BY instrument_id ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS FLOAT) AS close, adj_factor FROM bars WHERE date BETWEEN DATE '1997-06-01' AND DATE '1998-06-30' AND instrument_id IN ('S000001','S000002')")
-    add("s5_select_events", lambda s, d: ingest.select_rows(b.components(s, d), "1997-01-01", "1999-12-31"), "SELECT instrument_id, date, event FROM components WHERE date BETWEEN DATE '1997-01-01' AND DATE '1999-12-31'")
-    add("s6_select_intraday", lambda s, d: ingest.select_rows(b.intraday(s, d), "2024-01-05 00:00:00", "2024-01-06 12:00:00", ["click", "view"]).select("instrument_id", "date", "close", "volume"), "SELECT instrument_id, date, close, volume FROM intraday WHERE date BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-06 12:00:00' AND instrument_id IN ('click','view')")
+    add(
+        "s3_load_bars",
+        lambda s, d: ingest.load_bars(b.bars(s, d), "1997-06-01", "1998-06-30", ["S000001", "S000002"]).select("instrument_id", "date", F.col("close").cast("float").alias("close"), "adj_factor"),
+        "SELECT instrument_id, date, CAST(close*(adj_factor/last(adj_factor) OVER (PARTITION BY instrument_id "
+        "ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS FLOAT) AS close, adj_factor FROM bars "
+        "WHERE date BETWEEN DATE '1997-06-01' AND DATE '1998-06-30' AND instrument_id IN ('S000001','S000002')",
+    )
+    add(
+        "s5_select_events",
+        lambda s, d: ingest.select_rows(b.components(s, d), "1997-01-01", "1999-12-31"),
+        "SELECT instrument_id, date, event FROM components WHERE date BETWEEN DATE '1997-01-01' AND DATE '1999-12-31'",
+    )
+    add(
+        "s6_select_intraday",
+        lambda s, d: ingest.select_rows(b.intraday(s, d), "2024-01-05 00:00:00", "2024-01-06 12:00:00", ["click", "view"]).select("instrument_id", "date", "close", "volume"),
+        "SELECT instrument_id, date, close, volume FROM intraday "
+        "WHERE date BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-06 12:00:00' AND instrument_id IN ('click','view')",
+    )
     add("s7_instrument_ids", lambda s, d: ingest.instrument_ids(b.bars(s, d)), "SELECT DISTINCT instrument_id FROM bars")
-    add("s8_date_range", lambda s, d: ingest.date_range(b.bars(s, d), "S000001"), "SELECT min(date) AS first_date, max(date) AS last_date FROM bars WHERE instrument_id='S000001'")
+    add(
+        "s8_date_range",
+        lambda s, d: ingest.date_range(b.bars(s, d), "S000001"),
+        "SELECT min(date) AS first_date, max(date) AS last_date FROM bars WHERE instrument_id='S000001'",
+    )
 
     def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
         """Bars up to a day, then all from half a year before it with doubled volume, through the stored table."""
@@ -173,18 +336,42 @@ def queries_and_sql() -> tuple[dict, dict]:
         "SELECT instrument_id, date, close FROM bars WHERE instrument_id='S000004' AND year(date)=1998",
     )
     half = lambda df: df.where("date <= DATE'1999-06-30' AND instrument_id <> 'S000003'")
-    add("s11_newer", lambda s, d: ingest.newer(b.bars(s, d), ingest.high_water(half(b.bars(s, d)))).select("instrument_id", "date"), "SELECT b.instrument_id, b.date FROM bars b LEFT JOIN (SELECT instrument_id, max(date) AS h FROM bars WHERE date<=DATE '1999-06-30' AND instrument_id<>'S000003' GROUP BY 1) m ON b.instrument_id=m.instrument_id WHERE h IS NULL OR b.date>h")
-    add("s12_dataset_state", lambda s, d: ingest.dataset_state(b.bars(s, d)), "SELECT count(*) AS n_rows, min(date) AS first_date, max(date) AS last_date, count(DISTINCT instrument_id) AS n_instruments FROM bars")
+    add(
+        "s11_newer",
+        lambda s, d: ingest.newer(b.bars(s, d), ingest.high_water(half(b.bars(s, d)))).select("instrument_id", "date"),
+        "SELECT b.instrument_id, b.date FROM bars b LEFT JOIN (SELECT instrument_id, max(date) AS h FROM bars "
+        "WHERE date<=DATE '1999-06-30' AND instrument_id<>'S000003' GROUP BY 1) m ON b.instrument_id=m.instrument_id "
+        "WHERE h IS NULL OR b.date>h",
+    )
+    add(
+        "s12_dataset_state",
+        lambda s, d: ingest.dataset_state(b.bars(s, d)),
+        "SELECT count(*) AS n_rows, min(date) AS first_date, max(date) AS last_date, count(DISTINCT instrument_id) AS n_instruments FROM bars",
+    )
     add("s12_last_dates", lambda s, d: ingest.high_water(b.bars(s, d)), "SELECT instrument_id, max(date) AS hwm FROM bars GROUP BY instrument_id")
     raw = lambda s, d: b.components(s, d).select("instrument_id", F.date_format("date", "yyyy-MM-dd").alias("event_date"), F.col("event").alias("event_type"), F.lit("x").alias("event_details"))
     add("s13_renamed", lambda s, d: ingest.renamed(raw(s, d), "US", "components"), "SELECT instrument_id, date, event, 'x' AS details FROM components")
     codes = lambda s, d: b.read(s, d, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 3 == 0, "sse").when(F.col("s_suppkey") % 3 == 1, "SZ").otherwise("HKEX").alias("exchange"), F.lpad(F.col("s_suppkey").cast("string"), 6, "0").alias("ticker"), F.concat(F.lpad(F.col("s_suppkey").cast("string"), 6, "0"), F.lit(".SH")).alias("code"))
-    add("s15_instrument_ids", lambda s, d: codes(s, d).select("s_suppkey", ingest.id_cn("exchange", "ticker").alias("cn"), ingest.id_us("exchange").alias("us"), ingest.id_from_code("code").alias("from_code"), ingest.id_from_code("code", False).alias("bare")), "SELECT s_suppkey, CASE s_suppkey%3 WHEN 0 THEN 'SH' WHEN 1 THEN 'SZ' END || lpad(CAST(s_suppkey AS VARCHAR),6,'0') AS cn, CASE s_suppkey%3 WHEN 0 THEN 'SSE' WHEN 1 THEN 'SZ' ELSE 'HKEX' END AS us, 'SH'||lpad(CAST(s_suppkey AS VARCHAR),6,'0')||'.SH' AS from_code, 'SH'||lpad(CAST(s_suppkey AS VARCHAR),6,'0') AS bare FROM supplier")
+    add(
+        "s15_instrument_ids",
+        lambda s, d: codes(s, d).select("s_suppkey", ingest.id_cn("exchange", "ticker").alias("cn"), ingest.id_us("exchange").alias("us"), ingest.id_from_code("code").alias("from_code"), ingest.id_from_code("code", False).alias("bare")),
+        "SELECT s_suppkey, CASE s_suppkey%3 WHEN 0 THEN 'SH' WHEN 1 THEN 'SZ' END || lpad(CAST(s_suppkey AS VARCHAR),6,'0') AS cn, CASE s_suppkey%3 WHEN 0 THEN 'SSE' WHEN 1 THEN 'SZ' ELSE 'HKEX' END AS us, 'SH'||lpad(CAST(s_suppkey AS VARCHAR),6,'0')||'.SH' AS from_code, 'SH'||lpad(CAST(s_suppkey AS VARCHAR),6,'0') AS bare "
+        "FROM supplier",
+    )
     members = lambda s, d: b.read(s, d, "supplier").where("s_suppkey % 3 = 0").select(F.concat(F.lit("s"), F.lpad(F.col("s_suppkey").cast("string"), 6, "0")).alias("ticker"), F.when(F.col("s_suppkey") % 2 == 0, "SP500").otherwise("OTHER").alias("index_id"))
     prices = lambda s, d: b.bars(s, d).withColumn("ticker", F.lower("ticker"))
-    add("s16_us_bars", lambda s, d: ingest.us_bars(prices(s, d), members(s, d)).select("instrument_id", "date", "close", "adj_factor"), "SELECT instrument_id, date, close, 1.0::DOUBLE AS adj_factor FROM bars WHERE CAST(substr(instrument_id,2) AS INTEGER)%6=0")
+    add(
+        "s16_us_bars",
+        lambda s, d: ingest.us_bars(prices(s, d), members(s, d)).select("instrument_id", "date", "close", "adj_factor"),
+        "SELECT instrument_id, date, close, 1.0::DOUBLE AS adj_factor FROM bars WHERE CAST(substr(instrument_id,2) AS INTEGER)%6=0",
+    )
     stocks = lambda s, d: codes(s, d).withColumn("ticker", b.instrument("s_suppkey"))
-    add("s17_cn_bars", lambda s, d: ingest.cn_bars(b.bars(s, d), stocks(s, d)).select("instrument_id", "date", "close"), "SELECT CASE CAST(substr(instrument_id,2) AS INTEGER)%3 WHEN 0 THEN 'SH' ELSE 'SZ' END||instrument_id AS instrument_id, date, close FROM bars WHERE CAST(substr(instrument_id,2) AS INTEGER)%3<>2")
+    add(
+        "s17_cn_bars",
+        lambda s, d: ingest.cn_bars(b.bars(s, d), stocks(s, d)).select("instrument_id", "date", "close"),
+        "SELECT CASE CAST(substr(instrument_id,2) AS INTEGER)%3 WHEN 0 THEN 'SH' ELSE 'SZ' END||instrument_id AS instrument_id, date, "
+        "close FROM bars WHERE CAST(substr(instrument_id,2) AS INTEGER)%3<>2",
+    )
 
     def hours(spark: SparkSession, sf_dir: str) -> DataFrame:
         """Hourly bars, those of clicks in a second batch with higher closes as well, and the same as 5-minute bars."""
@@ -200,23 +387,73 @@ def queries_and_sql() -> tuple[dict, dict]:
         """SELECT upper(instrument_id) AS instrument_id, date AS datetime, CAST(date AS DATE) AS date,
         CASE WHEN instrument_id='click' THEN close+1 ELSE close END AS close FROM intraday""",
     )
-    add("s19_index_closes", lambda s, d: ingest.index_closes(b.benchmark_px(s, d).withColumn("index_id", F.lit("ALL"))).select("instrument_id", "date", F.col("close").cast("float").alias("close")), "SELECT 'ALL' AS instrument_id, date, CAST(close AS FLOAT) AS close FROM benchmark_px")
+    add(
+        "s19_index_closes",
+        lambda s, d: ingest.index_closes(b.benchmark_px(s, d).withColumn("index_id", F.lit("ALL"))).select("instrument_id", "date", F.col("close").cast("float").alias("close")),
+        "SELECT 'ALL' AS instrument_id, date, CAST(close AS FLOAT) AS close FROM benchmark_px",
+    )
     changes = lambda s, d: b.components(s, d).where("event IN ('SP500_ADD', 'DELIST')").select(F.col("instrument_id").alias("ticker"), F.col("date").alias("change_date"), F.when(F.col("event") == "DELIST", "REMOVED").otherwise("ADDED").alias("change_type"))
-    add("s20_listing_events", lambda s, d: ingest.listing_events(changes(s, d), b.bars(s, d)).select("instrument_id", "date", "event"), "SELECT instrument_id, date, CASE event WHEN 'DELIST' THEN 'DELIST' ELSE 'IPO' END AS event FROM components WHERE event IN ('SP500_ADD','DELIST') UNION ALL SELECT instrument_id, min(date), 'IPO' FROM bars WHERE instrument_id NOT IN (SELECT instrument_id FROM components WHERE event='SP500_ADD') GROUP BY instrument_id")
+    add(
+        "s20_listing_events",
+        lambda s, d: ingest.listing_events(changes(s, d), b.bars(s, d)).select("instrument_id", "date", "event"),
+        "SELECT instrument_id, date, CASE event WHEN 'DELIST' THEN 'DELIST' ELSE 'IPO' END AS event FROM components "
+        "WHERE event IN ('SP500_ADD','DELIST') UNION ALL SELECT instrument_id, min(date), 'IPO' FROM bars "
+        "WHERE instrument_id NOT IN (SELECT instrument_id FROM components WHERE event='SP500_ADD') GROUP BY instrument_id",
+    )
     dated = lambda s, d: b.components(s, d).groupBy("instrument_id").agg(F.max(F.when(F.col("event") == "IPO", F.col("date"))).alias("list_date"), F.max(F.when(F.col("event") == "DELIST", F.col("date"))).alias("delist_date"))
-    add("s21_full_universe", lambda s, d: ingest.full_universe_events(dated(s, d), b.components(s, d)), "SELECT instrument_id, date, CASE event WHEN 'IPO' THEN 'CSI800_ADDED' WHEN 'DELIST' THEN 'CSI800_REMOVED' ELSE event END AS event FROM components UNION ALL SELECT instrument_id, date, event FROM components WHERE event IN ('IPO','DELIST')")
-    add("s22_static_sectors", lambda s, d: ingest.static_sectors(b.sectors(s, d).where("date = DATE'1995-01-01'").withColumn("gics_sector", F.when(F.col("sector") != "NATION_3", F.col("sector")))), "SELECT instrument_id, DATE '2000-01-01' AS date, sector, sector AS sector_name FROM sectors WHERE date=DATE '1995-01-01' AND sector<>'NATION_3'")
+    add(
+        "s21_full_universe",
+        lambda s, d: ingest.full_universe_events(dated(s, d), b.components(s, d)),
+        "SELECT instrument_id, date, CASE event WHEN 'IPO' THEN 'CSI800_ADDED' WHEN 'DELIST' THEN 'CSI800_REMOVED' ELSE event END AS event "
+        "FROM components UNION ALL SELECT instrument_id, date, event FROM components WHERE event IN ('IPO','DELIST')",
+    )
+    add(
+        "s22_static_sectors",
+        lambda s, d: ingest.static_sectors(b.sectors(s, d).where("date = DATE'1995-01-01'").withColumn("gics_sector", F.when(F.col("sector") != "NATION_3", F.col("sector")))),
+        "SELECT instrument_id, DATE '2000-01-01' AS date, sector, sector AS sector_name FROM sectors WHERE date=DATE '1995-01-01' AND sector<>'NATION_3'",
+    )
     income = lambda s, d: b.fundamentals(s, d).select(F.col("instrument_id").alias("ticker"), F.col("end_date").alias("period_end"), F.col("date").alias("ann_date"), (F.month("end_date") / 3).cast("int").alias("financial_type"), "total_revenue", "net_income", (F.col("net_income") / 1e6).alias("diluted_eps"))
     extra = lambda s, d: b.fundamentals(s, d).select(F.col("instrument_id").alias("ticker"), F.col("end_date").alias("period_end"), "roe").where("month(end_date) <> 6")
-    add("s24_us_fundamentals", lambda s, d: rounded(ingest.us_fundamentals(income(s, d), extra(s, d)).select("instrument_id", "date", "eps_ttm", "revenue_yoy", "net_income_yoy", "roe"), "instrument_id", "date"), "SELECT instrument_id, date, round(CASE WHEN count(net_income) OVER w=4 THEN sum(net_income/1e6) OVER w END,6) AS eps_ttm, round(revenue_yoy,6) AS revenue_yoy, round(net_income_yoy,6) AS net_income_yoy, round(CASE WHEN month(end_date)<>6 THEN roe END,6) AS roe FROM fundamentals WINDOW w AS (PARTITION BY instrument_id ORDER BY end_date ROWS 3 PRECEDING)")
+    add(
+        "s24_us_fundamentals",
+        lambda s, d: rounded(ingest.us_fundamentals(income(s, d), extra(s, d)).select("instrument_id", "date", "eps_ttm", "revenue_yoy", "net_income_yoy", "roe"), "instrument_id", "date"),
+        "SELECT instrument_id, date, round(CASE WHEN count(net_income) OVER w=4 THEN sum(net_income/1e6) OVER w END,6) AS eps_ttm, "
+        "round(revenue_yoy,6) AS revenue_yoy, round(net_income_yoy,6) AS net_income_yoy, "
+        "round(CASE WHEN month(end_date)<>6 THEN roe END,6) AS roe "
+        "FROM fundamentals WINDOW w AS (PARTITION BY instrument_id ORDER BY end_date ROWS 3 PRECEDING)",
+    )
     cn = lambda s, d: b.fundamentals(s, d).select(F.concat(F.substring("instrument_id", 2, 6), F.when(F.col("instrument_id") == "S000001", ".XX").otherwise(".SZ")).alias("ts_code"), "end_date", F.col("date").alias("ann_date"), "total_revenue", "roe")
-    add("s25_cn_fundamentals", lambda s, d: rounded(ingest.cn_fundamentals(cn(s, d).drop("roe"), cn(s, d).drop("total_revenue")).select("instrument_id", "date", "end_date", "roe"), "instrument_id", "date"), "SELECT 'SZ'||substr(instrument_id,2)||'.SZ' AS instrument_id, date, end_date, round(roe,6) AS roe FROM fundamentals WHERE instrument_id<>'S000001'")
-    add("s27_item_list", lambda s, d: ingest.item_list(payloads(s, d).drop("flat"), "raw", {"value": 1, "absent": 2, "user": 3}), "SELECT event_id, value, CAST(NULL AS DOUBLE) AS absent, CAST(user_id AS DOUBLE) AS user FROM events".replace(" AS user", ' AS "user"'))
-    add("s28_flat_payload", lambda s, d: ingest.flat_payload(payloads(s, d).drop("raw"), "flat", {"k": "k", "z": "z"}), "SELECT event_id, TRY_CAST(json_extract_string(props,'$.k') AS DOUBLE) AS k, CAST(NULL AS DOUBLE) AS z FROM events")
+    add(
+        "s25_cn_fundamentals",
+        lambda s, d: rounded(ingest.cn_fundamentals(cn(s, d).drop("roe"), cn(s, d).drop("total_revenue")).select("instrument_id", "date", "end_date", "roe"), "instrument_id", "date"),
+        "SELECT 'SZ'||substr(instrument_id,2)||'.SZ' AS instrument_id, date, end_date, round(roe,6) AS roe FROM fundamentals WHERE instrument_id<>'S000001'",
+    )
+    add(
+        "s27_item_list",
+        lambda s, d: ingest.item_list(payloads(s, d).drop("flat"), "raw", {"value": 1, "absent": 2, "user": 3}),
+        "SELECT event_id, value, CAST(NULL AS DOUBLE) AS absent, CAST(user_id AS DOUBLE) AS user FROM events".replace(" AS user", ' AS "user"'),
+    )
+    add(
+        "s28_flat_payload",
+        lambda s, d: ingest.flat_payload(payloads(s, d).drop("raw"), "flat", {"k": "k", "z": "z"}),
+        "SELECT event_id, TRY_CAST(json_extract_string(props,'$.k') AS DOUBLE) AS k, CAST(NULL AS DOUBLE) AS z FROM events",
+    )
     stored = T.StructType([T.StructField("o_orderkey", T.LongType()), T.StructField("o_totalprice", T.DoubleType())])
-    add("s1_scan", lambda s, d: ingest.scan(s, f"{d}/orders.parquet", stored).unionByName(ingest.scan(s, f"{d}/no_such_table", stored)), "SELECT o_orderkey, o_totalprice FROM orders")
-    add("s4_bars_for_instrument", lambda s, d: ingest.load_bars(b.bars(s, d), ids=["S000002"], columns=["close", "volume"]).select("instrument_id", "date", "close", "volume"), "SELECT instrument_id, date, close, volume FROM bars WHERE instrument_id='S000002'")
-    add("s14_dates_from_text", lambda s, d: ingest.dates_from_text(b.bars(s, d).select("instrument_id", F.when(F.col("volume") % 9 == 0, "n/a").otherwise(F.date_format("date", "yyyy-MM-dd")).alias("date"), "close")), "SELECT instrument_id, CASE WHEN volume%9<>0 THEN date END AS date, close FROM bars")
+    add(
+        "s1_scan",
+        lambda s, d: ingest.scan(s, f"{d}/orders.parquet", stored).unionByName(ingest.scan(s, f"{d}/no_such_table", stored)),
+        "SELECT o_orderkey, o_totalprice FROM orders",
+    )
+    add(
+        "s4_bars_for_instrument",
+        lambda s, d: ingest.load_bars(b.bars(s, d), ids=["S000002"], columns=["close", "volume"]).select("instrument_id", "date", "close", "volume"),
+        "SELECT instrument_id, date, close, volume FROM bars WHERE instrument_id='S000002'",
+    )
+    add(
+        "s14_dates_from_text",
+        lambda s, d: ingest.dates_from_text(b.bars(s, d).select("instrument_id", F.when(F.col("volume") % 9 == 0, "n/a").otherwise(F.date_format("date", "yyyy-MM-dd")).alias("date"), "close")),
+        "SELECT instrument_id, CASE WHEN volume%9<>0 THEN date END AS date, close FROM bars",
+    )
     source = lambda s, d: b.bars(s, d).select("instrument_id", F.date_format("date", "yyyy-MM-dd").alias("trade_date"), "ticker", F.col("open").alias("open_price"), F.col("high").alias("high_price"), F.col("low").alias("low_price"), F.col("close").alias("close_price"), "volume", "adj_factor")
 
     def ingested(dataset: str, source, columns: list[str]):  # noqa: ANN001, ANN202
@@ -234,7 +471,11 @@ def queries_and_sql() -> tuple[dict, dict]:
 
     known = "instrument_id IN (SELECT instrument_id FROM bars WHERE instrument_id<>'S000007' UNION SELECT instrument_id FROM components WHERE event='SP500_ADD')"
     assigned = lambda s, d: b.sectors(s, d).select("instrument_id", F.date_format("date", "yyyy-MM-dd").alias("assign_date"), F.col("sector").alias("sector_code"), "sector_name")
-    add("s23_mapped_ingest", ingested("daily", source, ["instrument_id", "date", "close", "volume"]), f"SELECT instrument_id, date, close, volume FROM bars WHERE {known}")
+    add(
+        "s23_mapped_ingest",
+        ingested("daily", source, ["instrument_id", "date", "close", "volume"]),
+        f"SELECT instrument_id, date, close, volume FROM bars WHERE {known}",
+    )
     add("s23_components", ingested("components", raw, ["instrument_id", "date", "event"]), f"SELECT instrument_id, date, event FROM components WHERE {known}")
     add("s23_sectors", ingested("sectors", assigned, ["instrument_id", "date", "sector"]), f"SELECT instrument_id, date, sector FROM sectors WHERE {known}")
     add(
@@ -255,7 +496,12 @@ def queries_and_sql() -> tuple[dict, dict]:
         UNION ALL SELECT 'column volume is string, not bigint', count(*) FILTER (volume%5=0) FROM bars""",
     )
     daily_value = lambda s, d: b.valuation(s, d).select(F.concat(F.substring("instrument_id", 2, 6), F.lit(".SZ")).alias("ts_code"), F.col("date").alias("trade_date"), "pe_ttm", "pb")
-    add("s26_cn_valuation", lambda s, d: rounded(ingest.cn_valuation(daily_value(s, d), "1996-01-01", "1997-12-31"), "instrument_id", "date"), "SELECT 'SZ'||substr(instrument_id,2)||'.SZ' AS instrument_id, date, round(pe_ttm,6) AS pe_ttm, round(pb,6) AS pb FROM valuation WHERE date BETWEEN DATE '1996-01-01' AND DATE '1997-12-31'")
+    add(
+        "s26_cn_valuation",
+        lambda s, d: rounded(ingest.cn_valuation(daily_value(s, d), "1996-01-01", "1997-12-31"), "instrument_id", "date"),
+        "SELECT 'SZ'||substr(instrument_id,2)||'.SZ' AS instrument_id, date, round(pe_ttm,6) AS pe_ttm, round(pb,6) AS pb FROM valuation "
+        "WHERE date BETWEEN DATE '1996-01-01' AND DATE '1997-12-31'",
+    )
 
     def results(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         """Trades, signals, a curve and a comparison, each with a key and a value."""
@@ -294,7 +540,11 @@ def queries_and_sql() -> tuple[dict, dict]:
         UNION ALL SELECT instrument_id||'|'||date||'|'||direction, price, 'signals' FROM sg UNION ALL SELECT book||'|'||date, round(nav,6), 'curve' FROM nav
         UNION ALL SELECT CAST(book AS VARCHAR), CAST(row_number() OVER (ORDER BY last(nav ORDER BY date) DESC NULLS LAST, book) AS DOUBLE), 'comparison' FROM nav GROUP BY book""",
     )
-    add("s31_names", lambda s, d: ingest.with_names(b.read(s, d, "supplier").select(b.instrument("s_suppkey").alias("ticker")), b.read(s, d, "supplier").where("s_suppkey % 2 = 0").select(b.instrument("s_suppkey").alias("ticker"), F.col("s_name").alias("company_name"))), "SELECT 'S'||lpad(CAST(s_suppkey AS VARCHAR),6,'0') AS ticker, CASE WHEN s_suppkey%2=0 THEN s_name END AS company_name FROM supplier")
+    add(
+        "s31_names",
+        lambda s, d: ingest.with_names(b.read(s, d, "supplier").select(b.instrument("s_suppkey").alias("ticker")), b.read(s, d, "supplier").where("s_suppkey % 2 = 0").select(b.instrument("s_suppkey").alias("ticker"), F.col("s_name").alias("company_name"))),
+        "SELECT 'S'||lpad(CAST(s_suppkey AS VARCHAR),6,'0') AS ticker, CASE WHEN s_suppkey%2=0 THEN s_name END AS company_name FROM supplier",
+    )
 
     def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
         """Bars that land in two lots, the second with late rows of the first's years, through the upserting stream."""
