@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-from factorlake.plans import combo_queries, factor_queries, ledger_queries, study_queries
+from factorlake.plans import combo_queries, factor_queries, ledger_queries, registry_queries, study_queries
 
-MODULES = [factor_queries, combo_queries, study_queries, ledger_queries]
+MODULES = [factor_queries, combo_queries, study_queries, ledger_queries, registry_queries]
 
 
 @lru_cache(maxsize=1)
