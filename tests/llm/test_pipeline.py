@@ -26,6 +26,8 @@ def folder(spark, tmp_path_factory):
     docs += [(300, near), (301, near + " more"), (302, near)]
     docs += [(400, f"{sentence(30)} {item} {sentence(30)}")]
     docs += [(None, sentence(50)), (500, None), (501, "")]
+    alike = sentence(70)
+    docs += [(None, f"{item} {sentence(40)}"), (600, alike), (None, alike), (None, alike + " end"), (601, sentence(40)), (601, near + " again"), docs[0]]
     spark.createDataFrame([(i, t, "en", None, len(t or "")) for i, t in docs], COLUMNS).write.parquet(f"{at}/documents.parquet")
     spark.createDataFrame([(i, int(i < 60), 0) for i, _ in docs if i is not None and i < 140], "doc_id bigint, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
     spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{at}/benchmark.parquet")
@@ -38,6 +40,11 @@ def test_stages_take_effect(spark, folder):
     for name, stage in corpus_pipeline.STAGES:
         docs = corpus_pipeline.kept(stage(spark, docs, folder), "test")
         kept.append({r.doc_id for r in docs.select("doc_id").collect()})
+        if name == "n-gram Jaccard join":
+            ids = [r.doc_id for r in docs.select("doc_id").collect()]
+            assert all(ids.count(i) == 1 for i in (0, 300, 600, 601)) and ids.count(None) == 2
+        if name == "benchmark decontamination":
+            assert docs.where("doc_id is null").count() == 1
         if name != "packing":
             assert docs.columns == corpus_pipeline.COLUMNS
         if name == "line dedup":
