@@ -418,6 +418,35 @@ def test_packing(docs, empty):
 # 7 ------------------------------------------------------------------------------------------
 def brute_lines(table, min_docs=5):
     key = lambda line: lower(line.strip(" \t\n\x0b\f\r"))
+def plain_boundaries_cost(tops, counts, k):
+    """The least padding, by trying every start of every bucket."""
+    m = len(tops)
+    cost = lambda s, i: sum(n * (tops[i - 1] - t) for t, n in zip(tops[s:i], counts[s:i], strict=True))
+    best = [0] + [math.inf] * m
+    for _ in range(min(k, m)):
+        best = [0] + [min(best[s] + cost(s, i) for s in range(i)) for i in range(1, m + 1)]
+    return best[m]
+
+
+def test_boundaries_are_optimal_among_long_lengths():
+    for seed in range(6):
+        rng = np.random.default_rng(seed)
+        tops = np.sort(rng.choice(65_536, 60, replace=False)) + 1
+        counts = rng.integers(1, 10**6, 60)
+        for k in (1, 2, 5, 16):
+            assert padding(tops.tolist(), counts.tolist(), packing.optimal_boundaries(tops, counts, k)) == plain_boundaries_cost(tops.tolist(), counts.tolist(), k)
+    start = time.process_time()
+    assert len(packing.optimal_boundaries(np.arange(1, 65_537), np.random.default_rng(1).integers(1, 10**7, 65_536), 16)) == 16
+    assert time.process_time() - start < 30
+
+
+def test_rows_over_the_budget_are_alone(spark):
+    df = spark.createDataFrame([(i, n, "x") for i, n in enumerate([3, 5, 5, 90, 70, None, 10, 10])], "doc_id bigint, n bigint, source string")
+    got = {r.doc_id: r for r in packing.pack(df, ["doc_id"], F.col("n"), n_buckets=2, budget=20).collect()}
+    assert all(got[i].padded_length == got[i].length and got[i].slot == 0 and got[i].bucket == 2 for i in (3, 4)) and got[3].batch != got[4].batch
+    assert {got[i].padded_length for i in (0, 1, 2, 5)} == {5} and {got[i].padded_length for i in (6, 7)} == {10}
+
+
     where = collections.defaultdict(set)
     for i, t in table:
         for line in (t or "").split("\n"):
