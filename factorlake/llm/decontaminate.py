@@ -18,7 +18,7 @@ SEED_BLOCK = 2_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Seeds are k words in order with at most s words between them; the first kind that fits an item's size is taken.
 KINDS = ((3, 2), (2, 1), (1, 0))
-#: Pairs of a seed in a document and one in an item that are handled at once; a document's are not parted.
+#: Pairs of a seed in a document and one in an item that are handled at once, about; those of one document and item are not parted.
 HITS = 2_000_000
 
 
@@ -98,6 +98,8 @@ class _Block:
         number = np.searchsorted(self.keys, gram)
         order = np.argsort(number, kind="stable")
         self.item, self.pos, self.first = item[order], pos[order], np.searchsorted(number[order], np.arange(len(self.keys) + 1))
+        #: Ascending: the seed's number, then its item.
+        self.place = number[order] * len(self.ids) + self.item
 
     def hits(self, words: np.ndarray, doc_of: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         """Document, place there, item and place there of like seeds, in groups of whole documents."""
@@ -117,9 +119,14 @@ class _Block:
         s = 0
         for e in [*starts[1:], len(doc)]:
             if e > s and (e == len(doc) or total[e - 1] - total[s] + times[s] > HITS):
-                t, first = times[s:e], self.first[which[s:e]]
-                entry = np.repeat(first - np.cumsum(t) + t, t) + np.arange(t.sum())
-                yield np.repeat(doc[s:e], t), np.repeat(at[s:e], t), self.item[entry], self.pos[entry]
+                # what is over HITS, of one document mostly, is parted by items: pairs stay whole
+                parts = min(len(self.ids), 1 + int(times[s:e].sum()) // HITS)
+                edges = np.linspace(0, len(self.ids), parts + 1).astype(np.int64)
+                for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                    first, last = (np.searchsorted(self.place, which[s:e] * len(self.ids) + x) for x in (lo, hi))
+                    t = last - first
+                    entry = np.repeat(first - np.cumsum(t) + t, t) + np.arange(t.sum())
+                    yield np.repeat(doc[s:e], t), np.repeat(at[s:e], t), self.item[entry], self.pos[entry]
                 s = e
 
     def windows(self, words: np.ndarray, ends: np.ndarray, doc_of: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
@@ -165,7 +172,7 @@ def _aligned(docs: DataFrame, block: _Block, threshold: float) -> DataFrame:
             words, doc_of = np.concatenate(each), np.repeat(np.arange(len(each)), [len(w) for w in each])
             for group in _alike(own.windows(words, ends, doc_of), own.size):
                 doc, item, seeds, lo, hi = (np.array(c, dtype=np.int64) for c in zip(*group, strict=True))
-                score, end = smith_waterman([own.words[i].view(np.int64) >> 2 for i in item], [words[s:e].view(np.int64) >> 2 for s, e in zip(lo, hi, strict=True)])
+                score, end = smith_waterman([_signed(own.words[i]) for i in item], [_signed(words[s:e]) for s, e in zip(lo, hi, strict=True)])
                 share = score / (MATCH * own.size[item])
                 good = np.flatnonzero(score >= np.array([least_score(m, threshold) for m in own.size[item]]))
                 place = end + lo - np.where(doc > 0, ends[doc - 1], 0)
@@ -198,6 +205,11 @@ def _alike(windows: Iterable[tuple[int, ...]], size: np.ndarray, at_once: int =
     yield from groups(some)
 
 
+def _signed(words: np.ndarray) -> np.ndarray:
+    """Hashes without their lowest bit, none of them negative, as what pads an alignment is."""
+    return (words >> np.uint64(1)).view(np.int64)
+
+
 def smith_waterman(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Best local alignment score of every item with its window, and the window place just after it.
 
@@ -207,7 +219,6 @@ def smith_waterman(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[
     a, b = np.full((n, rows), -1, dtype=np.int64), np.full((n, columns), -2, dtype=np.int64)
     for i, (x, y) in enumerate(zip(items, windows, strict=True)):
         a[i, : len(x)], b[i, : len(y)] = x, y
-    # what pads stands for no word: hashes are shifted off -1 and -2
     best, end = np.zeros(n, dtype=np.int32), np.zeros(n, dtype=np.int32)
     before = np.zeros((n, rows + 1), dtype=np.int32)
     last = np.zeros((n, rows + 1), dtype=np.int32)

@@ -542,6 +542,22 @@ def test_quality_on_held_out_rows(spark):
     assert np.mean(held) > 0.97 and len(scored) == 303 and all(0 <= s <= 1 for s in scored.values())
     assert scored[5000] == scored[5001]
 
+def test_hits_are_parted_by_items(spark, monkeypatch):
+    few = VOCABULARY[:6]
+    items = [(k, " ".join(RNG.choice(few, 8))) for k in range(20)]
+    table = [(k, " ".join(RNG.choice(few, 50))) for k in range(10)]
+    dfs = spark.createDataFrame(table, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    want = {(i, k): score for i, t in table for k, x in items if (score := brute_score(x, t)) >= 0.4}
+    block = decontaminate._Block([i for i, _ in items], [words.plain_words(t) for _, t in items], 0.4)
+    each = [words.plain_words(t) for _, t in table]
+    all_words, doc_of = np.concatenate(each), np.repeat(np.arange(10), [len(w) for w in each])
+    whole = [np.concatenate(c) for c in zip(*block.hits(all_words, doc_of), strict=True)]
+    monkeypatch.setattr(decontaminate, "HITS", 100)
+    parted = [np.concatenate(c) for c in zip(*block.hits(all_words, doc_of), strict=True)]
+    assert sorted(zip(*whole, strict=True)) == sorted(zip(*parted, strict=True))
+    assert {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(*dfs).collect()} == pytest.approx(want)
+
+
 
 def test_quality_without_labels(spark, empty):
     docs = spark.createDataFrame([(1, "x")], "doc_id bigint, text string")
