@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +15,9 @@ from factorlake.llm.scratch import bounded_batches
 
 #: Labelled rows of each class that a model is fitted on, at most; the bound of what reaches the driver.
 SAMPLE_ROWS = 1500
+#: Stretches of BLOCK characters, evenly spread, that a sampled text longer than all of them gives to the fit.
+#: With SAMPLE_ROWS this bounds the bytes that reach the driver.
+SAMPLE_BLOCKS = 8
 #: Bytes of one compressed block: a whole text is scored block by block, so that the dictionary
 #: matters in every part of it and a text of any length takes the same memory.
 BLOCK = 2048
@@ -88,21 +91,31 @@ def dictionary(texts: list[bytes]) -> zstandard.ZstdCompressionDict:
         return zstandard.ZstdCompressionDict(b"\n".join(pieces)[-DICT_BYTES:] or b" ", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
+def stretches(text: Column) -> Column:
+    """The whole text, or SAMPLE_BLOCKS stretches of it where it is longer than these."""
+    n = F.char_length(text)
+    some = F.transform(F.sequence(F.lit(0), F.lit(SAMPLE_BLOCKS - 1)), lambda i: F.substring(text, F.floor(i * n / SAMPLE_BLOCKS).cast("int") + 1, F.lit(BLOCK)))
+    return F.when(n <= BLOCK * SAMPLE_BLOCKS, text).otherwise(F.array_join(some, ""))
+
+
 def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> CompressionModel:
-    """Fit on at most `sample_rows` labelled rows of each class, taken in the order of a hash of doc_id.
+    """Fit on at most `sample_rows` labelled documents of each class, taken in the order of a hash of doc_id.
 
     Half of each sample makes the dictionary of its class, the other half the calibration, which
     weighs the classes by their true share in `labels`. With one class or none the score is a constant.
-    Null labels and ids are left out; a doc_id labelled or given twice is used as often as drawn.
+    Null labels and ids are left out; a doc_id counts once per class, however often it is labelled or
+    given, with the least of its texts; of a text longer than SAMPLE_BLOCKS * BLOCK characters as many
+    stretches are used. So at most 2 * sample_rows * SAMPLE_BLOCKS * BLOCK characters reach the driver.
     """
-    known = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isin(0, 1)).select("doc_id", F.col(label_col).alias("__y"))
-    share = {r["__y"]: r["n"] for r in known.groupBy("__y").agg(F.count("*").alias("n")).collect()}  # two rows
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isin(0, 1)).groupBy("doc_id", F.col(label_col).alias("__y")).agg(F.count("*").alias("n"))
+    share = {r["__y"]: r["n"] for r in known.groupBy("__y").agg(F.sum("n").alias("n")).collect()}  # two rows
     drawn = None
     for y in (0, 1):  # a bounded top-n per class
-        part = known.where(F.col("__y") == y).orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").limit(sample_rows)
+        part = known.where(F.col("__y") == y).drop("n").orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").limit(sample_rows)
         drawn = part if drawn is None else drawn.unionByName(part)
     # at most 2 * sample_rows ids
-    rows = docs.select("doc_id", F.col(text_col).alias("__t")).join(F.broadcast(drawn), "doc_id").orderBy(F.xxhash64(F.lit(6), "doc_id"), "doc_id").limit(4 * sample_rows).collect()
+    held = docs.select("doc_id", F.col(text_col).alias("__t")).join(F.broadcast(drawn), "doc_id")
+    rows = held.groupBy("doc_id", "__y").agg(F.min(stretches(F.col("__t"))).alias("__t")).orderBy(F.xxhash64(F.lit(6), "doc_id"), "doc_id").collect()
     texts = {y: [(r["__t"] or "").encode() for r in rows if r["__y"] == y] for y in (0, 1)}
     if not texts[0] or not texts[1]:
         only = share.get(1, 0) / max(1, sum(share.values())) if share else 0.5

@@ -565,3 +565,12 @@ def test_quality_without_labels(spark, empty):
         model = quality.train(docs, spark.createDataFrame(labels, "doc_id bigint, quality int"))
         assert 0 <= quality.with_score(docs, model).first().score <= 1
     assert quality.with_score(empty, quality.CompressionModel(b" ", b" ", np.zeros(3))).count() == 0
+
+
+def test_quality_sample_is_bounded_and_counts_a_document_once(spark):
+    long = "word " * 200_000
+    docs = spark.createDataFrame([(1, long, 0.0)] + [(2, "bad ### text", 0.5)] * 50 + [(2, "another", 1.0), (3, None, 2.0)], "doc_id bigint, text string, score double")
+    labels = spark.createDataFrame([(1, 1)] * 40 + [(2, 0)] * 30 + [(3, 0), (2, 1), (4, 1)], "doc_id bigint, quality int")
+    assert docs.where("doc_id = 1").select(F.char_length(quality.stretches(F.col("text")))).first()[0] == quality.SAMPLE_BLOCKS * quality.BLOCK
+    scored = quality.with_score(docs, quality.train(docs, labels)).collect()
+    assert len(scored) == 53 and all(0 <= r.score <= 1 for r in scored)
