@@ -65,7 +65,7 @@ def write_records(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     length (long: the frame in the file), n_tokens (long) and start (long: ids of all records
     before it). Files are path/part-00000.rec and so on, in order. `path` is a URI that all
     machines reach. Null and empty texts give a record with the end id alone; null ids come
-    first; rows of one id are in the order of their texts; an empty table writes nothing.
+    first; rows of one id are in the order of a hash of their texts; an empty table writes nothing.
 
     Texts are dealt by ranges of the id and sorted there (the one shuffle); each task encodes as
     it writes, under a name of its own, and renames at its end, so that a task that runs twice
@@ -74,7 +74,9 @@ def write_records(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     spark = docs.sparkSession
     bounded_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
-    ordered = docs.select(id_col, text_col).repartitionByRange(F.col(id_col).asc_nulls_first()).sortWithinPartitions(F.col(id_col).asc_nulls_first(), text_col)
+    # the hash parts the rows of one id, or of none, among tasks
+    order = [F.col(id_col).asc_nulls_first(), F.xxhash64(F.lit(29), text_col)]
+    ordered = docs.select(id_col, text_col).repartitionByRange(*order).sortWithinPartitions(*order, text_col)
     names = [id_col, "part", "offset", "length", "n_tokens", "before"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +154,9 @@ def record_digests(index: DataFrame, path: str, id_col: str = "doc_id", span: in
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             counts, crcs = [], []
-            for ids in _read(*(b.column(k).to_numpy() for k in ("part", "offset", "length")), path, span):
+            for ids, want in zip(_read(*(b.column(k).to_numpy() for k in ("part", "offset", "length")), path, span), b.column("n_tokens").to_pylist(), strict=True):
+                if len(ids) != want:  # the index's starts are sums of these
+                    raise ValueError("record has another number of ids than its index says")
                 counts.append(len(ids))
                 crcs.append(zlib.crc32(ids.astype("<u4").tobytes()))
             yield pa.RecordBatch.from_arrays([b.column(id_col), b.column("start"), pa.array(counts, pa.int64()), pa.array(crcs, pa.int64())], names=[id_col, "start", "n_tokens", "ids_crc32"])

@@ -19,8 +19,8 @@ P = ".,!?:;#$%&*|"
 #: crosses them, so a section's tokens are its pieces' tokens. All else stays whole in its piece.
 #: Sections are what lies between the tokenizer's added tokens, where the library cuts first.
 PIECES = re.compile(f" ?[{L}]+(?=[{P}]*+(?:[{WS}]|\\Z))| ?[^{WS}]++|[{WS}]+(?![^{WS}])|[{WS}]")
-#: Pieces that one Python worker remembers, at most; longer pieces than LONG are encoded each time.
-REMEMBERED, LONG = 800_000, 64
+#: Pieces that one Python worker remembers, about, twice over: those met lately and those before; longer ones than LONG are encoded each time.
+REMEMBERED, LONG = 500_000, 64
 #: Pieces that are encoded in one run.
 RUN = 4000
 #: What WS holds.
@@ -111,20 +111,32 @@ class PieceEncoder:
     """Encodes texts by their pieces; `values` turns the ids of pieces into what is kept of each."""
 
     def __init__(self, path: str, values: Callable[[np.ndarray, np.ndarray], list]) -> None:
-        self.path, self.values, self.memory = path, values, {}
+        self.path, self.values, self.young, self.old = path, values, {}, {}
 
     def __call__(self, texts: list[str]) -> list[list]:
         """Per text the values of its pieces, in order."""
         each = [cut(self.path, t) for t in texts]
-        if len(self.memory) > REMEMBERED:
-            self.memory.clear()
-        missing = list(set().union(*each) - self.memory.keys())
+        found = [list(map(self.young.get, c)) for c in each]
+        holes = [(c, v, [i for i, x in enumerate(v) if x is None]) for c, v in zip(each, found, strict=True) if None in v]
+        missing = set()
+        for c, v, at in holes:
+            for i in at:
+                if (x := self.old.get(c[i])) is None:
+                    missing.add(c[i])
+                else:
+                    self.young[c[i]] = v[i] = x
+        missing = list(missing)
         for pieces, ids, ends in encode_pieces(self.path, missing):
-            self.memory.update(zip(pieces, self.values(ids, ends), strict=True))
-        found = [list(map(self.memory.__getitem__, c)) for c in each]
+            self.young.update(zip(pieces, self.values(ids, ends), strict=True))
+        for c, v, at in holes:
+            for i in at:
+                if v[i] is None:
+                    v[i] = self.young[c[i]]
         for p in missing:
             if len(p) > LONG:
-                del self.memory[p]
+                del self.young[p]
+        if len(self.young) > REMEMBERED:  # pieces met again live on, the others go with the next turn
+            self.old, self.young = self.young, {}
         return found
 
 
@@ -140,14 +152,15 @@ def encoder(path: str, kind: str) -> PieceEncoder:
 
 
 def balanced(texts: Iterable[str], limit: int = 1 << 20) -> Iterator[list[str]]:
-    """Consecutive texts in groups of about `limit` characters; longer texts are alone."""
+    """Consecutive texts in groups of about `limit` bytes of UTF-8; longer texts are alone."""
     group, size = [], 0
     for t in texts:
-        if group and size + len(t) > limit:
+        own = len(t) if t.isascii() else len(t.encode())
+        if group and size + own > limit:
             yield group
             group, size = [], 0
         group.append(t)
-        size += len(t)
+        size += own
     if group:
         yield group
 
