@@ -24,7 +24,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     as by its default. Null and empty texts have 0 bytes and tokens; null ids and repeated rows
     pass through row by row; an empty table gives an empty table; other columns are not carried.
 
-    Arrow batches are bounded in bytes, are encoded in groups of about a million characters,
+    Arrow batches are bounded in bytes, are encoded in groups of about a million bytes,
     texts longer than PART in parts cut at safe boundaries, and only lengths go back.
     """
     bounded_batches(docs.sparkSession)
