@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from factorlake.llm.components import components
 from factorlake.llm.scratch import bounded_batches, discard, kept
-from factorlake.llm.words import exact_words, ngrams
+from factorlake.llm.words import distinct, exact_words, ngrams
 
 #: Counters of the frequency sketch, and of one of its chunks: a table of fixed size for any input.
 SKETCH, CHUNK = 1 << 21, 1 << 10
@@ -28,7 +28,7 @@ PART_BITS = 8
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
     """Sorted distinct shingle hashes; a text of fewer words has one shingle, one without words none."""
-    return np.unique(ngrams(exact_words(text or ""), width))
+    return distinct(ngrams(exact_words(text or ""), width))
 
 
 def facts(docs: DataFrame, width: int) -> DataFrame:

@@ -131,6 +131,24 @@ def test_bounds_hold():
         assert (low <= q @ x.T).all() and (q @ x.T <= high).all()
 
 
+# words --------------------------------------------------------------------------------------
+def test_word_hashes_tell_words_apart(monkeypatch):
+    alphabet = list("ab\x00é日. \t\n\x0b\x0c\r\x1c\xa0")
+    seen = {}
+    for chunk in (1 << 20, 7):
+        monkeypatch.setattr(words, "CHUNK", chunk)
+        for _ in range(300):
+            text = "".join(RNG.choice(alphabet, RNG.integers(0, 60))) + ("x" * int(RNG.integers(1, 600)) if RNG.random() < 0.2 else "")
+            own = text.encode().lower().split()
+            hashes = words.exact_words(text)
+            assert len(hashes) == len(own)
+            for w, h in zip(own, hashes.tolist(), strict=True):
+                assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen) > 500
+    many = words.hash_words(" ".join(f"{i:x}" for i in range(200_000)).encode())
+    assert len(np.unique(many)) == 200_000 and abs(np.bincount((many >> np.uint64(56)).astype(int), minlength=256).std() / (200_000 / 256) ** 0.5 - 1) < 0.3
+
+
 # 2 ------------------------------------------------------------------------------------------
 def brute_components(table):
     """Rows of one id are one document; ids link by any of their texts."""
@@ -219,6 +237,9 @@ def test_components_of_a_chain(spark):
 
 
 # 3 ------------------------------------------------------------------------------------------
+SCANNER = secret_scan.Scanner(secret_scan.RULES)
+
+
 def brute_spans(text):
     out = []
     for k, rule in enumerate(secret_scan.RULES):
@@ -269,9 +290,6 @@ def test_pieces_give_the_library_s_tokens():
     want = [e.ids for e in t.encode_batch(cases, add_special_tokens=False)]
     assert [sum(x) for x in pieces.encoder(TOKENIZER, "count")(cases)] == [len(w) for w in want]
     assert [np.frombuffer(b"".join(x), "<u4").tolist() for x in pieces.encoder(TOKENIZER, "bytes")(cases)] == want
-SCANNER = secret_scan.Scanner(secret_scan.RULES)
-
-
 
 
 def test_white_space_before_added_tokens():
@@ -334,7 +352,7 @@ def test_frames():
 
 # 5 ------------------------------------------------------------------------------------------
 def test_shards(spark, docs, empty):
-    got = sharding.shuffle_to_shards(docs.withColumn("shard", F.lit(9)), ["doc_id", "text"], 5, part_rows=7).collect()
+    got = sharding.shuffle_to_shards(docs.withColumns({"shard": F.lit(9), "slot": F.lit(1)}), ["doc_id", "text"], 5, part_rows=7).collect()
     assert len(got) == len(rows())
     sizes = collections.Counter(r.shard for r in got)
     assert max(sizes.values()) - min(sizes.values()) <= 1 and set(sizes) == set(range(5))
@@ -400,24 +418,6 @@ def test_boundaries_are_optimal():
             assert padding(tops, counts, packing.optimal_boundaries(tops, counts, k)) == best
 
 
-def test_packing(docs, empty):
-    got = packing.pack(docs, ["doc_id"], packing.word_count(F.col("text")), n_buckets=4, budget=500).collect()
-    assert len(got) == len(rows())
-    batches = collections.defaultdict(list)
-    for r in got:
-        assert r.length <= r.padded_length
-        if r.doc_id is not None:
-            assert r.length == len(re.findall(r"[^\x20\x09-\x0D]+", texts()[r.doc_id] or ""))
-        batches[r.bucket, r.batch].append(r)
-    for group in batches.values():
-        assert len(group) == 1 or sum(r.padded_length for r in group) <= 500
-        assert sorted(r.slot for r in group) == list(range(len(group)))
-    assert packing.pack(empty, ["doc_id"], packing.word_count(F.col("text"))).count() == 0
-
-
-# 7 ------------------------------------------------------------------------------------------
-def brute_lines(table, min_docs=5):
-    key = lambda line: lower(line.strip(" \t\n\x0b\f\r"))
 def plain_boundaries_cost(tops, counts, k):
     """The least padding, by trying every start of every bucket."""
     m = len(tops)
@@ -447,6 +447,24 @@ def test_rows_over_the_budget_are_alone(spark):
     assert {got[i].padded_length for i in (0, 1, 2, 5)} == {5} and {got[i].padded_length for i in (6, 7)} == {10}
 
 
+def test_packing(docs, empty):
+    got = packing.pack(docs, ["doc_id"], packing.word_count(F.col("text")), n_buckets=4, budget=500).collect()
+    assert len(got) == len(rows())
+    batches = collections.defaultdict(list)
+    for r in got:
+        assert r.length <= r.padded_length
+        if r.doc_id is not None:
+            assert r.length == len(re.findall(r"[^\x20\x09-\x0D]+", texts()[r.doc_id] or ""))
+        batches[r.bucket, r.batch].append(r)
+    for group in batches.values():
+        assert len(group) == 1 or sum(r.padded_length for r in group) <= 500
+        assert sorted(r.slot for r in group) == list(range(len(group)))
+    assert packing.pack(empty, ["doc_id"], packing.word_count(F.col("text"))).count() == 0
+
+
+# 7 ------------------------------------------------------------------------------------------
+def brute_lines(table, min_docs=5):
+    key = lambda line: lower(line.strip(" \t\n\x0b\f\r"))
     where = collections.defaultdict(set)
     for i, t in table:
         for line in (t or "").split("\n"):
@@ -463,6 +481,15 @@ def test_line_dedup(docs, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_of_texts_with_very_many_lines(spark):
+    shared = [f"{k} is a line long enough to be counted {k} times" for k in range(40_000)]
+    table = [(i, "\n".join([f"own {i}", *shared, "", f"end {i}"])) for i in range(5)]
+    start = time.time()
+    got = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in line_dedup.dedup_lines(spark.createDataFrame(table, "doc_id bigint, text string")).collect()}
+    assert time.time() - start < 60
+    assert got == {i: (f"own {i}\n\nend {i}", 40_003, 40_000) for i in range(4)} | {4: (table[4][1], 40_003, 0)}
+
+
 def test_line_keys_keep_other_letters(spark):
     lines = ["É" + "a" * 45, "é" + "A" * 45, "K" + "k" * 45, "K" * 46]
     df = spark.createDataFrame([(x,) for x in lines], "x string")
@@ -495,15 +522,6 @@ def test_decontamination(spark, empty):
         for k, x in ITEMS:
             if i is not None and t and len(t) < 10_000:
                 want[i, k] = max(want[i, k], brute_score(x, t))
-def test_line_dedup_of_texts_with_very_many_lines(spark):
-    shared = [f"{k} is a line long enough to be counted {k} times" for k in range(40_000)]
-    table = [(i, "\n".join([f"own {i}", *shared, "", f"end {i}"])) for i in range(5)]
-    start = time.time()
-    got = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in line_dedup.dedup_lines(spark.createDataFrame(table, "doc_id bigint, text string")).collect()}
-    assert time.time() - start < 60
-    assert got == {i: (f"own {i}\n\nend {i}", 40_003, 40_000) for i in range(4)} | {4: (table[4][1], 40_003, 0)}
-
-
     want = {k: v for k, v in want.items() if v >= 0.4} | {(7, 0): 1.0}
     assert got == pytest.approx(want)
     assert decontaminate.contaminated(empty, items).count() == 0
@@ -524,6 +542,22 @@ def test_edited_and_partial_copies_beside_an_exact_one(spark):
     assert {(i, 30) for i in range(1, 8)} <= want.keys() and (8, 40) in want
 
 
+def test_hits_are_parted_by_items(spark, monkeypatch):
+    few = VOCABULARY[:6]
+    items = [(k, " ".join(RNG.choice(few, 8))) for k in range(20)]
+    table = [(k, " ".join(RNG.choice(few, 50))) for k in range(10)]
+    dfs = spark.createDataFrame(table, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    want = {(i, k): score for i, t in table for k, x in items if (score := brute_score(x, t)) >= 0.4}
+    block = decontaminate._Block([i for i, _ in items], [words.plain_words(t) for _, t in items], 0.4)
+    each = [words.plain_words(t) for _, t in table]
+    all_words, doc_of = np.concatenate(each), np.repeat(np.arange(10), [len(w) for w in each])
+    whole = [np.concatenate(c) for c in zip(*block.hits(all_words, doc_of), strict=True)]
+    monkeypatch.setattr(decontaminate, "HITS", 100)
+    parted = [np.concatenate(c) for c in zip(*block.hits(all_words, doc_of), strict=True)]
+    assert sorted(zip(*whole, strict=True)) == sorted(zip(*parted, strict=True))
+    assert {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(*dfs).collect()} == pytest.approx(want)
+
+
 def test_alignment():
     pairs = [(RNG.integers(0, 9, RNG.integers(1, 12)), RNG.integers(0, 9, RNG.integers(1, 20))) for _ in range(60)]
     got, _ = decontaminate.smith_waterman(*zip(*pairs, strict=True))
@@ -542,22 +576,6 @@ def test_quality_on_held_out_rows(spark):
     assert np.mean(held) > 0.97 and len(scored) == 303 and all(0 <= s <= 1 for s in scored.values())
     assert scored[5000] == scored[5001]
 
-def test_hits_are_parted_by_items(spark, monkeypatch):
-    few = VOCABULARY[:6]
-    items = [(k, " ".join(RNG.choice(few, 8))) for k in range(20)]
-    table = [(k, " ".join(RNG.choice(few, 50))) for k in range(10)]
-    dfs = spark.createDataFrame(table, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
-    want = {(i, k): score for i, t in table for k, x in items if (score := brute_score(x, t)) >= 0.4}
-    block = decontaminate._Block([i for i, _ in items], [words.plain_words(t) for _, t in items], 0.4)
-    each = [words.plain_words(t) for _, t in table]
-    all_words, doc_of = np.concatenate(each), np.repeat(np.arange(10), [len(w) for w in each])
-    whole = [np.concatenate(c) for c in zip(*block.hits(all_words, doc_of), strict=True)]
-    monkeypatch.setattr(decontaminate, "HITS", 100)
-    parted = [np.concatenate(c) for c in zip(*block.hits(all_words, doc_of), strict=True)]
-    assert sorted(zip(*whole, strict=True)) == sorted(zip(*parted, strict=True))
-    assert {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(*dfs).collect()} == pytest.approx(want)
-
-
 
 def test_quality_without_labels(spark, empty):
     docs = spark.createDataFrame([(1, "x")], "doc_id bigint, text string")
