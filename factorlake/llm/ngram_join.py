@@ -179,6 +179,11 @@ def suffix_filter(pairs: DataFrame, prefix: DataFrame, percent: int) -> DataFram
     return pairs.join(left.hint(GROWING), "a").join(right.hint(GROWING), "b").mapInArrow(run, "a bigint, b bigint")
 
 
+def band(n: str, percent: int) -> Column:
+    """The band of lengths that a set of n shingles is in; linked sets are in one band or in two that follow each other."""
+    return F.floor(F.log(F.col(n).cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9)
+
+
 def open_pairs(placed: DataFrame, percent: int) -> DataFrame:
     """Pairs x, y of members of one group (token, k) and of different components c, that pass the filters.
 
@@ -195,7 +200,9 @@ def open_pairs(placed: DataFrame, percent: int) -> DataFrame:
     few = rest.where(F.col("c") != F.col("main")).withColumn("i", own("few")).withColumn("j", every("all")).select("token", "k", "i", "j", F.col("y").alias("x"), F.col("c").alias("d"))
     many = rest.withColumn("j", own("all")).withColumn("i", every("few")).select("token", "k", "i", "j", "y", "c", "main")
     one_way = (F.col("c") == F.col("main")) | (F.col("x.node") < F.col("y.node"))
-    return few.join(many.hint(GROWING), ["token", "k", "i", "j"]).where((F.col("c") != F.col("d")) & one_way & possible("x", "y", percent))
+    # sets of like length share two groups of a shingle: the pair counts in that of the longer one's own band
+    one_band = F.col("k") == F.greatest(band("x.n", percent), band("y.n", percent))
+    return few.join(many.hint(GROWING), ["token", "k", "i", "j"]).where((F.col("c") != F.col("d")) & one_way & one_band & possible("x", "y", percent))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -275,7 +282,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     postings = prefix.select("node", "n", "central", F.posexplode("tokens").alias("pos", "token"))
     live = kept(postings.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token"), "live")
-    length = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9)
+    length = band("n", percent)
     spread = postings.join(live.hint(GROWING), "token").withColumn("k", F.explode(F.array(length, length + 1)))
     member = kept(spread.select("token", "k", F.struct("node", "n", "pos", "central").alias("y")), "members")
     pivots = member.groupBy("token", "k").agg(F.count("*").alias("m"), F.min("y.n").alias("least"), F.max_by("y", F.struct("y.central", -F.col("y.node"))).alias("x")).where("m > 1")

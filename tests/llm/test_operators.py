@@ -196,7 +196,8 @@ def test_near_duplicate_family_that_pivots_leave_open(spark):
 def test_open_groups_in_blocks(spark, monkeypatch):
     """Every pair of different components in a group meets once, whatever the blocks, and no pair of one component."""
     monkeypatch.setattr(ngram_join, "GROUP_BLOCK", 3)
-    placed = [(1, 1, (n, 100, 0, 0.0), 7 if n < 12 else n) for n in range(20)] + [(2, 1, (n, 100, 0, 0.0), 7) for n in range(9)] + [(3, 1, (n, 100, 0, 0.0), n % 2) for n in range(8)]
+    placed = [(1, 20, (n, 100, 0, 0.0), 7 if n < 12 else n) for n in range(20)] + [(2, 20, (n, 100, 0, 0.0), 7) for n in range(9)] + [(3, 20, (n, 100, 0, 0.0), n % 2) for n in range(8)]
+    placed += [(t, 21, *x) for t, _, *x in placed]  # 100 shingles are in band 20, and in groups of 20 and 21
     df = spark.createDataFrame(placed, "token bigint, k bigint, y struct<node: bigint, n: bigint, pos: int, central: float>, c bigint")
     got = [(r.token, *sorted((r.x.node, r.y.node))) for r in ngram_join.open_pairs(df, 80).collect()]
     want = {(t, a[0], b[0]) for t, _, a, c in placed for u, _, b, d in placed if t == u and c != d and a[0] < b[0]}
