@@ -9,10 +9,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorlake.llm import binary_records, decontaminate, line_dedup, ngram_join, packing, quality, secret_scan, sharding, token_counts, topk_search
+from factorlake.llm import binary_records, bpe, decontaminate, line_dedup, ngram_join, packing, quality, runs, secret_scan, sharding, token_counts, topk_search
 from factorlake.llm.scratch import shared_dir, table
 
-TOKENIZER = "byte_bpe_50k.json"
+TOKENIZER, WORD_TOKENIZER = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
 def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +74,36 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id, text: a tenth of the texts, by the checksum of their id, go on from some word with a few periods of the words there."""
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    d = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, words).alias("w"))
+    d = d.withColumns({"n": F.size("w"), "g": F.floor(F.col("h") / 10)}).withColumn("a", F.when(F.col("n") > 0, (F.col("g") % F.col("n")).cast("int")))
+    d = d.withColumn("p", (F.floor((F.col("n") - F.col("a")) / (F.col("g") % 8 + 3)) + 1).cast("int"))
+    rest = F.col("n") - F.col("a")
+    again = F.slice(F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.ceil(rest / F.col("p")).cast("int"))), F.lit(1), rest)
+    return d.select("doc_id", F.when(F.col("n") > 0, F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), again), " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(with_planted_runs(table(spark, sf_dir, "documents", "doc_id", "text")), min_length=6, min_exponent=4)
+    # the first of the longest: runs come by start, then period
+    best = F.try_element_at(F.filter("runs", lambda r: r["length"] == F.array_max(F.col("runs.length"))), F.lit(1))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path(WORD_TOKENIZER)
+    decoded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents", "doc_id", "text"), path), path)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 #: The words of a text in DuckDB, lower-cased in A-Z only.
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BLANKS = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
@@ -148,9 +178,34 @@ FROM d LEFT JOIN s ON d.row = s.row GROUP BY d.doc_id, d.row
 """
 
 
+#: CRC-32 of a number's digits, bit by bit, in DuckDB.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST({} AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END)), 4294967295::BIGINT)"""
+
+#: Runs as islands of words equal to those q before: all pairs of equal words of a text, for texts of moderate size.
+RUNS_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS o, {_CRC.format("doc_id")} AS h FROM documents),
+e AS (SELECT *, len(o) AS n, h // 10 AS g, (h // 10) % greatest(len(o), 1) AS a FROM d),
+f AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM e),
+w AS (SELECT row, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_concat(o[1:a], list_transform(range(a, n), lambda i: o[a + (i - a) % p + 1])) ELSE o END AS ws FROM f),
+t AS (SELECT row, n, unnest(ws) AS x, unnest(range(0, n)) AS i FROM w),
+q AS (SELECT a.row, b.i - a.i AS q, a.i FROM t a JOIN t b ON a.row = b.row AND a.x = b.x AND b.i > a.i AND 4 * (b.i - a.i) <= a.n),
+s AS (SELECT row, q, i, i - row_number() OVER (PARTITION BY row, q ORDER BY i) AS island FROM q),
+u AS (SELECT row, q, min(i) AS start, count(*) + q AS length FROM s GROUP BY row, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+r AS (SELECT row, start, length, min(q) AS period FROM u GROUP BY row, start, length),
+b AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY length DESC, start, period) AS k FROM r),
+m AS (SELECT row, count(*) AS n_runs, max(start) FILTER (k = 1) AS start, max(length) FILTER (k = 1) AS length, max(period) FILTER (k = 1) AS period,
+  string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM b GROUP BY row),
+c AS (SELECT row, string_agg(x, ' ' ORDER BY i) AS kept FROM t WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.row = t.row AND t.i >= r.start + r.period AND t.i < r.start + r.length) GROUP BY row)
+SELECT w.doc_id, coalesce(n_runs, 0) AS n_runs, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length, CAST(period AS BIGINT) AS period, CAST(1000 * length // period AS BIGINT) AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM w LEFT JOIN m ON w.row = m.row LEFT JOIN c ON w.row = c.row
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk_search, op2_ngram_join, op3_secret_scan, op4_token_counts, op5_sharding, op6_packing, op7_line_dedup, op8_decontaminate, op9_binary_records, op10_quality)}
+    return {f.__name__: f for f in (op1_topk_search, op2_ngram_join, op3_secret_scan, op4_token_counts, op5_sharding, op6_packing, op7_line_dedup, op8_decontaminate, op9_binary_records, op10_quality, op11_periodic_runs, op13_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk_search": TOPK_SQL, "op2_ngram_join": NGRAM_SQL, "op3_secret_scan": _secrets_sql(), "op7_line_dedup": LINES_SQL}
+    return {"op1_topk_search": TOPK_SQL, "op2_ngram_join": NGRAM_SQL, "op3_secret_scan": _secrets_sql(), "op7_line_dedup": LINES_SQL, "op11_periodic_runs": RUNS_SQL}

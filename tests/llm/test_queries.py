@@ -5,10 +5,12 @@ import hashlib
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 from test_operators import BASE, ITEMS, LINE, RNG, TOKENIZER, brute_components, brute_lines, brute_score, brute_spans, brute_topk, edited, lower, sentence, shingles
+from test_runs import brute_collapsed, brute_runs
 
-from factorlake.llm import pieces, queries, secret_scan
+from factorlake.llm import pieces, queries, runs, secret_scan
 
 END = "<|endoftext|>"
 
@@ -123,6 +125,36 @@ def test_quality(run):
     assert np.mean(right) > 0.95
 
 
+def planted(i, text):
+    """The words that the query finds runs in."""
+    words = runs.WORDS.findall(text)
+    h, n = zlib.crc32(str(i).encode()), len(words)
+    if h % 10 or not n:
+        return words
+    a = (h // 10) % n
+    p = 1 + (n - a) // (3 + (h // 10) % 8)
+    return words[:a] + [words[a + (k - a) % p] for k in range(a, n)]
+
+
+def test_runs(run):
+    some = 0
+    for i, r in by_id(run("op11_periodic_runs")).items():
+        words = planted(i, BY_ID[i])
+        found = brute_runs(words)
+        s, n, q = max(found, key=lambda x: (x[1], -x[0], -x[2]), default=(None, None, None))
+        assert (r.n_runs, r.start, r.length, r.period, r.exponent_milli) == (len(found), s, n, q, found and 1000 * n // q or None)
+        assert r.runs_sha256 == sha("".join(f"{s},{n},{q}\n" for s, n, q in found)) and r.collapsed_sha256 == sha(brute_collapsed(words, found))
+        some += bool(found)
+    assert some > 3
+
+
+def test_bpe(run):
+    library = pieces.tokenizer(public_tokenizers.path(queries.WORD_TOKENIZER))
+    for i, r in by_id(run("op13_bpe")).items():
+        ids = library.encode(BY_ID[i], add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False)))
+
+
 FUZZ = [END, "<|", "|>", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\xa0", "\x85", " ", "　", "​", "\x1c", "a", "word", "'s", "'ll", "don't", "é", "ß", "日本", "ж", "12", "²", ".", ",", "...", "!", "(", "#$%", "&", "|", "Ġ", "́", "😀", "٣", "﻿", "endoftext"]
 
 
