@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorlake.llm import binary_records, bpe, decontaminate, line_dedup, ngram_join, packing, quality, runs, secret_scan, sharding, token_counts, topk_search
-from factorlake.llm.scratch import shared_dir, table
+from factorlake.llm import binary_records, bpe, decontaminate, line_dedup, ngram_join, packing, prefix_trie, quality, runs, secret_scan, sharding, token_counts, topk_search
+from factorlake.llm.scratch import kept, shared_dir, table
 
 TOKENIZER, WORD_TOKENIZER = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -97,6 +97,30 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_shared_starts(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Turns, as prefix_trie.ordered() returns them, with the first ones of every conversation c those of c - c % 5; and all conversations.
+
+    How many are replaced, up to eight, says the checksum of c; all, where the other one is shorter or absent.
+    """
+    turns = kept(turns, "turns")
+    base = F.col("conv_id") - F.col("conv_id") % 5
+    h = F.when(F.col("conv_id") == base, 0).otherwise(F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9)
+    convs = turns.groupBy("conv_id").agg(F.count("*").alias("n")).select("conv_id", "n", base.alias("base"), h.alias("h"))
+    sizes = convs.where("conv_id = base").select("base", F.col("n").alias("n_base"))
+    convs = kept(convs.join(sizes, "base", "left").select("conv_id", "h", F.least("h", F.coalesce("n_base", F.lit(0))).alias("m")), "starts")
+    own = turns.join(convs, "conv_id").where("at >= h").withColumn("at", F.col("at") - F.col("h") + F.col("m"))
+    near = turns.where("conv_id % 5 = 0 AND at < 8").withColumns({"base": F.col("conv_id"), "by": F.explode(F.sequence(F.lit(-4), F.lit(4)))})
+    near = near.withColumn("conv_id", F.try_add("conv_id", F.col("by").cast("long"))).where((F.col("by") != 0) & (base == F.col("base")))
+    lent = near.join(convs, "conv_id").where("at < h")
+    names = ["conv_id", "at", "a", "b", "n_bytes"]
+    return own.select(*names).unionByName(lent.select(*names)), convs
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, convs = with_shared_starts(prefix_trie.ordered(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")))
+    return prefix_trie.trie(turns, convs)
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(WORD_TOKENIZER)
     decoded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents", "doc_id", "text"), path), path)
@@ -203,9 +227,31 @@ FROM w LEFT JOIN m ON w.row = m.row LEFT JOIN c ON w.row = c.row
 """
 
 
+#: Nodes by the turns' checksums one after another; every node is spread over its ancestors.
+TRIE_SQL = f"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS i,
+  md5(coalesce(role, '')) || md5(coalesce(text, '')) AS x, strlen(coalesce(text, '')) AS n_bytes FROM conversations WHERE conv_id IS NOT NULL),
+g AS (SELECT conv_id, conv_id - conv_id % 5 AS base, CASE WHEN conv_id % 5 = 0 THEN 0 ELSE {_CRC.format("conv_id")} % 9 END AS h, count(*) AS n FROM t GROUP BY conv_id),
+c AS (SELECT g.conv_id, g.base, g.h, least(g.h, coalesce(b.n, 0)) AS m FROM g LEFT JOIN g b ON b.conv_id = g.base),
+r AS (SELECT c.conv_id, i - h + m AS i, x, n_bytes FROM t JOIN c ON t.conv_id = c.conv_id WHERE i >= h
+  UNION ALL SELECT c.conv_id, i, x, n_bytes FROM c JOIN t ON t.conv_id = c.base WHERE i < h),
+p AS (SELECT conv_id, i + 1 AS depth, n_bytes, string_agg(x, '') OVER (PARTITION BY conv_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS node FROM r
+  UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+n AS (SELECT node, depth, count(*) AS n_convs, min(conv_id) AS conv_id, (count(*) - 1) * max(n_bytes) AS w FROM p GROUP BY node, depth),
+k AS (SELECT left(node, 64 * (depth - 1)) AS node, depth - 1 AS depth, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+l AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k ON n.node = k.node AND n.depth = k.depth),
+a AS (SELECT node, w, n_children, unnest(range(0, depth + 1)) AS d FROM l),
+s AS (SELECT left(node, 64 * d) AS node, d AS depth, sum(w) AS saved, count(*) FILTER (n_children = 0) AS leaves FROM a GROUP BY ALL),
+z AS (SELECT conv_id, max(depth) AS depth, arg_max(node, depth) AS node FROM p GROUP BY conv_id),
+e AS (SELECT node, depth, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM z GROUP BY ALL)
+SELECT l.conv_id, CAST(l.depth AS BIGINT) AS depth, q.conv_id AS parent_conv_id, l.n_convs, l.n_children, s.leaves AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM l JOIN s ON l.node = s.node AND l.depth = s.depth LEFT JOIN l q ON l.depth > 0 AND q.depth = l.depth - 1 AND q.node = left(l.node, 64 * (l.depth - 1)) LEFT JOIN e ON e.node = l.node AND e.depth = l.depth
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk_search, op2_ngram_join, op3_secret_scan, op4_token_counts, op5_sharding, op6_packing, op7_line_dedup, op8_decontaminate, op9_binary_records, op10_quality, op11_periodic_runs, op13_bpe)}
+    return {f.__name__: f for f in (op1_topk_search, op2_ngram_join, op3_secret_scan, op4_token_counts, op5_sharding, op6_packing, op7_line_dedup, op8_decontaminate, op9_binary_records, op10_quality, op11_periodic_runs, op12_prefix_trie, op13_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk_search": TOPK_SQL, "op2_ngram_join": NGRAM_SQL, "op3_secret_scan": _secrets_sql(), "op7_line_dedup": LINES_SQL, "op11_periodic_runs": RUNS_SQL}
+    return {"op1_topk_search": TOPK_SQL, "op2_ngram_join": NGRAM_SQL, "op3_secret_scan": _secrets_sql(), "op7_line_dedup": LINES_SQL, "op11_periodic_runs": RUNS_SQL, "op12_prefix_trie": TRIE_SQL}

@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from test_operators import BASE, ITEMS, LINE, RNG, TOKENIZER, brute_components, brute_lines, brute_score, brute_spans, brute_topk, edited, lower, sentence, shingles
+from test_prefix_trie import as_rows, awkward, brute_order, brute_trie
 from test_runs import brute_collapsed, brute_runs
 
 from factorlake.llm import pieces, queries, runs, secret_scan
@@ -24,6 +25,8 @@ def documents():
 
 
 DOCS = documents()
+#: Ids without a first conversation of their five, and short ones, that lose all their turns, among them.
+CONVERSATIONS = [r for r in awkward(4) if r[0] is None or r[0] >= 0 and r[0] % 10 not in (5,)] + [(305 + k, 0, "user", "alone") for k in range(1, 5)]
 BY_ID = {i: t or "" for i, t, *_ in DOCS}
 VECTORS = [(i, [float(x) for x in RNG.normal(size=8)]) for i in range(70)] + [(80, None), (81, [1.0, None]), (20, [0.5] * 8), (5, [2.0**26] + [0.0] * 7)]
 
@@ -35,6 +38,7 @@ def run(spark, tmp_path_factory):
     spark.createDataFrame(VECTORS, "vec_id bigint, embedding array<float>").write.parquet(f"{at}/embeddings.parquet")
     spark.createDataFrame([(i, int(i < 200), 0) for i in BY_ID if i >= 100], "doc_id bigint, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
     spark.createDataFrame(ITEMS, "item_id bigint, text string").write.parquet(f"{at}/benchmark.parquet")
+    spark.createDataFrame(CONVERSATIONS, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{at}/conversations.parquet")
     return lambda name: queries.queries()[name](spark, at).collect()
 
 
@@ -148,6 +152,15 @@ def test_runs(run):
     assert some > 3
 
 
+def test_trie(run):
+    given, convs = brute_order(CONVERSATIONS), {}
+    for c, turns in given.items():
+        h = zlib.crc32(str(c).encode()) % 9
+        convs[c] = turns if c % 5 == 0 else given.get(c - c % 5, [])[:h] + turns[h:]
+    assert any(not t for t in convs.values())
+    assert as_rows(run("op12_prefix_trie")) == brute_trie(convs)
+
+
 def test_bpe(run):
     library = pieces.tokenizer(public_tokenizers.path(queries.WORD_TOKENIZER))
     for i, r in by_id(run("op13_bpe")).items():
