@@ -10,10 +10,10 @@ from pyspark.sql import types as T
 
 from factorlake.plans import bindings as b
 from factorlake.plans import performance as p
-from factorlake.plans import risk
-from factorlake.plans.study_queries import rounded
+from factorlake.plans import risk, winrate
+from factorlake.plans.study_queries import CROSS, rounded
 from factorlake.sources import ingest, sinks
-from factorlake.sources.shared import new_path
+from factorlake.sources.shared import kept, new_path
 from factorlake.streaming import bars as streams
 
 INITIAL = 1_000_000.0
@@ -319,6 +319,34 @@ def queries_and_sql() -> tuple[dict, dict]:
 
     add("s9_upsert", upserted, "SELECT instrument_id, date, close, CASE WHEN date>=DATE '1998-07-01' THEN volume*2 ELSE volume END AS volume FROM bars")
 
+    def landed_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Bars that land twice, the later part of them again in a second lot, every row followed by another of its key in the same file; all upserted in one batch."""
+        landing, path = new_path(spark, "landing"), new_path(spark, "bars")
+        bars = b.bars(spark, sf_dir)
+        for lot, less in ((bars, 0), (bars.where("date >= DATE'1998-07-01'"), 10)):
+            twice = lot.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("volume", F.col("volume") - F.col("k") - less)
+            twice.repartition("instrument_id").sortWithinPartitions("instrument_id", "date", "k").drop("k").write.mode("append").parquet(landing)
+        ingest.upsert(spark, ingest.landed(spark, landing, ingest.BARS), path)
+        return spark.read.parquet(path).select("instrument_id", "date", "close", "volume")
+
+    # what came last has the smallest values: it stays by its arrival alone
+    add("s9_keep_last", landed_twice, "SELECT instrument_id, date, close, volume - CASE WHEN date>=DATE '1998-07-01' THEN 11 ELSE 1 END AS volume FROM bars")
+
+    def three_loads(spark: SparkSession, sf_dir: str) -> str:
+        """A table after three upserts that overlap; its path."""
+        path = new_path(spark, "bars")
+        bars = b.bars(spark, sf_dir)
+        for some in ("date < DATE'1996-01-01'", "date >= DATE'1995-07-01' AND date < DATE'2000-01-01'", "date >= DATE'1999-11-01'"):
+            ingest.upsert(spark, bars.where(some), path)
+        return path
+
+    add(
+        "s12_stored_state",
+        lambda s, d: ingest.stored_state(s, three_loads(s, d)),
+        "SELECT count(*) AS n_rows, min(date) AS first_date, max(date) AS last_date, count(DISTINCT instrument_id) AS n_instruments FROM bars",
+    )
+    add("s12_stored_marks", lambda s, d: ingest.stored_marks(s, three_loads(s, d)), "SELECT instrument_id, max(date) AS hwm FROM bars GROUP BY instrument_id")
+
     def stored_bars(spark: SparkSession, sf_dir: str) -> str:
         """The bars as a stored table; its path."""
         path = new_path(spark, "bars")
@@ -558,4 +586,37 @@ def queries_and_sql() -> tuple[dict, dict]:
     add("v1_upsert_stream", streamed, "SELECT instrument_id, date, close, CASE WHEN date>=DATE '1998-10-01' THEN volume+1 ELSE volume END AS volume FROM bars")
     ticks = lambda s, d: b.read(s, d, "events").select(F.col("event_type").alias("instrument_id"), "ts", F.col("event_id").alias("seq"), F.col("value").alias("price"))
     add("v2_hourly_bars", lambda s, d: streams.hourly_bars(ticks(s, d)), "SELECT instrument_id, date AS datetime, open, high, low, close, volume FROM intraday")
+
+    def streamed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Hourly bars of ticks that land in lots of six days, each taken by a run of its own that goes on from the checkpoint.
+
+        A third of a lot's last six hours comes with the next lot, within the tolerance; an eleventh
+        of the first two lots comes three lots late, beyond it.
+        """
+        landing, path, marks = (new_path(spark, x) for x in ("ticks", "hours", "marks"))
+        day = F.unix_seconds(F.col("ts").cast("timestamp")) - F.unix_seconds(F.lit("2024-01-01").cast("timestamp"))
+        lot = F.floor(day / 518_400)
+        held = F.when((F.col("seq") % 11 == 3) & (lot < 2), 3).when((F.col("seq") % 3 == 0) & (day % 518_400 >= 496_800), 1).otherwise(0)
+        dealt = kept(ticks(spark, sf_dir).select("instrument_id", F.col("ts").cast("timestamp").alias("ts"), "seq", "price", (lot + held).alias("lot")), "lots")
+        for k in range(5):
+            dealt.where(F.col("lot") == k).drop("lot").write.mode("append").parquet(landing)
+            streams.bars_stream(spark, landing, path, marks, late="12 hours").awaitTermination()
+        return spark.read.parquet(path).select("instrument_id", F.col("datetime").cast("timestamp_ntz").alias("datetime"), "open", "high", "low", "close", "volume")
+
+    STREAM = {
+        "tk": """SELECT event_type AS instrument_id, ts, event_id AS seq, value AS price, date_trunc('hour', ts) AS date, (epoch_ms(ts)//1000 - epoch_ms(TIMESTAMP '2024-01-01')//1000) AS s FROM events""",
+        "tl": """SELECT *, s//518400 + CASE WHEN seq%11=3 AND s//518400<2 THEN 3 WHEN seq%3=0 AND s%518400>=496800 THEN 1 ELSE 0 END AS lot FROM tk""",
+        "tw": "SELECT lot, max(max(ts)) OVER (ORDER BY lot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen, max(max(ts)) OVER (ORDER BY lot ROWS UNBOUNDED PRECEDING) AS now FROM tl WHERE lot<5 GROUP BY lot",
+        "tc": "SELECT tl.* FROM tl JOIN tw ON tl.lot=tw.lot WHERE (seen IS NULL OR date + INTERVAL 1 HOUR > seen - INTERVAL 12 HOUR)",
+        "sb": """SELECT instrument_id, date, first(price ORDER BY ts, seq) AS open, max(price) AS high, min(price) AS low, last(price ORDER BY ts, seq) AS close, count(*) AS volume
+          FROM tc WHERE date + INTERVAL 1 HOUR <= (SELECT max(now) FROM tw) - INTERVAL 12 HOUR GROUP BY instrument_id, date""",
+    }
+    add("v2_stream_bars", streamed_bars, "SELECT instrument_id, date AS datetime, open, high, low, close, volume FROM sb", **STREAM)
+    add(
+        "v2_stream_cross",
+        lambda s, d: rounded(winrate.ema_cross(streamed_bars(s, d).withColumnRenamed("datetime", "date")), "instrument_id", "date"),
+        "SELECT instrument_id, date, round(close,6) AS close, round(ema_s,6) AS ema_s, round(ema_l,6) AS ema_l, signal FROM cross_",
+        **STREAM,
+        **{k: CROSS[k].replace("FROM intraday", "FROM sb") for k in ("k0", "k1", "k2", "cross_")},
+    )
     return q, o

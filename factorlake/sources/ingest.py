@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factorlake.operators.adjust import adjusted
-from factorlake.sources.shared import discard, kept
 
 BARS = T.StructType([T.StructField("instrument_id", T.StringType()), T.StructField("date", T.DateType()), T.StructField("ticker", T.StringType()), *(T.StructField(c, T.DoubleType()) for c in ("open", "high", "low", "close")), T.StructField("volume", T.LongType()), T.StructField("adj_factor", T.DoubleType())])
 #: Rows of one file of a stored table, at most.
 FILE_ROWS = 5_000_000
+#: Buckets of instruments in each year of a stored table, unless its first upsert says otherwise.
+BUCKETS = 16
+#: Size of the sketches of instruments: 2^12 registers, a standard error of 1.3 %.
+SKETCH_BITS = 12
 #: Types that may stand for each other.
 ALIKE = ({"int", "bigint"}, {"float", "double"}, {"string"}, {"date"})
 
@@ -56,38 +59,132 @@ def date_range(df: DataFrame, instrument_id: str | None = None) -> DataFrame:
     return df.agg(F.min("date").alias("first_date"), F.max("date").alias("last_date"))
 
 
-def merged(old: DataFrame, new: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Old and new rows, the new one where they share a key."""
-    keys = keys or ["instrument_id", "date"]
+def merged(old: DataFrame, new: DataFrame, keys: list[str] | None = None, arrival: list[str] | None = None) -> DataFrame:
+    """Old and new rows, the new one where they share a key, and of several new ones the last by the columns of `arrival`.
+
+    Columns of `arrival` order rows as they came and are not kept. Rows that these don't order
+    are told apart by their largest values.
+    """
+    keys, arrival = keys or ["instrument_id", "date"], arrival or []
     both = old.withColumn("__seq", F.lit(0)).unionByName(new.withColumn("__seq", F.lit(1)), allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy(F.desc("__seq"), *(F.col(c).desc_nulls_last() for c in new.columns if c not in keys))
-    return both.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r", "__seq")
+    ties = [c for c in new.columns if c not in (*keys, *arrival)]
+    w = Window.partitionBy(*keys).orderBy(F.desc("__seq"), *(F.col(c).desc_nulls_last() for c in (*arrival, *ties)))
+    return both.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r", "__seq", *arrival)
+
+
+def landed(spark: SparkSession, path: str, schema: T.StructType, stream: bool = False) -> DataFrame:
+    """Rows of landing files with `arrival`: when their file was written, its name, and their place in it."""
+    rows = (spark.readStream if stream else spark.read).schema(schema).parquet(path)
+    return rows.select("*", F.struct("_metadata.file_modification_time", "_metadata.file_name", "_metadata.row_index").alias("arrival"))
+
+
+def bucket_of(key: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def in_partitions(touched: list[Row]) -> Column:
+    """Whether a row is of one of these years and buckets, in a form that prunes folders."""
+    years: dict[int, list[int]] = {}
+    for r in touched:
+        years.setdefault(r["year"], []).append(r["bucket"])
+    some = F.lit(False)
+    for y, own in years.items():
+        some = some | (F.col("year").eqNullSafe(F.lit(y)) & F.col("bucket").isin(own))
+    return some
+
+
+def upsert(spark: SparkSession, new: DataFrame, path: str, keys: list[str] | None = None, replace: bool = False, time: str = "date", arrival: list[str] | None = None, buckets: int = BUCKETS) -> None:
+    """Merge rows into a stored table by key, the last to arrive staying; rewrite the touched partitions alone.
+
+    A table lies in folders of a year and a bucket of instruments (a hash of the id; how many
+    buckets, the first upsert settles). Only folders that the new rows fall in are read, merged
+    and written again; all other files stay as they are. With `replace`, what is stored of the
+    same instruments and years goes first, whatever its keys.
+
+    `arrival` are the columns that tell which of two new rows came later; without it the column
+    `arrival`, as landed() gives it, where there is one. They are not stored.
+
+    Partitions larger than others are split among tasks, into files of at most FILE_ROWS rows,
+    sorted by instrument, so that readers of one skip the rest by statistics. The old files go
+    when all new ones are written. Then the summaries of the touched partitions follow.
+    """
+    arrival = arrival or (["arrival"] if "arrival" in new.columns else [])
+    buckets = stored_buckets(spark, path) or buckets
+    new = new.withColumns({"year": F.year(time), "bucket": bucket_of(F.col("instrument_id"), buckets)})
+    touched = new.select("year", "bucket").distinct().collect()  # as many as there are folders, at most
+    if not touched:
+        return
+    schema = new.drop(*arrival).schema
+    old = scan(spark, path, schema).where(in_partitions(touched))
+    if replace:
+        pairs = ["instrument_id", "year"]
+        old = old.join(new.select(*pairs).distinct(), pairs, "left_anti")
+    whole = merged(old, new, keys, arrival)
+    # Spark stages the new files and swaps the folders at the end of the job: the old ones can be read meanwhile
+    out = whole.hint("rebalance", "year", "bucket").sortWithinPartitions("year", "bucket", "instrument_id", time)
+    _write_partitions(out.select(*schema.names), path, "year", "bucket")
+    summarise(spark, path, schema, touched, time, buckets)
+
+
+def _write_partitions(df: DataFrame, path: str, *folders: str) -> None:
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", FILE_ROWS).partitionBy(*folders).parquet(path)
+
 
+#: What is kept of each instrument and of each partition, by year, beside the table's folders.
+MARKS = "instrument_id string, n_rows bigint, first_time {0}, last_time {0}, bucket int, year int"
+STATE = "n_rows bigint, first_time {0}, last_time {0}, instruments binary, buckets int, bucket int, year int"
 
-def upsert(spark: SparkSession, new: DataFrame, path: str, keys: list[str] | None = None, replace: bool = False, time: str = "date") -> None:
-    """Write rows by year; only the years at hand are rewritten, merged with what they hold unless `replace`.
 
-    Rows are dealt by ranges of year and instrument, so a year is many files where it is large,
-    of at most FILE_ROWS rows, and within a file rows are sorted by instrument: readers of one
-    instrument skip files and row groups by their statistics.
+def summarise(spark: SparkSession, path: str, schema: T.StructType, touched: list[Row], time: str, buckets: int) -> None:
+    """Write the summaries of some partitions anew: rows and times by instrument, and of the partition with a sketch of its instruments.
+
+    Only these partitions' rows are read; summaries of the same years' other buckets are carried over.
     """
-    new = new.withColumn("year", F.year(time))
-    if not replace:
-        old = scan(spark, path, new.schema)
-        years = [r[0] for r in new.select("year").distinct().collect()]  # a few years
-        new = merged(old.where(F.col("year").isin(years)), new, keys)
-        # old files are read and replaced: the rows have to be elsewhere before
-        new = kept(new, "staged")
-    out = new.repartitionByRange("year", "instrument_id").sortWithinPartitions("year", "instrument_id", time)
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", FILE_ROWS).partitionBy("year").parquet(path)
-    discard(new)
+    kind = schema[time].dataType.simpleString()
+    same_years = F.col("year").isin([r["year"] for r in touched]) | F.col("year").isNull()
+
+    def replaced(new: DataFrame, name: str, form: str) -> DataFrame:
+        known = T.StructType.fromDDL(form.format(kind))
+        others = scan(spark, f"{path}/{name}", known).where(same_years & ~in_partitions(touched))
+        _write_partitions(others.unionByName(new).hint("rebalance", "year"), f"{path}/{name}", "year")
+        return scan(spark, f"{path}/{name}", known).where(in_partitions(touched))
+
+    rows = scan(spark, path, schema).where(in_partitions(touched))
+    marks = rows.groupBy("year", "bucket", "instrument_id").agg(F.count("*").alias("n_rows"), F.min(time).alias("first_time"), F.max(time).alias("last_time"))
+    state = replaced(marks, "_marks", MARKS).groupBy("year", "bucket").agg(
+        F.sum("n_rows").alias("n_rows"), F.min("first_time").alias("first_time"), F.max("last_time").alias("last_time"), F.hll_sketch_agg("instrument_id", SKETCH_BITS).alias("instruments")
+    )
+    replaced(state.withColumn("buckets", F.lit(buckets)), "_state", STATE)
+
+
+def stored_buckets(spark: SparkSession, path: str) -> int | None:
+    """How many buckets a stored table has; None where there is no table."""
+    first = scan(spark, f"{path}/_state", T.StructType.fromDDL("buckets int")).select("buckets").first()
+    return first["buckets"] if first else None
+
+
+def stored_state(spark: SparkSession, path: str, time_type: str = "date") -> DataFrame:
+    """One row: n_rows, first_date, last_date, n_instruments (estimated by the sketches) of a stored table, from its summaries alone."""
+    state = scan(spark, f"{path}/_state", T.StructType.fromDDL(STATE.format(time_type)))
+    return state.agg(
+        F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"), F.min("first_time").alias("first_date"), F.max("last_time").alias("last_date"),
+        F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("instruments")), F.lit(0)).alias("n_instruments"),
+    )
+
+
+def stored_marks(spark: SparkSession, path: str, time_type: str = "date") -> DataFrame:
+    """instrument_id, hwm: the last time stored of each instrument, from the table's summaries alone."""
+    marks = scan(spark, f"{path}/_marks", T.StructType.fromDDL(MARKS.format(time_type)))
+    return marks.groupBy("instrument_id").agg(F.max("last_time").alias("hwm"))
 
 
 def read_partition(spark: SparkSession, path: str, schema: T.StructType, instrument_id: str, year: int | None = None, time: str = "date") -> DataFrame:
-    """One instrument's rows of a table that upsert() wrote, of one year or all: years are pruned as folders, instruments by statistics."""
-    stored = scan(spark, path, T.StructType([*(f for f in schema if f.name != "year"), T.StructField("year", T.IntegerType())]))
-    rows = stored.where(F.col("instrument_id") == instrument_id)
-    return (rows.where(F.col("year") == year) if year is not None else rows).orderBy(time)
+    """One instrument's rows of a table that upsert() wrote, of one year or all: years and buckets are pruned as folders, instruments by statistics."""
+    layout = [T.StructField("year", T.IntegerType()), T.StructField("bucket", T.IntegerType())]
+    rows = scan(spark, path, T.StructType([*(f for f in schema if f.name not in ("year", "bucket")), *layout])).where(F.col("instrument_id") == instrument_id)
+    if buckets := stored_buckets(spark, path):
+        rows = rows.where(F.col("bucket") == bucket_of(F.lit(instrument_id), buckets))
+    return (rows.where(F.col("year") == year) if year is not None else rows).drop("bucket").orderBy(time)
 
 
 def high_water(stored: DataFrame, time: str = "date") -> DataFrame:
@@ -148,7 +245,7 @@ def mapped_ingest(spark: SparkSession, source: DataFrame, market: str, dataset:
     rows = renamed(source, market, dataset)
     if instruments is not None:
         rows = rows.join(instruments, "instrument_id", "left_semi")
-    end = None if since or full else date_range(scan(spark, path, T.StructType([*rows.schema, T.StructField("year", T.IntegerType())]))).first()["last_date"]
+    end = None if since or full else stored_state(spark, path).first()["last_date"]
     rows = rows.where(F.col("date") > F.lit(start_after(since, full, str(end) if end else None)).cast("date"))
     upsert(spark, rows, path, MAPPED_KEYS[dataset])
 
