@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorlake.functions.registry import INDICATORS
@@ -172,24 +172,40 @@ def adv(df: DataFrame, period: int = 20) -> DataFrame:
 def _with_regression(df: DataFrame, period: int) -> DataFrame:
     """Add __slope, __r2 and __score of the regression of ln(close) on the row number over the last rows.
 
-    Window sums are differences of running sums, so a row costs the same for any period; prices
-    count from the instrument's first, which keeps the sums small. Null with fewer rows, a close
-    of 0 or less in the window, or no change in it.
+    Rows lie in blocks of `period`, and a window is the end of one block and the start of the
+    next. So its sums are a running sum from the block's start and, of the row `period` before,
+    what followed that one in its block: none holds more than `period` rows, and prices count from
+    the earlier block's first, so that digits don't wear off however long the series is. A row
+    costs the same for any period. Null with fewer rows, a close of 0 or less in the window, or no
+    change in it.
     """
-    df = df.withColumns({"__ln": F.when(F.col("close") > 0, F.ln("close")), "__k": F.row_number().over(own()).cast("double")})
-    df = df.withColumn("__y", F.col("__ln") - F.first("__ln", ignorenulls=True).over(so_far()))
-    df = df.withColumn("__moved", F.coalesce((F.col("__y") != lag("__y")).cast("int"), F.lit(0)))
-    y = F.coalesce("__y", F.lit(0.0))
-    sums = {"__n": F.count("__y"), "__sy": F.sum(y), "__syy": F.sum(y * y), "__sky": F.sum(F.col("__k") * y), "__sm": F.sum("__moved")}
-    df = df.withColumns({c: f.over(so_far()) for c, f in sums.items()})
-    back = lambda c, n: F.col(c) - F.coalesce(lag(c, n), F.lit(0))
-    full = (back("__n", period) == period) & (back("__sm", period - 1) > 0)
-    mean_y, mean_k = back("__sy", period) / period, F.col("__k") - (period - 1) / 2.0
-    df = df.withColumns({"__cov": F.when(full, back("__sky", period) / period - mean_k * mean_y), "__vy": F.when(full, back("__syy", period) / period - mean_y * mean_y)})
+    place = F.row_number().over(own()) - 1
+    df = df.withColumns({"__ln": F.when(F.col("close") > 0, F.ln("close")), "__at": place % period, "__block": F.floor(place / period)})
+    df = df.withColumn("__moved", F.coalesce((F.col("__ln") != lag("__ln")).cast("int"), F.lit(0)))
+    block = Window.partitionBy("instrument_id", "__block").orderBy("date")
+    df = df.withColumn("__o", F.first("__ln", ignorenulls=True).over(block.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    df = df.withColumn("__before", F.coalesce(lag("__o", period), F.col("__o")))
+    i = F.col("__at").cast("double")
+    y0, y1 = (F.coalesce(F.col("__ln") - F.col(o), F.lit(0.0)) for o in ("__o", "__before"))
+    ahead, so_far_ = block.rowsBetween(1, Window.unboundedFollowing), block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    # what follows a row in its block, as seen from the next block
+    rest = {"__r1": F.count("__ln"), "__ry": F.sum(y0), "__ryy": F.sum(y0 * y0), "__riy": F.sum(i * y0), "__rm": F.sum("__moved")}
+    df = df.withColumns({c: zero(f.over(ahead)) for c, f in rest.items()})
+    start = {"__s1": F.count("__ln"), "__sy": F.sum(y1), "__syy": F.sum(y1 * y1), "__siy": F.sum(i * y1), "__sm": F.sum("__moved")}
+    df = df.withColumns({c: f.over(so_far_) for c, f in start.items()})
+    df = df.withColumns({c: zero(lag(c, period)) for c in rest})
+    both = lambda c: F.col(f"__s{c}") + F.col(f"__r{c}")
+    # changes inside the window: that into its first row is none of them
+    full = (both("1") == period) & (both("m") - zero(lag("__moved", period - 1)) > 0)
+    mean = both("y") / period
+    # places count from the window's first row: the earlier block's rows lie before the later one's
+    sum_ky = F.col("__siy") + (period - 1 - i) * F.col("__sy") + F.col("__riy") - (i + 1) * F.col("__ry")
     var_k = (period * period - 1) / 12.0
+    df = df.withColumns({"__cov": F.when(full, sum_ky / period - (period - 1) / 2.0 * mean), "__vy": F.when(full, both("yy") / period - mean * mean)})
     df = df.withColumns({"__slope": F.col("__cov") / var_k, "__r2": F.when(F.col("__vy") > 0, F.least(F.lit(1.0), F.try_divide(F.col("__cov") * F.col("__cov"), F.lit(var_k) * F.col("__vy"))))})
     df = df.withColumn("__score", (F.exp(F.col("__slope") * YEAR) - 1) * 100 * F.col("__r2"))
-    return df.drop("__ln", "__k", "__y", "__moved", *sums, "__cov", "__vy")
+    return df.drop("__ln", "__at", "__block", "__moved", "__o", "__before", *rest, *start, "__cov", "__vy")
 
 
 @INDICATORS("CLENOW_SCORE")

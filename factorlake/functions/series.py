@@ -68,16 +68,18 @@ def count_in(keys: list[str], x: str | None = None) -> Column:
     return F.count(F.lit(1) if x is None else F.col(x)).over(Window.partitionBy(*keys))
 
 
-def clipped(df: DataFrame, x: str, pct: float, keys: list[str], out: str) -> DataFrame:
-    """x clipped to its nearest-rank quantiles pct and 1 - pct among the keys' rows.
+def clipped(df: DataFrame, x: str, pct: float | Column, keys: list[str], out: str) -> DataFrame:
+    """x clipped to its nearest-rank quantiles pct and 1 - pct among the keys' rows; pct is a number or, one per keys, a column.
 
     The quantile q of n sorted non-null values is the one at place round(q * (n - 1)), half up.
     """
     by_value = Window.partitionBy(*keys).orderBy(F.col(x).asc_nulls_last())
     df = df.withColumns({"__at": F.row_number().over(by_value) - 1, "__n": count_in(keys, x)})
     whole = Window.partitionBy(*keys)
-    pick = lambda q: F.max(F.when(F.col("__at") == F.floor(F.lit(q) * (F.col("__n") - 1) + 0.5), F.col(x))).over(whole)
-    df = df.withColumns({"__lo": pick(pct), "__hi": pick(1 - pct)})
+    pick = lambda q: F.max(F.when(F.col("__at") == F.floor(q * (F.col("__n") - 1) + 0.5), F.col(x))).over(whole)
+    low = pct if isinstance(pct, Column) else F.lit(pct)
+    high = 1 - pct if isinstance(pct, Column) else F.lit(1 - pct)
+    df = df.withColumns({"__lo": pick(low), "__hi": pick(high)})
     value = F.when(F.col(x).isNotNull(), F.greatest(F.least(x, "__hi"), "__lo"))
     return df.withColumn(out, value).drop("__at", "__n", "__lo", "__hi")
 

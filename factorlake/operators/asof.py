@@ -8,29 +8,39 @@ from pyspark.sql import functions as F
 KEY, TIME = "instrument_id", "date"
 
 
-def asof(left: DataFrame, right: DataFrame, columns: list[str], key: str = KEY, time: str = TIME, tie: str | None = None) -> DataFrame:
-    """Give each left row the whole latest right row of its key with time <= the left time.
+def asof_sides(left: DataFrame, sides: list[tuple[DataFrame, list[str], str | None]], key: str = KEY, time: str = TIME) -> DataFrame:
+    """Give each left row the whole latest row of every side, of its key and with time <= the left time.
 
-    A null inside that row stays null. Of several right rows at one time the last by `tie`
-    counts. One shuffle by key holds both sides; Spark has no as-of join of its own.
+    A side is (table, columns to take, tie). A null inside its row stays null; of several of its
+    rows at one time the last by its tie counts. Left and sides are one tagged union with one
+    shuffle, one sort and one window: Spark has no as-of join of its own.
     """
-    picked = right.where(F.col(time).isNotNull()).select(
-        F.col(key), F.col(time), F.lit(0).alias("__side"), (F.col(tie) if tie else F.lit(None)).cast("string").alias("__tie"),
-        F.lit(None).cast(left.select(F.struct(*left.columns)).schema[0].dataType).alias("__left"), F.struct(*columns).alias("__right"),
-    )
-    rows = left.select(
-        F.col(key), F.col(time), F.lit(1).alias("__side"), F.lit(None).cast("string").alias("__tie"),
-        F.struct(*left.columns).alias("__left"), F.lit(None).cast(picked.schema["__right"].dataType).alias("__right"),
-    )
+    own = left.select(F.struct(*left.columns)).schema[0].dataType
+    kinds = [side.select(F.struct(*columns)).schema[0].dataType for side, columns, _ in sides]
+    empty = {"__left": F.lit(None).cast(own), **{f"__right{k}": F.lit(None).cast(t) for k, t in enumerate(kinds)}}
+
+    def tagged(df: DataFrame, order: int, tie: str | None, **values) -> DataFrame:
+        return df.select(F.col(key), F.col(time), F.lit(order).alias("__side"), (F.col(tie) if tie else F.lit(None)).cast("string").alias("__tie"), *(c.alias(n) for n, c in (empty | values).items()))
+
+    rows = tagged(left, 1, None, __left=F.struct(*left.columns))
+    for k, (side, columns, tie) in enumerate(sides):
+        rows = rows.unionByName(tagged(side.where(F.col(time).isNotNull()), 0, tie, **{f"__right{k}": F.struct(*columns)}))
     w = Window.partitionBy(key).orderBy(F.col(time).asc_nulls_first(), "__side", "__tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = picked.unionByName(rows).withColumn("__found", F.last("__right", ignorenulls=True).over(w)).where("__side = 1")
-    return both.select("__left.*", *(F.col(f"__found.{c}").alias(c) for c in columns))
+    found = rows.withColumns({f"__right{k}": F.last(f"__right{k}", ignorenulls=True).over(w) for k in range(len(sides))}).where("__side = 1")
+    return found.select("__left.*", *(F.col(f"__right{k}.{c}").alias(c) for k, (_, columns, _) in enumerate(sides) for c in columns))
+
+
+def asof(left: DataFrame, right: DataFrame, columns: list[str], key: str = KEY, time: str = TIME, tie: str | None = None) -> DataFrame:
+    """asof_sides() with one side."""
+    return asof_sides(left, [(right, columns, tie)], key, time)
 
 
 def enrich(panel: DataFrame, fundamentals: DataFrame | None, valuation: DataFrame | None) -> DataFrame:
     """The panel with the latest fundamentals and, on their own, the latest valuation; either may be absent."""
+    known, sides = set(panel.columns), []
     for side, tie in ((fundamentals, "end_date"), (valuation, None)):
         if side is not None:
-            columns = [c for c in side.columns if c not in panel.columns]
-            panel = asof(panel, side, columns, tie=tie if tie in side.columns else None)
-    return panel
+            columns = [c for c in side.columns if c not in known]
+            known.update(columns)
+            sides.append((side, columns, tie if tie in side.columns else None))
+    return asof_sides(panel, sides) if sides else panel

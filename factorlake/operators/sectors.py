@@ -33,12 +33,17 @@ def names(sectors: DataFrame) -> DataFrame:
 
 
 def grouped(panel: DataFrame, groups: dict[str, list[str]] | None, overrides: dict[str, str] | None = None) -> DataFrame:
-    """Add _group: the instrument's own group, else its sector's; rows without one go. Without groups all rows are `_all`.
+    """Add _group: the instrument's own group, else its sector's; rows without one go. Without groups all rows are `_all`."""
+    return panel.withColumn("_group", group_of(groups, overrides)).where("_group is not null")
+
+
+def group_of(groups: dict[str, list[str]] | None, overrides: dict[str, str] | None = None, key: str = "instrument_id") -> Column:
+    """The group of a row by its instrument (`key`), else its sector, else null; without groups `_all`.
 
     The map is part of the query's text, so it becomes a literal, and no join.
     """
     if groups is None:
-        return panel.withColumn("_group", F.lit("_all"))
+        return F.lit("_all")
 
     def lookup(pairs: dict[str, str], key: str) -> Column:
         if not pairs:
@@ -46,4 +51,4 @@ def grouped(panel: DataFrame, groups: dict[str, list[str]] | None, overrides: di
         return F.try_element_at(F.create_map(*(F.lit(x) for kv in pairs.items() for x in kv)), F.col(key))
 
     of_sector = {s: g for g, members in groups.items() for s in members}
-    return panel.withColumn("_group", F.coalesce(lookup(overrides or {}, "instrument_id"), lookup(of_sector, "sector"))).where("_group is not null")
+    return F.coalesce(lookup(overrides or {}, key), lookup(of_sector, "sector"))

@@ -48,13 +48,35 @@ def universe(bars: DataFrame, events: DataFrame, with_events: bool = True) -> Da
     return not_halted(rows, events)
 
 
+def membership(events: DataFrame) -> DataFrame:
+    """instrument_id, since, until (exclusive; null: open): when each instrument is listed and not halted; bars don't count.
+
+    A sweep: listing and the end of a halt count up, delisting and the start of a halt down, and
+    running sums over an instrument's days of change say what holds from each to the next. An
+    instrument without a listing day is listed from the start.
+    """
+    span = listings(events)
+    change = lambda day, listed, halted: F.struct(day.alias("date"), F.lit(listed).alias("listed"), F.lit(halted).alias("halted"))
+    start = F.coalesce("ipo", F.lit("0001-01-01").cast("date"))
+    listing = span.select("instrument_id", F.explode(F.array(change(start, 1, 0), change(F.col("delist"), -1, 0))).alias("c"))
+    halting = halts(events).select("instrument_id", F.explode(F.array(change(F.col("halt"), 0, 1), change(F.col("resume"), 0, -1))).alias("c"))
+    days = listing.unionByName(halting).select("instrument_id", "c.*").where("date IS NOT NULL").groupBy("instrument_id", "date").agg(F.sum("listed").alias("listed"), F.sum("halted").alias("halted"))
+    w = Window.partitionBy("instrument_id").orderBy("date")
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = days.select("instrument_id", F.col("date").alias("since"), F.lead("date").over(w).alias("until"), F.sum("listed").over(upto).alias("listed"), F.sum("halted").over(upto).alias("halted"))
+    return swept.where("listed > 0 AND halted = 0").select("instrument_id", "since", "until")
+
+
 def listed(events: DataFrame, days: DataFrame) -> DataFrame:
     """instrument_id, date for days (date) without bars: listed by then or listing unknown, not delisted, not halted.
 
-    `days` are the days that a query asks for.
+    `days` are the days that a query asks for, part of its text; each span of membership gives its
+    own of them.
     """
-    pairs = listings(events).join(F.broadcast(days), (F.col("ipo").isNull() | (F.col("ipo") <= F.col("date"))) & (F.col("delist").isNull() | (F.col("delist") > F.col("date"))))
-    return not_halted(pairs.select("instrument_id", "date"), events)
+    asked = [r["date"] for r in days.select("date").distinct().collect() if r["date"] is not None]
+    every = F.array(*(F.lit(d) for d in sorted(asked))) if asked else F.array().cast("array<date>")
+    own = F.filter(every, lambda d: (d >= F.col("since")) & (F.col("until").isNull() | (d < F.col("until"))))
+    return membership(events).select("instrument_id", F.explode(own).alias("date"))
 
 
 def ever_added(events: DataFrame, index: str | None = None) -> DataFrame:

@@ -124,17 +124,28 @@ def score_rows(df: DataFrame, spec: Spec, *others: str) -> DataFrame:
 def latest_scores(panel: DataFrame, spec: Spec, sectors: DataFrame | None = None) -> DataFrame:
     """The scores of the last date that has any.
 
-    Only that date goes through the cross-section: the factors are written as a table, and dates
-    with complete rows are tried from the last one back, which nearly always ends at the first.
+    Only few dates go through the cross-section. The factors are written as a table; a date can
+    have scores where some group of it has a complete row and different values of each factor,
+    which one aggregate of the table tells. Of these dates the last is tried, then the two
+    before it, then four and so on: winsorising may still leave a date without a deviation.
     """
     rows = kept(factor_rows(panel, spec, sectors), "factors")
-    whole = rows.dropna(subset=[c for c in rows.columns if c.startswith("__f")])
+    own = [f"__f{i}" for i in range(len(spec.factors))]
+    complete = F.count_if(~F.exists(F.array(*own), lambda x: x.isNull()))
+    groups = rows.groupBy("date", "_group").agg(complete.alias("n"), *((F.min(f) < F.max(f)).alias(f"{f}_differs") for f in own))
+    able = groups.where(F.col("n") > 0)
+    for f in own:
+        able = able.where(f"{f}_differs")
+    able = able.select("date").distinct()
+    tried, many = None, 1
     while True:
-        last = whole.agg(F.max("date").alias("d")).first()["d"]
-        at = score_rows(rows.where(F.col("date") == F.lit(last)), spec)
-        if last is None or not at.isEmpty():
-            return at
-        whole = whole.where(F.col("date") < F.lit(last))
+        left = able.where(F.col("date") < F.lit(tried)) if tried is not None else able
+        days = [r["date"] for r in left.orderBy(F.desc("date")).limit(many).collect()]
+        at = score_rows(rows.where(F.col("date").isin(days) if days else F.lit(False)), spec)
+        last = at.agg(F.max("date").alias("d")).first()["d"] if days else None
+        if not days or last is not None:
+            return at.where(F.col("date") == F.lit(last))
+        tried, many = days[-1], min(2 * many, 1024)
 
 
 def rebalance_dates(panel: DataFrame, every: int) -> DataFrame:
@@ -178,10 +189,18 @@ def targets(chosen: DataFrame, dates: DataFrame) -> DataFrame:
 
 
 def turnover(held: DataFrame) -> DataFrame:
-    """ordinal, instrument_id, action: who enters and who leaves at each rebalance."""
-    now = held.select("instrument_id", "ordinal")
-    before = now.select("instrument_id", (F.col("ordinal") + 1).alias("ordinal"))
-    later = now.join(now.select("ordinal").distinct().withColumnRenamed("ordinal", "__o"), F.col("ordinal") + 1 == F.col("__o"), "left_semi")
-    leaves = later.select("instrument_id", (F.col("ordinal") + 1).alias("ordinal")).join(now, ["instrument_id", "ordinal"], "left_anti")
-    enters = now.join(before, ["instrument_id", "ordinal"], "left_anti")
-    return enters.withColumn("action", F.lit("BUY")).unionByName(leaves.withColumn("action", F.lit("SELL")))
+    """ordinal, instrument_id, action: who enters and who leaves at each rebalance.
+
+    A holding enters where the instrument's ordinal before isn't the one before, and leaves at the
+    next ordinal where its next isn't that one, if anything is held then: windows over one plan of
+    the holdings.
+    """
+    own = Window.partitionBy("instrument_id").orderBy("ordinal")
+    now = F.col("ordinal")
+    enters = ~F.coalesce(F.lag("ordinal").over(own) == now - 1, F.lit(False))
+    leaves = ~F.coalesce(F.lead("ordinal").over(own) == now + 1, F.lit(False))
+    marked = held.select("instrument_id", "ordinal", enters.alias("enters"), leaves.alias("leaves"))
+    each = F.array(F.struct(now.alias("ordinal"), F.when(F.col("enters"), "BUY").alias("action"), F.lit(1).alias("held")), F.struct((now + 1).alias("ordinal"), F.when(F.col("leaves"), "SELL").alias("action"), F.lit(0).alias("held")))
+    moves = marked.select("instrument_id", F.explode(each).alias("m")).select("m.ordinal", "instrument_id", "m.action", "m.held")
+    any_held = F.max("held").over(Window.partitionBy("ordinal"))
+    return moves.withColumn("__any", any_held).where("__any = 1 AND action IS NOT NULL").select("ordinal", "instrument_id", "action")

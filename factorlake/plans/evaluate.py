@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import itertools
-from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factorlake.functions.series import average_rank, lead, ratio
+from factorlake.functions.series import average_rank, clipped, lead, ratio, standardised
+from factorlake.operators.asof import asof
+from factorlake.operators.sectors import group_of, with_sector
 from factorlake.plans import combo
 from factorlake.sources.shared import kept
 
@@ -118,16 +119,15 @@ def period_returns(held: DataFrame, bars: DataFrame, cost_rate: float = 0.0, key
     is the share of weight that changes hands; net_ret is gross_ret less turnover * cost_rate.
     The holdings are written as a table in the shared folder, so that they are worked out once.
     """
-    from factorlake.operators.asof import asof
-
     at = [*keys, "ordinal"]
     held = kept(held.select(*at, "date", "instrument_id", "weight"), "held")  # read four times
     ahead = held.select(*keys, (F.col("ordinal") - 1).alias("ordinal"), F.col("date").alias("until")).distinct()
-    span = held.join(ahead, at)
-    prices = bars.select("instrument_id", "date", "close")
-    entry = asof(span.select("instrument_id", "date", *at, "until", "weight"), prices.withColumnRenamed("close", "entry"), ["entry"])
-    leave = entry.select("instrument_id", F.col("until").alias("date"), *at, F.col("date").alias("since"), "weight", "entry")
-    both = asof(leave, prices.withColumnRenamed("close", "leave"), ["leave"])
+    # a holding asks for two closes, at its start and at its end: one as-of join answers both
+    ends = F.explode(F.array(F.struct(F.col("date"), F.lit(0).alias("end")), F.struct(F.col("until").alias("date"), F.lit(1).alias("end"))))
+    asked = held.join(ahead, at).select("instrument_id", *at, "weight", F.col("date").alias("since"), ends.alias("x")).select("instrument_id", *at, "weight", "since", "x.*")
+    closes = asof(asked, bars.select("instrument_id", "date", "close"), ["close"])
+    pick = lambda k: F.max(F.when(F.col("end") == k, F.col("close")))
+    both = closes.groupBy("instrument_id", *at, "since", "weight").agg(pick(0).alias("entry"), pick(1).alias("leave"))
     gross = both.groupBy(*at, F.col("since").alias("date")).agg(F.sum(F.col("weight") * (ratio("leave", "entry") - 1)).alias("gross_ret"))
     now = held.select(*at, "instrument_id", "weight")
     before = now.select(*keys, (F.col("ordinal") + 1).alias("ordinal"), "instrument_id", F.col("weight").alias("w0"))
@@ -136,47 +136,94 @@ def period_returns(held: DataFrame, bars: DataFrame, cost_rate: float = 0.0, key
     return out.select(*at, "date", "gross_ret", "turnover", (F.col("gross_ret") - F.col("turnover") * cost_rate).alias("net_ret"))
 
 
-def _in_windows(df: DataFrame, n: int) -> DataFrame:
-    """A slowly changing table once for each window, its instruments named after the window."""
-    each = df.withColumn("__w", F.explode(F.array(*(F.lit(w) for w in range(n)))))
-    return each.withColumn("instrument_id", F.concat_ws("|", "__w", "instrument_id")).drop("__w")
+def _key(s: combo.Spec) -> str:
+    """What makes specs score and rank alike."""
+    return repr((s.factors, s.filters, s.group_by, s.overrides, s.winsorize_pct, s.sector_filter))
+
+
+def _with_filters(df: DataFrame, families: list[tuple[combo.Filter, ...]]) -> DataFrame:
+    """df once for each list of filters, as __family and instruments of their own, with the rows that pass it; a null factor fails."""
+    df = df.withColumn("__family", F.explode(F.array(*(F.lit(k) for k in range(len(families))))))
+    df = df.withColumn("instrument_id", F.concat_ws("|", "__family", "instrument_id"))
+    for k, filters in enumerate(families):
+        for t in filters:
+            before = df.columns
+            computed, name = combo.factors.compute(df, t.name, **t.params)
+            keep = (F.col("__family") != k) | F.coalesce(combo.OPERATORS[t.op](F.col(name), t.value), F.lit(False))
+            df = computed.where(keep).select(*before)
+    return df
+
+
+def ranked_scorings(panel: DataFrame, scorings: dict[str, combo.Spec], sectors: DataFrame | None = None, named: Column | None = None) -> DataFrame:
+    """scoring, instrument_id, date, _group, combo_score, rank of every different scoring, ranked among all its candidates.
+
+    `named` gives rows of one instrument different names where factors are to start anew.
+
+    One plan for all: the panel carries each different factor once, as a column, worked out in one
+    shuffle by instrument; then each row is exploded into the scorings' terms, by a table of the
+    specs that is part of the query's text, and all of them are winsorised, standardised, summed
+    and ranked by the same windows. How often the panel is read doesn't depend on how many there
+    are; filters, which change the rows a factor sees, multiply rows, once for each list of them.
+    """
+    families = [s.filters for k, s in enumerate(scorings.values()) if s.filters not in [x.filters for x in list(scorings.values())[:k]]]
+    df = panel.withColumn("__id", F.col("instrument_id"))
+    with_sectors = sectors is not None and any(s.group_by is not None or s.sector_filter is not None for s in scorings.values())
+    df = with_sector(df, sectors) if with_sectors else df.withColumn("sector", F.lit(None).cast("string"))
+    df = _with_filters(df.withColumn("instrument_id", named) if named is not None else df, families)
+    terms: dict[str, str] = {}
+    for s in scorings.values():
+        for t in s.factors:
+            if (key := repr((t.name, sorted(t.params.items())))) not in terms:
+                terms[key] = f"__f{len(terms)}"
+                before = df.columns
+                computed, name = combo.factors.compute(df, t.name, **t.params)
+                df = computed.select(*before, F.col(name).cast("double").alias(terms[key]))
+    each = []
+    for scoring, s in scorings.items():
+        group = group_of(s.group_by, s.overrides, "__id")
+        inside = F.coalesce(F.col("sector").isin(*s.sector_filter), F.lit(False)) if s.sector_filter is not None else F.lit(True)
+        for k, t in enumerate(s.factors):
+            f = F.col(terms[repr((t.name, sorted(t.params.items())))])
+            own = F.col("__family") == families.index(s.filters)
+            fields = {"scoring": F.lit(scoring), "_group": F.when(own, group), "term": F.lit(k), "of": F.lit(len(s.factors)), "f": f, "weight": F.lit(t.weight if t.direction == "high" else -t.weight).cast("double"), "pct": F.lit(s.winsorize_pct).cast("double"), "inside": inside}
+            each.append(F.struct(*(c.alias(n) for n, c in fields.items())))
+    long = df.select(F.col("__id").alias("instrument_id"), "date", F.explode(F.filter(F.array(*each), lambda x: x["_group"].isNotNull())).alias("x")).select("instrument_id", "date", "x.*")
+    keys = ["scoring", "date", "_group", "term"]
+    long = clipped(long, "f", F.col("pct"), keys, "w").withColumn("z", standardised("w", keys) * F.col("weight"))
+    row = ["scoring", "date", "_group", "instrument_id"]
+    # terms in their order, so that equal scores are equal to the last digit
+    total = F.aggregate(F.sort_array(F.collect_list(F.struct("term", "z"))), F.lit(0.0), lambda acc, x: acc + x["z"])
+    scored = long.where("f IS NOT NULL AND z IS NOT NULL").groupBy(*row, "of", "inside").agg(total.alias("combo_score"), F.count("*").alias("n")).where("n = of AND inside")
+    order = Window.partitionBy("scoring", "date", "_group").orderBy(F.desc("combo_score"), "instrument_id")
+    return scored.select(*row, "combo_score", F.row_number().over(order).alias("rank"))
 
 
 def evaluate_specs(panel: DataFrame, specs: dict[str, combo.Spec], n_windows: int = 4, cost_rate: float = 0.001, sectors: DataFrame | None = None) -> DataFrame:
     """spec, window_id, total_return, sharpe, max_drawdown, n_periods of every spec in every window.
 
     Factors start anew in each window: instruments are named after their window, so that all
-    windows are scored in one pass. Specs that score alike share that pass, and the panel is read
-    once for each different scoring, not for each spec or window; their cuts and rebalance dates
-    are joined on, as a table of the specs (the query's text), and all are reduced together.
+    windows are scored in one pass, and all different scorings in one plan (ranked_scorings()).
+    The specs' cuts and rebalance dates are joined on, as a table of the specs (the query's text),
+    and all are reduced together.
     """
     spark = panel.sparkSession
     parts = windows(panel, n_windows)
-    name = F.concat_ws("|", "window_id", "instrument_id")
-    keyed = panel.join(parts, "date").withColumn("instrument_id", name).drop("window_id")
-    sectors = _in_windows(sectors, n_windows) if sectors is not None else None
-    ranked, scorings = None, {}
-    for s in specs.values():
-        key = repr((s.factors, s.filters, s.group_by, s.overrides, s.winsorize_pct, s.sector_filter))
-        if key in scorings:
-            continue
-        scorings[key] = len(scorings)
-        own = {f"{w}|{i}": g for i, g in (s.overrides or {}).items() for w in range(n_windows)}
-        every = combo.selected(combo.scores(keyed, replace(s, overrides=own), sectors), replace(s, top_k=None, top_pct=1.0), sectors=sectors)
-        size = F.count("*").over(Window.partitionBy("date", "_group"))
-        one = every.select("instrument_id", "date", "rank", size.alias("__n"), F.lit(scorings[key]).alias("scoring"))
-        ranked = one if ranked is None else ranked.unionByName(one)
-    rows = [(n, scorings[repr((s.factors, s.filters, s.group_by, s.overrides, s.winsorize_pct, s.sector_filter))], s.top_k, s.top_pct, s.rebalance) for n, s in specs.items()]
-    table = spark.createDataFrame(rows, "spec string, scoring int, top_k int, top_pct double, rebalance int")
+    named = F.concat_ws("|", "window_id", "instrument_id")
+    # sectors and overrides go by the instrument itself, so they come before the windows' names
+    scorings = {key: s for s in specs.values() for key in [_key(s)]}
+    number = {key: str(k) for k, key in enumerate(scorings)}
+    ranked = ranked_scorings(panel.join(parts, "date"), {number[k]: s for k, s in scorings.items()}, sectors, named)
+    size = F.count("*").over(Window.partitionBy("scoring", "date", "_group"))
+    rows = [(n, number[_key(s)], s.top_k, s.top_pct, s.rebalance) for n, s in specs.items()]
+    table = spark.createDataFrame(rows, "spec string, scoring string, top_k int, top_pct double, rebalance int")
     cut = F.coalesce("top_k", F.greatest(F.lit(1), F.bround(F.col("__n") * F.col("top_pct"), 0).cast("int")))
-    chosen = ranked.join(F.broadcast(table), "scoring").where(F.col("rank") <= cut)
+    chosen = ranked.withColumn("__n", size).join(F.broadcast(table), "scoring").where(F.col("rank") <= cut)
     place = F.row_number().over(Window.partitionBy("window_id").orderBy("date")) - 1  # one row a date
     paces = F.array(*(F.lit(r) for r in sorted({x.rebalance for x in specs.values()})))
     days = parts.withColumn("__p", place).withColumn("rebalance", F.explode(paces)).where(F.col("__p") % F.col("rebalance") == 0)
     days = days.select("date", "window_id", "rebalance", (F.col("__p") / F.col("rebalance")).cast("int").alias("ordinal"))
-    plain = F.expr("substring(instrument_id, instr(instrument_id, '|') + 1)")
     weight = 1.0 / F.count("*").over(Window.partitionBy("spec", "date"))
-    held = chosen.join(days, ["date", "rebalance"]).select("spec", "window_id", "rebalance", "ordinal", "date", plain.alias("instrument_id"), weight.alias("weight"))
+    held = chosen.join(days, ["date", "rebalance"]).select("spec", "window_id", "rebalance", "ordinal", "date", "instrument_id", weight.alias("weight"))
     keys = ("spec", "window_id", "rebalance")
     out = period_returns(held, panel, cost_rate, keys)
     by = Window.partitionBy("spec", "window_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, Window.currentRow)

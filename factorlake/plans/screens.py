@@ -9,6 +9,7 @@ from factorlake.functions import indicators as ind
 from factorlake.functions.registry import SCREENS
 from factorlake.functions.series import lag, own, ratio, span_alpha, with_ema
 from factorlake.operators.asof import asof
+from factorlake.operators.next_event import next_at_or_under, next_days
 
 
 @SCREENS("regression_momentum")
@@ -92,15 +93,21 @@ def cluster_pullback(panel: DataFrame, weekly: DataFrame, benchmark: DataFrame |
     return df.withColumn("__c", F.when(F.count("all_ok").over(w) == confirm, F.min("all_ok").over(w))).where("__c = 1").drop("__c", "all_ok")
 
 
-def first_exit(entries: DataFrame, panel: DataFrame, rules: dict[str, Column]) -> DataFrame:
+def first_exit(entries: DataFrame, panel: DataFrame, levels: dict[str, tuple[str, Column]], events: dict[str, Column]) -> DataFrame:
     """entries (instrument_id, entry_date, ...) with exit_date and exit_rule: the first later day that a rule holds.
 
-    `rules` are over the entry's and the panel's columns; of rules on one day the first named counts.
+    `levels`: name -> (a column of the panel, the entry's level), a rule that holds at or under the
+    level; `events`: name -> a condition on the panel alone. Of rules on one day the first named
+    counts, levels first. No entry is joined with its later bars: events are a window's least day
+    ahead, levels are searched through blocks.
     """
-    rule = F.coalesce(*(F.when(c, name) for name, c in rules.items()))
-    hits = entries.join(panel, "instrument_id").where(F.col("date") > F.col("entry_date")).withColumn("rule", rule).where("rule IS NOT NULL")
-    first = hits.groupBy("instrument_id", "entry_date").agg(F.min("date").alias("exit_date"), F.min_by("rule", "date").alias("exit_rule"))
-    return entries.join(first, ["instrument_id", "entry_date"], "left")
+    out = next_days(entries, panel, {f"__{n}": c for n, c in events.items()})
+    for n, (value, level) in levels.items():
+        out = next_at_or_under(out, panel, value, level, f"__{n}")
+    days = [f"__{n}" for n in (*levels, *events)]
+    first = F.least(*days) if len(days) > 1 else F.col(days[0])
+    out = out.withColumn("exit_date", first)
+    return out.withColumn("exit_rule", F.coalesce(*(F.when(F.col(d) == F.col("exit_date"), d[2:]) for d in days))).drop(*days)
 
 
 def pullback_exits(entries: DataFrame, panel: DataFrame, stop: float = 0.92, below_days: int = 3) -> DataFrame:
@@ -109,7 +116,7 @@ def pullback_exits(entries: DataFrame, panel: DataFrame, stop: float = 0.92, bel
     under = (F.col("close") < F.col("ema_60")).cast("int")
     w = own().rowsBetween(1 - below_days, 0)
     df = df.withColumn("__u", F.sum(under).over(w))
-    return first_exit(entries, df, {"stop": F.col("close") <= F.col("entry_close") * stop, "trend": F.col("__u") == below_days})
+    return first_exit(entries, df, {"stop": ("close", F.col("entry_close") * stop)}, {"trend": F.col("__u") == below_days})
 
 
 def pivot_columns(panel: DataFrame) -> DataFrame:
@@ -152,7 +159,7 @@ def rejection_funnel(panel: DataFrame, **params) -> DataFrame:
 def pivot_exits(entries: DataFrame, panel: DataFrame) -> DataFrame:
     """Exits of gap pivots: a low at or under the pivot day's low, or a close under the 10-row average."""
     df = with_ema(panel.select("instrument_id", "date", "close", "low"), {"ema_10": ("close", span_alpha(10))})
-    return first_exit(entries, df, {"pivot low": F.col("low") <= F.col("entry_low"), "average": F.col("close") < F.col("ema_10")})
+    return first_exit(entries, df, {"pivot low": ("low", F.col("entry_low"))}, {"average": F.col("close") < F.col("ema_10")})
 
 
 @SCREENS("rumi")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factorlake.functions.series import lag, own, ratio, span_alpha, with_ema
+from factorlake.operators.quantiles import exact_quantiles
 
 
 def adv_daily(bars: DataFrame, as_of: str, days: int = 30, rows: int = 20) -> DataFrame:
@@ -103,15 +104,17 @@ def bootstrap(trades: DataFrame, spark: SparkSession, sims: int, seed: int = 7,
 
 def bootstrap_summary(draws: DataFrame) -> DataFrame:
     """One row: mean, median, best, worst, share of wins, population deviation, total, mean return."""
+    (median,) = exact_quantiles(draws, "pnl", [0.5])
     return draws.agg(
-        F.avg("pnl").alias("mean_pnl"), F.median("pnl").alias("median_pnl"), F.max("pnl").alias("best"), F.min("pnl").alias("worst"), F.avg((F.col("pnl") > 0).cast("double")).alias("win_rate"),
+        F.avg("pnl").alias("mean_pnl"), F.lit(median).cast("double").alias("median_pnl"), F.max("pnl").alias("best"), F.min("pnl").alias("worst"), F.avg((F.col("pnl") > 0).cast("double")).alias("win_rate"),
         F.stddev_pop("pnl").alias("std_pnl"), F.sum("pnl").alias("total_pnl"), F.avg("ret").alias("mean_ret"),
     )
 
 
 def percentiles(df: DataFrame, x: str, points: tuple[int, ...] = (5, 25, 50, 75, 95)) -> DataFrame:
-    """One row: linear percentiles p5, p25, ..."""
-    return df.agg(*(F.percentile(x, p / 100).alias(f"p{p}") for p in points))
+    """One row: linear percentiles p5, p25, ... of the whole table, exact; null without values."""
+    found = exact_quantiles(df, x, [p / 100 for p in points])
+    return df.sparkSession.createDataFrame([tuple(found)], ", ".join(f"p{p} double" for p in points))
 
 
 def histogram(df: DataFrame, x: str, bins: int = 10) -> DataFrame:
