@@ -24,6 +24,8 @@ GROUP_BLOCK = 1000
 GROWING = "merge"
 #: The suffix filter's parts are told apart by this many leading bits of a shingle's hash, at most.
 PART_BITS = 8
+#: Longs of a set's parities.
+PARITY_LONGS = 8
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -83,6 +85,16 @@ def partition_sizes(s: np.ndarray) -> bytes:
     return np.minimum(parts, 255).astype(np.uint8).tobytes()
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """For 64 * PARITY_LONGS ranges of the hash, whether a set has an odd number of shingles there, as longs.
+
+    Where two sets differ in that, one has a shingle that the other lacks.
+    """
+    width = 64 * PARITY_LONGS
+    odd = np.bincount((s >> np.uint64(64 - (width - 1).bit_length())).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def suffix_sizes(parts: bytes, ahead: bytes, place: int) -> np.ndarray | None:
     """Part sizes of what follows place `place` in a set's order; None where counts were cut.
 
@@ -122,12 +134,12 @@ def prefixes(docs: DataFrame, width: int, percent: int, levels: np.ndarray) -> D
                     order = np.argsort(own, kind="stable")[: n - (percent * n + 99) // 100 + 1]
                     first = s[order]
                     ahead = (first >> np.uint64(64 - PART_BITS)).astype(np.uint8).tobytes()
-                    rows.append((doc_id, n, xxhash.xxh3_128_digest(s.tobytes()), first.astype(np.int64), float(own.mean()), partition_sizes(s), ahead))
-            columns = list(zip(*rows, strict=True)) or [[]] * 7
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.float32(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["node", "n", "digest", "tokens", "central", "parts", "ahead"])
+                    rows.append((doc_id, n, xxhash.xxh3_128_digest(s.tobytes()), first.astype(np.int64), float(own.mean()), partition_sizes(s), ahead, parities(s)))
+            columns = list(zip(*rows, strict=True)) or [[]] * 8
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.float32(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["node", "n", "digest", "tokens", "central", "parts", "ahead", "parities"])
 
-    return docs.mapInArrow(run, "node bigint, n bigint, digest binary, tokens array<bigint>, central float, parts binary, ahead binary")
+    return docs.mapInArrow(run, "node bigint, n bigint, digest binary, tokens array<bigint>, central float, parts binary, ahead binary, parities array<bigint>")
 
 
 def possible(x: str, y: str, percent: int) -> Column:
@@ -142,6 +154,13 @@ def possible(x: str, y: str, percent: int) -> Column:
     return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & ((100 + percent) * most >= percent * (nx + ny))
 
 
+def alike(x: str, y: str, percent: int) -> Column:
+    """Whether two sets' parities leave room for the overlap they need: they differ by at least as many shingles as parities."""
+    both = F.col(f"{x}.n") + F.col(f"{y}.n")
+    apart = sum((F.bit_count(F.col(f"{x}.p{k}").bitwiseXOR(F.col(f"{y}.p{k}"))) for k in range(PARITY_LONGS)), F.lit(0))
+    return (100 + percent) * (both - apart) >= 2 * percent * both
+
+
 def hopeful(y: str, least: str, percent: int) -> Column:
     """Whether a member can pass the positional filter with the shortest partner that it may have in its group."""
     n, pos = F.col(f"{y}.n"), F.col(f"{y}.pos")
@@ -189,6 +208,8 @@ def open_pairs(placed: DataFrame, percent: int) -> DataFrame:
 
     Members of a group's largest component meet only the others, and all meet in blocks of about
     GROUP_BLOCK members, so that neither a large component nor a hot shingle is paired with itself in one task.
+    The join itself compares lengths, places and parities, so that of members that merely share a
+    passage hardly a pair comes out of it, let alone into a shuffle.
     """
     per = placed.groupBy("token", "k", "c").agg(F.count("*").alias("n"))
     groups = per.groupBy("token", "k").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("m")).where(F.col("most") < F.col("m"))
@@ -202,7 +223,7 @@ def open_pairs(placed: DataFrame, percent: int) -> DataFrame:
     one_way = (F.col("c") == F.col("main")) | (F.col("x.node") < F.col("y.node"))
     # sets of like length share two groups of a shingle: the pair counts in that of the longer one's own band
     one_band = F.col("k") == F.greatest(band("x.n", percent), band("y.n", percent))
-    return few.join(many.hint(GROWING), ["token", "k", "i", "j"]).where((F.col("c") != F.col("d")) & one_way & one_band & possible("x", "y", percent))
+    return few.join(many.hint(GROWING), ["token", "k", "i", "j"]).where((F.col("c") != F.col("d")) & one_way & one_band & possible("x", "y", percent) & alike("x", "y", percent))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -296,7 +317,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # what the pivots left open: members of different components, neither of them the pivot
     rivals = pivots.where("m > 2").select("token", "k", "least", F.col("x.node").alias("pivot"))
     placed = member.join(rivals.hint(GROWING), ["token", "k"]).where((F.col("y.node") != F.col("pivot")) & hopeful("y", "least", percent))
-    placed = placed.join(found.withColumnRenamed("node", "__n").hint(GROWING), F.col("y.node") == F.col("__n"), "left").select("token", "k", "y", F.coalesce("component", "y.node").alias("c"))
+    sides = prefix.select("node", *(F.col("parities")[k].alias(f"p{k}") for k in range(PARITY_LONGS))).join(found.hint(GROWING), "node", "left").withColumnRenamed("node", "__n")
+    with_parities = F.struct("y.node", "y.n", "y.pos", *(f"p{k}" for k in range(PARITY_LONGS))).alias("y")
+    placed = placed.join(sides.hint(GROWING), F.col("y.node") == F.col("__n")).select("token", "k", with_parities, F.coalesce("component", "y.node").alias("c"))
     again = once(open_pairs(kept(placed, "placed"), percent), "x", "y")
     done = tried.select(F.least("a", "b").alias("l"), F.greatest("a", "b").alias("h"))
     again = again.join(done.hint(GROWING), (F.least("a", "b") == F.col("l")) & (F.greatest("a", "b") == F.col("h")), "left_anti")
