@@ -18,7 +18,7 @@ SEED_BLOCK = 2_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Seeds are k words in order with at most s words between them; the first kind that fits an item's size is taken.
 KINDS = ((3, 2), (2, 1), (1, 0))
-#: Pairs of a seed in a document and one in an item that are handled at once, about; those of one document and item are not parted.
+#: Pairs of a seed in a document and one in an item that are handled at once, about.
 HITS = 2_000_000
 
 
@@ -96,13 +96,20 @@ class _Block:
         gram, item, pos = (np.concatenate(x) for x in (grams, item, pos))
         self.keys, self.seen = _lookup(gram)
         number = np.searchsorted(self.keys, gram)
-        order = np.argsort(number, kind="stable")
+        # where words repeat, one seed fits a place in several ways and counts once
+        order = np.lexsort((pos, item, number))
+        same = (np.diff(number[order]) == 0) & (np.diff(item[order]) == 0) & (np.diff(pos[order]) == 0)
+        order = order[np.concatenate([[True], ~same])]
         self.item, self.pos, self.first = item[order], pos[order], np.searchsorted(number[order], np.arange(len(self.keys) + 1))
         #: Ascending: the seed's number, then its item.
         self.place = number[order] * len(self.ids) + self.item
 
     def hits(self, words: np.ndarray, doc_of: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-        """Document, place there, item and place there of like seeds, in groups of whole documents."""
+        """Document, place there, item and place there of like seeds, in groups of about HITS.
+
+        Groups are of whole documents; one document of more is parted by items, and those of one
+        item by overlapping stretches of the document, of which one holds all of an alignment.
+        """
         at, which = [], []
         for k, s in self.kinds:
             for last, h in seed_hashes(words, k, s):
@@ -110,9 +117,9 @@ class _Block:
                 own = doc_of[a] == doc_of[a + last]
                 at.append(a[own])
                 which.append(w[own])
-        at, which = np.concatenate(at), np.concatenate(which)
-        order = np.argsort(at, kind="stable")
-        at, which = at[order], which[order]
+        # ascending places, each seed once in each
+        both = np.unique(np.concatenate(at) * len(self.keys) + np.concatenate(which))
+        at, which = both // len(self.keys), both % len(self.keys)
         times = self.first[which + 1] - self.first[which]
         total, doc = np.cumsum(times), doc_of[at]
         starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else []
@@ -125,10 +132,27 @@ class _Block:
                 for lo, hi in zip(edges[:-1], edges[1:], strict=True):
                     first, last = (np.searchsorted(self.place, which[s:e] * len(self.ids) + x) for x in (lo, hi))
                     t = last - first
-                    entry = np.repeat(first - np.cumsum(t) + t, t) + np.arange(t.sum())
-                    yield np.repeat(doc[s:e], t), np.repeat(at[s:e], t), self.item[entry], self.pos[entry]
+                    for a, z in self._stretches(at[s:e], t, int((self.size[lo:hi] + 2 * self.room[lo:hi]).max())):
+                        own = t[a:z]
+                        entry = np.repeat(first[a:z] - np.cumsum(own) + own, own) + np.arange(own.sum())
+                        yield np.repeat(doc[s + a : s + z], own), np.repeat(at[s + a : s + z], own), self.item[entry], self.pos[entry]
                 s = e
 
+    @staticmethod
+    def _stretches(at: np.ndarray, times: np.ndarray, reach: int) -> Iterator[tuple[int, int]]:
+        """Where stretches of ascending places begin and end: of about HITS pairs, but at least 2 * reach wide, and each `reach` into the next."""
+        total = np.cumsum(times)
+        if not len(at) or total[-1] <= HITS:
+            yield 0, len(at)
+            return
+        a = 0
+        while True:
+            z = max(int(np.searchsorted(at, at[a] + 2 * reach, side="right")), int(np.searchsorted(total, total[a] - times[a] + HITS, side="right")))
+            yield a, z
+            if z >= len(at):
+                return
+            a = int(np.searchsorted(at, at[z - 1] - reach, side="right"))
+
     def windows(self, words: np.ndarray, ends: np.ndarray, doc_of: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
         """Document, item, seeds, and from where to where (in all words) an alignment that reaches the threshold may lie."""
         for doc, at, item, pos in self.hits(words, doc_of):
@@ -250,7 +274,8 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.4) -> D
 
     No pair is lost: seeds are all runs of words of an item, with gaps, of the first kind of KINDS that an
     alignment at the threshold can't lack; a pair is aligned where as many seeds as it must hold
-    lie on diagonals that its errors can reach, in windows as wide as these. Items are looked up
+    lie on diagonals that its errors can reach, in windows as wide as these; n_seeds counts those of
+    one stretch of a document that has millions of them. Items are looked up
     in blocks of about SEED_BLOCK seeds, in one pass over the documents each, so what every
     machine holds is bounded (a longer item is alone in its block, or with few others).
     """
