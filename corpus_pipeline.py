@@ -26,27 +26,23 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return line_dedup.dedup_lines(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs with __key, the row's own id by its doc_id and text, so that rows without an id, or of one id, are rows like others.
-
-    Rows equal in both are copies of one another and share a key.
-    """
-    return docs.withColumn("__key", F.xxhash64("doc_id", "text"))
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with __key, a number of each row's own, written as a table, so that rows without an id, or of one id, are rows like others."""
+    return kept(docs.withColumn("__key", F.monotonically_increasing_id()), "numbered")
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates: that of the least id, rows without one last."""
-    rows = keyed(docs)
-    found = ngram_join.near_duplicates(rows, id_col="__key").select(F.col("doc_id").alias("__key"), "component_id").distinct()
-    ids = rows.groupBy("__key").agg(F.min("doc_id").alias("id"))
-    first = F.min_by("__key", F.struct(F.col("id").isNull(), "id", "__key"))
-    stay = found.join(ids, "__key").groupBy("component_id").agg(first.alias("__key")).select("__key")
-    return rows.dropDuplicates(["__key"]).join(stay, "__key", "left_semi").select(*COLUMNS)
+    rows = numbered(docs)
+    found = ngram_join.near_duplicates(rows, id_col="__key").select(F.col("doc_id").alias("__key"), "component_id")
+    first = F.min_by("__key", F.struct(F.col("doc_id").isNull(), "doc_id", "__key"))
+    stay = found.join(rows.select("__key", "doc_id"), "__key").groupBy("component_id").agg(first.alias("__key")).select("__key")
+    return rows.join(stay, "__key", "left_semi").select(*COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold no benchmark passage."""
-    rows = keyed(docs)
+    rows = numbered(docs)
     own = rows.select(F.col("__key").alias("doc_id"), "text")
     leaks = decontaminate.contaminated(own, table(spark, sf_dir, "benchmark", "item_id", "text")).select(F.col("doc_id").alias("__key")).distinct()
     return rows.join(leaks, "__key", "left_anti").select(*COLUMNS)
