@@ -1,4 +1,4 @@
-"""Benchmark decontamination: seeds that no passage above the threshold can lack, then Smith-Waterman alignment."""
+"""Benchmark decontamination: the rarest seeds that no passage above the threshold can lack join documents to items, then Smith-Waterman alignment."""
 
 from __future__ import annotations
 
@@ -7,19 +7,22 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorlake.llm.scratch import bounded_batches, kept
+from factorlake.llm.scratch import bounded_batches, discard, kept
 from factorlake.llm.words import MIX, plain_words
 
-#: Item seeds that one pass over the documents looks up, about: 24 bytes each on every machine.
+#: Item seeds that one pass over the candidates looks up, about: 24 bytes each on every machine.
 SEED_BLOCK = 2_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Seeds are k words in order with at most s words between them; the first kind that fits an item's size is taken.
 KINDS = ((3, 2), (2, 1), (1, 0))
 #: Pairs of a seed in a document and one in an item that are handled at once, about.
 HITS = 2_000_000
+#: Bits of the filter that tells which seeds of documents are seeds of items: so many a seed, up to 2 ** FILTER_BITS (32 MB).
+BITS_PER_SEED, FILTER_BITS = 64, 28
 
 
 def least_score(size: int, threshold: float) -> int:
@@ -75,8 +78,109 @@ def _places(g: np.ndarray, keys: np.ndarray, seen: np.ndarray) -> tuple[np.ndarr
     return maybe[real], at[real]
 
 
+class _Filter:
+    """A Bloom filter of two hashes and bounded size; the driver holds its words, never the seeds."""
+
+    def __init__(self, grams: DataFrame) -> None:
+        n = grams.count()
+        self.bits = min(FILTER_BITS, max(16, (BITS_PER_SEED * n).bit_length()))
+        low = F.lit((1 << self.bits) - 1).cast("long")
+        place = F.explode(F.array(F.col("gram").bitwiseAND(low), F.shiftrightunsigned("gram", 64 - self.bits)))
+        words = grams.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("bits")).toArrow()
+        self.words = np.zeros(1 << (self.bits - 6), dtype=np.uint64)
+        self.words[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+
+    def _has(self, place: np.ndarray) -> np.ndarray:
+        return (self.words[(place >> np.uint64(6)).view(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) != 0
+
+    def places(self, grams: np.ndarray) -> np.ndarray:
+        """Where in grams its members, and a few others, are."""
+        at = np.flatnonzero(self._has(grams & np.uint64((1 << self.bits) - 1)))
+        return at[self._has(grams[at] >> np.uint64(64 - self.bits))]
+
+
+def _found(texts: pa.Array, kinds: Iterable[tuple[int, int]], known: _Filter) -> tuple[np.ndarray, np.ndarray]:
+    """Row and seed of all the seeds in these texts that pass the filter; seeds as signed numbers."""
+    each = [plain_words(t or "") for t in texts.to_pylist()]
+    words, doc_of = np.concatenate(each), np.repeat(np.arange(len(each)), [len(w) for w in each])
+    rows, grams = [], []
+    for k, s in kinds:
+        for last, h in seed_hashes(words, k, s):
+            at = known.places(h)
+            at = at[doc_of[at] == doc_of[at + last]]
+            rows.append(doc_of[at])
+            grams.append(h[at].view(np.int64))
+    return np.concatenate(rows), np.concatenate(grams)
+
+
+def _counted(docs: DataFrame, kinds: list[tuple[int, int]], known: _Filter) -> DataFrame:
+    """gram, n: how often all documents hold the seeds that pass the filter."""
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                grams, n = np.unique(_found(b.column(0), kinds, shared.value)[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(n.astype(np.int64))], names=["gram", "n"])
+
+    return docs.select("text").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def _seeded(docs: DataFrame, kinds: list[tuple[int, int]], known: _Filter) -> DataFrame:
+    """row, doc_id, text, grams (each once) of the documents that hold a seed which passes the filter."""
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            row, gram = _found(b.column(2), kinds, shared.value)
+            order = np.lexsort((gram, row))
+            row, gram = row[order], gram[order]
+            if len(row):
+                new = np.concatenate([[True], (np.diff(row) != 0) | (gram[1:] != gram[:-1])])
+                row, gram = row[new], gram[new]
+            has, first = np.unique(row, return_index=True)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)), pa.int32()), pa.array(gram))
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(has)) for c in b.columns), lists], names=["row", "doc_id", "text", "grams"])
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    return rows.mapInArrow(run, "row bigint, doc_id bigint, text string, grams array<bigint>")
+
+
+def _item_seeds(item_words: DataFrame, threshold: float) -> DataFrame:
+    """item_id, gram, pos, places (of seeds in the item) and need (how many of them an alignment holds) of all the items' seeds."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, w in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                words = w.values.to_numpy().view(np.uint64)
+                k, s = seed_kind(len(words), threshold)
+                need, places = max(1, least_seeds(len(words), threshold, k, s)), len(words) - k + 1
+                for _, h in seed_hashes(words, k, s):
+                    n = len(h)
+                    columns = [np.full(n, i), h.view(np.int64), np.arange(n), np.full(n, places), np.full(n, need)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["item_id", "gram", "pos", "places", "need"])
+
+    return item_words.mapInArrow(run, "item_id bigint, gram bigint, pos bigint, places bigint, need bigint").distinct()
+
+
+def _rarest(seeds: DataFrame, counts: DataFrame) -> DataFrame:
+    """item_id, gram, pos, need of the seeds at an item's rarest places.
+
+    Of an item's places an alignment holds `need` at least, so it holds one of any places - need + 1
+    and two of any places - need + 2. The latter are kept: those that pair the fewest
+    documents with items.
+    """
+    weight = seeds.groupBy("gram").agg(F.count("*").alias("rows")).join(counts, "gram", "left").select("gram", (F.col("rows") * F.coalesce("n", F.lit(0))).alias("pairs"))
+    places = seeds.join(weight, "gram").groupBy("item_id", "pos").agg(F.sum("pairs").alias("pairs"), F.first("places").alias("places"), F.first("need").alias("need"))
+    order = F.row_number().over(Window.partitionBy("item_id").orderBy("pairs", "pos"))
+    some = places.withColumn("nth", order).where(F.col("nth") <= F.col("places") - F.col("need") + F.least("need", F.lit(2))).select("item_id", "pos")
+    return seeds.join(some, ["item_id", "pos"]).select("item_id", "gram", "pos", "need")
+
+
 class _Block:
-    """Items and their seeds, as every machine holds them for one pass over the documents."""
+    """Items and their seeds, as every machine holds them for one pass over the candidates."""
 
     def __init__(self, ids: list[int], words: list[np.ndarray], threshold: float) -> None:
         self.ids, self.words = np.array(ids, dtype=np.int64), words
@@ -153,10 +257,18 @@ class _Block:
                 return
             a = int(np.searchsorted(at, at[z - 1] - reach, side="right"))
 
-    def windows(self, words: np.ndarray, ends: np.ndarray, doc_of: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
-        """Document, item, seeds, and from where to where (in all words) an alignment that reaches the threshold may lie."""
+    def windows(self, words: np.ndarray, ends: np.ndarray, doc_of: np.ndarray, asked: np.ndarray | None = None) -> Iterator[tuple[int, int, int, int, int]]:
+        """Document, item, seeds, and from where to where (in all words) an alignment that reaches the threshold may lie.
+
+        asked: the pairs to look at, ascending, as the document's number times that of the items plus the item's; all pairs without it.
+        """
         for doc, at, item, pos in self.hits(words, doc_of):
             pair, diagonal = doc * len(self.ids) + item, at - pos
+            if asked is not None:
+                mine = asked[np.minimum(np.searchsorted(asked, pair), len(asked) - 1)] == pair
+                pair, diagonal, pos = pair[mine], diagonal[mine], pos[mine]
+                if not len(pair):
+                    continue
             order = np.lexsort((pos, diagonal, pair))
             pair, diagonal, pos = pair[order], diagonal[order], pos[order]
             new = np.concatenate([[True], (np.diff(pair) != 0) | (np.diff(diagonal) != 0) | (np.diff(pos) != 0)])
@@ -182,7 +294,7 @@ class _Block:
 
 
 def _aligned(docs: DataFrame, block: _Block, threshold: float) -> DataFrame:
-    """doc_id, item_id, score, word_end, n_seeds of the windows that reach the threshold."""
+    """doc_id, item_id, score, word_end, n_seeds of the windows that reach the threshold; docs: doc_id, text, item_ids (to look at, of the block's)."""
     shared = docs.sparkSession.sparkContext.broadcast(block)
     names = ["doc_id", "item_id", "score", "word_end", "n_seeds"]
 
@@ -194,7 +306,8 @@ def _aligned(docs: DataFrame, block: _Block, threshold: float) -> DataFrame:
             each = [plain_words(t or "") for t in b.column(1).to_pylist()]
             ends = np.cumsum([len(w) for w in each])
             words, doc_of = np.concatenate(each), np.repeat(np.arange(len(each)), [len(w) for w in each])
-            for group in _alike(own.windows(words, ends, doc_of), own.size):
+            asked = np.repeat(np.arange(len(each)), pc.list_value_length(b.column(2)).to_numpy()) * len(own.ids) + np.searchsorted(own.ids, b.column(2).flatten().to_numpy())
+            for group in _alike(own.windows(words, ends, doc_of, np.sort(asked)), own.size):
                 doc, item, seeds, lo, hi = (np.array(c, dtype=np.int64) for c in zip(*group, strict=True))
                 score, end = smith_waterman([_signed(own.words[i]) for i in item], [_signed(words[s:e]) for s, e in zip(lo, hi, strict=True)])
                 share = score / (MATCH * own.size[item])
@@ -272,12 +385,17 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.4) -> D
     take no part; rows of one id are one document, rows of one item_id one item with the least text.
     Empty tables give an empty table; other columns are not carried.
 
-    No pair is lost: seeds are all runs of words of an item, with gaps, of the first kind of KINDS that an
-    alignment at the threshold can't lack; a pair is aligned where as many seeds as it must hold
-    lie on diagonals that its errors can reach, in windows as wide as these; n_seeds counts those of
-    one stretch of a document that has millions of them. Items are looked up
-    in blocks of about SEED_BLOCK seeds, in one pass over the documents each, so what every
-    machine holds is bounded (a longer item is alone in its block, or with few others).
+    No pair is lost. Seeds are runs of words of an item, with gaps, of the first kind of KINDS that an
+    alignment at the threshold can't lack. How often each occurs is counted over all documents; the
+    rarest places of an item, which every such alignment holds two of (or one, where it need hold but one
+    seed), join documents to items. In a pair so joined all seeds count: it is aligned where
+    as many as it must hold lie on diagonals that its errors can reach, in windows as wide as
+    these; n_seeds counts those of one stretch of a document that has millions of them.
+
+    The documents are read twice, however many items there are: to count, and to write those
+    with a rare seed. Seeds are told by a filter of bounded size. Of the joined documents items are looked up in
+    blocks of about SEED_BLOCK seeds, so what every machine holds is bounded (a longer item is alone in
+    its block, or with few others).
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -289,16 +407,28 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.4) -> D
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([plain_words(t).view(np.int64) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], names=["item_id", "words"])
 
     item_words = kept(items.mapInArrow(run, "item_id bigint, words array<bigint>").where(F.size("words") > 0), "items")
-    total = 6 * (item_words.agg(F.sum(F.size("words"))).first()[0] or 0)
-    n_blocks = -(-total // SEED_BLOCK) if total <= SEED_BLOCK else 2 * -(-total // SEED_BLOCK)
+    n_words = item_words.agg(F.sum(F.size("words"))).first()[0] or 0
+    if not n_words:
+        return spark.createDataFrame([], "doc_id bigint, item_id bigint, score double, word_end bigint, n_seeds int")
+    n_blocks = -(-6 * n_words // SEED_BLOCK) if 6 * n_words <= SEED_BLOCK else 2 * -(-6 * n_words // SEED_BLOCK)
+    kinds = sorted({seed_kind(r[0], threshold) for r in item_words.select(F.size("words")).distinct().toLocalIterator()})
+    seeds = kept(_item_seeds(item_words, threshold), "seeds")
+    counts = kept(_counted(docs, kinds, _Filter(seeds.select("gram").distinct())), "counts")
+    rare = kept(_rarest(seeds, counts), "rare")
+    discard(seeds, counts)
+    held = kept(_seeded(docs, kinds, _Filter(rare.select("gram").distinct())), "seeded")
+    pairs = held.select("row", F.explode("grams").alias("gram")).join(rare, "gram").groupBy("row", "item_id").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.first("need").alias("need"))
+    pairs = pairs.where("need = 1 or first < last").groupBy("row", F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)).alias("block")).agg(F.collect_list("item_id").alias("item_ids"))  # of one block's items
+    pairs = kept(pairs, "pairs")
+    joined = kept(held.select("row", "doc_id", "text").join(pairs, "row").select("block", "doc_id", "text", "item_ids"), "joined")
+    discard(held, pairs, rare)
     found = None
     for i in range(n_blocks):
-        part = item_words.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == i).collect()  # about SEED_BLOCK / 12 words
+        part = item_words.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == i).sort("item_id").collect()  # about SEED_BLOCK / 12 words
         if part:
             block = _Block([r.item_id for r in part], [np.array(r.words, dtype=np.int64).view(np.uint64) for r in part], threshold)
-            some = _aligned(docs, block, threshold)
+            some = _aligned(joined.where(F.col("block") == i).select("doc_id", "text", "item_ids"), block, threshold)
             found = some if found is None else found.union(some)
-    if found is None:
-        return spark.createDataFrame([], "doc_id bigint, item_id bigint, score double, word_end bigint, n_seeds int")
+    discard(item_words)
     best = found.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("score", "word_end", "n_seeds"), F.struct("score", "n_seeds", -F.col("word_end"))).alias("b"))
     return best.select("doc_id", "item_id", "b.score", "b.word_end", "b.n_seeds")

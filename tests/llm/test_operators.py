@@ -600,6 +600,35 @@ print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
     assert int(subprocess.run([sys.executable, "-c", script], check=True, capture_output=True, text=True).stdout) < 500
 
 
+def test_rare_seeds_join_documents_to_items(spark, monkeypatch):
+    """Frequent places are left to others, no pair is lost, and blocks of items read their own candidates."""
+    common = sentence(12)  # words that all documents and items begin with
+    items = [(k, f"{common} {sentence(30)}") for k in range(12)]
+    table = [(k, f"{common} {sentence(60)}") for k in range(40)] + [(100 + k, f"{common} {edited(edited(t[len(common) :], 5), 17)} {sentence(9)}") for k, t in items]
+    table += [(200, " ".join(t for _, t in items)), (200, "another row of that id"), (201, items[3][1])]
+    docs, tests = spark.createDataFrame(table, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    want = {(i, k): score for i, t in table for k, x in items if (score := brute_score(x, t)) >= 0.4}
+    monkeypatch.setattr(decontaminate, "SEED_BLOCK", 600)
+    assert {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(docs, tests).collect()} == pytest.approx(want)
+    assert {(100 + k, k) for k in range(12)} | {(200, k) for k in range(12)} <= want.keys()
+    words_of = spark.createDataFrame([(k, words.plain_words(t).view(np.int64).tolist()) for k, t in items], "item_id bigint, words array<bigint>")
+    seeds = decontaminate._item_seeds(words_of, 0.4)
+    counts = decontaminate._counted(docs, [(3, 2)], decontaminate._Filter(seeds.select("gram").distinct()))
+    rare = decontaminate._rarest(seeds, counts).collect()
+    for k, t in items:
+        n, need = len(t.split()), decontaminate.least_seeds(len(t.split()), 0.4, 3, 2)
+        places = {r.pos for r in rare if r.item_id == k}
+        assert len(places) == n - 2 - need + 2 and need > 2  # of the first ten places, those that all documents hold, some go
+        assert set(range(n - 2)) - places <= set(range(12))
+
+
+def test_the_filter_of_seeds_knows_all_its_members(spark):
+    grams = RNG.integers(-(2**63), 2**63 - 1, 3000)
+    known = decontaminate._Filter(spark.createDataFrame([(int(g),) for g in grams], "gram bigint"))
+    assert len(known.places(grams.view(np.uint64))) == 3000
+    assert len(known.places(RNG.integers(0, 2**63 - 1, 100_000).view(np.uint64))) < 300
+
+
 def test_hits_are_parted_by_items(spark, monkeypatch):
     few = VOCABULARY[:6]
     items = [(k, " ".join(RNG.choice(few, 8))) for k in range(20)]
