@@ -23,6 +23,9 @@ KINDS = ((3, 2), (2, 1), (1, 0))
 HITS = 2_000_000
 #: Bits of the filter that tells which seeds of documents are seeds of items: so many a seed, up to 2 ** FILTER_BITS (32 MB).
 BITS_PER_SEED, FILTER_BITS = 64, 28
+#: Groups of items: a document goes on if it has two places with seeds of one group. What a seed is changed by for each, and for items that need one seed only.
+GROUPS = 64
+GROUP_MARKS = np.arange(1, GROUPS + 2, dtype=np.uint64) * MIX
 
 
 def least_score(size: int, threshold: float) -> int:
@@ -99,18 +102,38 @@ class _Filter:
         return at[self._has(grams[at] >> np.uint64(64 - self.bits))]
 
 
-def _found(texts: pa.Array, kinds: Iterable[tuple[int, int]], known: _Filter) -> tuple[np.ndarray, np.ndarray]:
-    """Row and seed of all the seeds in these texts that pass the filter; seeds as signed numbers."""
+def _found(texts: pa.Array, kinds: Iterable[tuple[int, int]], known: _Filter) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, place (in the words of all) and seed of all the seeds in these texts that pass the filter."""
     each = [plain_words(t or "") for t in texts.to_pylist()]
     words, doc_of = np.concatenate(each), np.repeat(np.arange(len(each)), [len(w) for w in each])
-    rows, grams = [], []
+    places, grams = [], []
     for k, s in kinds:
         for last, h in seed_hashes(words, k, s):
             at = known.places(h)
             at = at[doc_of[at] == doc_of[at + last]]
-            rows.append(doc_of[at])
-            grams.append(h[at].view(np.int64))
-    return np.concatenate(rows), np.concatenate(grams)
+            places.append(at)
+            grams.append(h[at])
+    place = np.concatenate(places)
+    return doc_of[place], place, np.concatenate(grams)
+
+
+def _in_company(row: np.ndarray, place: np.ndarray, gram: np.ndarray, grouped: _Filter) -> np.ndarray:
+    """Which of the seeds share their group of items with one at another place of the document, or need not."""
+    out = np.zeros(len(gram), dtype=bool)
+    for g, mark in enumerate(GROUP_MARKS):
+        at = grouped.places(gram ^ mark)
+        if g < GROUPS and len(at):
+            _, first = np.unique(place[at], return_index=True)
+            at = at[np.bincount(row[at[first]])[row[at]] > 1]
+        out[at] = True
+    return out
+
+
+def _group_keys(rare: DataFrame) -> DataFrame:
+    """gram: the seeds of `rare`, each changed by the mark of its item's group."""
+    group = F.when(F.col("need") > 1, F.pmod(F.xxhash64("item_id"), F.lit(GROUPS)).cast("int")).otherwise(GROUPS)
+    marks = F.array(*(F.lit(int(m)) for m in GROUP_MARKS.view(np.int64)))
+    return rare.select(F.col("gram").bitwiseXOR(F.element_at(marks, group + 1)).alias("gram")).distinct()
 
 
 def _counted(docs: DataFrame, kinds: list[tuple[int, int]], known: _Filter) -> DataFrame:
@@ -120,21 +143,27 @@ def _counted(docs: DataFrame, kinds: list[tuple[int, int]], known: _Filter) -> D
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                grams, n = np.unique(_found(b.column(0), kinds, shared.value)[1], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(n.astype(np.int64))], names=["gram", "n"])
+                grams, n = np.unique(_found(b.column(0), kinds, shared.value)[2], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n.astype(np.int64))], names=["gram", "n"])
 
     return docs.select("text").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def _seeded(docs: DataFrame, kinds: list[tuple[int, int]], known: _Filter) -> DataFrame:
-    """row, doc_id, text, grams (each once) of the documents that hold a seed which passes the filter."""
-    shared = docs.sparkSession.sparkContext.broadcast(known)
+def _seeded(docs: DataFrame, kinds: list[tuple[int, int]], known: _Filter, grouped: _Filter) -> DataFrame:
+    """row, doc_id, text, grams (each once) of the documents that hold two seeds of one group of items, or one of an item that needs no more.
+
+    What passes the filters wrongly goes with the join; nothing is left out wrongly, since an
+    item that needs two seeds has them at two places of the document, in its own group.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((known, grouped))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            row, gram = _found(b.column(2), kinds, shared.value)
+            row, place, gram = _found(b.column(2), kinds, shared.value[0])
+            good = _in_company(row, place, gram, shared.value[1])
+            row, gram = row[good], gram[good].view(np.int64)
             order = np.lexsort((gram, row))
             row, gram = row[order], gram[order]
             if len(row):
@@ -416,11 +445,12 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.4) -> D
     counts = kept(_counted(docs, kinds, _Filter(seeds.select("gram").distinct())), "counts")
     rare = kept(_rarest(seeds, counts), "rare")
     discard(seeds, counts)
-    held = kept(_seeded(docs, kinds, _Filter(rare.select("gram").distinct())), "seeded")
+    held = kept(_seeded(docs, kinds, _Filter(rare.select("gram").distinct()), _Filter(_group_keys(rare))), "seeded")
     pairs = held.select("row", F.explode("grams").alias("gram")).join(rare, "gram").groupBy("row", "item_id").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.first("need").alias("need"))
     pairs = pairs.where("need = 1 or first < last").groupBy("row", F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)).alias("block")).agg(F.collect_list("item_id").alias("item_ids"))  # of one block's items
     pairs = kept(pairs, "pairs")
-    joined = kept(held.select("row", "doc_id", "text").join(pairs, "row").select("block", "doc_id", "text", "item_ids"), "joined")
+    # the pairs grow with the documents: they are never broadcast, and the plan is one at every size
+    joined = kept(held.select("row", "doc_id", "text").join(pairs.hint("merge"), "row").select("block", "doc_id", "text", "item_ids"), "joined")
     discard(held, pairs, rare)
     found = None
     for i in range(n_blocks):

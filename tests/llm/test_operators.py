@@ -622,6 +622,18 @@ def test_rare_seeds_join_documents_to_items(spark, monkeypatch):
         assert set(range(n - 2)) - places <= set(range(12))
 
 
+def test_one_seed_alone_moves_no_text(spark):
+    """A document goes on with two places of one item, or one of an item that needs one seed only."""
+    w = sentence(40).split()
+    rare = spark.createDataFrame([(1, 6, w), (2, 1, ["alone", "again", "now"])], "item_id bigint, need bigint, words array<string>")
+    rows = [(r.item_id, int(h[0]), 0, r.need) for r in rare.collect() for i in range(len(r.words) - 2) for _, h in decontaminate.seed_hashes(words.plain_words(" ".join(r.words[i : i + 3])), 3, 0)]
+    rare = spark.createDataFrame([(i, g - (1 << 64) if g >> 63 else g, p, n) for i, g, p, n in rows], "item_id bigint, gram bigint, pos bigint, need bigint")
+    table = [(1, " ".join(w[:3])), (2, " ".join(w[:4])), (3, "so alone again now"), (4, f"{' '.join(w[:3])} x x {' '.join(w[9:12])}"), (5, "alone again"), (6, ""), (7, " ".join(w[:3] * 2))]
+    docs = spark.createDataFrame(table, "doc_id bigint, text string").coalesce(1)
+    got = decontaminate._seeded(docs, [(3, 0)], decontaminate._Filter(rare.select("gram")), decontaminate._Filter(decontaminate._group_keys(rare))).collect()
+    assert {r.doc_id: len(r.grams) for r in got} == {2: 2, 3: 1, 4: 2, 7: 1}
+
+
 def test_the_filter_of_seeds_knows_all_its_members(spark):
     grams = RNG.integers(-(2**63), 2**63 - 1, 3000)
     known = decontaminate._Filter(spark.createDataFrame([(int(g),) for g in grams], "gram bigint"))
