@@ -102,19 +102,23 @@ class _Filter:
         return at[self._has(grams[at] >> np.uint64(64 - self.bits))]
 
 
-def _found(texts: pa.Array, kinds: Iterable[tuple[int, int]], known: _Filter) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, place (in the words of all) and seed of all the seeds in these texts that pass the filter."""
+def _found(texts: pa.Array, kinds: Iterable[tuple[int, int]], known: _Filter) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row, place (in the words of all, ascending) and seed of the seeds in these texts that pass the filter, for every way to leave words out."""
     each = [plain_words(t or "") for t in texts.to_pylist()]
     words, doc_of = np.concatenate(each), np.repeat(np.arange(len(each)), [len(w) for w in each])
-    places, grams = [], []
     for k, s in kinds:
         for last, h in seed_hashes(words, k, s):
             at = known.places(h)
             at = at[doc_of[at] == doc_of[at + last]]
-            places.append(at)
-            grams.append(h[at])
-    place = np.concatenate(places)
-    return doc_of[place], place, np.concatenate(grams)
+            yield doc_of[at], at, h[at]
+
+
+def _ends_of_each(row: np.ndarray, place: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first and the last place of each seed in each row: enough to tell whether seeds lie at two places, however often a text repeats itself."""
+    order = np.lexsort((place, gram, row))
+    new = (np.diff(row[order]) != 0) | (gram[order][1:] != gram[order][:-1])
+    order = order[np.concatenate([[True], new]) | np.concatenate([new, [True]])] if len(order) else order
+    return row[order], place[order], gram[order]
 
 
 def _in_company(row: np.ndarray, place: np.ndarray, gram: np.ndarray, grouped: _Filter) -> np.ndarray:
@@ -142,8 +146,8 @@ def _counted(docs: DataFrame, kinds: list[tuple[int, int]], known: _Filter) -> D
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                grams, n = np.unique(_found(b.column(0), kinds, shared.value)[2], return_counts=True)
+            for _, _, found in _found(b.column(0), kinds, shared.value) if b.num_rows else ():
+                grams, n = np.unique(found, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n.astype(np.int64))], names=["gram", "n"])
 
     return docs.select("text").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
@@ -161,7 +165,7 @@ def _seeded(docs: DataFrame, kinds: list[tuple[int, int]], known: _Filter, group
         for b in batches:
             if not b.num_rows:
                 continue
-            row, place, gram = _found(b.column(2), kinds, shared.value[0])
+            row, place, gram = (np.concatenate(c) for c in zip(*(_ends_of_each(*f) for f in _found(b.column(2), kinds, shared.value[0])), strict=True))
             good = _in_company(row, place, gram, shared.value[1])
             row, gram = row[good], gram[good].view(np.int64)
             order = np.lexsort((gram, row))

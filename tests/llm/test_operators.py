@@ -641,6 +641,14 @@ def test_the_filter_of_seeds_knows_all_its_members(spark):
     assert len(known.places(RNG.integers(0, 2**63 - 1, 100_000).view(np.uint64))) < 300
 
 
+def test_seeds_of_a_text_are_kept_at_their_ends_only():
+    """Of a seed that fills a text two places stay, so that repetitive texts take no more memory than their words."""
+    row, place, gram = np.repeat([0, 1, 2], [5, 4, 1]), np.arange(10), np.array([7, 7, 8, 7, 8, 7, 9, 9, 9, 8], dtype=np.uint64)
+    got = set(zip(*(c.tolist() for c in decontaminate._ends_of_each(row, place, gram)), strict=True))
+    assert got == {(0, 0, 7), (0, 3, 7), (0, 2, 8), (0, 4, 8), (1, 5, 7), (1, 6, 9), (1, 8, 9), (2, 9, 8)}
+    assert not any(len(c) for c in decontaminate._ends_of_each(row[:0], place[:0], gram[:0]))
+
+
 def test_hits_are_parted_by_items(spark, monkeypatch):
     few = VOCABULARY[:6]
     items = [(k, " ".join(RNG.choice(few, 8))) for k in range(20)]
