@@ -120,7 +120,7 @@ def period_returns(held: DataFrame, bars: DataFrame, cost_rate: float = 0.0, key
     The holdings are written as a table in the shared folder, so that they are worked out once.
     """
     at = [*keys, "ordinal"]
-    held = kept(held.select(*at, "date", "instrument_id", "weight"), "held")  # read four times
+    held = kept(held.select(*at, "date", "instrument_id", "weight"), "held")  # read three times
     ahead = held.select(*keys, (F.col("ordinal") - 1).alias("ordinal"), F.col("date").alias("until")).distinct()
     # a holding asks for two closes, at its start and at its end: one as-of join answers both
     ends = F.explode(F.array(F.struct(F.col("date"), F.lit(0).alias("end")), F.struct(F.col("until").alias("date"), F.lit(1).alias("end"))))
@@ -129,9 +129,10 @@ def period_returns(held: DataFrame, bars: DataFrame, cost_rate: float = 0.0, key
     pick = lambda k: F.max(F.when(F.col("end") == k, F.col("close")))
     both = closes.groupBy("instrument_id", *at, "since", "weight").agg(pick(0).alias("entry"), pick(1).alias("leave"))
     gross = both.groupBy(*at, F.col("since").alias("date")).agg(F.sum(F.col("weight") * (ratio("leave", "entry") - 1)).alias("gross_ret"))
-    now = held.select(*at, "instrument_id", "weight")
-    before = now.select(*keys, (F.col("ordinal") + 1).alias("ordinal"), "instrument_id", F.col("weight").alias("w0"))
-    moved = now.join(before, [*at, "instrument_id"], "full").groupBy(*at).agg((F.sum(F.abs(F.coalesce("weight", F.lit(0.0)) - F.coalesce("w0", F.lit(0.0)))) / 2).alias("turnover"))
+    # a holding adds its weight at its rebalance and takes it off at the next: what is left of both is what moved
+    steps = F.explode(F.array(F.struct(F.col("ordinal"), F.col("weight").alias("w")), F.struct((F.col("ordinal") + 1).alias("ordinal"), (-F.col("weight")).alias("w"))))
+    each = held.select(*keys, "instrument_id", steps.alias("x")).select(*keys, "instrument_id", "x.*")
+    moved = each.groupBy(*at, "instrument_id").agg(F.sum("w").alias("w")).groupBy(*at).agg((F.sum(F.abs("w")) / 2).alias("turnover"))
     out = gross.join(moved, at)
     return out.select(*at, "date", "gross_ret", "turnover", (F.col("gross_ret") - F.col("turnover") * cost_rate).alias("net_ret"))
 

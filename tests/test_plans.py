@@ -61,6 +61,25 @@ def test_windows_put_the_rest_last(spark):
     assert [r.n for r in w.groupBy("window_id").agg(F.count("*").alias("n")).orderBy("window_id").collect()] == [2, 2, 2, 5]
 
 
+def test_period_returns_equal_a_loop_over_the_holdings(spark):
+    rng = random.Random(9)
+    close = {(i, k): 50 + rng.random() * 50 for i in "abcdef" for k in range(40) if (i, k) not in {("a", 10), ("b", 20)}}
+    baskets = [sorted(rng.sample("abcdef", rng.choice([1, 2, 3]))) for _ in range(4)]
+    weights = [{i: 1 / len(x) for i in x} for x in baskets]
+    bars = spark.createDataFrame([(i, DAY + dt.timedelta(days=k), c) for (i, k), c in close.items()], "instrument_id string, date date, close double")
+    held = spark.createDataFrame([(n, DAY + dt.timedelta(days=10 * n), i, w) for n, x in enumerate(weights) for i, w in x.items()], "ordinal int, date date, instrument_id string, weight double")
+    at = lambda i, k: close[i, max(x for (j, x) in close if j == i and x <= k)]
+    want = []
+    for n in range(3):
+        gross = sum(w * (at(i, 10 * n + 10) / at(i, 10 * n) - 1) for i, w in weights[n].items())
+        before = weights[n - 1] if n else {}
+        moved = sum(abs(weights[n].get(i, 0) - before.get(i, 0)) for i in "abcdef") / 2
+        want.append((n, pytest.approx(gross), pytest.approx(moved), pytest.approx(gross - moved * 0.01)))
+    got = evaluate.period_returns(held, bars, 0.01).orderBy("ordinal")
+    assert [(r.ordinal, r.gross_ret, r.turnover, r.net_ret) for r in got.collect()] == want
+    assert evaluate.period_returns(held.limit(0), bars).count() == 0
+
+
 def test_grid(spark):
     assert evaluate.grid(spark, {"a": [1, 2], "b": [3, 4, 5]}).count() == 6
     assert evaluate.grid(spark, {"a": [1, 2], "b": [3, 4, 5]}, limit=2).count() == 2
