@@ -19,6 +19,11 @@ def instrument(key: str) -> F.Column:
     return F.concat(F.lit("S"), F.lpad(F.col(key).cast("string"), 6, "0"))
 
 
+def quotient(a: F.Column, b: F.Column) -> F.Column:
+    """a / b as the SQL has it: over 0 infinite with the sign of a, and no number for 0 / 0."""
+    return F.when(b == 0, a * F.lit(float("inf"))).otherwise(a / b)
+
+
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ship lines of a supplier and day as trades of a bar."""
     order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
@@ -62,18 +67,18 @@ def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("total_revenue"), F.sum(F.col("l_extendedprice") * F.col("l_tax")).alias("cost"),
         F.sum(F.col("l_extendedprice") * F.col("l_discount")).alias("debt"), F.sum("l_quantity").alias("units"), F.count("*").alias("n"),
     )
-    net = F.col("total_revenue") - F.col("cost")
-    q = q.select(instrument("l_suppkey").alias("instrument_id"), F.last_day(F.add_months("q", 2)).alias("end_date"), "total_revenue", net.alias("net_income"), "debt", "units", "n")
+    revenue, net, debt, units, n = (F.col(c) for c in ("total_revenue", "net_income", "debt", "units", "n"))
+    q = q.select(instrument("l_suppkey").alias("instrument_id"), F.last_day(F.add_months("q", 2)).alias("end_date"), "total_revenue", (revenue - F.col("cost")).alias("net_income"), "debt", "units", "n")
     w = Window.partitionBy("instrument_id").orderBy("end_date")
     year = lambda x: F.try_divide(F.col(x), F.lag(x, 4).over(w)) - 1
     return q.select(
         "instrument_id", F.date_add("end_date", 30).alias("date"), "end_date", "total_revenue", "net_income",
-        (F.col("net_income") / F.col("total_revenue") * 100).alias("roe"), (F.col("net_income") / (F.col("total_revenue") + F.col("debt"))).alias("roic"),
-        (F.col("net_income") / F.col("total_revenue")).alias("net_margin"), (1 - F.col("debt") / F.col("total_revenue")).alias("op_margin"),
+        (quotient(net, revenue) * 100).alias("roe"), quotient(net, revenue + debt).alias("roic"),
+        quotient(net, revenue).alias("net_margin"), (1 - quotient(debt, revenue)).alias("op_margin"),
         year("total_revenue").alias("revenue_yoy"), year("net_income").alias("net_income_yoy"),
-        (F.col("debt") / (F.col("total_revenue") + F.col("debt"))).alias("debt_to_assets"), (F.col("units") / F.col("n")).alias("current_ratio"), (F.col("units") / F.col("n") / 2).alias("quick_ratio"),
-        (F.col("debt") / F.col("net_income")).alias("debt_to_eqt"), (F.col("net_income") / F.col("debt")).alias("ocf_to_debt"), (F.col("net_income") / F.col("debt") / 2).alias("ocf_to_shortdebt"),
-        (F.col("net_income") / F.col("total_revenue") / 2).alias("q_ocf_to_sales"), (F.col("net_income") - F.col("debt")).alias("fcff"),
+        quotient(debt, revenue + debt).alias("debt_to_assets"), (units / n).alias("current_ratio"), (units / n / 2).alias("quick_ratio"),
+        quotient(debt, net).alias("debt_to_eqt"), quotient(net, debt).alias("ocf_to_debt"), (quotient(net, debt) / 2).alias("ocf_to_shortdebt"),
+        (quotient(net, revenue) / 2).alias("q_ocf_to_sales"), (net - debt).alias("fcff"),
         (F.sum("net_income").over(w.rowsBetween(-3, 0)) / 1e6).alias("eps_ttm"),
     )
 
