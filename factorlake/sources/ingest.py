@@ -14,8 +14,6 @@ BARS = T.StructType([T.StructField("instrument_id", T.StringType()), T.StructFie
 FILE_ROWS = 5_000_000
 #: Buckets of instruments in each year of a stored table, unless its first upsert says otherwise.
 BUCKETS = 16
-#: Size of the sketches of instruments: 2^12 registers, a standard error of 1.3 %.
-SKETCH_BITS = 12
 #: Types that may stand for each other.
 ALIKE = ({"int", "bigint"}, {"float", "double"}, {"string"}, {"date"})
 
@@ -132,13 +130,14 @@ def _write_partitions(df: DataFrame, path: str, *folders: str) -> None:
 
 #: What is kept of each instrument and of each partition, by year, beside the table's folders.
 MARKS = "instrument_id string, n_rows bigint, first_time {0}, last_time {0}, bucket int, year int"
-STATE = "n_rows bigint, first_time {0}, last_time {0}, instruments binary, buckets int, bucket int, year int"
+STATE = "n_rows bigint, first_time {0}, last_time {0}, n_instruments bigint, buckets int, bucket int, year int"
 
 
 def summarise(spark: SparkSession, path: str, schema: T.StructType, touched: list[Row], time: str, buckets: int) -> None:
-    """Write the summaries of some partitions anew: rows and times by instrument, and of the partition with a sketch of its instruments.
+    """Write the summaries of some partitions anew: rows and times by instrument, and of the partition with the number of its bucket's instruments.
 
     Only these partitions' rows are read; summaries of the same years' other buckets are carried over.
+    An instrument lies in one bucket in all years, so the marks of the touched buckets tell how many they hold.
     """
     kind = schema[time].dataType.simpleString()
     same_years = F.col("year").isin([r["year"] for r in touched]) | F.col("year").isNull()
@@ -152,8 +151,10 @@ def summarise(spark: SparkSession, path: str, schema: T.StructType, touched: lis
     rows = scan(spark, path, schema).where(in_partitions(touched))
     marks = rows.groupBy("year", "bucket", "instrument_id").agg(F.count("*").alias("n_rows"), F.min(time).alias("first_time"), F.max(time).alias("last_time"))
     state = replaced(marks, "_marks", MARKS).groupBy("year", "bucket").agg(
-        F.sum("n_rows").alias("n_rows"), F.min("first_time").alias("first_time"), F.max("last_time").alias("last_time"), F.hll_sketch_agg("instrument_id", SKETCH_BITS).alias("instruments")
+        F.sum("n_rows").alias("n_rows"), F.min("first_time").alias("first_time"), F.max("last_time").alias("last_time")
     )
+    every = scan(spark, f"{path}/_marks", T.StructType.fromDDL(MARKS.format(kind))).where(F.col("bucket").isin(sorted({r["bucket"] for r in touched})))
+    state = state.join(every.groupBy("bucket").agg(F.countDistinct("instrument_id").alias("n_instruments")), "bucket")
     replaced(state.withColumn("buckets", F.lit(buckets)), "_state", STATE)
 
 
@@ -164,11 +165,14 @@ def stored_buckets(spark: SparkSession, path: str) -> int | None:
 
 
 def stored_state(spark: SparkSession, path: str, time_type: str = "date") -> DataFrame:
-    """One row: n_rows, first_date, last_date, n_instruments (estimated by the sketches) of a stored table, from its summaries alone."""
+    """One row: n_rows, first_date, last_date, n_instruments of a stored table, from its summaries alone.
+
+    A bucket never loses an instrument, so the largest number that its years tell is the present one.
+    """
     state = scan(spark, f"{path}/_state", T.StructType.fromDDL(STATE.format(time_type)))
-    return state.agg(
-        F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"), F.min("first_time").alias("first_date"), F.max("last_time").alias("last_date"),
-        F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("instruments")), F.lit(0)).alias("n_instruments"),
+    buckets = state.groupBy("bucket").agg(F.sum("n_rows").alias("n_rows"), F.min("first_time").alias("first_time"), F.max("last_time").alias("last_time"), F.max("n_instruments").alias("n"))
+    return buckets.agg(
+        F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"), F.min("first_time").alias("first_date"), F.max("last_time").alias("last_date"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_instruments")
     )
 
 

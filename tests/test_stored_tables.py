@@ -109,3 +109,12 @@ def test_ticks_late_within_and_beyond_tolerance_over_restarts(spark, tmp_path):
         ("a", hour(0)): (1.0, 7.0, 1.0, 7.0, 3), ("b", hour(0)): (5.0, 9.0, 5.0, 9.0, 2), ("a", hour(1)): (3.0, 3.0, 3.0, 3.0, 1),
         ("a", hour(2)): (4.0, 4.0, 4.0, 4.0, 1), ("a", hour(3)): (6.0, 6.0, 6.0, 6.0, 1),
     }
+
+
+def test_instruments_are_counted_exactly(spark, tmp_path):
+    """More instruments than a sketch tells apart, in years that share some of them and come out of order."""
+    path, part = str(tmp_path / "bars"), lambda lo, hi, y: spark.range(lo, hi).select(F.format_string("i%05d", "id").alias("instrument_id"), F.lit(D(y, 1, 2)).alias("date"), F.lit(1.0).alias("close"))
+    for lo, hi, y in ((0, 9000, 2021), (5000, 13007, 2019), (200, 300, 2021), (13007, 13010, 2020)):
+        ingest.upsert(spark, part(lo, hi, y), path, replace=lo == 200)
+    got = ingest.stored_state(spark, path).first()
+    assert (got["n_rows"], got["n_instruments"]) == (9000 + 8007 + 3, 13010)
