@@ -183,8 +183,11 @@ def _with_regression(df: DataFrame, period: int) -> DataFrame:
     df = df.withColumns({"__ln": F.when(F.col("close") > 0, F.ln("close")), "__at": place % period, "__block": F.floor(place / period)})
     df = df.withColumn("__moved", F.coalesce((F.col("__ln") != lag("__ln")).cast("int"), F.lit(0)))
     block = Window.partitionBy("instrument_id", "__block").orderBy("date")
+    # blocks follow each other in time: this is the order of own(), by the sort that the blocks need
+    in_blocks = Window.partitionBy("instrument_id").orderBy("__block", "date")
+    earlier = lambda c, n: F.lag(c, n).over(in_blocks)
     df = df.withColumn("__o", F.first("__ln", ignorenulls=True).over(block.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    df = df.withColumn("__before", F.coalesce(lag("__o", period), F.col("__o")))
+    df = df.withColumn("__before", F.coalesce(earlier("__o", period), F.col("__o")))
     i = F.col("__at").cast("double")
     y0, y1 = (F.coalesce(F.col("__ln") - F.col(o), F.lit(0.0)) for o in ("__o", "__before"))
     ahead, so_far_ = block.rowsBetween(1, Window.unboundedFollowing), block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -194,10 +197,10 @@ def _with_regression(df: DataFrame, period: int) -> DataFrame:
     df = df.withColumns({c: zero(f.over(ahead)) for c, f in rest.items()})
     start = {"__s1": F.count("__ln"), "__sy": F.sum(y1), "__syy": F.sum(y1 * y1), "__siy": F.sum(i * y1), "__sm": F.sum("__moved")}
     df = df.withColumns({c: f.over(so_far_) for c, f in start.items()})
-    df = df.withColumns({c: zero(lag(c, period)) for c in rest})
+    df = df.withColumns({c: zero(earlier(c, period)) for c in rest})
     both = lambda c: F.col(f"__s{c}") + F.col(f"__r{c}")
     # changes inside the window: that into its first row is none of them
-    full = (both("1") == period) & (both("m") - zero(lag("__moved", period - 1)) > 0)
+    full = (both("1") == period) & (both("m") - zero(earlier("__moved", period - 1)) > 0)
     mean = both("y") / period
     # places count from the window's first row: the earlier block's rows lie before the later one's
     sum_ky = F.col("__siy") + (period - 1 - i) * F.col("__sy") + F.col("__riy") - (i + 1) * F.col("__ry")

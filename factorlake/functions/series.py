@@ -104,27 +104,28 @@ def with_ema(df: DataFrame, specs: dict[str, tuple]) -> DataFrame:
     y0 = x0, y = alpha * x + (1 - alpha) * y before; adjusted divides by the weights so far. The
     recursion is a blocked scan: inside a block of rows a running sum of x scaled by powers of
     1 - alpha, then the ends of the blocks before are folded and added. So it needs windows over
-    the instrument only, and no row of Python. Inputs must not be null (a null gives null there).
+    the instrument only, and no row of Python. All averages share the blocks, and with
+    them one sort. Inputs must not be null (a null gives null there).
     """
-    df = df.withColumn("__t", F.row_number().over(own()) - 1)
-    for name, (x, alpha, *adjusted) in specs.items():
-        x, adjusted = F.col(x).cast("double"), bool(adjusted and adjusted[0])
-        if alpha >= 1:
-            df = df.withColumn(name, x)
-            continue
+    todo = {name: (F.col(x).cast("double"), alpha, bool(adjusted and adjusted[0])) for name, (x, alpha, *adjusted) in specs.items()}
+    df = df.withColumns({name: x for name, (x, alpha, _) in todo.items() if alpha >= 1})
+    todo = {name: spec for name, spec in todo.items() if spec[1] < 1}
+    if not todo:
+        return df
+    size = max(1, min(256, *(int(600 / -math.log(1.0 - alpha)) for _, alpha, _ in todo.values())))
+    df = df.withColumn("__t", F.row_number().over(own()) - 1).withColumn("__block", F.floor(F.col("__t") / size))
+    at = F.col("__t") % size
+    inside = Window.partitionBy(KEY, "__block").orderBy(TIME).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # blocks follow each other in time: this is the order of own(), by the sort that the blocks need
+    before = Window.partitionBy(KEY).orderBy("__block", TIME).rowsBetween(Window.unboundedPreceding, -1)
+    power = lambda d, k: F.pow(F.lit(d), k.cast("double"))
+    folded = lambda ends, d: F.aggregate(ends, F.lit(0.0), lambda acc, e: acc * (d**size) + e)
+    local, value = {}, {}
+    for k, (name, (x, alpha, adjusted)) in enumerate(todo.items()):
         d = 1.0 - alpha
-        size = max(1, min(256, int(600 / -math.log(d))))
-        at = F.col("__t") % size
-        power = lambda k: F.pow(F.lit(d), k.cast("double"))
         weight = F.when(F.col("__t") == 0, alpha if adjusted else 1.0).otherwise(alpha)
-        df = df.withColumn("__block", F.floor(F.col("__t") / size))
-        inside = Window.partitionBy(KEY, "__block").orderBy(TIME).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        df = df.withColumn("__local", F.sum(weight * x * power(-at)).over(inside) * power(at))
-        before = own().rowsBetween(Window.unboundedPreceding, -1)
-        ends = F.collect_list(F.when(at == size - 1, F.col("__local"))).over(before)
-        carry = F.aggregate(ends, F.lit(0.0), lambda acc, e: acc * (d**size) + e)
-        value = F.col("__local") + carry * power(at + 1)
-        if adjusted:
-            value = value / (1 - power(F.col("__t") + 1))
-        df = df.withColumn(name, F.when(x.isNotNull(), value)).drop("__block", "__local")
-    return df.drop("__t")
+        local[f"__local{k}"] = F.sum(weight * x * power(d, -at)).over(inside) * power(d, at)
+        ends = F.collect_list(F.when(at == size - 1, F.col(f"__local{k}"))).over(before)
+        whole = F.col(f"__local{k}") + folded(ends, d) * power(d, at + 1)
+        value[name] = F.when(x.isNotNull(), whole / (1 - power(d, F.col("__t") + 1)) if adjusted else whole)
+    return df.withColumns(local).withColumns(value).drop("__t", "__block", *local)

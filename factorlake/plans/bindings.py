@@ -5,6 +5,7 @@ bars, weekly, components, sectors, fundamentals, valuation, benchmark_px, intrad
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -24,16 +25,26 @@ def quotient(a: F.Column, b: F.Column) -> F.Column:
     return F.when(b == 0, a * F.lit(float("inf"))).otherwise(a / b)
 
 
+#: Rows of one task where a table is laid out by instrument; an instrument stays whole.
+TASK_ROWS = 250_000
+
+
+def by_instrument(df: DataFrame, n_rows: int) -> DataFrame:
+    """Rows laid out by instrument in as many parts as their number asks for: what windows and groups of instruments hold in a task doesn't grow with the table."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(n_rows / TASK_ROWS)), "instrument_id")
+
+
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ship lines of a supplier and day as trades of a bar."""
+    """Ship lines of a supplier and day as trades of a bar; laid out by instrument, so that windows over instruments shuffle no more."""
     order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
     price = F.col("l_extendedprice") / F.col("l_quantity")
-    day = F.to_date("l_shipdate").alias("date")
-    rows = read(spark, sf_dir, "lineitem").groupBy("l_suppkey", day).agg(
+    lines = read(spark, sf_dir, "lineitem")
+    lines = lines.select(instrument("l_suppkey").alias("instrument_id"), F.to_date("l_shipdate").alias("date"), "l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
+    rows = by_instrument(lines, lines.count()).groupBy("instrument_id", "date", "l_suppkey").agg(  # counted by the files' footers
         F.min_by(price, order).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, order).alias("close"), F.sum("l_quantity").cast("bigint").alias("volume")
     )
     adj = F.when(F.col("date") < F.lit("1998-01-01").cast("date"), 0.5).otherwise(1.0).alias("adj_factor")
-    return rows.select(instrument("l_suppkey").alias("instrument_id"), "date", instrument("l_suppkey").alias("ticker"), "open", "high", "low", "close", "volume", adj)
+    return rows.select("instrument_id", "date", F.col("instrument_id").alias("ticker"), "open", "high", "low", "close", "volume", adj)
 
 
 def weekly(spark: SparkSession, sf_dir: str) -> DataFrame:

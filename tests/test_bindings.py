@@ -5,7 +5,8 @@ import math
 
 import duckdb
 
-from factorlake.plans import bindings, catalog
+from factorlake.functions import factors
+from factorlake.plans import bindings, catalog, screens
 
 SCHEMA = "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_shipdate timestamp"
 
@@ -35,3 +36,26 @@ def test_quarters_without_discounts(spark, tmp_path):
     for name in ("n1_quality", "n4_leverage", "n5_cashflow", "j2_enrich", "n11_revenue_qoq", "n14_roe_trend_4q"):
         got, want = both(spark, folder, name)
         assert got == want, name
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_windows_over_instruments_sort_twice_and_in_bounded_parts(spark, tmp_path, monkeypatch):
+    """What a task sorts goes by a fixed number of rows, and by two sorts however many averages there are."""
+    monkeypatch.setattr(bindings, "TASK_ROWS", 25)
+    folder = lines(spark, tmp_path, [(s, dt.date(1996, 1, 1) + dt.timedelta(days=k), 1, 10 + k, 0.1, 0.0) for s in range(20) for k in range(10)])
+    rows = bindings.bars(spark, folder)
+    assert rows.rdd.getNumPartitions() == 8  # 200 lines
+    for df in (factors.ema_alignment(rows), factors.clenow_momentum(rows), screens.pivot_columns(rows).select("instrument_id", "ema_10", "ema_200")):
+        text = plan(df)
+        assert text.count("Exchange") == 1, text
+    for df in (factors.ema_alignment(rows), factors.clenow_momentum(rows)):
+        assert plan(df).count("Sort [") == 2
+
+
+def test_suppliers_whose_short_ids_coincide_keep_their_own_bars(spark, tmp_path):
+    """lpad cuts ids of seven digits: two suppliers of one id stay two bars, as in the SQL."""
+    folder = lines(spark, tmp_path, [(1_000_000, dt.date(1996, 1, 1), 1, 10, 0.1, 0.0), (100_000, dt.date(1996, 1, 1), 2, 50, 0.1, 0.0)])
+    assert sorted(r["close"] for r in bindings.bars(spark, folder).collect()) == [10.0, 25.0]
