@@ -15,9 +15,9 @@ def markdown(df: DataFrame) -> DataFrame:
 
 
 def write(df: DataFrame, path: str, kind: str) -> None:
-    """Write rows as `csv` (with a header), `json`, `parquet` or `markdown`; the last, for short reports, is one file."""
+    """Write rows as `csv` (with a header), `json`, `parquet` or `markdown`; the last is in order, its head first, over as many files as its size asks for."""
     if kind == "markdown":
-        markdown(df).repartition(1).sortWithinPartitions("line", "value").select("value").write.text(path)
+        markdown(df).orderBy("line", "value").select("value").write.text(path)
     elif kind == "csv":
         df.write.option("header", True).csv(path)
     else:
