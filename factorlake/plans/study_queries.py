@@ -9,7 +9,7 @@ from factorlake.operators import adjust, asof, calendar, sectors, universe
 from factorlake.plans import bindings as b
 from factorlake.plans import history, screens, winrate
 from factorlake.plans.factor_queries import S, ema, lagged, roll
-from factorlake.sources.shared import new_path
+from factorlake.sources.shared import kept, new_path
 
 _BACK = "(PARTITION BY instrument_id ORDER BY date ROWS {} PRECEDING)"
 
@@ -276,7 +276,7 @@ def queries_and_sql() -> tuple[dict, dict]:
     def replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
         """Two strategies' histories stored, one of them replaced by that of a part of its signals; the stored table's state."""
         path = new_path(spark, "history")
-        returns = history.with_returns(signals(spark, sf_dir), b.bars(spark, sf_dir))
+        returns = kept(history.with_returns(signals(spark, sf_dir), b.bars(spark, sf_dir)), "returns")  # read four times
         whole = history.aggregate(returns)
         for strategy, market in (("rumi", "US"), ("rumi", "CN"), ("other", "US")):
             history.save(whole, path, strategy, market)
