@@ -59,8 +59,9 @@ def change(x: str | Column, n: int = 1) -> Column:
 def average_rank(x: str, *keys: str, descending: bool = False) -> Column:
     """Rank from 1 among the non-null values of the keys' rows; equal values share their mean rank."""
     order = F.col(x).desc_nulls_last() if descending else F.col(x).asc_nulls_last()
-    first = F.rank().over(Window.partitionBy(*keys).orderBy(order))
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, x))
+    w = Window.partitionBy(*keys).orderBy(order)
+    first = F.rank().over(w)
+    ties = F.count(F.lit(1)).over(w.rangeBetween(Window.currentRow, Window.currentRow))
     return F.when(F.col(x).isNotNull(), first + (ties - 1) / 2)
 
 

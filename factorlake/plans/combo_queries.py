@@ -199,7 +199,7 @@ def queries_and_sql() -> tuple[dict, dict]:
     def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         """Mean RankIC of six drawn candidates of a grid of momentum periods and horizons."""
         drawn = evaluate.grid(spark, {"period": PERIODS_, "horizon": HORIZONS_}, limit=6).select("candidate_id")
-        ics = evaluate.candidate_ics(b.bars(spark, sf_dir), "momentum", "period", PERIODS_, HORIZONS_)
+        ics = evaluate.candidate_ics(b.bars(spark, sf_dir), "momentum", "period", PERIODS_, HORIZONS_, wanted=drawn.withColumnRenamed("candidate_id", "candidate"))
         means = ics.groupBy(F.col("candidate").alias("candidate_id")).agg(F.round(F.avg("ic"), 6).alias("mean"), F.count("*").alias("n_dates"))
         return drawn.join(means, "candidate_id")
 

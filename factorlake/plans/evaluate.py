@@ -66,7 +66,7 @@ def coverage(panel: DataFrame, scored: DataFrame, min_stocks: int = 5) -> DataFr
 
 def windows(panel: DataFrame, n: int) -> DataFrame:
     """date, window_id: n contiguous blocks of floor(N / n) dates, the rest in the last; at most N blocks."""
-    days = panel.select("date").distinct()
+    days = kept(panel.select("date").distinct(), "days")  # a table of dates: the panel is read once for all uses
     total = days.count()
     n = max(1, min(n, total))
     size = max(1, total // n)
@@ -88,11 +88,12 @@ def grid(spark: SparkSession, params: dict[str, list], limit: int | None = None,
     return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "candidate_id"))).limit(limit)
 
 
-def candidate_ics(bars: DataFrame, factor: str, param: str, values: list, horizons: list[int], pct: float = 0.01) -> DataFrame:
+def candidate_ics(bars: DataFrame, factor: str, param: str, values: list, horizons: list[int], pct: float = 0.01, wanted: DataFrame | None = None) -> DataFrame:
     """date, candidate (value|horizon), ic of a factor at every value of its parameter, over every horizon.
 
     The panel is read once and shuffled once by instrument for all factors and forward returns;
     each value is a group of the one scoring, so that all candidates share its shuffle by date.
+    `wanted` (candidate) names those to be ranked, all without it.
     """
     df = bars
     for v in values:
@@ -105,6 +106,7 @@ def candidate_ics(bars: DataFrame, factor: str, param: str, values: list, horizo
     long = df.select("instrument_id", "date", ahead.alias("__ahead"), each.alias("x")).select("instrument_id", "date", "__ahead", F.col("x.v").alias("_group"), F.col("x.f").alias("__f0"))
     scored = combo.score_rows(long, combo.Spec((combo.Term(factor, params={param: values[0]}),), top_k=1, winsorize_pct=pct), "__ahead")
     both = scored.select("date", "_group", "combo_score", F.explode("__ahead").alias("a")).select("date", F.concat_ws("|", "_group", "a.h").alias("candidate"), "combo_score", "a.fwd_ret").where("fwd_ret IS NOT NULL")
+    both = both.join(F.broadcast(wanted), "candidate", "left_semi") if wanted is not None else both
     keys = ("candidate", "date")
     ranks = both.select(*keys, average_rank("combo_score", *keys).alias("a"), average_rank("fwd_ret", *keys).alias("b"))
     parts = ranks.groupBy(*keys).agg(F.covar_pop("a", "b").alias("c"), F.var_pop("a").alias("va"), F.var_pop("b").alias("vb"))
