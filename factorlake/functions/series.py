@@ -99,26 +99,32 @@ def half_life_alpha(period: float) -> float:
     return 1.0 - math.exp(-math.log(2.0) / period)
 
 
-def with_ema(df: DataFrame, specs: dict[str, tuple]) -> DataFrame:
+def by_blocks() -> WindowSpec:
+    """Rows of one instrument in the order of time, by the sort that with_ema's blocks need; for its result with `blocks`."""
+    return Window.partitionBy(KEY).orderBy("__block", TIME)
+
+
+def with_ema(df: DataFrame, specs: dict[str, tuple], blocks: bool = False) -> DataFrame:
     """Add exponential averages: name -> (column, alpha) or (column, alpha, True) for adjusted weights.
 
     y0 = x0, y = alpha * x + (1 - alpha) * y before; adjusted divides by the weights so far. The
     recursion is a blocked scan: inside a block of rows a running sum of x scaled by powers of
     1 - alpha, then the ends of the blocks before are folded and added. So it needs windows over
     the instrument only, and no row of Python. All averages share the blocks, and with
-    them one sort. Inputs must not be null (a null gives null there).
+    them one sort. Inputs must not be null (a null gives null there). With `blocks` the column
+    `__block` stays, so that windows over by_blocks() need no further sort.
     """
     todo = {name: (F.col(x).cast("double"), alpha, bool(adjusted and adjusted[0])) for name, (x, alpha, *adjusted) in specs.items()}
     df = df.withColumns({name: x for name, (x, alpha, _) in todo.items() if alpha >= 1})
     todo = {name: spec for name, spec in todo.items() if spec[1] < 1}
     if not todo:
-        return df
+        return df.withColumn("__block", F.lit(0)) if blocks else df
     size = max(1, min(256, *(int(600 / -math.log(1.0 - alpha)) for _, alpha, _ in todo.values())))
     df = df.withColumn("__t", F.row_number().over(own()) - 1).withColumn("__block", F.floor(F.col("__t") / size))
     at = F.col("__t") % size
     inside = Window.partitionBy(KEY, "__block").orderBy(TIME).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # blocks follow each other in time: this is the order of own(), by the sort that the blocks need
-    before = Window.partitionBy(KEY).orderBy("__block", TIME).rowsBetween(Window.unboundedPreceding, -1)
+    # blocks follow each other in time: this is the order of own()
+    before = by_blocks().rowsBetween(Window.unboundedPreceding, -1)
     power = lambda d, k: F.pow(F.lit(d), k.cast("double"))
     folded = lambda ends, d: F.aggregate(ends, F.lit(0.0), lambda acc, e: acc * (d**size) + e)
     local, value = {}, {}
@@ -129,4 +135,4 @@ def with_ema(df: DataFrame, specs: dict[str, tuple]) -> DataFrame:
         ends = F.collect_list(F.when(at == size - 1, F.col(f"__local{k}"))).over(before)
         whole = F.col(f"__local{k}") + folded(ends, d) * power(d, at + 1)
         value[name] = F.when(x.isNotNull(), whole / (1 - power(d, F.col("__t") + 1)) if adjusted else whole)
-    return df.withColumns(local).withColumns(value).drop("__t", "__block", *local)
+    return df.withColumns(local).withColumns(value).drop("__t", *([] if blocks else ["__block"]), *local)

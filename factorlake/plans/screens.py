@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from factorlake.functions import indicators as ind
 from factorlake.functions.registry import SCREENS
-from factorlake.functions.series import lag, own, ratio, span_alpha, with_ema
+from factorlake.functions.series import by_blocks, lag, own, ratio, span_alpha, with_ema
 from factorlake.operators.asof import asof
-from factorlake.operators.next_event import next_at_or_under, next_days
+from factorlake.operators.next_event import first_exits
 
 
 @SCREENS("regression_momentum")
@@ -98,12 +101,21 @@ def first_exit(entries: DataFrame, panel: DataFrame, levels: dict[str, tuple[str
 
     `levels`: name -> (a column of the panel, the entry's level), a rule that holds at or under the
     level; `events`: name -> a condition on the panel alone. Of rules on one day the first named
-    counts, levels first. No entry is joined with its later bars: events are a window's least day
-    ahead, levels are searched through blocks.
+    counts, levels first. No entry is joined with its later bars, and panel and entries are read
+    once: of their union the days up to an entry's first event are kept; there events are a
+    window's least day ahead, levels are searched through blocks.
     """
-    out = next_days(entries, panel, {f"__{n}": c for n, c in events.items()})
-    for n, (value, level) in levels.items():
-        out = next_at_or_under(out, panel, value, level, f"__{n}")
+    values = sorted({value for value, _ in levels.values()})
+    flags = {n: f"__event{k}" for k, n in enumerate(events)}
+    days = panel.select("instrument_id", "date", *values, *(c.alias(flags[n]) for n, c in events.items()))
+    asked = entries.select("instrument_id", F.col("entry_date").alias("date"), F.struct(*entries.columns).alias("__asked"))
+    rows = days.unionByName(asked, allowMissingColumns=True)
+    return _ruled(rows, F.col("__asked"), F.col("__asked").isNotNull(), levels, {n: F.col(c) for n, c in flags.items()}, own())
+
+
+def _ruled(rows: DataFrame, asked: Column, entry: Column, levels: dict[str, tuple[str, Column]], events: dict[str, Column], order: WindowSpec) -> DataFrame:
+    """first_exits with the first of their days, and the rule that it is of."""
+    out = first_exits(rows, asked, entry, {f"__{n}": x for n, x in levels.items()}, {f"__{n}": c for n, c in events.items()}, order)
     days = [f"__{n}" for n in (*levels, *events)]
     first = F.least(*days) if len(days) > 1 else F.col(days[0])
     out = out.withColumn("exit_date", first)
@@ -119,14 +131,24 @@ def pullback_exits(entries: DataFrame, panel: DataFrame, stop: float = 0.92, bel
     return first_exit(entries, df, {"stop": ("close", F.col("entry_close") * stop)}, {"trend": F.col("__u") == below_days})
 
 
+def _pivot_rows(panel: DataFrame) -> DataFrame:
+    """What the gap pivot looks at, as columns, with `__block`: all windows share two sorts."""
+    c = F.col
+    before = own().rowsBetween(-20, -1)
+    value = c("close") * c("volume")
+    # the mean of the 20 rows before is the row before's mean of 20
+    df = ind.adv(panel, 20).withColumns({
+        "__range": ind.true_range(), "gap": ratio("open", lag("close")) - 1, "adv_before": F.when(F.count(value).over(before) == 20, F.avg(value).over(before)),
+        "dollar_volume": value, "close_place": ratio(c("close") - c("low"), c("high") - c("low")),
+    })
+    averages = {f"ema_{p}": ("close", span_alpha(p)) for p in (10, 50, 200)} | {f"ATR_{p}": ("__range", 1 / p) for p in (10, 30)}
+    df = with_ema(df, averages, blocks=True).drop("__range")
+    return df.withColumns({f"atr{p}_before": F.lag(f"ATR_{p}").over(by_blocks()) for p in (10, 30)})
+
+
 def pivot_columns(panel: DataFrame) -> DataFrame:
     """What the gap pivot looks at, as columns."""
-    df = with_ema(panel, {"ema_10": ("close", span_alpha(10)), "ema_50": ("close", span_alpha(50)), "ema_200": ("close", span_alpha(200))})
-    df = ind.atr(ind.atr(ind.adv(df, 20), 10), 30)
-    return df.withColumns({
-        "gap": ratio("open", lag("close")) - 1, "adv_before": lag("ADV_20"), "dollar_volume": F.col("close") * F.col("volume"),
-        "close_place": ratio(F.col("close") - F.col("low"), F.col("high") - F.col("low")), "atr10_before": lag("ATR_10"), "atr30_before": lag("ATR_30"),
-    })
+    return _pivot_rows(panel).drop("__block")
 
 
 def pivot_filters(min_gap: float = 0.05, volume_multiple: float = 3.0, place: float = 0.8, contraction: float | None = None, min_adv: float = 20e6, off: tuple[str, ...] = ()) -> dict[str, Column]:
@@ -156,10 +178,22 @@ def rejection_funnel(panel: DataFrame, **params) -> DataFrame:
     return pivot_columns(panel).groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
+def pivot_rules() -> tuple[dict[str, tuple[str, Column]], dict[str, Column]]:
+    """Levels and events that end a gap pivot."""
+    return {"pivot low": ("low", F.col("entry_low"))}, {"average": F.col("close") < F.col("ema_10")}
+
+
 def pivot_exits(entries: DataFrame, panel: DataFrame) -> DataFrame:
     """Exits of gap pivots: a low at or under the pivot day's low, or a close under the 10-row average."""
     df = with_ema(panel.select("instrument_id", "date", "close", "low"), {"ema_10": ("close", span_alpha(10))})
-    return first_exit(entries, df, {"pivot low": ("low", F.col("entry_low"))}, {"average": F.col("close") < F.col("ema_10")})
+    return first_exit(entries, df, *pivot_rules())
+
+
+def pivots_with_exits(panel: DataFrame, **params) -> DataFrame:
+    """instrument_id, entry_date, entry_low, exit_date, exit_rule: the pivots of gap_pivot with their pivot_exits, by one reading of the panel."""
+    entry = reduce(and_, pivot_filters(**params).values())
+    asked = F.struct("instrument_id", F.col("date").alias("entry_date"), F.col("low").alias("entry_low"))
+    return _ruled(_pivot_rows(panel), asked, entry, *pivot_rules(), by_blocks())
 
 
 @SCREENS("rumi")

@@ -345,14 +345,9 @@ def queries_and_sql() -> tuple[dict, dict]:
         **PIVOT,
     )
 
-    def exits6(spark: SparkSession, sf_dir: str) -> DataFrame:
-        bars = b.bars(spark, sf_dir)
-        e = screens.gap_pivot(bars, **PIVOT_PARAMS).select("instrument_id", F.col("date").alias("entry_date"), F.col("low").alias("entry_low"))
-        return screens.pivot_exits(e, bars).select("instrument_id", "entry_date", "exit_date", "exit_rule")
-
     add(
         "m8_pivot_exits",
-        exits6,
+        lambda s, d: screens.pivots_with_exits(b.bars(s, d), **PIVOT_PARAMS).select("instrument_id", "entry_date", "exit_date", "exit_rule"),
         "SELECT e.instrument_id, e.date AS entry_date, h.exit_date, h.exit_rule FROM en e "
         "LEFT JOIN h ON e.instrument_id=h.instrument_id AND e.date=h.entry_date",
         **PIVOT,

@@ -13,8 +13,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from factorlake.functions import indicators
+from factorlake.functions.series import own
 from factorlake.operators import asof, next_event, quantiles, universe
-from factorlake.plans import combo, evaluate, screens
+from factorlake.plans import bindings, combo, evaluate, screens, study_queries
+from test_bindings import both
+from test_bindings import lines as write_lines
 
 DAY = dt.date(2020, 1, 1)
 
@@ -73,6 +76,40 @@ def test_ten_thousand_entries_on_one_instrument_of_a_hundred_thousand_bars(spark
     panel.unpersist()
 
 
+def test_exits_keep_only_days_up_to_an_entrys_first_event(spark):
+    """And a day's two rows of one id both count, in any order."""
+    rows = [("a", day(k), k % 10 == 0, k == 23) for k in range(100)] + [("a", day(30), False, False), ("b", day(5), False, False)]
+    df = spark.createDataFrame(rows, "instrument_id string, date date, odd boolean, entry boolean")
+    left = next_event.open_days(df, F.col("entry"), F.col("odd"), own())
+    assert sorted((r.date - DAY).days for r in left.collect()) == [*range(23, 31), 30]
+    assert left.columns == df.columns
+
+
+def test_next_days_add_one_row_at_a_time(spark):
+    """A window up to the last following row is worked out anew for each row: quadratic in an instrument's rows."""
+    df = spark.createDataFrame([("a", day(1), True)], "instrument_id string, date date, odd boolean")
+    assert "unboundedfollowing" not in plan(next_event.next_days(df.select("instrument_id", F.col("date").alias("entry_date")), df, {"n": F.col("odd")})).lower()
+
+
+def test_pivots_and_their_exits_by_one_reading_of_the_lines(spark, tmp_path, monkeypatch):
+    """One scan, one shuffle and two sorts for pivots and exits, and the same rows as the SQL and as exits of given entries."""
+    rng = random.Random(5)
+    days = [(s, day(k), 10_000 * 1.01**k * (1 + 0.2 * rng.random())) for s in range(4) for k in range(320) if rng.random() < 0.9]
+    lines = [(s, d, 1, round(price * f, 2), 0.1, 0.0) for s, d, price in days for f in (1, 1.01 + 0.02 * rng.random())]
+    folder = write_lines(spark, tmp_path, lines)
+    kept, seen = next_event.kept, []
+    monkeypatch.setattr(next_event, "kept", lambda df, name: (seen.append(plan(df)), kept(df, name))[1])
+    got, want = both(spark, folder, "m8_pivot_exits")
+    assert got == want and len(got) > 20 and any("pivot low" in r for r in got) and any("average" in r for r in got)
+    text = "".join(seen)
+    assert [text.count(x) for x in ("Scan parquet", "Exchange", "Sort [")] == [1, 1, 2], text
+    bars = bindings.bars(spark, folder)
+    entries = screens.gap_pivot(bars, **study_queries.PIVOT_PARAMS).select("instrument_id", F.col("date").alias("entry_date"), F.col("low").alias("entry_low"))
+    apart = screens.pivot_exits(entries, bars).select("instrument_id", "entry_date", "exit_date", "exit_rule")
+    assert sorted(repr(tuple(r)) for r in apart.collect()) == got
+    assert "".join(seen[1:]).count("Scan parquet") == 2  # one of the entries, one of the bars
+
+
 # quantiles
 
 
