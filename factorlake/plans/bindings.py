@@ -95,8 +95,12 @@ def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def valuation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = read(spark, sf_dir, "lineitem").groupBy("l_suppkey", F.to_date(F.date_trunc("month", "l_shipdate")).alias("m")).agg(
-        F.sum("l_extendedprice").alias("v"), F.sum("l_quantity").alias("u"), F.avg("l_tax").alias("t"), F.avg("l_discount").alias("d")
+    """Monthly values of suppliers. Means are summed row by row in the order of the files: where one is a limit itself, the order decides on which side the sum of doubles falls."""
+    key, place = ["l_suppkey", "m"], ["_metadata.file_name", "_metadata.row_index"]
+    lines = read(spark, sf_dir, "lineitem").select("l_suppkey", F.to_date(F.date_trunc("month", "l_shipdate")).alias("m"), "l_extendedprice", "l_quantity", "l_tax", "l_discount", F.struct(*place).alias("place"))
+    w = Window.partitionBy(*key).orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    m = lines.withColumns({"t": F.avg("l_tax").over(w), "d": F.avg("l_discount").over(w)}).groupBy(*key).agg(
+        F.sum("l_extendedprice").alias("v"), F.sum("l_quantity").alias("u"), F.max_by("t", "place").alias("t"), F.max_by("d", "place").alias("d")
     )
     return m.select(
         instrument("l_suppkey").alias("instrument_id"), F.last_day("m").alias("date"), ((F.col("d") - 0.03) * 1000).alias("pe_ttm"), ((F.col("t") - 0.02) * 100).alias("pb"),

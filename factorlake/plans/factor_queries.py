@@ -188,12 +188,14 @@ def queries_and_sql() -> tuple[dict[str, Query], dict[str, str]]:
     o["x5_cross_section"] = b.sql("SELECT instrument_id, round(x,6) AS value, CAST(row_number() OVER (ORDER BY x DESC, instrument_id) AS INTEGER) AS rank FROM m "
         "WHERE date = DATE '2000-03-01' AND x IS NOT NULL", **mom)
 
-    def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return enrich(b.bars(spark, sf_dir), b.fundamentals(spark, sf_dir), b.valuation(spark, sf_dir))
+    means = ["pe_ttm", "pb", "ps_ttm"]
+
+    def panel(spark: SparkSession, sf_dir: str, *unused: str) -> DataFrame:
+        return enrich(b.bars(spark, sf_dir), b.fundamentals(spark, sf_dir), b.valuation(spark, sf_dir).drop(*unused))
 
     def on_panel(name: str, columns: dict[str, tuple[str, dict, str, int]], source: str = "panel", own: dict[str, str] | None = None) -> None:
         def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-            df = panel(spark, sf_dir)
+            df = panel(spark, sf_dir, *(c for c in means if f"fund_{c}" not in columns))
             for registered, (_, params, _, _) in columns.items():
                 df = factors.FACTORS.find(registered)(df, **params)
             return df.select("instrument_id", "date", *(F.round(c, n).alias(c) for c, (_, _, _, n) in columns.items()))
@@ -214,7 +216,7 @@ def queries_and_sql() -> tuple[dict[str, Query], dict[str, str]]:
     on_panel("n8_pb_ps", {"fund_pb": ("", {}, "CASE WHEN pb>0 THEN pb END", 6), "fund_ps_ttm": ("", {}, "CASE WHEN ps_ttm>0 THEN ps_ttm END", 6)})
 
     def quarterly(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return factors.quarterly_series(panel(spark, sf_dir)).select("instrument_id", "date", "end_date", F.round("total_revenue", 5).alias("total_revenue"))
+        return factors.quarterly_series(panel(spark, sf_dir, *means)).select("instrument_id", "date", "end_date", F.round("total_revenue", 5).alias("total_revenue"))
 
     new = {"z": f"SELECT *, coalesce(end_date <> lag(end_date) OVER {S}, true) AS nq FROM panel", "qs": "SELECT * FROM z WHERE nq"}
     q["n9_quarterly_series"] = quarterly
