@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,7 +14,7 @@ from factorlake.plans import performance as p
 from factorlake.plans import risk, winrate
 from factorlake.plans.study_queries import CROSS, rounded
 from factorlake.sources import ingest, sinks
-from factorlake.sources.shared import kept, new_path
+from factorlake.sources.shared import discard, kept, new_path
 from factorlake.streaming import bars as streams
 
 INITIAL = 1_000_000.0
@@ -54,11 +55,15 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORDERS = "SELECT instrument_id, date, CASE WHEN volume%2=0 THEN 'BUY' ELSE 'SELL' END AS side, close AS limit_price FROM bars"
 
 
+def direction(volume: str) -> Column:
+    return F.when(F.col(volume) % 3 == 0, "SELL").otherwise("BUY").alias("direction")
+
+
 def gated_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars as signals against a snapshot made from their own numbers."""
     s = risk.with_market(b.bars(spark, sf_dir).select("instrument_id", "date", F.col("close").alias("price"), F.col("volume").alias("v")), b.bars(spark, sf_dir))
     return s.select(
-        "instrument_id", "date", "price", "prev_close", "adv_volume", "volume", F.when(F.col("v") % 3 == 0, "SELL").otherwise("BUY").alias("direction"), F.col("v").alias("shares"),
+        "instrument_id", "date", "price", "prev_close", "adv_volume", "volume", direction("v"), F.col("v").alias("shares"),
         (F.col("v") % 5 != 0).alias("in_universe"), F.when(F.col("v") % 11 == 0, 5e4).otherwise(0.0).alias("held_value"), F.lit(1e6).alias("equity"), F.lit(2e5).alias("cash"),
         (F.col("v") % 30).alias("n_positions"), (F.col("v") % 40 / 100.0).alias("sector_weight"), F.lit(0.1).alias("bench_weight"), (F.col("v") % 13 == 0).alias("halted"),
     )
@@ -531,24 +536,30 @@ def queries_and_sql() -> tuple[dict, dict]:
         "WHERE date BETWEEN DATE '1996-01-01' AND DATE '1997-12-31'",
     )
 
-    def results(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-        """Trades, signals, a curve and a comparison, each with a key and a value."""
+    def results(spark: SparkSession, sf_dir: str) -> Iterator[tuple[str, DataFrame]]:
+        """Signals (the largest step first, while little else is kept), trades, a curve and a comparison, each with a key and a value; worked out once and kept until the next is asked for."""
         key = lambda *c: F.concat_ws("|", *(F.col(x).cast("string") for x in c)).alias("key")
-        curve = b.nav(spark, sf_dir)
-        return {
+        nav = kept(b.nav(spark, sf_dir), "nav")
+        signals = b.bars(spark, sf_dir).select("instrument_id", "date", F.col("close").alias("price"), direction("volume"))  # the gate's market columns aren't saved: bars are read once
+        found = {
+            "signals": signals.select(key("instrument_id", "date", "direction"), F.col("price").alias("value")),
             "trades": b.trades(spark, sf_dir).select(key("trade_id", "date", "side"), F.round("price", 4).alias("value")),
-            "signals": gated_signals(spark, sf_dir).select(key("instrument_id", "date", "direction"), F.col("price").alias("value")),
-            "curve": curve.select(key("book", "date"), F.round("nav", 6).alias("value")),
-            "comparison": p.compare(p.total_return(curve, K, INITIAL)).select(key("book"), F.col("place").cast("double").alias("value")),
+            "curve": nav.select(key("book", "date"), F.round("nav", 6).alias("value")),
+            "comparison": p.compare(p.total_return(nav, K, INITIAL)).select(key("book"), F.col("place").cast("double").alias("value")),
         }
+        for name, df in found.items():
+            table = kept(df, name)
+            yield name, table
+            discard(table)
+        discard(nav)
 
     def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-        """All results through CSV, JSON and Markdown files and back."""
+        """All results through compressed CSV, JSON and Markdown files and back."""
         out = []
-        for name, df in results(spark, sf_dir).items():
+        for name, df in results(spark, sf_dir):
             for kind in ("csv", "json", "markdown"):
                 path = new_path(spark, name)
-                sinks.write(df, path, kind)
+                sinks.write(df, path, kind, "gzip")
                 if kind == "markdown":
                     cells = F.split(F.col("value"), r" \| ")
                     lines = spark.read.text(path).where("value LIKE '| %' AND value <> '| key | value |' AND value NOT LIKE '| ---%'")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factorlake.sources.shared import shuffle_cleanup
+
 
 def markdown(df: DataFrame) -> DataFrame:
     """line, value: the lines of a Markdown table, its head first."""
@@ -14,11 +16,12 @@ def markdown(df: DataFrame) -> DataFrame:
     return first.unionByName(df.select(F.lit(len(head)).alias("line"), cells.alias("value")))
 
 
-def write(df: DataFrame, path: str, kind: str) -> None:
-    """Write rows as `csv` (with a header), `json`, `parquet` or `markdown`; the last is in order, its head first, over as many files as its size asks for."""
-    if kind == "markdown":
-        markdown(df).orderBy("line", "value").select("value").write.text(path)
-    elif kind == "csv":
-        df.write.option("header", True).csv(path)
-    else:
-        df.write.format(kind).save(path)
+def write(df: DataFrame, path: str, kind: str, compression: str | None = None) -> None:
+    """Write rows as `csv` (with a header), `json`, `parquet` or `markdown`; the last is in order, its head first, over as many files as its size asks for.
+
+    Without a compression each kind has Spark's own. Shuffle files go when the rows are written.
+    """
+    rows = markdown(df).orderBy("line", "value").select("value") if kind == "markdown" else df
+    out = rows.write if compression is None else rows.write.option("compression", compression)
+    with shuffle_cleanup(df.sparkSession):
+        (out.option("header", True) if kind == "csv" else out).format("text" if kind == "markdown" else kind).save(path)
